@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from .bpe import op4_bpe
 from .lm_scoring import op10_lm_scoring
+from .near_dedup import op1_near_dedup
+from .packing import op2_packing
+from .token_files import op3_token_files
 
-QUERIES = {f.__name__: f for f in (op10_lm_scoring,)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_token_files, op4_bpe, op10_lm_scoring)}
 ORACLES: dict[str, str] = {}
