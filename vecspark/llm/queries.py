@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from .bpe import op4_bpe
 from .lm_scoring import op10_lm_scoring
+from .media import op8_media
+from .nearest import op7_nearest
 from .near_dedup import op1_near_dedup
 from .packing import op2_packing
+from .quality import op6_quality
 from .token_files import op3_token_files
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_token_files, op4_bpe, op10_lm_scoring)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_token_files, op4_bpe, op6_quality, op7_nearest, op8_media, op10_lm_scoring)}
+ORACLES: dict[str, str] = {name: f.oracle for name, f in QUERIES.items() if hasattr(f, "oracle")}
