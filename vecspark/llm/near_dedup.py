@@ -1,8 +1,8 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
 A shingle is five words in a row; a text of one to four words has one shingle, all its words.  Its weight is its count
-in the text times its IDF.  The IDF of a shingle is the sum of its words' IDFs (words taken as independent): a
-shingle's own document frequency would make what a large group of copies shares weigh next to nothing, and its members
+in the text times its IDF.  The IDF of a shingle is the sum of its words' IDFs (words taken as independent), each
+1 + log((1 + N) / (1 + df)) / log(2 + N), so from 1 to 2: a shingle's own document frequency would make what a large group of copies shares weigh next to nothing, and its members
 would no longer be similar by weight.  Words are hashed to `features` numbers, so the table of document frequencies,
 counted over all documents, has a fixed size and is safe to broadcast.
 
@@ -133,7 +133,7 @@ def idf_table(docs: DataFrame, settings: Settings) -> np.ndarray:
     got = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "feature int, documents long").groupBy("feature").agg(F.sum("documents").alias("n")).collect()
     frequency = np.zeros(n + 1, np.int64)  # settings.features + 1 rows at the most, whatever the corpus
     frequency[[r.feature for r in got]] = [r.n for r in got]
-    return np.log((1 + frequency[n]) / (1 + frequency[:n])) + 1
+    return 1 + np.log((1 + frequency[n]) / (1 + frequency[:n])) / np.log(2 + frequency[n])
 
 
 def signatures(docs: DataFrame, idf, settings: Settings) -> DataFrame:
@@ -172,7 +172,7 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 def similarities(pairs: DataFrame, texts: DataFrame, idf, settings: Settings) -> DataFrame:
     """a, b (fingerprints), similarity of pairs: each text goes to the pairs that need it, then each pair is worked out."""
     pairs = pairs.withColumn("pair", F.xxhash64("a", "b"))
-    needed = pairs.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("fingerprint")), F.struct(F.lit(1), F.col("b")))).alias("x"), "pair", "a", "b").select("x.side", "x.fingerprint", "pair", "a", "b")
+    needed = pairs.select("pair", "a", "b", F.posexplode(F.array("a", "b")).alias("side", "fingerprint"))
     sides = needed.join(texts, "fingerprint").select("pair", "a", "b", "side", "text")
     both = sides.groupBy("pair", "a", "b").agg(F.max(F.when(F.col("side") == 0, F.col("text"))).alias("text"), F.max(F.when(F.col("side") == 1, F.col("text"))).alias("other"))
 
