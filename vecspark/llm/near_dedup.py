@@ -1,7 +1,7 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
-A shingle is five words in a row; a text of one to four words has one shingle, all its words.  Its weight is its count
-in the text times its IDF.  The IDF of a shingle is the sum of its words' IDFs (words taken as independent), each
+A shingle is five words in a row; a text of one to four words has one shingle, all its words.  Its weight is 1 + log
+of its count in the text, times its IDF.  The IDF of a shingle is the sum of its words' IDFs (words taken as independent), each
 1 + log((1 + N) / (1 + df)) / log(2 + N), so from 1 to 2: a shingle's own document frequency would make what a large group of copies shares weigh next to nothing, and its members
 would no longer be similar by weight.  Words are hashed to `features` numbers, so the table of document frequencies,
 counted over all documents, has a fixed size and is safe to broadcast.
@@ -70,7 +70,8 @@ def shingles(words: Words, idf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
     begins = np.flatnonzero(new)
-    return row[begins], h[begins], np.add.reduceat(total, begins) if len(begins) else total
+    count = np.diff(np.append(begins, len(row)))
+    return row[begins], h[begins], total[begins] * (1 + np.log(count))
 
 
 class Sampler:

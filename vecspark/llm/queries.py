@@ -10,7 +10,8 @@ from .near_dedup import op1_near_dedup
 from .packing import op2_packing
 from .quality import op6_quality
 from .substring_dedup import op9_substring_dedup
+from .token_counts import op5_token_counts
 from .token_files import op3_token_files
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_token_files, op4_bpe, op6_quality, op7_nearest, op8_media, op9_substring_dedup, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_token_files, op4_bpe, op5_token_counts, op6_quality, op7_nearest, op8_media, op9_substring_dedup, op10_lm_scoring)}
 ORACLES: dict[str, str] = {name: f.oracle for name, f in QUERIES.items() if hasattr(f, "oracle")}

@@ -311,8 +311,15 @@ def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """docs, all columns, without the words that earlier documents hold; a text that loses words has its others joined by spaces."""
-    cut = cut_spans(docs, earlier_windows(docs, s))
-    return cut.withColumn("text", F.when(F.col("_removed") > 0, F.col("_kept")).otherwise(F.col("text"))).select(*docs.columns)
+    return _applied(docs, cut_spans(docs, earlier_windows(docs, s)))
+
+
+def _applied(docs: DataFrame, cut: DataFrame) -> DataFrame:
+    """The columns of docs, with what is kept as the text; n_chars, where there is one, is counted again."""
+    changed, kind = F.col("_removed") > 0, dict(docs.dtypes)
+    if "n_chars" in kind:
+        cut = cut.withColumn("n_chars", F.when(changed, F.length("_kept")).otherwise(F.col("n_chars")).cast(kind["n_chars"]))
+    return cut.withColumn("text", F.when(changed, F.col("_kept")).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def remove_reference(docs: DataFrame, reference: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -352,8 +359,7 @@ def remove_reference(docs: DataFrame, reference: DataFrame, s: Settings = Settin
             yield pa.record_batch([pa.array(x, pa.int64()) for x in out], names=["doc_id", "mark", "begin", "end"])
 
     source = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
-    cut = cut_spans(docs, source.mapInArrow(run, "doc_id long, mark long, begin long, end long"))
-    return cut.withColumn("text", F.when(F.col("_removed") > 0, F.col("_kept")).otherwise(F.col("text"))).select(*docs.columns)
+    return _applied(docs, cut_spans(docs, source.mapInArrow(run, "doc_id long, mark long, begin long, end long")))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

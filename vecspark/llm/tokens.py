@@ -51,7 +51,10 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        split = [PIECE.findall(t) for t in texts]
+        return [b"".join(x) for x in self.encode_pieces([PIECE.findall(t) for t in texts])]
+
+    def encode_pieces(self, split: list[list[str]]) -> list[list[bytes]]:
+        """The ids of each piece of each text."""
         if len(self.known) > self.most:
             self.known = {}
         known = self.known
@@ -63,7 +66,7 @@ class Pieces:
             if x[-1] in _WHITE_SET:
                 known[x] = self._ids(x).tobytes()
         get = known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+        return [list(map(get, own)) for own in split]
 
 
 _pieces: dict[str, Pieces] = {}
