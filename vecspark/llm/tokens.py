@@ -29,9 +29,9 @@ def tokenizer_path(name: str) -> str:
 
 
 class Pieces:
-    """piece -> its ids as little-endian 32-bit bytes, for one tokenizer; `most` pieces are kept, then it starts anew."""
+    """piece -> its ids as little-endian 32-bit bytes, for one tokenizer; over `most` pieces, those that the last call needed stay."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -55,10 +55,10 @@ class Pieces:
 
     def encode_pieces(self, split: list[list[str]]) -> list[list[bytes]]:
         """The ids of each piece of each text."""
-        if len(self.known) > self.most:
-            self.known = {}
-        known = self.known
-        new = list(set(chain.from_iterable(split)).difference(known))
+        asked, known = set(chain.from_iterable(split)), self.known
+        if len(known) > self.most:
+            known = self.known = {x: known[x] for x in asked if x in known}
+        new = list(asked.difference(known))
         words = [x for x in new if x[-1] not in _WHITE_SET]
         for begin in range(0, len(words), 50_000):
             known.update(self._at_once(words[begin : begin + 50_000]))
