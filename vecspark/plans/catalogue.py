@@ -2,6 +2,340 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from vecspark.functions import columns as c
+from vecspark.functions.spec import ProductSpec, QuantizerSpec
+from vecspark.operators import allocation, attention, encode, search, sweep
+
+from . import sql
+from .data import DIM, cases, queries_of, table, vectors
+
+SPEC = QuantizerSpec(DIM, 2, seed=42)
+PRODUCT = ProductSpec(DIM, 3, seed=42)
+K = 10
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "code_search"
+
+
+def query(oracle: str | None = None):
+    """Registers a query by its function's name."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle.strip()
+        return f
+
+    return keep
+
+
+# Vectors and codes
+
+
+@query(f"SELECT vec_id, round(sqrt({sql.dot('CAST(embedding AS DOUBLE[])', 'CAST(embedding AS DOUBLE[])')}), 6) AS norm, CASE WHEN len(embedding) <> 64 THEN 'bad' END AS error, CAST((len(embedding) * 3 + 7) // 8 AS INT) AS bytes_at_3 FROM embeddings")
+def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(c.norm("embedding"), 6).alias("norm"), c.vector_error("embedding", DIM).alias("error"), c.packed_size(F.size("embedding"), 3).alias("bytes_at_3"))
+
+
+@query("WITH vecs AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) " + sql.ranked(f"SELECT q.id AS query_id, r.id AS id, round({sql.dot('r.v', 'q.v')}, 6) + 0 AS score FROM vecs q, vecs r WHERE q.id % 100 = 0", K))
+def exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir)
+    return search.exact_topk(rows, queries_of(rows), K, DIM)
+
+
+@query(f"WITH {sql.coded(SPEC)} SELECT id, CAST(i AS INT) AS coordinate, round(y[i + 1], 6) + 0 AS value FROM (SELECT id, y, unnest(range({DIM})) AS i FROM rotated)")
+def rotate_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = F.transform("v", lambda x: x.cast("double") / c.norm("v").cast("float"))
+    rows = vectors(spark, sf_dir).select("id", unit.alias("v"))
+    return encode.rotate(rows, SPEC).select("id", F.posexplode("rotated").alias("coordinate", "value")).withColumn("value", F.round("value", 6) + F.lit(0.0))
+
+
+@query(f"WITH {sql.coded(SPEC)} SELECT id, {sql.packed_hex('cells', DIM, 2)} AS code, round(norm, 6) AS norm FROM coded")
+def quantize_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.quantize(vectors(spark, sf_dir).select("id", "v"), SPEC).select("id", F.lower(F.hex("packed")).alias("code"), F.round(F.col("norm").cast("double"), 6).alias("norm"))
+
+
+@query(f"WITH {sql.coded(SPEC)} SELECT id, CAST(i AS INT) AS coordinate, CAST(cells[i + 1] AS INT) AS cell FROM (SELECT id, cells, unnest(range({DIM})) AS i FROM coded)")
+def unpack_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode.quantize(vectors(spark, sf_dir).select("id", "v"), SPEC)
+    return encode.unpack(coded, DIM, SPEC.bits).select("id", F.posexplode("cells").alias("coordinate", "cell"))
+
+
+def _error_sql(bits: int) -> str:
+    spec = QuantizerSpec(DIM, bits, 42)
+    diff = "list_transform(list_zip(y, list_transform(cells, lambda i: cen[i + 1])), lambda p: (p[1] - p[2]) * (p[1] - p[2]))"
+    return f"SELECT * FROM (WITH {sql.coded(spec)} SELECT {bits} AS bits, count(*) AS vectors, round(avg({sql.total(diff)}), 9) AS mean_error FROM coded, consts)"
+
+
+@query(" UNION ALL ".join(map(_error_sql, range(1, 5))))
+def error_by_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared error of unit vectors' reconstructions: by rotating back, where the oracle stays in the rotated space."""
+    unit = F.transform("v", lambda x: x.cast("double") / c.norm("v").cast("float"))
+    rows, out = vectors(spark, sf_dir).select("id", unit.alias("v")), None
+    for bits in range(1, 5):
+        spec = QuantizerSpec(DIM, bits, 42)
+        again = encode.dequantize(encode.quantize(rows, spec), spec)
+        one = again.agg(F.lit(bits).alias("bits"), F.count("*").alias("vectors"), F.round(F.avg(c.mean_squared_error("v", "recon") * DIM), 9).alias("mean_error"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"WITH {sql.coded(SPEC)} {sql.ranked(sql.code_scores(SPEC), K)}")
+def code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-k by 2-bit codes."""
+    rows = vectors(spark, sf_dir)
+    return search.QuantizedIndex.fit(rows, SPEC).search(queries_of(rows), K)
+
+
+@query(f"WITH {sql.sketched(PRODUCT)} SELECT id, {sql.packed_hex('cells', DIM, 2)} AS mse, {sql.packed_hex('signs', DIM, 1)} AS signs, round(res_norm, 6) AS res_norm FROM sketched")
+def product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode.quantize_product(vectors(spark, sf_dir).select("id", "v"), PRODUCT)
+    return coded.select("id", F.lower(F.hex("mse")).alias("mse"), F.lower(F.hex("signs")).alias("signs"), F.round(F.col("res_norm").cast("double"), 6).alias("res_norm"))
+
+
+_ASKED = f"(SELECT id, list_transform(rot, lambda r: {sql.dot('r', 'v')}) AS ry, list_transform(s, lambda r: {sql.dot('r', 'v')}) AS sy FROM vecs, consts, proj WHERE id % 100 = 0)"
+_PRODUCT_SCORES = f"""SELECT q.id AS query_id, c.id AS id, round({sql.dot("list_transform(c.cells, lambda i: cen[i + 1])", "q.ry")} + {PRODUCT.scale!r} * c.res_norm * {sql.dot("list_transform(c.signs, lambda b: CAST(2 * b - 1 AS DOUBLE))", "q.sy")}, 6) + 0 AS score
+FROM {_ASKED} q, sketched c, consts"""
+
+
+@query(f"WITH {sql.sketched(PRODUCT)} {sql.ranked(_PRODUCT_SCORES, K)}")
+def product_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-k by 3-bit inner-product codes."""
+    rows = vectors(spark, sf_dir)
+    return search.QuantizedIndex.fit(rows, PRODUCT).search(queries_of(rows), K)
+
+
+_PROJECTED = f"list_transform(range({DIM}), lambda j: {sql.total('list_transform(list_zip(s, signs), lambda p: p[1][j + 1] * (2 * p[2] - 1))')})"
+
+
+@query(f"WITH {sql.sketched(PRODUCT)}, turned_s AS (SELECT list_transform(range({DIM}), lambda j: list_transform(s, lambda r: r[j + 1])) AS ts FROM proj), back AS (SELECT id, v, rest, list_transform(ts, lambda r: {PRODUCT.scale!r} * res_norm * {sql.dot('r', 'list_transform(signs, lambda b: CAST(2 * b - 1 AS DOUBLE))')}) AS lift FROM sketched, turned_s) SELECT id, round({sql.total('list_transform(list_zip(rest, lift), lambda p: (p[1] - p[2]) * (p[1] - p[2]))')}, 6) AS squared_error FROM back")
+def product_dequantize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared error of what inner-product codes give back, for the unit vector."""
+    unit = F.transform("v", lambda x: x.cast("double") / c.norm("v").cast("float"))
+    again = encode.dequantize_product(encode.quantize_product(vectors(spark, sf_dir).select("id", unit.alias("v")), PRODUCT), PRODUCT)
+    return again.select("id", F.round(c.mean_squared_error("v", "recon") * DIM, 6).alias("squared_error"))
+
+
+@query(f"""WITH {sql.coded(SPEC)},
+found AS ({sql.ranked(sql.code_scores(SPEC), K)}),
+exact AS ({sql.ranked(f"SELECT q.id AS query_id, r.id AS id, round({sql.dot('r.v', 'q.v')}, 6) + 0 AS score FROM vecs q, vecs r WHERE q.id % 100 = 0", K)})
+SELECT e.query_id, round(count(f.id) / count(*), 6) AS recall FROM exact e LEFT JOIN found f ON f.query_id = e.query_id AND f.id = e.id GROUP BY e.query_id""")
+def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.recall(code_search(spark, sf_dir), exact_search(spark, sf_dir)).withColumn("recall", F.round("recall", 6))
+
+
+_UNIFORM = "list_transform(v, lambda x: CASE WHEN norm = 0 THEN 0 ELSE (floor((least(greatest(x / norm, -1), 1) + 1) / 2 * 15 + 0.5) / 15 * 2 - 1) * norm END)"
+_UNITS = f"vecs AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), units AS (SELECT id, label, v, CAST(CAST(sqrt({sql.dot('v', 'v')}) AS FLOAT) AS DOUBLE) AS norm FROM vecs)"
+
+
+@query(f"WITH {_UNITS}, u AS (SELECT id, v, {_UNIFORM} AS r FROM units) SELECT id, round({sql.total('list_transform(list_zip(v, r), lambda p: (p[1] - p[2]) * (p[1] - p[2]))')} / {DIM}, 9) AS mse, round({sql.dot('v', 'r')} / (sqrt({sql.dot('v', 'v')}) * sqrt({sql.dot('r', 'r')})), 9) AS cosine FROM u")
+def uniform_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir).withColumn("recon", c.uniform_reconstruct("v", 4))
+    return rows.select("id", F.round(c.mean_squared_error("v", "recon"), 9).alias("mse"), F.round(c.cosine("v", "recon"), 9).alias("cosine"))
+
+
+@query(f"WITH e AS (SELECT vec_id, unnest(range({DIM})) AS k, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings), w AS (SELECT vec_id AS j, k, x AS y FROM e WHERE vec_id % 100 = 0) SELECT e.vec_id AS i, w.j, round(sum(x * y), 6) + 0 AS value FROM e JOIN w ON e.k = w.k GROUP BY e.vec_id, w.j")
+def matmul_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir)
+    a = rows.select(F.col("id").alias("i"), F.posexplode("v").alias("k", "x"))
+    b = queries_of(rows).select(F.col("query_id").alias("j"), F.posexplode("q").alias("k", "y"))
+    return encode.matmul_relational(a, b).withColumn("value", F.round("value", 6) + F.lit(0.0))
+
+
+# Attention: pages are labels, slots follow vec_id; keys and values are the vectors
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slot = F.row_number().over(Window.partitionBy("label").orderBy("id")) - 1
+    return vectors(spark, sf_dir).select("id", "label", slot.cast("int").alias("slot"), F.col("v").alias("key"), F.col("v").alias("value"))
+
+
+_SLOTS = "entries AS (SELECT vec_id AS id, label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS slot, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+
+
+def _attention_sql(scores: str, values: str, k: int | None) -> str:
+    """scores: query_id, label, slot, score; values: label, slot, v."""
+    some = f"QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, slot) <= {k}" if k else ""
+    return f"""scored AS ({scores}), picked AS (SELECT * FROM scored {some}),
+shifted AS (SELECT *, exp(score - max(score) OVER (PARTITION BY query_id)) AS e FROM picked), weighted AS (SELECT *, e / sum(e) OVER (PARTITION BY query_id) AS w FROM shifted),
+each AS (SELECT query_id, unnest(range({DIM})) AS coordinate, unnest(list_transform(x.v, lambda c: c * w)) AS part FROM weighted JOIN ({values}) x USING (label, slot))
+SELECT query_id, CAST(coordinate AS INT) AS coordinate, round(sum(part), 6) + 0 AS output FROM each GROUP BY query_id, coordinate"""
+
+
+def _rounded(outputs: DataFrame) -> DataFrame:
+    return outputs.withColumn("output", F.round("output", 6) + F.lit(0.0))
+
+
+_EXACT_SCORES = f"SELECT q.id AS query_id, e.label, e.slot, {sql.dot('q.v', 'e.v')} * 8 AS score FROM entries q JOIN entries e USING (label) WHERE q.id % 100 = 0"
+
+
+@query(f"WITH {_SLOTS}, {_attention_sql(_EXACT_SCORES, 'SELECT label, slot, v FROM entries', None)}")
+def attention_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = _entries(spark, sf_dir)
+    asked = entries.where("id % 100 = 0").select(F.col("id").alias("query_id"), "label", F.col("key").alias("q"))
+    return _rounded(attention.attend(asked, entries.drop("id"), ["label"], ["query_id"], 8.0))
+
+
+@query(f"WITH {_SLOTS}, {_attention_sql(_EXACT_SCORES, 'SELECT label, slot, v FROM entries', 16)}")
+def attention_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = _entries(spark, sf_dir)
+    asked = entries.where("id % 100 = 0").select(F.col("id").alias("query_id"), "label", F.col("key").alias("q"))
+    return _rounded(attention.attend(asked, entries.drop("id"), ["label"], ["query_id"], 8.0, 16))
+
+
+@query(f"""WITH {sql.coded(SPEC)}, turned AS (SELECT list_transform(range({DIM}), lambda j: list_transform(rot, lambda r: r[j + 1])) AS tor FROM consts),
+entries AS (SELECT id, label, CAST(row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS INT) AS slot, v, list_transform(tor, lambda r: norm * {sql.dot("r", "list_transform(cells, lambda i: cen[i + 1])")}) AS r FROM coded, consts, turned),
+{_attention_sql(_EXACT_SCORES.replace("'e.v'", "'e.r'").replace("q.v, e.v", "q.v, e.r"), "SELECT label, slot, r AS v FROM entries", 16)}""")
+def attention_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and values by 2-bit codes."""
+    entries = _entries(spark, sf_dir)
+    recon = encode.dequantize(encode.quantize(entries.withColumnRenamed("key", "v"), SPEC), SPEC)
+    scaled = F.transform("recon", lambda x: x * F.col("norm").cast("double"))
+    coded = recon.select("label", "slot", scaled.alias("key"), scaled.alias("value"))
+    asked = entries.where("id % 100 = 0").select(F.col("id").alias("query_id"), "label", F.col("key").alias("q"))
+    return _rounded(attention.attend(asked, coded, ["label"], ["query_id"], 8.0, 16))
+
+
+@query(f"WITH {_UNITS}, entries AS (SELECT id, label, CAST(row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS INT) AS slot, v, {_UNIFORM} AS r FROM units), {_attention_sql(_EXACT_SCORES.replace('q.v, e.v', 'q.v, e.r'), 'SELECT label, slot, r AS v FROM entries', 16)}")
+def attention_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = _entries(spark, sf_dir)
+    even = entries.select("label", "slot", c.uniform_reconstruct("key", 4).alias("key")).withColumn("value", F.col("key"))
+    asked = entries.where("id % 100 = 0").select(F.col("id").alias("query_id"), "label", F.col("key").alias("q"))
+    return _rounded(attention.attend(asked, even, ["label"], ["query_id"], 8.0, 16))
+
+
+@query(f"WITH {_SLOTS}, heads AS (SELECT id AS query_id, h AS head, h // 2 AS label, v FROM (SELECT *, unnest(range(20)) AS h FROM entries WHERE id % 100 = 0)), scored AS (SELECT query_id * 20 + head AS query_id, e.label, e.slot, {sql.dot('q.v', 'e.v')} * 8 AS score FROM heads q JOIN entries e ON e.label = q.label), {_attention_sql('SELECT * FROM scored', 'SELECT label, slot, v FROM entries', 16).split(',', 1)[1]}".replace("picked AS (SELECT * FROM scored", "picked AS (SELECT * FROM scored"))
+def attention_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """20 query heads over 10 key/value heads (labels). query_id is 20 times the vector's id plus the head."""
+    entries = _entries(spark, sf_dir)
+    asked = entries.where("id % 100 = 0").select("id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("head"), F.col("key").alias("q"))
+    heads = attention.grouped_heads(asked, 20, 10).select((F.col("id") * 20 + F.col("head")).alias("query_id"), F.col("kv_head").alias("label"), "q")
+    return _rounded(attention.attend(heads, entries.drop("id"), ["label"], ["query_id"], 8.0, 16))
+
+
+_ENTRY = attention.entry_bytes(DIM, 3, 2)
+
+
+@query(f"SELECT model, label, CAST(sum(n) AS BIGINT) AS entries, CAST(sum(n) * {_ENTRY} AS BIGINT) AS live_bytes, CAST(sum(greatest(4, CAST(pow(2, ceil(log2(n))) AS BIGINT))) * {_ENTRY} AS BIGINT) AS storage_bytes FROM (SELECT CAST(vec_id % 3 AS INT) AS model, label, count(*) AS n FROM embeddings GROUP BY ALL) GROUP BY ROLLUP (model, label)")
+def byte_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = vectors(spark, sf_dir).select((F.col("id") % 3).cast("int").alias("model"), "label")
+    return attention.byte_rollup(entries, ["model", "label"], DIM, 3, 2)
+
+
+# Evaluation results
+
+
+_RANKS = {"mse": "output_mse, output_cosine DESC, storage_bytes", "cosine": "output_cosine DESC, output_mse, storage_bytes", "size": "storage_bytes, output_mse, output_cosine DESC"}
+_CFG = ", ".join(sweep.CONFIG)
+_WON = ", ".join(f"CASE WHEN row_number() OVER (PARTITION BY sample ORDER BY {o}, {_CFG}) = 1 THEN 1 ELSE 0 END AS {n}" for n, o in _RANKS.items())
+
+
+def _lower(x: str, p: float) -> str:
+    return f"list_sort(list({x}))[CAST(floor({p} * (count(*) - 1)) AS INT) + 1]"
+
+
+_SUMMARY = f"""won AS (SELECT *, {_WON} FROM cases), summary AS (SELECT {_CFG}, count(*) AS cases, avg(output_mse) AS mean_mse, {_lower("output_mse", 0.5)} AS p50_mse, {_lower("output_mse", 0.95)} AS p95_mse, max(output_mse) AS max_mse,
+avg(output_cosine) AS mean_cosine, {_lower("output_cosine", 0.05)} AS p05_cosine, {_lower("output_cosine", 0.5)} AS p50_cosine, min(output_cosine) AS min_cosine, avg(storage_bytes) AS mean_storage, avg(CAST(raw_bytes AS DOUBLE) / storage_bytes) AS mean_compression,
+CAST(sum(mse) AS BIGINT) AS mse_wins, CAST(sum(cosine) AS BIGINT) AS cosine_wins, CAST(sum(size) AS BIGINT) AS size_wins FROM won GROUP BY {_CFG})"""
+_NINE = ["mean_mse", "p50_mse", "p95_mse", "max_mse", "mean_cosine", "p05_cosine", "p50_cosine", "min_cosine", "mean_storage", "mean_compression"]
+_ROUNDED = ", ".join(f"round({x}, 9) AS {x}" for x in _NINE)
+
+
+def _nine(df: DataFrame, names: list[str] = _NINE) -> DataFrame:
+    return df.withColumns({x: F.round(x, 9) for x in names if x in df.columns})
+
+
+@query(f"WITH {sql.cases()}, {_SUMMARY} SELECT {_CFG}, cases, {_ROUNDED}, mse_wins, cosine_wins, size_wins FROM summary")
+def sweep_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nine(sweep.summary(cases(spark, sf_dir)))
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS contest, sample, {_CFG}, output_mse, storage_bytes FROM (WITH {sql.cases()} SELECT * FROM cases QUALIFY row_number() OVER (PARTITION BY sample ORDER BY {o}, {_CFG}) = 1)" for n, o in _RANKS.items()))
+def sweep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cases(spark, sf_dir)
+    parts = [sweep.best_cases(found, by).select(F.lit(by).alias("contest"), "sample", *sweep.CONFIG, "output_mse", "storage_bytes") for by in _RANKS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"WITH {sql.cases()}, {_SUMMARY} SELECT {_CFG}, round(mean_storage, 9) AS mean_storage, round(mean_mse, 9) AS mean_mse, round(mean_cosine, 9) AS mean_cosine FROM summary a WHERE NOT EXISTS (SELECT 1 FROM summary b WHERE b.mean_storage <= a.mean_storage AND b.mean_mse <= a.mean_mse AND (b.mean_storage < a.mean_storage OR b.mean_mse < a.mean_mse OR b.mean_cosine > a.mean_cosine))")
+def sweep_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nine(sweep.frontier(sweep.summary(cases(spark, sf_dir))).select(*sweep.CONFIG, "mean_storage", "mean_mse", "mean_cosine"))
+
+
+def _group_sql(name: str) -> str:
+    return f"SELECT '{name}' AS dimension, CAST({name} AS VARCHAR) AS label, key_bits, value_bits, top_k, count(*) AS cases, avg(output_mse) AS mean_mse, avg(output_cosine) AS mean_cosine, avg(storage_bytes) AS mean_storage FROM cases GROUP BY ALL"
+
+
+@query(f"WITH {sql.cases()}, g AS ({' UNION ALL '.join(map(_group_sql, ('method', 'layer', 'tokens', 'position')))}) SELECT dimension, label, key_bits, value_bits, top_k, cases, round(mean_mse, 9) AS mean_mse, round(mean_cosine, 9) AS mean_cosine, round(mean_storage, 9) AS mean_storage, CAST(row_number() OVER (PARTITION BY dimension, label ORDER BY round(mean_mse, 9), round(mean_cosine, 9) DESC, mean_storage, key_bits, value_bits, top_k) AS INT) AS place FROM g")
+def summary_groupings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nine(sweep.groupings(cases(spark, sf_dir)))
+
+
+_SHARE = "(CAST(l_orderkey % 1000 AS DOUBLE) / 999)"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, CASE WHEN {_SHARE} < 0.125 THEN 'first' WHEN {_SHARE} < 0.375 THEN 'quarter' WHEN {_SHARE} < 0.625 THEN 'middle' WHEN {_SHARE} < 0.875 THEN 'three_quarter' ELSE 'last' END AS position, CAST(CASE WHEN {_SHARE} < 0.125 THEN 0 WHEN {_SHARE} < 0.375 THEN 1 WHEN {_SHARE} < 0.625 THEN 2 WHEN {_SHARE} < 0.875 THEN 3 ELSE 4 END AS INT) AS place FROM lineitem")
+def position_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = c.relative_position(F.lit(""), F.col("l_orderkey") % 1000, F.lit(1000))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", label.alias("position")).withColumn("place", c.position_rank("position"))
+
+
+_CANDIDATES = "candidates AS (SELECT layer, key_bits, value_bits, top_k, count(*) AS cases, avg(output_mse) AS mean_mse, avg(output_cosine) AS mean_cosine, quantile_cont(output_cosine, 0.05) AS p05_cosine, min(output_cosine) AS min_cosine, avg(storage_bytes) AS storage_bytes, max(tokens) AS capacity FROM cases GROUP BY ALL)"
+_SKYLINE = "skyline AS (SELECT * FROM (SELECT *, min(mean_mse) OVER (PARTITION BY layer ORDER BY storage_bytes, mean_mse, mean_cosine DESC, key_bits, value_bits, top_k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM candidates) WHERE before IS NULL OR mean_mse < before)"
+_LAYERED = "layer, key_bits, value_bits, top_k, cases, round(mean_mse, 9) AS mean_mse, round(mean_cosine, 9) AS mean_cosine, round(p05_cosine, 9) AS p05_cosine, round(min_cosine, 9) AS min_cosine, round(storage_bytes, 9) AS storage_bytes, capacity"
+_TEN = [*_NINE, "storage_bytes"]
+
+
+@query(f"WITH {sql.cases()}, {_CANDIDATES} SELECT {_LAYERED} FROM candidates")
+def profile_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nine(allocation.candidates(cases(spark, sf_dir)), _TEN)
+
+
+@query(f"WITH {sql.cases()}, {_CANDIDATES}, {_SKYLINE} SELECT {_LAYERED} FROM skyline")
+def profile_skyline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nine(allocation.skyline(allocation.candidates(cases(spark, sf_dir))), _TEN)
+
+
+@query(f"WITH {sql.cases()}, {_CANDIDATES} SELECT {_LAYERED} FROM candidates WHERE mean_cosine >= 0.9 AND p05_cosine >= 0.8 QUALIFY row_number() OVER (PARTITION BY layer ORDER BY storage_bytes, mean_mse, mean_cosine DESC, key_bits, value_bits, top_k) = 1")
+def profile_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = allocation.floors(allocation.candidates(cases(spark, sf_dir)), 0.9, 0.8)
+    return _nine(allocation.best_by(kept, "size"), _TEN)
+
+
+_BUDGETS = [("tight", 12000.0), ("wide", 20000.0)]
+
+
+def _brute(layers: int) -> str:
+    """All choices of one candidate of each of the first layers, the best under each budget."""
+    names = [f"s{i}" for i in range(layers)]
+    pick = " UNION ALL ".join(f"SELECT set, {i} AS layer, {n}.key_bits, {n}.value_bits, {n}.top_k, {n}.storage_bytes, {n}.mean_mse FROM best" for i, n in enumerate(names))
+    units = " + ".join(f"CAST(ceil({n}.storage_bytes / 16) AS BIGINT)" for n in names)
+    error = " + ".join(f"{n}.mean_mse" for n in names)
+    join = ", ".join(f"(SELECT * FROM skyline WHERE layer = {i}) {n}" for i, n in enumerate(names))
+    rows = ", ".join(f"{n}" for n in names)
+    return f"best AS (SELECT * FROM (SELECT set, {rows}, row_number() OVER (PARTITION BY set ORDER BY {error}, {units}) AS n FROM (VALUES {', '.join(f'({s!r}, {b})' for s, b in _BUDGETS)}) AS budgets(set, budget), {join} WHERE {units} <= CAST(ceil(budget / 16) AS BIGINT)) WHERE n = 1) SELECT set, CAST(layer AS INT) AS layer, key_bits, value_bits, top_k, round(storage_bytes, 9) AS storage_bytes, round(mean_mse, 9) AS mean_mse FROM ({pick})"
+
+
+@query(f"WITH {sql.cases()}, {_CANDIDATES.replace('FROM cases', 'FROM (SELECT * REPLACE (CAST(layer % 3 AS INT) AS layer) FROM cases)')}, {_SKYLINE}, {_brute(3)}")
+def profile_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best choice for three layers under two budgets; the oracle tries all choices."""
+    found = allocation.candidates(cases(spark, sf_dir).withColumn("layer", (F.col("layer") % 3).cast("int")))
+    budgets = spark.createDataFrame(_BUDGETS, "set string, budget double")
+    return _nine(allocation.allocate(allocation.skyline(found), budgets, 16.0), _TEN)
+
+
+@query("WITH own AS (SELECT n_nationkey AS layer, n_regionkey AS bits FROM nation WHERE n_nationkey IN (0, 6, 7, 15)), every AS (SELECT n_nationkey AS layer FROM nation) SELECT e.layer, o.bits, o.layer AS donor FROM every e, own o QUALIFY row_number() OVER (PARTITION BY e.layer ORDER BY abs(e.layer - o.layer), o.layer) = 1")
+def profile_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    profile = nation.where(F.col("n_nationkey").isin(0, 6, 7, 15)).select(F.col("n_nationkey").alias("layer"), F.col("n_regionkey").alias("bits"))
+    return allocation.expand(profile, nation.select(F.col("n_nationkey").alias("layer")))
+
+
+@query("WITH runs AS (SELECT event_type AS variant, user_id % 7 AS depth, avg(value) AS rate FROM events GROUP BY ALL) SELECT r.variant, r.depth, round(r.rate, 6) AS rate, round(r.rate / b.rate, 6) AS ratio, round(r.rate - b.rate, 6) AS delta FROM runs r JOIN runs b ON b.variant = 'view' AND b.depth = r.depth AND b.rate <> 0 WHERE r.variant <> 'view'")
+def bench_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("variant"), (F.col("user_id") % 7).alias("depth")).agg(F.avg("value").alias("rate"))
+    out = allocation.against_baseline(runs, "view", ["depth"], "rate")
+    return out.select("variant", "depth", *[F.round(x, 6).alias(x) for x in ("rate", "ratio", "delta")])
