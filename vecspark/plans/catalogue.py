@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from vecspark.functions import columns as c
 from vecspark.functions.spec import ProductSpec, QuantizerSpec
-from vecspark.operators import allocation, attention, encode, search, sweep
+from vecspark.operators import allocation, attention, encode, search, sweep, turns
+from vecspark.sources import blobs
+from vecspark.streaming import sessions
 
 from . import sql
 from .data import DIM, cases, queries_of, table, vectors
@@ -339,3 +341,97 @@ def bench_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("variant"), (F.col("user_id") % 7).alias("depth")).agg(F.avg("value").alias("rate"))
     out = allocation.against_baseline(runs, "view", ["depth"], "rate")
     return out.select("variant", "depth", *[F.round(x, 6).alias(x) for x in ("rate", "ratio", "delta")])
+
+
+# Sessions, claims and turns
+
+
+_EVENTS = "ev AS (SELECT CAST(user_id AS VARCHAR) AS session, event_id, ts, event_type AS endpoint, CASE WHEN value > 40 THEN 500 WHEN value > 30 THEN 404 WHEN value > 25 THEN 401 ELSE 200 END AS status FROM events)"
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    status = F.when(v > 40, 500).when(v > 30, 404).when(v > 25, 401).otherwise(200)
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session"), "event_id", "ts", F.col("event_type").alias("endpoint"), status.alias("status"))
+
+
+@query(f"WITH {_EVENTS} SELECT session, min(ts) AS created_at, max(ts) AS last_seen_at, count(*) AS requests, arg_max(endpoint, (ts, event_id)) AS last_endpoint FROM ev GROUP BY session")
+def session_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.touches(_events(spark, sf_dir))
+
+
+@query(f"WITH {_EVENTS}, r AS (SELECT *, CASE WHEN before IS NULL OR ts > before + INTERVAL 1800 SECOND THEN 1 ELSE 0 END AS new FROM (SELECT *, lag(ts) OVER (PARTITION BY session ORDER BY ts, event_id) AS before FROM ev)), s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY session ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM r) SELECT session, run, min(ts) AS created_at, max(ts) AS last_seen_at, count(*) AS requests FROM s GROUP BY session, run")
+def session_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.expired_runs(_events(spark, sf_dir), 1800)
+
+
+@query(f"WITH {_EVENTS} SELECT session, max(ts) AS last_seen_at FROM ev GROUP BY session ORDER BY last_seen_at DESC, session LIMIT 10")
+def session_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten sessions that stay: a limit that is the feature."""
+    return sessions.live_sessions(sessions.touches(_events(spark, sf_dir)).select("session", "last_seen_at"), 10)
+
+
+@query(f"WITH {_EVENTS} SELECT session, event_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, event_id) AS seq, count(*) OVER (PARTITION BY session) AS n FROM ev) WHERE seq > n - 64")
+def event_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.event_log(_events(spark, sf_dir), 64).select("session", "event_id", "seq")
+
+
+@query(f"WITH {_EVENTS} SELECT endpoint, count(*) AS requests, count(*) FILTER (status = 401) AS unauthorized, count(*) FILTER (status BETWEEN 400 AND 499 AND status <> 401) AS client_errors, count(*) FILTER (status >= 500) AS server_errors FROM ev GROUP BY endpoint")
+def request_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.request_counts(_events(spark, sf_dir))
+
+
+@query()
+def claim_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims and releases by user on one of 20 entities; order matters, so tests compare with a plain loop."""
+    e = table(spark, sf_dir, "events")
+    mode = F.when(F.col("event_type") == "view", "shared").otherwise("exclusive")
+    action = F.when(F.col("event_type") == "error", "release").otherwise("claim")
+    return sessions.claims(e.select((F.col("user_id") % 5).cast("string").alias("session"), (F.col("event_id") % 20).cast("string").alias("entity"), F.col("user_id").cast("string").alias("agent"), mode.alias("mode"), action.alias("action"), "ts", "event_id"))
+
+
+@query("SELECT conv_id, t.turn AS turn, t.text AS text FROM (SELECT conv_id, arg_max({'turn': turn, 'text': text}, (CASE WHEN role = 'user' THEN 1 ELSE 0 END, turn)) AS t FROM conversations WHERE trim(text) <> '' GROUP BY conv_id)")
+def turn_last_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.last_user_turn(table(spark, sf_dir, "conversations"))
+
+
+@query("SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3")
+def turn_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.recent(table(spark, sf_dir, "conversations"), 3).select("conv_id", "turn", "role")
+
+
+@query()
+def turn_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.recall(table(spark, sf_dir, "conversations"), 4, 128)
+
+
+@query(r"SELECT conv_id, turn, CAST(len(w) AS INT) AS words, CAST(len(list_distinct(w)) AS INT) AS distinct_words FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(trim(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM conversations)")
+def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = c.tokens("text")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(w).alias("words"), F.size(F.array_distinct(w)).alias("distinct_words"))
+
+
+# Binary forms
+
+
+@query("SELECT vec_id AS id, true AS same, CAST(38 AS INT) AS bytes FROM embeddings")
+def wire_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode.quantize(vectors(spark, sf_dir).select("id", "v"), SPEC)
+    read = blobs.wire_fields(blobs.wire_column(coded, SPEC))
+    same = (F.col("wire_packed") == F.col("packed")) & (F.col("wire_norm") == F.col("norm")) & (F.col("wire_dim") == DIM) & (F.col("wire_bits") == SPEC.bits)
+    return read.select("id", same.alias("same"), F.length("wire").cast("int").alias("bytes"))
+
+
+@query("SELECT label, count(*) AS entries, true AS same FROM embeddings GROUP BY label")
+def page_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label's entries through one blob and back."""
+    slot = (F.row_number().over(Window.partitionBy("label").orderBy("id")) - 1).cast("int")
+    rows = vectors(spark, sf_dir).select("label", slot.alias("slot"), "v")
+    coded = encode.quantize(encode.quantize_product(rows, PRODUCT), SPEC).drop("v")
+    again = blobs.page_entries(blobs.page_bytes(coded, ["label"], PRODUCT, SPEC), ["label"])
+    names = ["mse", "signs", "res_norm", "packed", "norm"]
+    both = coded.join(again.withColumnsRenamed({n: f"r_{n}" for n in names}), ["label", "slot"])
+    same = F.lit(True)
+    for n in names:
+        same &= F.col(n) == F.col(f"r_{n}")
+    return both.groupBy("label").agg(F.count("*").alias("entries"), F.bool_and(same).alias("same"))

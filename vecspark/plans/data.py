@@ -12,7 +12,7 @@ SELECT l_orderkey AS sample, CASE WHEN l_linenumber % 2 = 0 THEN 'primary' ELSE
   CAST(2 + l_partkey % 3 AS INT) AS key_bits, CAST(2 + l_suppkey % 3 AS INT) AS value_bits, CAST(8 + 8 * (l_linenumber % 3) AS INT) AS top_k,
   CAST(l_orderkey % 8 AS INT) AS layer, CAST(128 * (1 + l_orderkey % 3) AS INT) AS tokens,
   CASE l_orderkey % 5 WHEN 0 THEN 'first' WHEN 1 THEN 'quarter' WHEN 2 THEN 'middle' WHEN 3 THEN 'three_quarter' ELSE 'last' END AS position,
-  l_extendedprice / 100000 AS output_mse, 1 - l_discount - l_tax AS output_cosine,
+  l_extendedprice / 99991 AS output_mse, (1 - l_discount - l_tax) / 1.00007e0 AS output_cosine,
   CAST(65536 AS BIGINT) AS raw_bytes, CAST(l_quantity * 64 AS BIGINT) + 512 * (4 + l_partkey % 3 + l_suppkey % 3) AS storage_bytes
 FROM lineitem
 """

@@ -1,0 +1,104 @@
+"""Attention captures: JSON files of one object, or of a list under "samples", as rows; and their evaluation.
+
+Schemas are declared, never inferred. Other keys are skipped by the reader.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vecspark.functions import columns as c
+from vecspark.functions.spec import QuantizerSpec
+from vecspark.operators import attention, encode
+
+FIELDS = (
+    "name string, model string, prompt string, prompt_index int, layer int, token_index int, token_position string, sequence_length int, heads int, kv_heads int, head_dim int,"
+    " tokens int, query_scale float, query array<float>, keys array<float>, values array<float>"
+)
+_SAMPLE = f"struct<{', '.join(': '.join(x.strip().split(' ', 1)) for x in FIELDS.split(','))}>"
+
+
+def read_captures(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A row a sample, with defaults filled in; capture_error tells what is wrong, or is null. A file with neither form is an error."""
+    raw = spark.read.schema(f"{FIELDS}, samples array<{_SAMPLE}>").option("multiLine", True).json(path)
+    names = [x.split()[0] for x in FIELDS.split(",")]
+    self = F.when(F.col("query").isNotNull(), F.array(F.struct(*names)))
+    samples = F.coalesce("samples", self, F.raise_error("a capture file has neither samples nor a capture").cast(f"array<{_SAMPLE}>"))
+    return with_defaults(raw.select(F.explode(samples).alias("s")).select("s.*"))
+
+
+def _or(name: str, default: Column) -> Column:
+    return F.coalesce(F.nullif(F.col(name), F.lit(0)), default)
+
+
+def with_defaults(samples: DataFrame) -> DataFrame:
+    width = F.nullif(F.col("kv_heads") * F.col("head_dim"), F.lit(0))
+    filled = samples.withColumn("kv_heads", _or("kv_heads", F.col("heads"))).withColumn("query_scale", _or("query_scale", F.lit(1.0).cast("float")))
+    filled = filled.withColumn("tokens", _or("tokens", F.floor(F.size("keys") / width).cast("int")))
+    return filled.withColumn("capture_error", capture_error())
+
+
+def capture_error() -> Column:
+    """What is wrong with a sample whose defaults are filled in."""
+    finite = lambda v: ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    payload = F.col("tokens") * F.col("kv_heads") * F.col("head_dim")
+    return (
+        F.when(~(F.coalesce("heads", F.lit(0)) > 0), "no heads")
+        .when(F.coalesce("head_dim", F.lit(0)) < 2, "head_dim is below 2")
+        .when(F.col("heads") % F.col("kv_heads") != 0, "heads is no multiple of kv_heads")
+        .when(F.size("query") != F.col("heads") * F.col("head_dim"), "query has another length")
+        .when((F.size("keys") != payload) | (payload == 0), "keys have another length")
+        .when(F.size("values") != payload, "values have another length")
+        .when(~(finite("query") & finite("keys") & finite("values")), "a component is null or not finite")
+    )
+
+
+def heads_of(samples: DataFrame, by: list[str]) -> DataFrame:
+    """by, head, kv_head, q (scaled query vectors), head_dim."""
+    each = samples.select("*", F.explode(F.sequence(F.lit(0), F.col("heads") - 1)).alias("head"))
+    part = F.slice("query", F.col("head") * F.col("head_dim") + 1, F.col("head_dim"))
+    return each.select(*by, "head", c.kv_head("head", "heads", "kv_heads").alias("kv_head"), F.transform(part, lambda x: x.cast("double") * F.col("query_scale")).alias("q"))
+
+
+def entries_of(samples: DataFrame, by: list[str]) -> DataFrame:
+    """by, kv_head, slot, key, value."""
+    each = samples.select("*", F.explode(F.sequence(F.lit(0), F.col("tokens") * F.col("kv_heads") - 1)).alias("_n"))
+    part = lambda name: F.slice(name, F.col("_n") * F.col("head_dim") + 1, F.col("head_dim"))
+    return each.select(*by, (F.col("_n") % F.col("kv_heads")).alias("kv_head"), F.floor(F.col("_n") / F.col("kv_heads")).cast("int").alias("slot"), part("keys").alias("key"), part("values").alias("value"))
+
+
+def reference_attention(samples: DataFrame, by: list[str], k: int | None = None) -> DataFrame:
+    """by, head, coordinate, output: a softmax over all tokens (over the k best, if given)."""
+    return attention.attend(heads_of(samples, by), entries_of(samples, by), [*by, "kv_head"], [*by, "head"], 1.0, k)
+
+
+def evaluate(samples: DataFrame, by: list[str], key_bits: int, value_bits: int, dim: int, k: int | None = None, seed: int = 42, method: str = "codes") -> DataFrame:
+    """Exact against approximate outputs: by, head, output_mse, output_cosine.
+
+    samples of one head_dim. method 'codes': keys and values by codes; 'uniform': by even steps. Codes' keys are of unit length
+    times their norm.
+    """
+    entries = entries_of(samples, by)
+    if method == "uniform":
+        approx = entries.withColumn("key", c.uniform_reconstruct("key", key_bits)).withColumn("value", c.uniform_reconstruct("value", value_bits))
+    elif method == "codes":
+        approx = entries
+        for name, spec in (("key", QuantizerSpec(dim, key_bits, seed)), ("value", QuantizerSpec(dim, value_bits, seed + 1))):
+            coded = encode.dequantize(encode.quantize(approx, spec, name), spec)
+            approx = coded.withColumn(name, F.transform("recon", lambda x: x * F.col("norm").cast("double"))).drop("packed", "norm", "recon")
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    keys = [*by, "head"]
+    exact = attention.gathered(reference_attention(samples, by), keys).withColumnRenamed("output", "exact")
+    found = attention.gathered(attention.attend(heads_of(samples, by), approx, [*by, "kv_head"], keys, 1.0, k), keys)
+    return exact.join(found, keys).select(*keys, c.mean_squared_error("exact", "output").alias("output_mse"), c.cosine("exact", "output").alias("output_cosine"))
+
+
+def token_index(spec: Column | str, sequence_length: Column | str) -> Column:
+    """The token that a selector names: first, middle, last, a percentage, or an index (negative: from the end)."""
+    x, n = F.trim(F.lower(F.col(spec) if isinstance(spec, str) else spec)), F.col(sequence_length) if isinstance(sequence_length, str) else sequence_length
+    share = F.try_to_number(F.regexp_extract(x, r"^(\d+)%$", 1), F.lit("999")).cast("double") / 100
+    number = x.try_cast("int")
+    at = F.when(x == "first", 0).when(x == "last", n - 1).when(x == "middle", F.bround((n - 1) * F.lit(0.5)).cast("int")).when(x.rlike(r"^\d+%$"), F.bround((n - 1) * share).cast("int")).when(number < 0, n + number).otherwise(number)
+    return F.when(at.between(0, n - 1), at)
