@@ -12,11 +12,12 @@ Two uses:
   passes.  So reference shards are made by content, and each document visits only those which can match it:
 
   1. Each window has an anchor: among its runs of `gram` words the one with the smallest hash.  Equal windows have equal
-     anchors, and one anchor serves some (window - gram) / 2 windows in a row.  Two fixed-size bit tables tell which
-     anchors occur in several documents, and which in more than `hot` ones.
-  2. A passage is the words of all windows in a row with one anchor.  Passages whose anchor occurs in several documents
-     are grouped by anchor.  A group's automaton takes its passages in the order of doc_id, and each is matched before
-     it is added; equal passages are told by a hash and added once.
+     anchors, and one anchor serves some (window - gram) / 2 windows in a row.  Fixed-size bit tables (two, with hashes of
+     their own) tell which anchors can occur in several documents, another which can in more than `hot` ones.
+  2. A passage is all windows in a row with one anchor.  It is sent as symbols: hashes of the runs of `unit` words in it,
+     so window - unit + 1 symbols in a row are a window, and most of a window's words need not be sent twice.  Passages
+     whose anchor occurs in several documents are grouped by anchor.  A group's automaton takes its passages in the
+     order of doc_id, and each is matched before it is added; equal passages are added once.
   3. Anchors in more than `hot` documents would make a group large, up to a third of all rows.  Their windows go
      another, exact way: by hash of the window, the smallest doc_id that has it (pre-aggregated), joined back.
 
@@ -45,7 +46,8 @@ from .words import Words, grams, mix, words_of
 class Settings:
     window: int = 50
     gram: int = 16
-    hot: int = 64
+    unit: int = 45
+    hot: int = 1024
     bits: int = 1 << 27
     reference_words: int = 2_000_000
     shard_words: int = 200_000
@@ -137,32 +139,35 @@ def anchored(words: Words, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndar
     return row[begin], place[begin], place[np.append(begin[1:], total) - 1] + 1, a[begin]
 
 
-def _bit(hashes: np.ndarray, bits: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, place in the bucket's part of the table, first place of that part)."""
+def _bit(hashes: np.ndarray, bits: int, buckets: int, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, place in the bucket's part of the table, first place of that part), in the first or the second table."""
+    hashes = mix(hashes + np.uint64(which) * np.uint64(0x9E3779B97F4A7C15))
     edges = np.arange(buckets + 1, dtype=np.int64) * (bits // 8) // buckets * 8
     bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     size = (edges[bucket + 1] - edges[bucket]).astype(np.uint64)
     return bucket, ((mix(hashes) >> np.uint64(32)) * size >> np.uint64(32)).astype(np.int64), edges[bucket]
 
 
-def tables(docs: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Bits of anchors that occur in several documents, and of those in more than s.hot documents."""
-    buckets = partitions(docs.sparkSession)
+def tables(docs: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bits of anchors: in several documents, by the first and by the second hash; in more than s.hot, by the second."""
+    buckets, half = partitions(docs.sparkSession), s.bits // 2
 
     def emit(batches: Batches) -> Batches:
         for batch in chunks(batches):
             row, _, _, anchor = anchored(words_of(batch.column("text")), s)
-            doc = batch.column("doc_id").to_numpy(zero_copy_only=False)[row].astype(np.int64)
-            bucket, place, _ = _bit(anchor, s.bits, buckets)
-            order = np.lexsort((doc, place, bucket))
-            bucket, place, doc = bucket[order], place[order].astype(np.uint32), doc[order]
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            some = np.flatnonzero(np.diff(edges))
-            yield pa.record_batch([
-                pa.array(some.astype(np.int32)),
-                pa.array([place[edges[b] : edges[b + 1]].tobytes() for b in some], pa.binary()),
-                pa.array([doc[edges[b] : edges[b + 1]].tobytes() for b in some], pa.binary()),
-            ], names=["bucket", "places", "docs"])
+            docs_ = batch.column("doc_id").to_numpy(zero_copy_only=False)[row].astype(np.int64)
+            for which in (0, 1):
+                bucket, place, _ = _bit(anchor, half, buckets, which)
+                order = np.lexsort((docs_, place, bucket))
+                bucket, place, doc = bucket[order], place[order].astype(np.uint32), docs_[order]
+                edges = np.searchsorted(bucket, np.arange(buckets + 1))
+                some = np.flatnonzero(np.diff(edges))
+                yield pa.record_batch([
+                    pa.array(some.astype(np.int32)),
+                    pa.array(np.full(len(some), which, np.int32)),
+                    pa.array([place[edges[b] : edges[b + 1]].tobytes() for b in some], pa.binary()),
+                    pa.array([doc[edges[b] : edges[b + 1]].tobytes() for b in some], pa.binary()),
+                ], names=["bucket", "which", "places", "docs"])
 
     def reduce(table: pa.Table) -> pa.Table:
         b = table.column("bucket")[0].as_py()
@@ -173,53 +178,54 @@ def tables(docs: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray]:
         new = np.ones(len(place), bool)
         new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
         place, count = np.unique(place[new], return_counts=True)
-        size = int(((b + 1) * (s.bits // 8) // buckets - b * (s.bits // 8) // buckets) * 8)
+        size = int(((b + 1) * (half // 8) // buckets - b * (half // 8) // buckets) * 8)
         out = []
         for most in (1, s.hot):
             bits = np.zeros(size, np.uint8)
             bits[place[count > most]] = 1
             out.append(np.packbits(bits, bitorder="little").tobytes())
-        return pa.table({"bucket": pa.array([b], pa.int32()), "several": pa.array([out[0]], pa.binary()), "hot": pa.array([out[1]], pa.binary())})
+        return pa.table({"bucket": pa.array([b], pa.int32()), "which": table.column("which").slice(0, 1), "several": pa.array([out[0]], pa.binary()), "hot": pa.array([out[1]], pa.binary())})
 
-    got = docs.mapInArrow(emit, "bucket int, places binary, docs binary").groupBy("bucket").applyInArrow(reduce, "bucket int, several binary, hot binary")
-    several, hot = (np.zeros(s.bits // 8, np.uint8) for _ in range(2))
-    for r in got.toLocalIterator():  # a row a bucket, s.bits bits for each table in all
-        at = r.bucket * (s.bits // 8) // buckets
-        for table, data in ((several, r.several), (hot, r.hot)):
+    got = docs.mapInArrow(emit, "bucket int, which int, places binary, docs binary").groupBy("bucket", "which").applyInArrow(reduce, "bucket int, which int, several binary, hot binary")
+    out = tuple(np.zeros(half // 8, np.uint8) for _ in range(3))
+    for r in got.toLocalIterator():  # two rows a bucket; together 2 x s.bits bits
+        at = r.bucket * (half // 8) // buckets
+        for table, data in ((out[r.which], r.several), *([(out[2], r.hot)] if r.which else [])):
             table[at : at + len(data)] = np.frombuffer(bytes(data), np.uint8)
-    return several, hot
+    return out
 
 
-def _holds(table: np.ndarray, anchor: np.ndarray, bits: int, buckets: int) -> np.ndarray:
-    _, place, first = _bit(anchor, bits, buckets)
+def _holds(table: np.ndarray, anchor: np.ndarray, bits: int, buckets: int, which: int) -> np.ndarray:
+    _, place, first = _bit(anchor, bits, buckets, which)
     at = place + first
     return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-_PASSAGE = "deal long, key long, doc_id long, mark long, start long, words binary"
+_PASSAGE = "deal long, key long, doc_id long, mark long, start long, symbols binary"
 _MATCHED = "key long, doc_id long, mark long, begin long, end long"
 
 
-def passages(docs: DataFrame, several, hot, s: Settings) -> DataFrame:
-    """Passages by their anchors, with their words; windows with a hot anchor by their hashes, without.
+def passages(docs: DataFrame, bits, s: Settings) -> DataFrame:
+    """Passages by their anchors, with their symbols; windows with a hot anchor by their hashes, without.
 
     deal: what the rows are to be dealt out by, the anchor, or for windows each row's own hash.
     """
-    buckets = partitions(docs.sparkSession)
+    buckets, half = partitions(docs.sparkSession), s.bits // 2
 
     def run(batches: Batches) -> Batches:
-        several_, hot_ = several.value, hot.value
+        first, second, hot = bits.value
         for batch in chunks(batches):
             words = words_of(batch.column("text"))
             row, begin, end, anchor = anchored(words, s)
-            keep = _holds(several_, anchor, s.bits, buckets)
+            keep = _holds(first, anchor, half, buckets, 0) & _holds(second, anchor, half, buckets, 1)
             row, begin, end, anchor = row[keep], begin[keep], end[keep], anchor[keep]
             doc, mark = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "mark"))
             start = begin - words.first[:-1][row]
-            is_hot = _holds(hot_, anchor, s.bits, buckets)
+            is_hot = _holds(hot, anchor, half, buckets, 1)
             cold = np.flatnonzero(~is_hot)
-            data = [words.hash[a : b + s.window - 1].tobytes() for a, b in zip(begin[cold].tolist(), end[cold].tolist())]
-            names = ["deal", "key", "doc_id", "mark", "start", "words"]
+            symbols, more = grams(words.hash, s.unit), s.window - s.unit
+            data = [symbols[a : b + more].tobytes() for a, b in zip(begin[cold].tolist(), end[cold].tolist())]
+            names = ["deal", "key", "doc_id", "mark", "start", "symbols"]
             yield pa.record_batch([pa.array(anchor[cold].view(np.int64)), pa.array(anchor[cold].view(np.int64)), pa.array(doc[row[cold]]), pa.array(mark[row[cold]]), pa.array(start[cold]), pa.array(data, pa.binary())], names=names)
             size = (end - begin)[is_hot]
             each = np.repeat(np.flatnonzero(is_hot), size)
@@ -241,12 +247,13 @@ def _spans(ends: np.ndarray, window: int) -> Iterator[tuple[int, int]]:
 
 def match_passages(s: Settings):
     """Sorted by anchor and doc_id: the spans of each passage that an earlier document holds (key null). Windows pass."""
+    least = s.window - s.unit + 1
 
     def run(batches: Batches) -> Batches:
         at, before, automaton, added, waiting = None, None, SuffixAutomaton(), set(), {}
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            columns = [batch.column(c).to_pylist() for c in ("key", "doc_id", "mark", "start", "words")]
+            columns = [batch.column(c).to_pylist() for c in ("key", "doc_id", "mark", "start", "symbols")]
             for key, doc, mark, start, data in zip(*columns):
                 if data is None:
                     for to, x in zip(out, (key, doc, mark, start, start + s.window)):
@@ -262,10 +269,10 @@ def match_passages(s: Settings):
                 if data in added:
                     spans = [(0, len(data) // 8)]
                 else:
-                    words = waiting[data] = np.frombuffer(data, np.uint64).tolist()
-                    spans = _spans(np.flatnonzero(automaton.matches(words) >= s.window), s.window) if added else ()
-                for a, b in spans:
-                    for to, x in zip(out, (None, doc, mark, start + a, start + b)):
+                    own = waiting[data] = np.frombuffer(data, np.uint64).tolist()
+                    spans = _spans(np.flatnonzero(automaton.matches(own) >= least), least) if added else ()
+                for a, b in spans:  # of symbols; the last one has unit - 1 words more
+                    for to, x in zip(out, (None, doc, mark, start + a, start + b + s.unit - 1)):
                         to.append(x)
             yield pa.record_batch([pa.array(x, pa.int64()) for x in out], names=["key", "doc_id", "mark", "begin", "end"])
 
@@ -276,11 +283,12 @@ def earlier_windows(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, mark (xxhash64 of the text), begin, end: words covered by windows that start in an earlier document too."""
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    several, hot = (sc.broadcast(t) for t in tables(docs, s))
-    dealt = passages(docs.withColumn("mark", F.xxhash64("text")), several, hot, s).repartition(partitions(docs.sparkSession), "deal")
+    bits = sc.broadcast(tables(docs, s))
+    dealt = passages(docs.withColumn("mark", F.xxhash64("text")), bits, s).repartition(partitions(docs.sparkSession), "deal")
     found = stored(dealt.sortWithinPartitions("deal", "key", "doc_id").drop("deal").mapInArrow(match_passages(s), _MATCHED))
     windows = found.where("key is not null")
-    first = windows.groupBy("key").agg(F.min("doc_id").alias("first"))
+    # Stored, so that the join is one of two plain exchanges, whose large partitions Spark can split.
+    first = stored(windows.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"))
     again = windows.join(first, "key").where(F.col("doc_id") > F.col("first"))
     return found.where("key is null").drop("key").union(again.select("doc_id", "mark", "begin", "end"))
 
