@@ -12,10 +12,13 @@ Steps, each a Spark job over all documents:
    task).  Everything that follows works on nodes.
 2. Each node has `bands * rows` weighted samples; nodes that agree in all samples of a band share that band's bucket.
 3. Each bucket's smallest node is its hub.  All members are compared with the hub by exact weighted Jaccard similarity.
-4. Members that aren't similar to their hub are compared with those members that they can still be similar to: one
-   minus the weighted Jaccard similarity is a metric, so a pair with distances x and y to the hub is at least |x - y|
-   apart.  With these pairs no link within a bucket is lost, and a bucket of n similar nodes costs n - 1 comparisons.
-5. Classes are the connected components of the links, by minimum labels with shortcuts, in tables.
+4. Classes are the connected components of the links, by minimum labels with shortcuts, in tables.
+5. A bucket whose members are all in one component is done: a bucket of n similar nodes costs n - 1 comparisons.  In others,
+   members of other components than the hub's may still be similar to further members.  One minus the weighted Jaccard
+   similarity is a metric, so a pair with distances x and y to the hub is at least |x - y| apart; members that can't be in a
+   link any more are left out, and buckets with equal members are taken once.  What remains is compared in tiles of two blocks
+   of members: a tile's shared weights are matrix products over columns of shingles, so a text is sent once a tile, not once
+   a pair, and a tile returns at most one link a member.  No link between components is lost.  Then step 4 again.
 
 A link between nodes that share no bucket is missed; with 16 bands of 4 samples that has a probability of 0.0002 at a
 similarity of 0.8 and less above.
@@ -52,6 +55,12 @@ class Settings:
 
 def shingles(words: Words, idf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, shingle, weight) of all rows, each shingle of a row once, sorted by both."""
+    row, h, idf_, count = counted(words, idf, n)
+    return row, h, idf_ * (1 + np.log(count))
+
+
+def counted(words: Words, idf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shingle, IDF, count), each shingle of a row once, sorted by both."""
     value = idf[(words.hash % np.uint64(len(idf))).astype(np.int64)]
     count = np.diff(words.first)
     width = np.minimum(count, n)
@@ -71,7 +80,7 @@ def shingles(words: Words, idf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
     begins = np.flatnonzero(new)
     count = np.diff(np.append(begins, len(row)))
-    return row[begins], h[begins], total[begins] * (1 + np.log(count))
+    return row[begins], h[begins], total[begins], count
 
 
 class Sampler:
@@ -138,7 +147,7 @@ def idf_table(docs: DataFrame, settings: Settings) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf, settings: Settings) -> DataFrame:
-    """doc_id, mark, fingerprint of the words (16 bytes), bands (hashes; none without words), weight (of all shingles)."""
+    """doc_id, mark, fingerprint of the words (16 bytes), bands (hashes; none without words)."""
     sampler = Sampler(settings.bands * settings.rows, settings.seed)
 
     def run(batches: Batches) -> Batches:
@@ -158,10 +167,10 @@ def signatures(docs: DataFrame, idf, settings: Settings) -> DataFrame:
             some = np.diff(words.first) > 0
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(some)).astype(np.int32) * settings.bands), pa.array(h[some].reshape(-1).view(np.int64)))
             yield pa.record_batch([
-                batch.column("doc_id"), batch.column("mark"), pa.array([m.tobytes() for m in marks], pa.binary()), lists, pa.array(np.bincount(row, weights=weight, minlength=rows)),
-            ], names=["doc_id", "mark", "fingerprint", "bands", "weight"])
+                batch.column("doc_id"), batch.column("mark"), pa.array([m.tobytes() for m in marks], pa.binary()), lists,
+            ], names=["doc_id", "mark", "fingerprint", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, mark long, fingerprint binary, bands array<long>, weight double")
+    return docs.mapInArrow(run, "doc_id long, mark long, fingerprint binary, bands array<long>")
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -192,6 +201,88 @@ def similarities(pairs: DataFrame, texts: DataFrame, idf, settings: Settings) ->
     return both.select("a", "b", "text", "other").mapInArrow(run, "a binary, b binary, similarity double")
 
 
+def shared_weights(row: np.ndarray, h: np.ndarray, idf: np.ndarray, count: np.ndarray, rows: int, width: int = 4096) -> np.ndarray:
+    """rows x rows: the sums of the smaller weights. A count of c is c columns, whose weights add up to its own."""
+    each = np.repeat(np.arange(len(row)), count)
+    level = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count) + 1
+    weight = idf[each] * np.where(level == 1, 1.0, np.log(level / np.maximum(level - 1, 1)))
+    key, at, times = np.unique(mix(h[each] + level.astype(np.uint64) * _GAMMA), return_inverse=True, return_counts=True)
+    own = np.flatnonzero(times[at] > 1)  # a column of one row is in no sum
+    order = own[np.argsort(at[own], kind="stable")]
+    column, who, w = at[order], row[each][order], weight[order]
+    dense = np.cumsum(np.concatenate(([0], column[1:] != column[:-1]))) if len(column) else column
+    out = np.zeros((rows, rows))
+    for begin in range(0, int(dense[-1]) + 1 if len(dense) else 0, width):
+        lo, hi = np.searchsorted(dense, [begin, begin + width])
+        m = np.zeros((rows, min(width, int(dense[-1]) + 1 - begin)), np.float32)
+        m[who[lo:hi], dense[lo:hi] - begin] = np.sqrt(w[lo:hi])
+        out += m @ m.T
+    return out
+
+
+def _spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links that hold the same components together, at most one a row. linked: a symmetric matrix."""
+    seen, out = np.zeros(len(linked), bool), []
+    for i in range(len(linked)):
+        stack = [] if seen[i] else [i]
+        seen[i] = True
+        while stack:
+            at = stack.pop()
+            for j in np.flatnonzero(linked[at] & ~seen).tolist():
+                seen[j] = True
+                out.append((at, j))
+                stack.append(j)
+    return out
+
+
+def tile_links(members: DataFrame, texts: DataFrame, idf, settings: Settings, block: int = 256) -> DataFrame:
+    """a, b: links between components among the members (band, key, fingerprint, root) of each bucket, in tiles of two blocks."""
+    sizes = members.groupBy("band", "key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    dealt = members.join(sizes, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = other.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fingerprint", "root")
+
+    def run(table: pa.Table) -> pa.Table:
+        prints, roots = table.column("fingerprint").to_pylist(), np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
+        n = len(prints)
+        row, h, value, count = counted(words_of(table.column("text")), idf.value, settings.words)
+        total = np.bincount(row, weights=value * (1 + np.log(count)), minlength=n)
+        least = shared_weights(row, h, value, count, n)
+        # Products are in single precision: what is close to the bound is worked out again in double.
+        similarity = least / np.maximum(total[:, None] + total - least, 1e-300)
+        apart = roots[:, None] != roots
+        linked = apart & (similarity >= settings.similarity + 1e-4)
+        edges = np.searchsorted(row, np.arange(n + 1))
+        for i, j in zip(*np.nonzero(np.triu(apart & (np.abs(similarity - settings.similarity) < 1e-4)))):
+            x, y = (slice(edges[k], edges[k + 1]) for k in (i, j))
+            _, p, q = np.intersect1d(h[x], h[y], assume_unique=True, return_indices=True)
+            sums = np.minimum(value[x][p] * (1 + np.log(count[x][p])), value[y][q] * (1 + np.log(count[y][q]))).sum()
+            linked[i, j] = linked[j, i] = sums / (total[i] + total[j] - sums) >= settings.similarity
+        found = _spanning(linked)
+        return pa.table({"a": pa.array([prints[i] for i, _ in found], pa.binary()), "b": pa.array([prints[j] for _, j in found], pa.binary())})
+
+    both = tiles.join(texts, "fingerprint").select("band", "key", "i", "j", "fingerprint", "root", "text")
+    return both.groupBy("band", "key", "i", "j").applyInArrow(run, "a binary, b binary")
+
+
+def open_members(of_hub: DataFrame, root: DataFrame, settings: Settings) -> DataFrame:
+    """band, key, fingerprint, root: members of buckets that can still be in a link between components.
+
+    of_hub: band, key, fingerprint, hub, apart. Buckets with the same such members are one.
+    """
+    label = root.select(F.col("node").alias("fingerprint"), "root")
+    of_its_hub = root.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    named = of_hub.join(label, "fingerprint", "left").join(of_its_hub, "hub", "left")
+    named = named.withColumns({"root": F.coalesce("root", "fingerprint"), "hub_root": F.coalesce("hub_root", "hub")}).withColumn("far", F.col("root") != F.col("hub_root"))
+    bucket = Window.partitionBy("band", "key")
+    reach = 1 - settings.similarity + 1e-6
+    nearest = F.min(F.when(F.col("far"), F.col("apart"))).over(bucket)
+    kept = named.withColumn("_nearest", nearest).where(F.col("far") | (F.col("apart") >= F.col("_nearest") - reach))
+    same = kept.groupBy("band", "key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fingerprint")).alias("x"), F.min("root").alias("least"), F.max("root").alias("most"))
+    once = same.where("least <> most").groupBy("n", "x").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key")
+    return kept.join(once, ["band", "key"], "left_semi").select("band", "key", "fingerprint", "root")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root of links (a, b): every node gets the smallest node that it is connected to."""
     edges = stored(links.select("a", "b").union(links.select("b", "a")).distinct())
@@ -213,27 +304,18 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     docs = id_and_text(docs).withColumn("mark", F.xxhash64("text"))
     idf = sc.broadcast(idf_table(docs, settings))
     marked = stored(signatures(docs, idf, settings))
-    nodes = marked.groupBy("fingerprint").agg(F.first("bands").alias("bands"), F.first("weight").alias("weight"))
-    banded = stored(nodes.where(F.size("bands") > 0).select("fingerprint", "weight", F.posexplode("bands").alias("band", "key")))
-    hubs = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct("fingerprint", "weight")).alias("hub")).where("n > 1")
-    members = stored(banded.join(hubs, ["band", "key"]).select("band", "key", "fingerprint", "weight", F.col("hub.fingerprint").alias("hub"), F.col("hub.weight").alias("hub_weight")).where(F.col("fingerprint") != F.col("hub")))
-    # The similarity is at most the smaller total weight by the larger one.
-    may = lambda x, y: F.least(x, y) >= (settings.similarity - 1e-9) * F.greatest(x, y)
+    nodes = marked.groupBy("fingerprint").agg(F.first("bands").alias("bands"))
+    banded = stored(nodes.where(F.size("bands") > 0).select("fingerprint", F.posexplode("bands").alias("band", "key")))
+    hubs = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("fingerprint").alias("hub")).where("n > 1").drop("n")
+    members = stored(banded.join(hubs, ["band", "key"]).where(F.col("fingerprint") != F.col("hub")))
     first = members.select(F.col("hub").alias("a"), F.col("fingerprint").alias("b")).distinct()
     texts = _texts(docs, marked, members.select("fingerprint").union(members.select("hub")).distinct())
     known = stored(similarities(first, texts, idf, settings))
-    of_hub = stored(members.join(known, (members.hub == known.a) & (members.fingerprint == known.b)).select("band", "key", "fingerprint", "weight", (1 - F.col("similarity")).alias("apart")))
-    far = of_hub.where(F.col("apart") > 1 - settings.similarity)
-    x, y, reach = far.alias("x"), of_hub.alias("y"), 1 - settings.similarity + 1e-9
-    more = (
-        x.join(y, ["band", "key"])
-        .where((F.abs(F.col("x.apart") - F.col("y.apart")) <= reach) & (F.col("x.fingerprint") != F.col("y.fingerprint")) & may(F.col("x.weight"), F.col("y.weight")))
-        .select(F.least("x.fingerprint", "y.fingerprint").alias("a"), F.greatest("x.fingerprint", "y.fingerprint").alias("b"))
-        .distinct()
-        .join(known.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    links = known.union(similarities(more, texts, idf, settings)).where(F.col("similarity") >= settings.similarity)
+    of_hub = members.join(known, (members.hub == known.a) & (members.fingerprint == known.b)).select("band", "key", "fingerprint", "hub", (1 - F.col("similarity")).alias("apart"))
+    links = known.where(F.col("similarity") >= settings.similarity).select("a", "b")
     root = components(links)
+    more = stored(tile_links(stored(open_members(of_hub, root, settings)), texts, idf, settings))
+    root = components(links.union(more))
     classes = marked.join(root, marked.fingerprint == root.node, "left").select("doc_id", "mark", F.coalesce("root", "fingerprint").alias("root"))
     least = classes.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return classes.join(least, "root").select("doc_id", "mark", "class_id")

@@ -16,8 +16,8 @@ def read_report(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A row for each case of each sample of sweep reports; top_k is the requested one where there is one."""
     samples = spark.read.schema(REPORT).option("multiLine", True).json(path).select(F.explode("samples").alias("s"))
     cases = samples.select("s.*").withColumn("case", F.explode("cases")).drop("cases")
-    asked = F.coalesce(F.nullif(F.col("case.requested_top_k"), F.lit(0)), F.col("case.top_k"))
-    return cases.select("*", "case.*").drop("case").withColumn("top_k", asked)
+    rows = cases.select("*", "case.*").drop("case")
+    return rows.withColumn("top_k", F.coalesce(F.nullif(F.col("requested_top_k"), F.lit(0)), F.col("top_k")))
 
 
 def read_profiles(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -27,7 +27,7 @@ def read_profiles(spark: SparkSession, path: str | list[str]) -> DataFrame:
     each = raw.select(F.explode(bundle).alias("r")).select(F.coalesce(F.nullif(F.trim("r.label"), F.lit("")), F.lit("all")).alias("label"), "r.profiles")
     checked = F.when(F.size("profiles") > 0, F.col("profiles")).otherwise(F.raise_error("a report has no profiles").cast(f"array<{_LAYER}>"))
     rows = each.select("label", F.explode(checked).alias("p")).select("label", "p.*")
-    return rows.withColumn("kv_heads", F.coalesce(F.nullif("kv_heads", F.lit(0)), F.col("heads")))
+    return rows.withColumn("kv_heads", F.coalesce(F.nullif(F.col("kv_heads"), F.lit(0)), F.col("heads")))
 
 
 def read_bench(spark: SparkSession, path: str | list[str]) -> DataFrame:
