@@ -273,11 +273,11 @@ def open_members(of_hub: DataFrame, root: DataFrame, settings: Settings) -> Data
     label = root.select(F.col("node").alias("fingerprint"), "root")
     of_its_hub = root.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
     named = of_hub.join(label, "fingerprint", "left").join(of_its_hub, "hub", "left")
-    named = named.withColumns({"root": F.coalesce("root", "fingerprint"), "hub_root": F.coalesce("hub_root", "hub")}).withColumn("far", F.col("root") != F.col("hub_root"))
-    bucket = Window.partitionBy("band", "key")
+    named = stored(named.withColumns({"root": F.coalesce("root", "fingerprint"), "hub_root": F.coalesce("hub_root", "hub")}).withColumn("far", F.col("root") != F.col("hub_root")).drop("hub", "hub_root"))
     reach = 1 - settings.similarity + 1e-6
-    nearest = F.min(F.when(F.col("far"), F.col("apart"))).over(bucket)
-    kept = named.withColumn("_nearest", nearest).where(F.col("far") | (F.col("apart") >= F.col("_nearest") - reach))
+    # Buckets without a far member are done, and find no partner here. Stored, so that Spark can split a large bucket's side.
+    nearest = stored(named.where("far").groupBy("band", "key").agg(F.min("apart").alias("nearest")))
+    kept = named.join(nearest, ["band", "key"]).where(F.col("far") | (F.col("apart") >= F.col("nearest") - reach))
     same = kept.groupBy("band", "key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fingerprint")).alias("x"), F.min("root").alias("least"), F.max("root").alias("most"))
     once = same.where("least <> most").groupBy("n", "x").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key")
     return kept.join(once, ["band", "key"], "left_semi").select("band", "key", "fingerprint", "root")
@@ -306,7 +306,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     marked = stored(signatures(docs, idf, settings))
     nodes = marked.groupBy("fingerprint").agg(F.first("bands").alias("bands"))
     banded = stored(nodes.where(F.size("bands") > 0).select("fingerprint", F.posexplode("bands").alias("band", "key")))
-    hubs = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("fingerprint").alias("hub")).where("n > 1").drop("n")
+    # Stored, as other small sides below: a join of two plain exchanges, whose large partitions Spark can split.
+    hubs = stored(banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("fingerprint").alias("hub")).where("n > 1").drop("n"))
     members = stored(banded.join(hubs, ["band", "key"]).where(F.col("fingerprint") != F.col("hub")))
     first = members.select(F.col("hub").alias("a"), F.col("fingerprint").alias("b")).distinct()
     texts = _texts(docs, marked, members.select("fingerprint").union(members.select("hub")).distinct())
@@ -316,8 +317,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     root = components(links)
     more = stored(tile_links(stored(open_members(of_hub, root, settings)), texts, idf, settings))
     root = components(links.union(more))
-    classes = marked.join(root, marked.fingerprint == root.node, "left").select("doc_id", "mark", F.coalesce("root", "fingerprint").alias("root"))
-    least = classes.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    classes = stored(marked.join(root, marked.fingerprint == root.node, "left").select("doc_id", "mark", F.coalesce("root", "fingerprint").alias("root")))
+    least = stored(classes.groupBy("root").agg(F.min("doc_id").alias("class_id")))
     return classes.join(least, "root").select("doc_id", "mark", "class_id")
 
 
