@@ -19,7 +19,9 @@ Two uses:
      whose anchor occurs in several documents are grouped by anchor.  A group's automaton takes its passages in the
      order of doc_id, and each is matched before it is added; equal passages are added once.
   3. Anchors in more than `hot` documents would make a group large, up to a third of all rows.  Their windows go
-     another, exact way: by hash of the window, the smallest doc_id that has it (pre-aggregated), joined back.
+     another, exact way: bit tables of their own tell which windows can be in several documents; a task decides those
+     that a smaller document of the same batch has; the others go by hash of the window, the smallest doc_id that has it
+     (pre-aggregated), joined back.
 
   Both ways are exact but for collisions of 64-bit hashes, and no window is dropped.
 
@@ -30,7 +32,7 @@ doc_id and the hash of its text.  Windows are judged on the input, not on what i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -148,18 +150,25 @@ def _bit(hashes: np.ndarray, bits: int, buckets: int, which: int) -> tuple[np.nd
     return bucket, ((mix(hashes) >> np.uint64(32)) * size >> np.uint64(32)).astype(np.int64), edges[bucket]
 
 
-def tables(docs: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bits of anchors: in several documents, by the first and by the second hash; in more than s.hot, by the second."""
+def tables(docs: DataFrame, hashes: Callable[[Words], tuple[np.ndarray, np.ndarray]], s: Settings, hot: bool) -> tuple[np.ndarray, ...]:
+    """Bits of hashes: in several documents, by the first and by the second hash; if hot, those in more than s.hot, by the second.
+
+    hashes(words): (row, hash) of what is looked at.
+    """
     buckets, half = partitions(docs.sparkSession), s.bits // 2
 
     def emit(batches: Batches) -> Batches:
         for batch in chunks(batches):
-            row, _, _, anchor = anchored(words_of(batch.column("text")), s)
+            row, h = hashes(words_of(batch.column("text")))
             docs_ = batch.column("doc_id").to_numpy(zero_copy_only=False)[row].astype(np.int64)
             for which in (0, 1):
-                bucket, place, _ = _bit(anchor, half, buckets, which)
+                bucket, place, _ = _bit(h, half, buckets, which)
                 order = np.lexsort((docs_, place, bucket))
                 bucket, place, doc = bucket[order], place[order].astype(np.uint32), docs_[order]
+                if not hot and len(place):  # the smallest and the largest document tell whether there are several
+                    other = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (place[1:] != place[:-1]), [True]))
+                    edge = other[:-1] | other[1:]
+                    bucket, place, doc = bucket[edge], place[edge], doc[edge]
                 edges = np.searchsorted(bucket, np.arange(buckets + 1))
                 some = np.flatnonzero(np.diff(edges))
                 yield pa.record_batch([
@@ -184,55 +193,85 @@ def tables(docs: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray, np.nda
             bits = np.zeros(size, np.uint8)
             bits[place[count > most]] = 1
             out.append(np.packbits(bits, bitorder="little").tobytes())
-        return pa.table({"bucket": pa.array([b], pa.int32()), "which": table.column("which").slice(0, 1), "several": pa.array([out[0]], pa.binary()), "hot": pa.array([out[1]], pa.binary())})
+        return pa.table({"bucket": pa.array([b], pa.int32()), "which": table.column("which").slice(0, 1), "several": pa.array([out[0]], pa.binary()), "hot": pa.array([out[1] if hot else None], pa.binary())})
 
     got = docs.mapInArrow(emit, "bucket int, which int, places binary, docs binary").groupBy("bucket", "which").applyInArrow(reduce, "bucket int, which int, several binary, hot binary")
-    out = tuple(np.zeros(half // 8, np.uint8) for _ in range(3))
-    for r in got.toLocalIterator():  # two rows a bucket; together 2 x s.bits bits
+    out = tuple(np.zeros(half // 8, np.uint8) for _ in range(3 if hot else 2))
+    for r in got.toLocalIterator():  # two rows a bucket; together at most 2 x s.bits bits
         at = r.bucket * (half // 8) // buckets
-        for table, data in ((out[r.which], r.several), *([(out[2], r.hot)] if r.which else [])):
+        for table, data in ((out[r.which], r.several), *([(out[2], r.hot)] if hot and r.which else [])):
             table[at : at + len(data)] = np.frombuffer(bytes(data), np.uint8)
     return out
 
 
-def _holds(table: np.ndarray, anchor: np.ndarray, bits: int, buckets: int, which: int) -> np.ndarray:
-    _, place, first = _bit(anchor, bits, buckets, which)
+def _holds(table: np.ndarray, hashes: np.ndarray, bits: int, buckets: int, which: int) -> np.ndarray:
+    _, place, first = _bit(hashes, bits, buckets, which)
     at = place + first
     return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-_PASSAGE = "deal long, key long, doc_id long, mark long, start long, symbols binary"
+def repeated(words: Words, anchors: tuple[np.ndarray, ...], buckets: int, s: Settings) -> tuple[np.ndarray, ...]:
+    """(row, first window, end, anchor, whether it is hot) of the passages whose anchor can be in several documents."""
+    row, begin, end, anchor = anchored(words, s)
+    first, second, hot = anchors
+    keep = _holds(first, anchor, s.bits // 2, buckets, 0) & _holds(second, anchor, s.bits // 2, buckets, 1)
+    row, begin, end, anchor = row[keep], begin[keep], end[keep], anchor[keep]
+    return row, begin, end, anchor, _holds(hot, anchor, s.bits // 2, buckets, 1)
+
+
+def windows_in(words: Words, row: np.ndarray, begin: np.ndarray, end: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, hash) of each window of these passages."""
+    size = end - begin
+    each = np.repeat(np.arange(len(row)), size)
+    place = begin[each] + np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
+    return row[each], place, grams(words.hash, s.window)[place] if len(each) else np.zeros(0, np.uint64)
+
+
+_PASSAGE = "deal long, key long, doc_id long, mark long, start long, end long, symbols binary"
 _MATCHED = "key long, doc_id long, mark long, begin long, end long"
 
 
-def passages(docs: DataFrame, bits, s: Settings) -> DataFrame:
-    """Passages by their anchors, with their symbols; windows with a hot anchor by their hashes, without.
+def passages(docs: DataFrame, anchors, windows, s: Settings) -> DataFrame:
+    """Passages by their anchors, with their symbols; for hot anchors, windows without symbols.
 
-    deal: what the rows are to be dealt out by, the anchor, or for windows each row's own hash.
+    Of the windows of a hot anchor only those go on that can be in several documents.  If a smaller document of the same
+    batch has a window too, it is decided here: such windows are spans, without a key.  Others have their hash as the key.
+    deal: what the rows are to be dealt out by, the anchor, or for windows and spans each row's own hash.
     """
     buckets, half = partitions(docs.sparkSession), s.bits // 2
+    names = ["deal", "key", "doc_id", "mark", "start", "end", "symbols"]
 
     def run(batches: Batches) -> Batches:
-        first, second, hot = bits.value
         for batch in chunks(batches):
             words = words_of(batch.column("text"))
-            row, begin, end, anchor = anchored(words, s)
-            keep = _holds(first, anchor, half, buckets, 0) & _holds(second, anchor, half, buckets, 1)
-            row, begin, end, anchor = row[keep], begin[keep], end[keep], anchor[keep]
+            row, begin, end, anchor, is_hot = repeated(words, anchors.value, buckets, s)
             doc, mark = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "mark"))
-            start = begin - words.first[:-1][row]
-            is_hot = _holds(hot, anchor, half, buckets, 1)
             cold = np.flatnonzero(~is_hot)
             symbols, more = grams(words.hash, s.unit), s.window - s.unit
             data = [symbols[a : b + more].tobytes() for a, b in zip(begin[cold].tolist(), end[cold].tolist())]
-            names = ["deal", "key", "doc_id", "mark", "start", "symbols"]
-            yield pa.record_batch([pa.array(anchor[cold].view(np.int64)), pa.array(anchor[cold].view(np.int64)), pa.array(doc[row[cold]]), pa.array(mark[row[cold]]), pa.array(start[cold]), pa.array(data, pa.binary())], names=names)
-            size = (end - begin)[is_hot]
-            each = np.repeat(np.flatnonzero(is_hot), size)
-            off = np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
-            h = grams(words.hash, s.window)[begin[each] + off] if len(each) else np.zeros(0, np.uint64)
-            deal = mix(h + mix((doc[row[each]] + start[each] + off).astype(np.uint64)))
-            yield pa.record_batch([pa.array(deal.view(np.int64)), pa.array(h.view(np.int64)), pa.array(doc[row[each]]), pa.array(mark[row[each]]), pa.array(start[each] + off), pa.nulls(len(each), pa.binary())], names=names)
+            at = row[cold]
+            start = begin[cold] - words.first[:-1][at]
+            yield pa.record_batch([pa.array(anchor[cold].view(np.int64)), pa.array(anchor[cold].view(np.int64)), pa.array(doc[at]), pa.array(mark[at]), pa.array(start), pa.nulls(len(at), pa.int64()), pa.array(data, pa.binary())], names=names)
+            at, place, h = windows_in(words, row[is_hot], begin[is_hot], end[is_hot], s)
+            for which, table in enumerate(windows.value):
+                keep = _holds(table, h, half, buckets, which)
+                at, place, h = at[keep], place[keep], h[keep]
+            order = np.lexsort((doc[at], h))
+            at, place, h = at[order], place[order], h[order]
+            new = np.ones(len(h), bool)
+            new[1:] = h[1:] != h[:-1]
+            later = doc[at] > doc[at][np.flatnonzero(new)][np.cumsum(new) - 1] if len(h) else np.zeros(0, bool)
+            own = np.flatnonzero(~later)
+            # Windows that a smaller document of this batch has, joined where they touch.
+            order = np.argsort(place[later])
+            span_row, span = at[later][order], place[later][order]
+            cut = np.flatnonzero((np.diff(span) > s.window) | (np.diff(span_row) > 0))
+            a, b = (np.append(0, cut + 1), np.append(cut, len(span) - 1)) if len(span) else (np.zeros(0, int),) * 2
+            at, start, end_ = np.append(at[own], span_row[a]), np.append(place[own], span[a]), np.append(place[own], span[b]) + s.window
+            start, end_ = start - words.first[:-1][at], end_ - words.first[:-1][at]
+            deal = mix(mix(doc[at].astype(np.uint64)) + start.astype(np.uint64))
+            key = pa.array(np.append(h[own].view(np.int64), np.zeros(len(a), np.int64)), mask=np.arange(len(at)) >= len(own))
+            yield pa.record_batch([pa.array(deal.view(np.int64)), key, pa.array(doc[at]), pa.array(mark[at]), pa.array(start), pa.array(end_), pa.nulls(len(at), pa.binary())], names=names)
 
     return docs.mapInArrow(run, _PASSAGE)
 
@@ -246,17 +285,17 @@ def _spans(ends: np.ndarray, window: int) -> Iterator[tuple[int, int]]:
 
 
 def match_passages(s: Settings):
-    """Sorted by anchor and doc_id: the spans of each passage that an earlier document holds (key null). Windows pass."""
+    """Sorted by anchor and doc_id: the spans of each passage that an earlier document holds (key null). Windows and spans pass."""
     least = s.window - s.unit + 1
 
     def run(batches: Batches) -> Batches:
         at, before, automaton, added, waiting = None, None, SuffixAutomaton(), set(), {}
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            columns = [batch.column(c).to_pylist() for c in ("key", "doc_id", "mark", "start", "symbols")]
-            for key, doc, mark, start, data in zip(*columns):
+            columns = [batch.column(c).to_pylist() for c in ("key", "doc_id", "mark", "start", "end", "symbols")]
+            for key, doc, mark, start, end, data in zip(*columns):
                 if data is None:
-                    for to, x in zip(out, (key, doc, mark, start, start + s.window)):
+                    for to, x in zip(out, (key, doc, mark, start, end)):
                         to.append(x)
                     continue
                 if key != at:
@@ -283,8 +322,22 @@ def earlier_windows(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, mark (xxhash64 of the text), begin, end: words covered by windows that start in an earlier document too."""
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    bits = sc.broadcast(tables(docs, s))
-    dealt = passages(docs.withColumn("mark", F.xxhash64("text")), bits, s).repartition(partitions(docs.sparkSession), "deal")
+    buckets = partitions(docs.sparkSession)
+
+    def anchors_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
+        row, _, _, anchor = anchored(words, s)
+        return row, anchor
+
+    anchors = sc.broadcast(tables(docs, anchors_of, s, hot=True))
+
+    def hot_windows(words: Words) -> tuple[np.ndarray, np.ndarray]:
+        row, begin, end, _, is_hot = repeated(words, anchors.value, buckets, s)
+        row, _, h = windows_in(words, row[is_hot], begin[is_hot], end[is_hot], s)
+        return row, h
+
+    # Without a hot anchor there is nothing to look at.
+    windows = sc.broadcast(tables(docs, hot_windows, s, hot=False) if anchors.value[2].any() else ())
+    dealt = passages(docs.withColumn("mark", F.xxhash64("text")), anchors, windows, s).repartition(partitions(docs.sparkSession), "deal")
     found = stored(dealt.sortWithinPartitions("deal", "key", "doc_id").drop("deal").mapInArrow(match_passages(s), _MATCHED))
     windows = found.where("key is not null")
     # Stored, so that the join is one of two plain exchanges, whose large partitions Spark can split.
