@@ -17,7 +17,8 @@ doc_id that several rows have are applied to each of them.  A document without e
 
 from __future__ import annotations
 
-from itertools import accumulate, chain
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,32 +38,44 @@ class Counter:
 
     def __init__(self, path: str, pattern: str):
         self.pattern, self.pieces, self.encoded = regex.compile(pattern), pieces(path), 0
-        self.known: dict[str, tuple[list[int], list[int]]] = {}
+        #: Of each piece, the lengths of its pre-tokens and their numbers of ids, as little-endian 32-bit bytes.
+        self.lengths: dict[str, bytes] = {}
+        self.sizes: dict[str, bytes] = {}
 
     def split(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """(ends, counts) of the pre-tokens of whole texts."""
-        if len(self.known) > self.pieces.most:
-            self.known.clear()
+        return [(ends.tolist(), counts.tolist()) for ends, counts in self.split_arrays(texts)]
+
+    def split_arrays(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """As split(), in arrays."""
+        if len(self.lengths) > self.pieces.most:
+            self.lengths.clear()
+            self.sizes.clear()
         cut = [PIECE.findall(t) for t in texts]
-        new = list(set(chain.from_iterable(cut)).difference(self.known))
+        new = list(set(chain.from_iterable(cut)).difference(self.lengths))
         found = [self.pattern.findall(x) for x in new]
         for x, own, ids in zip(new, found, self.pieces.encode_pieces(found)):
-            self.known[x] = [len(m) for m in own], [len(i) // 4 for i in ids]
-        get = self.known.__getitem__
-        both = [list(map(get, own)) for own in cut]
-        return [(list(accumulate(chain.from_iterable(x[0] for x in own))), list(chain.from_iterable(x[1] for x in own))) for own in both]
+            self.lengths[x] = array("I", map(len, own)).tobytes()
+            self.sizes[x] = array("I", [len(i) // 4 for i in ids]).tobytes()
+        length, size = self.lengths.__getitem__, self.sizes.__getitem__
+        return [(np.cumsum(np.frombuffer(b"".join(map(length, own)), "<u4"), dtype=np.int64), np.frombuffer(b"".join(map(size, own)), "<u4").astype(np.int64)) for own in cut]
 
     def counts(self, found: list[str]) -> list[int]:
         return [len(x) // 4 for x in self.pieces.encode_pieces([found])[0]]
 
     def edited(self, text: str, ends: list[int], counts: list[int], start: int, end: int, new: str) -> tuple[str, list[int], list[int], tuple[int, int, int]]:
         """The state after an edit, and (first pre-token that changed, old ones, new ones)."""
+        text, ends_, counts_, changed = self.edited_arrays(text, np.array(ends, np.int64), np.array(counts, np.int64), start, end, new)
+        return text, ends_.tolist(), counts_.tolist(), changed
+
+    def edited_arrays(self, text: str, ends: np.ndarray, counts: np.ndarray, start: int, end: int, new: str) -> tuple[str, np.ndarray, np.ndarray, tuple[int, int, int]]:
+        """As edited(), in arrays."""
         start = min(max(start, 0), len(text))
         end = min(max(end, start), len(text))
         after = text[:start] + new + text[end:]
         moved = len(after) - len(text)
         first = max(int(np.searchsorted(ends, start, "left")) - 1, 0)  # the pre-token before has seen up to two characters behind its end
-        at = ends[first - 1] if first else 0
+        at = int(ends[first - 1]) if first else 0
         last = int(np.searchsorted(ends, end, "left"))
         found, fresh, edge = [], [], start + len(new)
         while at < len(after):
@@ -79,13 +92,18 @@ class Counter:
         else:
             last = len(ends)
         self.encoded += len(found)
-        ends = ends[:first] + fresh + [e + moved for e in ends[last:]]
-        return after, ends, counts[:first] + self.counts(found) + counts[last:], (first, last - first, len(found))
+        join = lambda a, b, c: np.concatenate((a, np.array(b, np.int64), c))
+        return after, join(ends[:first], fresh, ends[last:] + moved), join(counts[:first], self.counts(found), counts[last:]), (first, last - first, len(found))
+
 
+def _blocks(counts: np.ndarray, leaf: int) -> np.ndarray:
+    """The sums of blocks of `leaf` counts."""
+    return np.add.reduceat(counts, np.arange(0, len(counts), leaf)) if len(counts) else np.zeros(0, np.int64)
 
-def tree_of(counts: list[int], leaf: int = LEAF) -> np.ndarray:
+
+def tree_of(counts: np.ndarray, leaf: int = LEAF) -> np.ndarray:
     """The sums: leaves are blocks of pre-tokens; as many leaves as a power of two, node 0 is not used."""
-    blocks = np.add.reduceat(np.asarray(counts, np.int64), np.arange(0, len(counts), leaf)) if counts else np.zeros(0, np.int64)
+    blocks = _blocks(np.asarray(counts, np.int64), leaf)
     leaves = 1 << max(len(blocks) - 1, 0).bit_length()
     tree = np.zeros(2 * leaves, np.int64)
     tree[leaves : leaves + len(blocks)] = blocks
@@ -96,23 +114,24 @@ def tree_of(counts: list[int], leaf: int = LEAF) -> np.ndarray:
     return tree
 
 
-def updated(tree: np.ndarray, counts: list[int], changed: tuple[int, int, int], leaf: int = LEAF) -> np.ndarray:
+def updated(tree: np.ndarray, counts: np.ndarray, changed: tuple[int, int, int], leaf: int = LEAF) -> np.ndarray:
     """The tree after an edit. As many pre-tokens as before: only touched blocks and the sums above them; else the
     blocks behind the edit have other members, and they and the sums above them are taken anew."""
+    counts = np.asarray(counts, np.int64)
     first, old, new = changed
     blocks = -(-len(counts) // leaf)
     leaves = len(tree) // 2
     if 1 << max(blocks - 1, 0).bit_length() != leaves:
         return tree_of(counts, leaf)
     tree = tree.copy()
-    low, high = first // leaf, (first + max(new, 1) - 1) // leaf + 1 if old == new else leaves
-    for b in range(low, min(high, leaves)):
-        tree[leaves + b] = sum(counts[b * leaf : (b + 1) * leaf])
-    low, high = leaves + low, leaves + min(high, leaves) - 1
+    low, high = min(first // leaf, leaves - 1), min((first + max(new, 1) - 1) // leaf + 1 if old == new else leaves, leaves)
+    sums = _blocks(counts[low * leaf : high * leaf], leaf)
+    tree[leaves + low : leaves + high] = 0
+    tree[leaves + low : leaves + low + len(sums)] = sums
+    low, high = leaves + low, leaves + high - 1
     while low > 1:
         low, high = low // 2, high // 2
-        for i in range(low, high + 1):
-            tree[i] = tree[2 * i] + tree[2 * i + 1]
+        tree[low : high + 1] = tree[2 * low : 2 * high + 2].reshape(-1, 2).sum(axis=1)
     return tree
 
 
@@ -131,13 +150,19 @@ def _lists(values: list) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(first), pa.array(flat, pa.int32() if not len(flat) or flat.max() < 1 << 31 else pa.int64()))
 
 
+def _arrays(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column without nulls."""
+    first, values = column.offsets.to_numpy(), column.values.to_numpy().astype(np.int64)
+    return [values[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+
+
 def count(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """The state of each document: doc_id, text, ends, counts, tree (tree[1] is the number of ids)."""
 
     def run(batches: Batches) -> Batches:
         own = counter(path, pattern)
         for batch in chunks(batches, most=1 << 20):
-            got = own.split(batch.column("text").to_pylist())
+            got = own.split_arrays(batch.column("text").to_pylist())
             trees = [tree_of(c) for _, c in got]
             yield pa.record_batch([batch.column("doc_id"), batch.column("text"), _lists([e for e, _ in got]), _lists([c for _, c in got]), _lists(trees).cast(pa.list_(pa.int64()))], names=["doc_id", "text", "ends", "counts", "tree"])
 
@@ -159,12 +184,13 @@ def edit_rows(both: DataFrame, path: str, pattern: str) -> DataFrame:
         own = counter(path, pattern)
         for batch in chunks(batches, most=1 << 20):
             out: list[tuple] = []
-            for r in batch.to_pylist():
-                text, ends, counts, tree, before = r["text"], r["ends"], r["counts"], np.array(r["tree"], np.int64), own.encoded
-                for e in r["edits"] or ():
-                    text, ends, counts, changed = own.edited(text, ends, counts, e["start"], e["end"], e["new"])
+            states = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "edits")), *map(_arrays, map(batch.column, ("ends", "counts", "tree"))))
+            for doc, text, edits, ends, counts, tree in states:
+                before, was = own.encoded, int(tree[1])
+                for e in edits or ():
+                    text, ends, counts, changed = own.edited_arrays(text, ends, counts, e["start"], e["end"], e["new"])
                     tree = updated(tree, counts, changed)
-                out.append((r["doc_id"], text, ends, counts, tree, own.encoded - before, r["tree"][1]))
+                out.append((doc, text, ends, counts, tree, own.encoded - before, was))
             doc, text, ends, counts, trees, encoded, was = zip(*out)
             yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(text, pa.string()), _lists(ends), _lists(counts), _lists(trees).cast(pa.list_(pa.int64())), pa.array(encoded, pa.int64()), pa.array(was, pa.int64())], names=["doc_id", "text", "ends", "counts", "tree", "encoded", "n_before"])
 
