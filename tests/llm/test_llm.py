@@ -13,6 +13,7 @@ from math import log10
 import numpy as np
 import pandas as pd
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -494,3 +495,11 @@ def test_levels_come_back_from_the_filter(spark):
     got = lm_scoring._levels(words_["word"].to_numpy().view(np.uint64), model.filter, model.edges, s)
     want = lm_scoring.levels(words_["count"].to_numpy(), s.base)
     assert (got >= want).all() and (got == want).mean() > 0.95
+
+
+def test_pairs_seen_once_are_in_the_filter(spark):
+    s = lm_scoring.Settings(bits=1 << 20)
+    text = pd.Series([" ".join(f"b{i}" for i in range(500))])
+    model = lm_scoring.train(spark.createDataFrame([(text[0],)], "text string"), s)
+    _, token, before = lm_scoring.tokens_of(pa.array(text))
+    assert (lm_scoring._levels(lm_scoring.pair_keys(before, token), model.filter, model.edges, s) >= 1).all()

@@ -44,7 +44,6 @@ class Settings:
     probes: int = 2
     base: float = 1.5
     mass: float = 0.15
-    least_pair: int = 2
     head: int = 1 << 17
 
 
@@ -155,8 +154,6 @@ def _reduce(settings: Settings, buckets: int):
             key, n = _summed([np.frombuffer(x.as_py(), np.uint64) for x in own.column("keys")], [np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in own.column("counts")])
             if not pairs:
                 word, count = key, n
-            keep = n >= (settings.least_pair if pairs else 1)
-            key, n = key[keep], n[keep]
             level = levels(n, settings.base)
             for j in range(1, int(level.max(initial=0)) + 1):
                 for i in range(settings.probes):
