@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vecspark.llm import bpe, elias_fano, lm_scoring, media, near_dedup, nearest, packing, quality, substring_dedup, token_counts, token_files
+from vecspark.llm import words as words_
 from vecspark.llm.common import shared_folder
 from vecspark.llm.queries import QUERIES
 
@@ -503,3 +504,30 @@ def test_pairs_seen_once_are_in_the_filter(spark):
     model = lm_scoring.train(spark.createDataFrame([(text[0],)], "text string"), s)
     _, token, before = lm_scoring.tokens_of(pa.array(text))
     assert (lm_scoring._levels(lm_scoring.pair_keys(before, token), model.filter, model.edges, s) >= 1).all()
+
+
+def test_the_filter_grows_with_the_keys(spark):
+    """And stays as sparse: it was of a fixed size, full on a large corpus."""
+    s = lm_scoring.Settings(bits=1 << 24)
+    size, fill = [], []
+    for n in (2000, 20000):
+        model = lm_scoring.train(spark.createDataFrame([(noise(7, n),)], "text string"), s)
+        size.append(int(model.edges[-1]))
+        fill.append(model.filter_fill)
+    assert size[1] > 3 * size[0] and fill == pytest.approx([s.fill] * 2, rel=0.05)
+    keys = words_.mix(np.arange(100_000, dtype=np.uint64))
+    assert (lm_scoring._levels(keys, model.filter, model.edges, s) > 0).mean() < 1.5 * s.fill**s.probes
+
+
+@pytest.mark.parametrize("head", [1 << 17, 10])
+def test_slices_score_as_the_broadcast_filter(spark, docs, head, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "_BLOCK", 3000)
+    marked = docs.withColumn("held_out", lm_scoring.held_out(10, 0))
+    got = []
+    for bits in (1 << 24, 64):
+        model = lm_scoring.train(marked.where("not held_out"), lm_scoring.Settings(bits=bits, head=head))
+        assert (model.filter is None) == (bits == 64)
+        got.append(sorted((tuple(r) for r in lm_scoring.score(marked, model).collect()), key=str))
+    assert len(got[0]) == len(ROWS) and [r[:5] for r in got[0]] == [r[:5] for r in got[1]]
+    assert [x for r in got[0] for x in r[5:]] == pytest.approx([x for r in got[1] for x in r[5:]], rel=1e-9)
+    assert lm_scoring.score(marked.where("false"), model).count() == 0

@@ -4,8 +4,12 @@ Training counts words and word pairs of all training texts.  Tasks count their o
 counts by bucket of the key, so a very frequent word costs one entry a task.  Each bucket's exact sums then go two ways:
 word counts to a table (for the exact base score), and all counts, quantised on a log scale, into that bucket's slice of
 one Bloom filter.  A key with level q is inserted q times, as (key, 1) .. (key, q); a reader probes (key, 1), (key, 2) ..
-until one is missing.  The filter has a fixed size, so it is safe to broadcast at any size of corpus; with more keys
-its false positives rise (`filter_fill` in the model tells), nothing is dropped.
+until one is missing.  A slice has the bits that its own insertions need to fill the share `fill` of it, so the filter
+grows with the corpus, false positives don't, and nothing is dropped.
+
+A filter of up to `bits` bits is broadcast.  A larger one stays in its slices: texts go to blocks, the distinct keys of a
+block to the slices of their buckets, and their levels back to the block.  A frequent key is asked for once a block, and a
+task holds one slice or one block at a time.  Both ways give the same scores.
 
 The model interpolates: P(w | h) = mass * min(1, c(h w) / c(h)) + (1 - mass) * P(w), with c from the filter for pairs and
 for words outside the head, and P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)).
@@ -21,6 +25,7 @@ base is log10(0.1 / 0.1) = 0 for each token.
 
 from __future__ import annotations
 
+import gc
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +39,8 @@ from .common import Batches, chunks, documents, partitions, signed, stored
 from .words import mix, words_of
 
 END, BEGIN = np.uint64(0x0E4D), np.uint64(0xBE61)
+#: Bytes of text that are counted or scored at once, and those of a block.
+_PIECE, _BLOCK = 1 << 20, 2 << 20
 _ODD = np.uint64(0xA24BAED4963EE407)
 _PACKED = "bucket int, pairs boolean, keys binary, counts binary"
 
@@ -41,6 +48,7 @@ _PACKED = "bucket int, pairs boolean, keys binary, counts binary"
 @dataclass(frozen=True)
 class Settings:
     bits: int = 1 << 29
+    fill: float = 0.1
     probes: int = 2
     base: float = 1.5
     mass: float = 0.15
@@ -56,6 +64,15 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Keys in order as differences, byte by byte of all: the upper bytes are mostly 0, which a shuffle's compression takes out."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, token, token before) of all texts: words in lower case (A-Z only), then an end for each text."""
     words = words_of(column, lower=True)
@@ -87,7 +104,7 @@ def _count(buckets: int, most: int = 2_000_000):
         edges = np.searchsorted(bucket_of(key, buckets), np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(edges)):
             own = slice(edges[b], edges[b + 1])
-            yield int(b), pairs, key[own].tobytes(), count[own].astype(np.uint32).tobytes()
+            yield int(b), pairs, packed_keys(key[own]), count[own].astype(np.uint32).tobytes()
 
     def run(batches: Batches) -> Batches:
         kept = {False: ([], []), True: ([], [])}
@@ -99,7 +116,7 @@ def _count(buckets: int, most: int = 2_000_000):
                 rows = list(zip(*packed(pairs, keys, counts)))
                 yield pa.record_batch([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.bool_()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], names=["bucket", "pairs", "keys", "counts"])
 
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=_PIECE):
             _, token, before = tokens_of(batch.column("text"))
             begins = np.flatnonzero(before == BEGIN)
             single = np.concatenate((token, np.full(len(begins), BEGIN)))
@@ -133,38 +150,41 @@ def _places(keys: np.ndarray, level: int | np.ndarray, probe: int, first: np.nda
     return first + ((h >> np.uint64(32)) * size >> np.uint64(32))
 
 
-def slices(bits: int, buckets: int) -> np.ndarray:
-    """buckets + 1 places, in bits, all multiples of 8."""
-    return (np.arange(buckets + 1, dtype=np.int64) * (bits // 8) // buckets * 8).astype(np.uint64)
+def room(insertions: int, settings: Settings) -> int:
+    """Bits, a multiple of 8, of which so many insertions set the share settings.fill."""
+    return max(64, int(np.ceil(insertions * settings.probes / -np.log1p(-settings.fill) / 8)) * 8)
 
 
-def _reduce(settings: Settings, buckets: int):
+def _reduce(settings: Settings):
     """A bucket's exact sums: one row for each word, and the bucket's slice of the filter."""
-    edges = slices(settings.bits, buckets)
 
     def run(table: pa.Table) -> pa.Table:
         b = table.column("bucket")[0].as_py()
-        size = edges[b + 1] - edges[b]
-        bits = np.zeros(int(size) // 8, np.uint8)
-        word, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        sums = []
         for pairs in (False, True):
             own = table.filter(pc.equal(table.column("pairs"), pairs))
-            if not own.num_rows:
-                continue
-            key, n = _summed([np.frombuffer(x.as_py(), np.uint64) for x in own.column("keys")], [np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in own.column("counts")])
-            if not pairs:
-                word, count = key, n
-            level = levels(n, settings.base)
+            key, n = _summed(
+                [np.zeros(0, np.uint64), *(unpacked_keys(x.as_py()) for x in own.column("keys"))],
+                [np.zeros(0, np.int64), *(np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in own.column("counts"))],
+            )
+            sums.append((key, n, levels(n, settings.base)))
+        size = np.uint64(room(sum(int(level.sum()) for *_, level in sums), settings))
+        bits = np.zeros(int(size) // 8, np.uint8)
+        for key, _, level in sums:
             for j in range(1, int(level.max(initial=0)) + 1):
                 for i in range(settings.probes):
                     at = _places(key[level >= j], j, i, np.uint64(0), size)
                     np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+        word, count, _ = sums[0]
         n = len(word)
+        last = lambda x, kind: pa.array([None] * n + [x], kind)
         return pa.table({
             "bucket": pa.array([b] * (n + 1), pa.int32()),
             "word": pa.array(np.append(signed(word), 0), pa.int64(), mask=np.append(np.zeros(n, bool), True)),
             "count": pa.array(np.append(count, 0), pa.int64(), mask=np.append(np.zeros(n, bool), True)),
-            "bits": pa.array([None] * n + [bits.tobytes()], pa.binary()),
+            "bits": last(bits.tobytes(), pa.binary()),
+            "size": last(int(size), pa.int64()),
+            "ones": last(int(np.bitwise_count(bits).sum()), pa.int64()),
         })
 
     return run
@@ -172,7 +192,10 @@ def _reduce(settings: Settings, buckets: int):
 
 @dataclass
 class Model:
-    """words: the exact counts (word, count), a DataFrame. The rest has a fixed size."""
+    """words: the exact counts (word, count); slices: the filter by bucket (bucket, bits), both DataFrames.
+
+    filter: the slices as one, None where they are more than settings.bits. edges: buckets + 1 places in it, in bits.
+    """
 
     settings: Settings
     words: DataFrame
@@ -181,30 +204,44 @@ class Model:
     head_words: np.ndarray
     head_counts: np.ndarray
     edges: np.ndarray
-    filter: np.ndarray
+    slices: DataFrame
+    filter: np.ndarray | None
     filter_fill: float
 
     def logs(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 0.1) / (self.tokens + 0.1 * (self.distinct + 1)))
 
 
+def _let_go(spark: SparkSession) -> None:
+    """Spark removes a shuffle's files once the driver's JVM has collected what refers to it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """Count all words and pairs of docs (text), and build the filter."""
     spark, buckets = docs.sparkSession, partitions(docs.sparkSession)
-    partial = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_count(buckets), _PACKED)
-    table = stored(partial.groupBy("bucket").applyInArrow(_reduce(settings, buckets), "bucket int, word long, count long, bits binary"))
+    counted = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_count(buckets), _PACKED)
+    table = stored(counted.groupBy("bucket").applyInArrow(_reduce(settings), "bucket int, word long, count long, bits binary, size long, ones long"))
+    del counted
+    _let_go(spark)
     begin = int(signed(np.array([BEGIN]))[0])
     words = table.where(F.col("word").isNotNull() & (F.col("word") != begin)).select("word", "count")
     n, v = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     head = np.array([tuple(r) for r in words.orderBy(F.desc("count"), "word").limit(settings.head).collect()], np.int64).reshape(-1, 2)
     head = head[np.argsort(head[:, 0].copy().view(np.uint64))]
-    edges, bits = slices(settings.bits, buckets), np.zeros(settings.bits // 8, np.uint8)
-    # One row for each bucket; together they are settings.bits bits, whatever the corpus.
-    for r in table.where(F.col("bits").isNotNull()).select("bucket", "bits").toLocalIterator():
-        begin_at = int(edges[r.bucket]) // 8
-        bits[begin_at : begin_at + len(r.bits)] = np.frombuffer(bytes(r.bits), np.uint8)
-    fill = float(np.bitwise_count(bits).sum() / settings.bits)
-    return Model(settings, words, int(n), int(v), head[:, 0].copy().view(np.uint64), head[:, 1].astype(float), edges, bits, fill)
+    sizes, ones = np.full(buckets, room(0, settings), np.int64), 0
+    parts = table.where(F.col("bits").isNotNull())
+    for r in parts.select("bucket", "size", "ones").collect():
+        sizes[r.bucket], ones = r.size, ones + r.ones
+    edges = np.concatenate(([0], np.cumsum(sizes))).astype(np.uint64)
+    parts, bits = parts.select("bucket", "bits"), None
+    if edges[-1] <= settings.bits:
+        bits = np.zeros(int(edges[-1]) // 8, np.uint8)
+        for r in parts.toLocalIterator():
+            begin_at = int(edges[r.bucket]) // 8
+            bits[begin_at : begin_at + len(r.bits)] = np.frombuffer(bytes(r.bits), np.uint8)
+    return Model(settings, words, int(n), int(v), head[:, 0].copy().view(np.uint64), head[:, 1].astype(float), edges, parts, bits, ones / float(edges[-1]))
 
 
 def _levels(keys: np.ndarray, bits: np.ndarray, edges: np.ndarray, settings: Settings) -> np.ndarray:
@@ -226,58 +263,170 @@ def _levels(keys: np.ndarray, bits: np.ndarray, edges: np.ndarray, settings: Set
 _SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, score double, word long, times long"
 
 
-def _score(small, filter_bits):
-    """A row for each text, and a row for each of its words outside the head. uid: unique in this run of the query."""
+def _in_head(kind: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether it is a head word, its place there) of each token."""
+    place = np.minimum(np.searchsorted(head, kind), max(len(head) - 1, 0))
+    return head[place] == kind if len(head) else np.zeros(len(kind), bool), place
+
+
+def _lines(batch: pa.RecordBatch, uid: int, small, look) -> Batches:
+    """A row for each text, and a row for each of its words outside the head. uid: of the first text; look: levels of keys."""
+    settings, tokens, distinct, head, head_count = small
+    total = tokens + 0.1 * (distinct + 1)
+    row, token, before = tokens_of(batch.column("text"))
+    rows = batch.num_rows
+    # each distinct token of the batch is looked up once
+    kind, at = np.unique(token, return_inverse=True)
+    in_head, place = _in_head(kind, head)
+    exact = np.where(in_head, head_count[place], 0.0) if len(head) else np.zeros(len(kind))
+    count = exact.copy()
+    count[~in_head] = count_at(look(kind[~in_head]), settings.base)
+    base = np.where(in_head, np.log10((exact + 0.1) / total), 0.0)[at]
+    inside, unigram = in_head[at], ((count + 0.1) / total)[at]
+    before_count = np.empty(len(token))
+    before_count[1:] = count[at][:-1]
+    before_count[before == BEGIN] = count_at(look(np.array([BEGIN])), settings.base)[0]
+    pair = count_at(look(pair_keys(before, token)), settings.base)
+    ratio = np.minimum(1.0, pair / np.maximum(before_count, 1.0))
+    score = np.log10(np.minimum(1.0, settings.mass * ratio + (1 - settings.mass) * np.minimum(1.0, unigram)))
+    sums = lambda x: np.bincount(row, weights=x, minlength=rows)
+    uids = uid + np.arange(rows)
+    tail = np.flatnonzero(~inside)
+    key = row[tail] * len(kind) + at[tail]
+    key, times = np.unique(key, return_counts=True)
+    none = lambda n, t: pa.nulls(n, t)
+    names = ["uid", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "score", "word", "times"]
+    yield pa.record_batch([
+        pa.array(uids), batch.column("doc_id"), batch.column("held_out"), pa.array(np.bincount(row, minlength=rows)), pa.array(sums(inside).astype(np.int64)),
+        pa.array(sums(base)), pa.array(sums(score)), none(rows, pa.int64()), none(rows, pa.int64()),
+    ], names=names)
+    n = len(key)
+    yield pa.record_batch([
+        pa.array(uids[key // max(len(kind), 1)]), none(n, pa.int64()), none(n, pa.bool_()), none(n, pa.int64()), none(n, pa.int64()),
+        none(n, pa.float64()), none(n, pa.float64()), pa.array(signed(kind[key % max(len(kind), 1)])), pa.array(times),
+    ], names=names)
+
+
+def _score(small, edges, filter_bits):
+    """Lines of texts by a broadcast filter. uid: unique in this run of the query."""
 
     def run(batches: Batches) -> Batches:
-        settings, tokens, distinct, head, head_count, edges = small.value
         bits, uid = filter_bits.value, TaskContext.get().partitionId() << 36
-        total = tokens + 0.1 * (distinct + 1)
-        begin_level = _levels(np.array([BEGIN]), bits, edges, settings)
-        for batch in chunks(batches):
-            row, token, before = tokens_of(batch.column("text"))
-            rows = batch.num_rows
-            # each distinct token of the batch is looked up once
-            kind, at = np.unique(token, return_inverse=True)
-            place = np.minimum(np.searchsorted(head, kind), max(len(head) - 1, 0))
-            in_head = head[place] == kind if len(head) else np.zeros(len(kind), bool)
-            exact = np.where(in_head, head_count[place], 0.0) if len(head) else np.zeros(len(kind))
-            guess = count_at(_levels(kind, bits, edges, settings), settings.base)
-            count = np.where(in_head, exact, guess)
-            base = np.where(in_head, np.log10((exact + 0.1) / total), 0.0)[at]
-            inside, unigram = in_head[at], ((count + 0.1) / total)[at]
-            before_count = np.empty(len(token))
-            before_count[1:] = count[at][:-1]
-            before_count[before == BEGIN] = count_at(begin_level, settings.base)[0]
-            pair = count_at(_levels(pair_keys(before, token), bits, edges, settings), settings.base)
-            ratio = np.minimum(1.0, pair / np.maximum(before_count, 1.0))
-            score = np.log10(np.minimum(1.0, settings.mass * ratio + (1 - settings.mass) * np.minimum(1.0, unigram)))
-            sums = lambda x: np.bincount(row, weights=x, minlength=rows)  # noqa: B023, E731
-            uids = uid + np.arange(rows)
-            tail = np.flatnonzero(~inside)
-            key = row[tail] * len(kind) + at[tail]
-            key, times = np.unique(key, return_counts=True)
-            none = lambda n, t: pa.nulls(n, t)
-            names = ["uid", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "score", "word", "times"]
-            yield pa.record_batch([
-                pa.array(uids), batch.column("doc_id"), batch.column("held_out"), pa.array(np.bincount(row, minlength=rows)), pa.array(sums(inside).astype(np.int64)),
-                pa.array(sums(base)), pa.array(sums(score)), none(rows, pa.int64()), none(rows, pa.int64()),
-            ], names=names)
-            n = len(key)
-            yield pa.record_batch([
-                pa.array(uids[key // max(len(kind), 1)]), none(n, pa.int64()), none(n, pa.bool_()), none(n, pa.int64()), none(n, pa.int64()),
-                none(n, pa.float64()), none(n, pa.float64()), pa.array(signed(kind[key % max(len(kind), 1)])), pa.array(times),
-            ], names=names)
-            uid += rows
+        for batch in chunks(batches, most=_PIECE):
+            yield from _lines(batch, uid, small.value, lambda keys: _levels(keys, bits, edges, small.value[0]))
+            uid += batch.num_rows
 
     return run
 
 
+def _blocks(batches: Batches) -> Batches:
+    """Texts of about _BLOCK bytes in one row, compressed. block: the uid of the first of them."""
+    uid = TaskContext.get().partitionId() << 36
+    for batch in chunks(batches, most=_BLOCK):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(batch)
+        yield pa.record_batch([pa.array([uid], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "data"])
+        uid += batch.num_rows
+
+
+def _block(data: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data.as_buffer()).read_next_batch()
+
+
+def _wanted(text: pa.Array, head: np.ndarray) -> np.ndarray:
+    """The keys that the texts of a block look up, in order, so those of a bucket lie together."""
+    _, token, before = tokens_of(text)
+    kind = np.unique(token)
+    return np.unique(np.concatenate((kind[~_in_head(kind, head)[0]], pair_keys(before, token), [BEGIN])))
+
+
+def _ask(small, buckets: int):
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
+                keys = _wanted(_block(data).column("text"), small.value[3])
+                edges = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
+                asked = np.flatnonzero(np.diff(edges))
+                yield pa.record_batch([
+                    pa.array([block] * len(asked), pa.int64()), pa.array(asked, pa.int32()),
+                    pa.array([packed_keys(keys[edges[b] : edges[b + 1]]) for b in asked], pa.binary()), pa.nulls(len(asked), pa.binary()),
+                ], names=["block", "bucket", "keys", "bits"])
+
+    return run
+
+
+def _answer(settings: Settings, most: int = 500_000):
+    """Rows in order of bucket, its slice first: the levels of each row's keys. `most` keys are looked up at once."""
+
+    def run(batches: Batches) -> Batches:
+        held, bits = None, None
+        for batch in batches:
+            kept = []
+
+            def flush():
+                if kept:
+                    keys = [unpacked_keys(k) for _, k in kept]
+                    flat = np.concatenate(keys)
+                    level = _levels(flat, bits, np.array([0, len(bits) * 8], np.uint64), settings) if bits is not None else np.zeros(len(flat), np.int64)
+                    ends = np.cumsum([len(k) for k in keys])
+                    level = [x.astype(np.uint8).tobytes() for x in np.split(level, ends[:-1])]
+                    yield pa.record_batch([pa.array([b for b, _ in kept], pa.int64()), pa.array([held] * len(kept), pa.int32()), pa.array(level, pa.binary())], names=["block", "bucket", "levels"])
+                    kept.clear()
+
+            n = 0
+            for block, bucket, keys, own in zip(*(batch.column(c) for c in ("block", "bucket", "keys", "bits"))):
+                if bucket.as_py() != held or n >= most:
+                    yield from flush()
+                    n = 0
+                if bucket.as_py() != held:
+                    held, bits = bucket.as_py(), None
+                if own.is_valid:
+                    bits = np.frombuffer(own.as_py(), np.uint8)
+                else:
+                    kept.append((block.as_py(), keys.as_py()))
+                    n += len(kept[-1][1]) // 8
+            yield from flush()
+
+    return run
+
+
+def _settle(small):
+    """A block's texts and the levels of its keys, bucket by bucket: the lines of the texts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = table.filter(pc.is_valid(table.column("levels"))).sort_by("bucket").column("levels")
+        level = np.frombuffer(b"".join(parts.to_pylist()), np.uint8).astype(np.int64)
+        own = table.filter(pc.is_null(table.column("levels")))
+        batch = _block(own.column("data")[0])
+        wanted = _wanted(batch.column("text"), small.value[3])
+        return pa.Table.from_batches(_lines(batch, own.column("block")[0].as_py(), small.value, lambda keys: level[np.searchsorted(wanted, keys)]))
+
+    return run
+
+
+def _score_by_slices(docs: DataFrame, model: Model, small) -> DataFrame:
+    buckets = len(model.edges) - 1
+    # Stored: a text's block has to be the same for its keys and for itself.
+    blocks = stored(docs.mapInArrow(_blocks, "block long, data binary"))
+    asked = blocks.mapInArrow(_ask(small, buckets), "block long, bucket int, keys binary, bits binary")
+    dealt = asked.unionByName(model.slices, allowMissingColumns=True).repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("block").asc_nulls_first())
+    # Stored, so the shuffle of the keys is done with before the texts move.
+    answered = stored(dealt.mapInArrow(_answer(model.settings), "block long, bucket int, levels binary"))
+    del asked, dealt
+    _let_go(docs.sparkSession)
+    return blocks.unionByName(answered, allowMissingColumns=True).groupBy("block").applyInArrow(_settle(small), _SCORED)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs (doc_id, text, held_out): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     sc = docs.sparkSession.sparkContext
-    small = sc.broadcast((model.settings, model.tokens, model.distinct, model.head_words, model.head_counts, model.edges))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "held_out").mapInArrow(_score(small, sc.broadcast(model.filter)), _SCORED)
+    small = sc.broadcast((model.settings, model.tokens, model.distinct, model.head_words, model.head_counts))
+    docs = docs.select("doc_id", "held_out", F.coalesce("text", F.lit("")).alias("text"))
+    if model.filter is None:
+        rows = _score_by_slices(docs, model, small)
+    else:
+        rows = docs.mapInArrow(_score(small, model.edges, sc.broadcast(model.filter)), _SCORED)
     total = float(model.tokens + 0.1 * (model.distinct + 1))
     # A text's own row has no word and finds no count: it passes the join as it is, by a key of its own.
     key = F.coalesce("word", F.col("uid"))
