@@ -531,3 +531,12 @@ def test_slices_score_as_the_broadcast_filter(spark, docs, head, monkeypatch):
     assert len(got[0]) == len(ROWS) and [r[:5] for r in got[0]] == [r[:5] for r in got[1]]
     assert [x for r in got[0] for x in r[5:]] == pytest.approx([x for r in got[1] for x in r[5:]], rel=1e-9)
     assert lm_scoring.score(marked.where("false"), model).count() == 0
+
+
+def test_quality_learns_from_whole_texts(spark, monkeypatch):
+    seen, made = [], quality._dictionary
+    monkeypatch.setattr(quality, "_dictionary", lambda texts, size: seen.append(texts) or made(texts, size))
+    texts = [noise(20 + i, 4000) for i in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    quality.train(docs, spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int"))
+    assert [b"".join(x).decode() for x in seen] == [texts[1], texts[0]] and max(len(p) for x in seen for p in x) <= 8192

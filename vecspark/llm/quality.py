@@ -7,7 +7,7 @@ them into a calibrated score.  The model and the dictionaries have a fixed size.
 
 Only the labelled sample is bounded: `sample` texts of each class for the dictionaries and as many for the calibration,
 those with the smallest hash of doc_id, so it doesn't depend on partitioning.  A text longer than `window` characters
-gives the dictionary sample its first `window` characters; scores read whole texts.
+gives the dictionary all its pieces of that length, one after another; scores read whole texts.
 
 Defined cases: a null text is empty, and an empty text has a difference of 0 and a compressibility of 1.  Labels that
 are null or neither 0 nor 1 are not learned from; a doc_id with several labels counts for each.  Without labels of both
@@ -58,6 +58,11 @@ def _dictionary(texts: list[bytes], size: int) -> bytes:
         return b"".join(texts)[-size:]
 
 
+def _pieces(text: bytes, window: int) -> list[bytes]:
+    whole = text.decode()
+    return [whole[i : i + window].encode() for i in range(0, len(whole), window)]
+
+
 class Compressors:
     def __init__(self, model: Model):
         level = model.settings.level
@@ -111,8 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     text = {q: [r.text.encode() for r in rows if r.quality == q and r.text] for q in (0, 1)}
     if not text[0] or not text[1]:
         return Model(settings, b"", b"", np.zeros(3), np.ones(3), np.zeros(8), prior)
-    cut = lambda t: t.decode()[: settings.window].encode()
-    good, bad = (_dictionary([cut(t) for t in text[q][::2]], settings.dictionary) for q in (1, 0))
+    good, bad = (_dictionary([p for t in text[q][::2] for p in _pieces(t, settings.window)], settings.dictionary) for q in (1, 0))
     model = Model(settings, good, bad, np.zeros(3), np.ones(3), np.zeros(8), prior)
     held = {q: text[q][1::2] or text[q][:1] for q in text}
     x = Compressors(model).features(held[0] + held[1])
