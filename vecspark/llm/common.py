@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,29 +10,53 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that a task works on at once; a longer text is worked on alone.
-CHUNK = 4 << 20
+CHUNK = 512 << 10
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder's URI below the one that spark.checkpoint.dir names; only where that is unset, below a local one."""
+    """A new folder's URI below the one that spark.checkpoint.dir names.
+
+    Only on a local master, where driver and tasks are one machine, a temporary folder serves where that is unset.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="vecspark-")
         spark.sparkContext.setCheckpointDir(at)
     return f"{at.rstrip('/')}/vecspark/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, *partition: str) -> DataFrame:
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """df as a table in the shared folder: later steps read it again, and a lost executor costs no more than its tasks."""
-    path = shared_folder(df.sparkSession)
-    df.write.partitionBy(*partition).parquet(path) if partition else df.write.parquet(path)
+    path = path or shared_folder(df.sparkSession)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def whole_rows(docs: DataFrame, *more: Column) -> DataFrame:
+    """A struct `row` of all columns of docs, whatever their names, beside the columns `more`."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
+
+
+def with_row(docs: DataFrame, more: str) -> StructType:
+    """The schema of whole_rows(docs) and of columns in DDL."""
+    return StructType([StructField("row", docs.schema), *StructType.fromDDL(more).fields])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -59,13 +84,14 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             begin = end
 
 
-def long_list(first: np.ndarray, values: np.ndarray, kind: pa.DataType | None = None) -> pa.ListArray:
-    """A list column from n + 1 places and the values in order."""
-    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values, kind))
+def packed(values: np.ndarray) -> bytes:
+    """Integers, byte by byte of all, compressed: bytes that are mostly 0 cost next to nothing."""
+    return zstandard.ZstdCompressor(level=1).compress(values.astype(np.uint64, copy=False).view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
-def signed(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
+def unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel()
 
 
 Batches = Iterator[pa.RecordBatch]

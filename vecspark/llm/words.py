@@ -32,16 +32,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _BYTE_LOWER = _BYTE[_LOWER]
-_powers: dict[str, np.ndarray] = {}
+#: Bytes or words whose sums are taken at once: tables of powers have this length, whatever the length of a text.
+_RUN = 1 << 16
 
 
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    """base to the power 0 .. n-1, kept between calls."""
-    if name not in _powers or len(_powers[name]) < n:
-        out = np.full(max(n, 1 << 20), base, np.uint64)
-        out[0] = 1
-        _powers[name] = np.multiply.accumulate(out)
-    return _powers[name][:n]
+def _powers(base: np.uint64) -> np.ndarray:
+    out = np.full(_RUN + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_POWER, _BACK = _powers(_BASE), _powers(_INVERSE)
 
 
 @dataclass
@@ -74,32 +75,63 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words_of(column: pa.Array, lower: bool = False) -> Words:
-    """All words of all rows. lower: A-Z count as a-z in the hash."""
+    """All words of all rows. lower: A-Z count as a-z in the hash.
+
+    Needs four bytes for each byte of text and 24 for each word; sums of bytes are held for a run only.
+    """
     data, offsets = texts_of(column)
     n = len(data)
     inside = np.zeros(n + 2, bool)
     np.logical_not(_SPACE[data], out=inside[1:-1])
-    begins = inside[1:-1] & ~inside[:-2]
-    ends = inside[1:-1] & ~inside[2:]
     edges = offsets[1:-1]
     edges = edges[(edges > 0) & (edges < n)]
+    begins = inside[1:-1] & ~inside[:-2]
     begins[edges] = inside[1:-1][edges]
+    start = np.flatnonzero(begins)
+    del begins
+    ends = inside[1:-1] & ~inside[2:]
     ends[edges - 1] = inside[1:-1][edges - 1]
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    first = np.searchsorted(start, offsets)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * _power("base", _BASE, n), out=sums[1:])
-    h = (sums[end] - sums[start]) * _power("inverse", _INVERSE, n + 1)[start]
-    return Words(data, first, start, end, mix(h ^ (end - start).astype(np.uint64)))
+    end = np.flatnonzero(ends) + 1
+    del ends, inside
+    h = _word_sums(data, start, end, _BYTE_LOWER if lower else _BYTE)
+    return Words(data, np.searchsorted(start, offsets), start, end, mix(h ^ (end - start).astype(np.uint64)))
+
+
+def _word_sums(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The polynomial of each word's bytes, by prefix sums over runs of bytes; a word longer than a run by its parts."""
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        a = int(start[i])
+        j = int(np.searchsorted(end, a + _RUN, "right"))
+        if j <= i:
+            total, scale, step = 0, 1, int(_POWER[_RUN])
+            for at in range(a, int(end[i]), _RUN):
+                part = values[data[at : min(at + _RUN, int(end[i]))]]
+                total += scale * int((part * _POWER[: len(part)]).sum(dtype=np.uint64))
+                scale = scale * step & 0xFFFFFFFFFFFFFFFF
+            out[i] = total & 0xFFFFFFFFFFFFFFFF
+            i += 1
+            continue
+        own = values[data[a : int(end[j - 1])]]
+        own *= _POWER[: len(own)]
+        sums = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(own, out=sums[1:])
+        first = start[i:j] - a
+        out[i:j] = (sums[end[i:j] - a] - sums[first]) * _BACK[first]
+        i = j
+    return out
 
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words that begin at each place (len(words) - n + 1 places), across rows."""
-    if len(words) < n:
-        return np.zeros(0, np.uint64)
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * _power("base", _BASE, len(words)), out=sums[1:])
-    return mix((sums[n:] - sums[:-n]) * _power("inverse", _INVERSE, len(words) - n + 1))
+    out = np.empty(max(len(words) - n + 1, 0), np.uint64)
+    step = _RUN - n
+    for a in range(0, len(out), step):
+        b = min(a + step, len(out))
+        sums = np.zeros(b - a + n, np.uint64)
+        np.cumsum(words[a : b + n - 1] * _POWER[: b - a + n - 1], out=sums[1:])
+        out[a:b] = mix((sums[n:] - sums[:-n]) * _BACK[: b - a])
+    return out
 
 
 def places(first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
