@@ -2,8 +2,9 @@
 
 Each document is its ids and an end id.  It is cut into pieces of the capacity and a rest.  A full piece is a sequence
 of its own; rests are packed by first-fit decreasing, which finds the first bin with room by going down a tournament
-tree whose inner nodes hold the largest room below them.  Groups of documents (by a hash of the row, `group_rows` rows
-on average) are packed independently, so no task sees more than a group and nothing is global but the group count.
+tree whose inner nodes hold the largest room below them.  Groups of documents (dealt at random, row by row, whatever a row
+holds: `group_rows` rows on average) are packed independently, so no task sees more than a group and nothing is global but
+the group count.
 
 The shuffle carries a few numbers a piece, unless `carry` asks for the ids themselves.
 
@@ -85,7 +86,9 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, grou
     """Pieces with sequence_id and offset; ids too (little-endian 32-bit) if carry."""
     groups = max(1, -(-docs.count() // group_rows))
     text = F.coalesce("text", F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.length(text)), F.lit(groups)).alias("grp"))
+    # By the row's place in its partition, which a repeated task finds again: rows that are equal are dealt apart, too.
+    group = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(groups))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), group.alias("grp"))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
     def run(table: pa.Table) -> pa.Table:
@@ -104,4 +107,9 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, grou
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 ids: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece.
+
+    A map encodes, and a shuffle of a few numbers a piece takes it to its group; nothing is broadcast.  A null or empty text is
+    the end id alone, repeated rows and null ids are packed each for itself, an empty table gives no rows.
+    """
     return pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
