@@ -1,10 +1,13 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
 A shingle is five words in a row; a text of one to four words has one shingle, all its words.  Its weight is 1 + log
-of its count in the text, times its IDF.  The IDF of a shingle is the sum of its words' IDFs (words taken as independent), each
-1 + log((1 + N) / (1 + df)) / log(2 + N), so from 1 to 2: a shingle's own document frequency would make what a large group of copies shares weigh next to nothing, and its members
-would no longer be similar by weight.  Words are hashed to `features` numbers, so the table of document frequencies,
-counted over all documents, has a fixed size and is safe to broadcast.
+of its count in the text, times its IDF.  Shingles are hashed to `features` slots, and a slot's document frequency is
+the number of documents with a shingle in it, counted over all documents: a table of fixed size, safe to broadcast.  Shingles of
+many documents stand out from what the slots hold anyway (about features / shingles of a document, as a share of all
+documents, whatever the corpus).  The IDF is damped, 1 + log((1 + N) / (1 + df)) / log(1 + features), so from 1 to about 1.6:
+what a large group of near copies shares is frequent because of them, and undamped weights would take it out of the comparison
+and leave the edits alone.  With these weights a pair in a group that is a third of all rows needs an unweighted similarity
+of 0.85 for a weighted one of 0.8, a pair in a group of a thousandth or less 0.8.
 
 Steps, each a Spark job over all documents:
 
@@ -24,8 +27,9 @@ A link between nodes that share no bucket is missed; with 16 bands of 4 samples
 similarity of 0.8 and less above.
 
 Defined cases: a null text is an empty one, and texts without words are equal to each other (similarity 1).  Rows that
-repeat a doc_id are nodes by their texts; each row gets its own text's class.  A row with a null doc_id gets a class
-like any other (null only if no row of its class has an id).  Other columns are not read.
+repeat a doc_id are nodes by their texts; each row gets its own text's class, told from others by its root even where the
+smallest doc_id is the same.  A row with a null doc_id gets a class like any other (class_id is null only if no row of its
+class has an id).  An empty table gives no rows.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,13 +38,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batches, chunks, documents, id_and_text, stored
+from .common import Batches, chunks, documents, dropped, id_and_text, shared_folder, stored, whole_rows
 from .words import Words, mix, words_of
 
 _GAMMA = np.uint64(0x9FB21C651E98DF25)
+#: Bits of a shingle's hash; with the row above them it is one number, so rows of a batch are sorted at once.
+_BITS = np.uint64(48)
+_MASK = np.uint64((1 << 48) - 1)
 
 
 @dataclass(frozen=True)
@@ -49,38 +56,46 @@ class Settings:
     similarity: float = 0.8
     bands: int = 16
     rows: int = 4
-    features: int = 1 << 16
+    features: int = 1 << 18
     seed: int = 7
 
 
-def shingles(words: Words, idf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shingle, weight) of all rows, each shingle of a row once, sorted by both."""
-    row, h, idf_, count = counted(words, idf, n)
-    return row, h, idf_ * (1 + np.log(count))
-
-
-def counted(words: Words, idf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shingle, IDF, count), each shingle of a row once, sorted by both."""
-    value = idf[(words.hash % np.uint64(len(idf))).astype(np.int64)]
+def runs(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shingle) of all rows, in the order of the text."""
     count = np.diff(words.first)
     width = np.minimum(count, n)
-    runs = np.where(count > 0, count - width + 1, 0)
-    row = np.repeat(np.arange(len(count)), runs)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(runs) - runs, runs) + words.first[:-1][row]
+    each = np.where(count > 0, count - width + 1, 0)
+    row = np.repeat(np.arange(len(count)), each)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each) + words.first[:-1][row]
     short = width[row]
-    h, total = short.astype(np.uint64), np.zeros(len(row))
-    for i in range(n):
+    h = short.astype(np.uint64)
+    for i in range(n if len(row) else 0):
         ok = short > i
-        place = np.where(ok, at + i, 0)
-        h = np.where(ok, mix(h * _GAMMA + words.hash[place]), h) if len(row) else h
-        total += np.where(ok, value[place], 0.0) if len(row) else total
-    order = np.lexsort((h, row))
-    row, h, total = row[order], h[order], total[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
-    begins = np.flatnonzero(new)
-    count = np.diff(np.append(begins, len(row)))
-    return row[begins], h[begins], total[begins], count
+        h = np.where(ok, mix(h * _GAMMA + words.hash[np.where(ok, at + i, 0)]), h)
+    return row, h >> (np.uint64(64) - _BITS)
+
+
+def slot(shingle: np.ndarray, features: int) -> np.ndarray:
+    return (shingle >> np.uint64(20)).astype(np.int64) % features
+
+
+def counted(words: Words, idf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shingle, IDF, count), each shingle of a row once, sorted by both."""
+    row, h = runs(words, n)
+    h |= row.astype(np.uint64) << _BITS
+    h.sort()
+    begins = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+    count = np.diff(np.append(begins, len(h)))
+    h = h[begins]
+    row = (h >> _BITS).astype(np.int64)
+    h &= _MASK
+    return row, h, idf[slot(h, len(idf))], count
+
+
+def shingles(words: Words, idf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shingle, weight) of all rows, each shingle of a row once, sorted by both."""
+    row, h, idf_, count = counted(words, idf, n)
+    return row, h, idf_ * (1 + np.log(count))
 
 
 class Sampler:
@@ -125,25 +140,30 @@ class Sampler:
         return out
 
 
+def idf_of(frequency: np.ndarray, documents_: int) -> np.ndarray:
+    """The damped IDF of each slot."""
+    return 1 + np.log((1 + documents_) / (1 + frequency)) / np.log(1 + len(frequency))
+
+
 def idf_table(docs: DataFrame, settings: Settings) -> np.ndarray:
-    """The IDF of each hashed word, from all documents; `features` numbers."""
+    """The IDF of each slot, from all documents; `features` numbers."""
     n = settings.features
 
     def run(batches: Batches) -> Batches:
         frequency, rows = np.zeros(n + 1, np.int64), 0
         for batch in chunks(batches):
-            words = words_of(batch.column("text"))
-            key = np.unique(words.row() * n + (words.hash % np.uint64(n)).astype(np.int64))
-            frequency[:n] += np.bincount(key % n, minlength=n)
+            row, h = runs(words_of(batch.column("text")), settings.words)
+            frequency[:n] += np.bincount(np.unique(row * n + slot(h, n)) % n, minlength=n)
             rows += batch.num_rows
         frequency[n] = rows
         at = np.flatnonzero(frequency)
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(frequency[at])], names=["feature", "documents"])
 
-    got = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "feature int, documents long").groupBy("feature").agg(F.sum("documents").alias("n")).collect()
-    frequency = np.zeros(n + 1, np.int64)  # settings.features + 1 rows at the most, whatever the corpus
-    frequency[[r.feature for r in got]] = [r.n for r in got]
-    return 1 + np.log((1 + frequency[n]) / (1 + frequency[:n])) / np.log(2 + frequency[n])
+    got = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "feature int, documents long").groupBy("feature").agg(F.sum("documents").alias("n"))
+    frequency = np.zeros(n + 1, np.int64)
+    table = got.toArrow()  # settings.features + 1 rows of two numbers at the most, whatever the corpus
+    frequency[table.column("feature").to_numpy()] = table.column("n").to_numpy()
+    return idf_of(frequency[:n], frequency[n])
 
 
 def signatures(docs: DataFrame, idf, settings: Settings) -> DataFrame:
@@ -235,9 +255,14 @@ def _spanning(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def tile_links(members: DataFrame, texts: DataFrame, idf, settings: Settings, block: int = 256) -> DataFrame:
-    """a, b: links between components among the members (band, key, fingerprint, root) of each bucket, in tiles of two blocks."""
-    sizes = members.groupBy("band", "key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+def tile_links(members: DataFrame, texts: DataFrame, idf, settings: Settings, block: int = 256, chars: int = 1 << 20) -> DataFrame:
+    """a, b: links between components among the members (band, key, fingerprint, root) of each bucket, in tiles of two blocks.
+
+    A block has about `block` members and `chars` characters at the most; a longer text is a block of about its own.
+    """
+    long = texts.select("fingerprint", F.length("text").alias("chars"))
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("chars") / F.lit(chars))).cast("int")
+    sizes = members.join(long, "fingerprint").groupBy("band", "key").agg(blocks.alias("blocks"))
     dealt = members.join(sizes, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int"))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = other.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fingerprint", "root")
@@ -265,18 +290,18 @@ def tile_links(members: DataFrame, texts: DataFrame, idf, settings: Settings, bl
     return both.groupBy("band", "key", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
-def open_members(of_hub: DataFrame, root: DataFrame, settings: Settings) -> DataFrame:
+def open_members(of_hub: DataFrame, root: DataFrame, settings: Settings, at) -> DataFrame:
     """band, key, fingerprint, root: members of buckets that can still be in a link between components.
 
-    of_hub: band, key, fingerprint, hub, apart. Buckets with the same such members are one.
+    of_hub: band, key, fingerprint, hub, apart. Buckets with the same such members are one. at: the path of a table to be stored.
     """
     label = root.select(F.col("node").alias("fingerprint"), "root")
     of_its_hub = root.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
     named = of_hub.join(label, "fingerprint", "left").join(of_its_hub, "hub", "left")
-    named = stored(named.withColumns({"root": F.coalesce("root", "fingerprint"), "hub_root": F.coalesce("hub_root", "hub")}).withColumn("far", F.col("root") != F.col("hub_root")).drop("hub", "hub_root"))
+    named = stored(named.withColumns({"root": F.coalesce("root", "fingerprint"), "hub_root": F.coalesce("hub_root", "hub")}).withColumn("far", F.col("root") != F.col("hub_root")).drop("hub", "hub_root"), at("named"))
     reach = 1 - settings.similarity + 1e-6
     # Buckets without a far member are done, and find no partner here. Stored, so that Spark can split a large bucket's side.
-    nearest = stored(named.where("far").groupBy("band", "key").agg(F.min("apart").alias("nearest")))
+    nearest = stored(named.where("far").groupBy("band", "key").agg(F.min("apart").alias("nearest")), at("nearest"))
     kept = named.join(nearest, ["band", "key"]).where(F.col("far") | (F.col("apart") >= F.col("nearest") - reach))
     same = kept.groupBy("band", "key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fingerprint")).alias("x"), F.min("root").alias("least"), F.max("root").alias("most"))
     once = same.where("least <> most").groupBy("n", "x").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key")
@@ -285,62 +310,83 @@ def open_members(of_hub: DataFrame, root: DataFrame, settings: Settings) -> Data
 
 def components(links: DataFrame) -> DataFrame:
     """node, root of links (a, b): every node gets the smallest node that it is connected to."""
-    edges = stored(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = stored(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    spark, folder, step = links.sparkSession, shared_folder(links.sparkSession), 0
+    edges = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{folder}/edges")
+    labels = stored(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), f"{folder}/0")
     while True:
         near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
-        next_ = stored(labels.join(near, labels.node == near.a).select("node", "root", F.least("root", "near").alias("new")))
+        next_ = stored(labels.join(near, labels.node == near.a).select("node", "root", F.least("root", "near").alias("new")), f"{folder}/next{step}")
         # A shortcut: the label's own label. It halves the length of chains.
         up = next_.select(F.col("node").alias("new"), F.col("new").alias("up"))
-        jumped = stored(next_.join(up, "new", "left").select("node", F.least("new", F.coalesce("up", "new")).alias("root"), "root").toDF("node", "root", "was"))
+        jumped = next_.join(up, "new", "left").select("node", F.least("new", F.coalesce("up", "new")).alias("root"), "root").toDF("node", "root", "was")
+        jumped = stored(jumped, f"{folder}/{step + 1}")
+        dropped(spark, f"{folder}/next{step}", f"{folder}/{step}")
         if not jumped.where(~F.col("root").eqNullSafe(F.col("was"))).limit(1).count():
+            dropped(spark, f"{folder}/edges")
             return jumped.select("node", "root")
-        labels = jumped.select("node", "root")
+        step, labels = step + 1, jumped.select("node", "root")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """docs (doc_id, text): doc_id, mark (xxhash64 of the text), class_id (the smallest doc_id of its class)."""
-    sc = docs.sparkSession.sparkContext
+    """docs (doc_id, text): doc_id, mark (xxhash64 of the text), class_id (the smallest doc_id of its class), root (names the class)."""
+    spark = docs.sparkSession
+    folder, kept = shared_folder(spark), shared_folder(spark)
+    at = lambda name: f"{folder}/{name}"
     docs = id_and_text(docs).withColumn("mark", F.xxhash64("text"))
-    idf = sc.broadcast(idf_table(docs, settings))
-    marked = stored(signatures(docs, idf, settings))
+    idf = spark.sparkContext.broadcast(idf_table(docs, settings))
+    marked = stored(signatures(docs, idf, settings), at("marked"))
     nodes = marked.groupBy("fingerprint").agg(F.first("bands").alias("bands"))
-    banded = stored(nodes.where(F.size("bands") > 0).select("fingerprint", F.posexplode("bands").alias("band", "key")))
+    banded = stored(nodes.where(F.size("bands") > 0).select("fingerprint", F.posexplode("bands").alias("band", "key")), at("banded"))
     # Stored, as other small sides below: a join of two plain exchanges, whose large partitions Spark can split.
-    hubs = stored(banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("fingerprint").alias("hub")).where("n > 1").drop("n"))
-    members = stored(banded.join(hubs, ["band", "key"]).where(F.col("fingerprint") != F.col("hub")))
+    hubs = stored(banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("fingerprint").alias("hub")).where("n > 1").drop("n"), at("hubs"))
+    members = stored(banded.join(hubs, ["band", "key"]).where(F.col("fingerprint") != F.col("hub")), at("members"))
+    dropped(spark, at("banded"), at("hubs"))
     first = members.select(F.col("hub").alias("a"), F.col("fingerprint").alias("b")).distinct()
-    texts = _texts(docs, marked, members.select("fingerprint").union(members.select("hub")).distinct())
-    known = stored(similarities(first, texts, idf, settings))
+    texts = _texts(docs, marked, members.select("fingerprint").union(members.select("hub")).distinct(), at("texts"))
+    known = stored(similarities(first, texts, idf, settings), at("known"))
     of_hub = members.join(known, (members.hub == known.a) & (members.fingerprint == known.b)).select("band", "key", "fingerprint", "hub", (1 - F.col("similarity")).alias("apart"))
     links = known.where(F.col("similarity") >= settings.similarity).select("a", "b")
     root = components(links)
-    more = stored(tile_links(stored(open_members(of_hub, root, settings)), texts, idf, settings))
+    more = stored(tile_links(stored(open_members(of_hub, root, settings, at), at("open")), texts, idf, settings), at("more"))
     root = components(links.union(more))
-    classes = stored(marked.join(root, marked.fingerprint == root.node, "left").select("doc_id", "mark", F.coalesce("root", "fingerprint").alias("root")))
-    least = stored(classes.groupBy("root").agg(F.min("doc_id").alias("class_id")))
-    return classes.join(least, "root").select("doc_id", "mark", "class_id")
+    classes = stored(marked.join(root, marked.fingerprint == root.node, "left").select("doc_id", "mark", F.coalesce("root", "fingerprint").alias("root")), f"{kept}/classes")
+    least = stored(classes.groupBy("root").agg(F.min("doc_id").alias("class_id")), f"{kept}/least")
+    dropped(spark, folder)
+    return classes.join(least, "root").select("doc_id", "mark", "class_id", "root")
 
 
-def _texts(docs: DataFrame, marked: DataFrame, wanted: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, marked: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
     """fingerprint, text of the wanted fingerprints: that of the smallest row which has it (rows without an id first)."""
     key = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "mark")
     ids = wanted.join(marked.groupBy("fingerprint").agg(F.min(key).alias("k")), "fingerprint").select("fingerprint", "k.id", "k.mark")
-    return stored(docs.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(ids, ["id", "mark"]).select("fingerprint", "text"))
+    found = docs.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(ids, ["id", "mark"])
+    # Rows that repeat both are the same text.
+    return stored(found.groupBy("fingerprint").agg(F.first("text").alias("text")), path)
 
 
 def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """docs without all but one document of each class, the one with the smallest doc_id; all columns stay.
+    """docs without all but one row of each class; all columns stay.
 
-    Rows without a doc_id can't be told apart and stay. Of rows that repeat that doc_id, one stays.
+    The row with the smallest doc_id stays (one without an id only where its whole class has none), of those the one with the
+    smallest hash of the text, and of equal ones any.  Classes are told apart by their roots, so rows that share a doc_id but not a
+    class stay each for its own.
     """
-    out = stored(near_duplicates(docs, settings))
-    keep = out.where(F.col("doc_id") == F.col("class_id")).groupBy(F.col("doc_id").alias("_id")).agg(F.min("mark").alias("_mark"))
-    marked = docs.withColumn("_of", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = marked.join(keep, (F.col("doc_id") == F.col("_id")) & (F.col("_of") == F.col("_mark")), "left_semi")
-    once = Window.partitionBy("doc_id", "_of").orderBy("_of")
-    return kept.withColumn("_once", F.row_number().over(once)).where("_once = 1").drop("_once", "_of").unionByName(docs.where(F.col("doc_id").isNull()))
+    out = near_duplicates(docs, settings)
+    which = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    chosen = out.groupBy("root").agg(F.min(which).alias("k")).select("k.doc_id", "k.mark")
+    repeats = out.groupBy("doc_id", "mark").agg(F.count("*").alias("n"))
+    same = lambda a, b: a.doc_id.eqNullSafe(b.doc_id) & (a.mark == b.mark)
+    keep = stored(chosen.join(repeats, same(chosen, repeats)).select(chosen.doc_id, chosen.mark, "n"))
+    rows = whole_rows(docs, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
+    kept = rows.join(keep, same(rows, keep)).select("row", rows.doc_id, rows.mark, "n")
+    once = kept.where("n > 1").groupBy("doc_id", "mark").agg(F.first("row").alias("row"))
+    return kept.where("n = 1").select("row").union(once.select("row")).select("row.*")
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near-duplicate documents (five words, weighted similarity 0.8): doc_id, class_id (the smallest doc_id of the class).
+
+    Shuffled: band hashes, pairs with a bucket's hub, texts of such pairs.  Broadcast: the IDF of 2^18 slots, 2 MB.  Null and empty
+    texts are one class; a null doc_id has its text's class; repeated rows share one; an empty table gives no rows.
+    """
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id")
