@@ -6,7 +6,7 @@ of the length; a logistic model of these, fitted on labelled texts that were not
 them into a calibrated score.  The model and the dictionaries have a fixed size.  Scoring is one map over all texts.
 
 Only the labelled sample is bounded: `sample` texts of each class for the dictionaries and as many for the calibration,
-those with the smallest hash of doc_id, so it doesn't depend on partitioning.  A text longer than `window` characters
+those with the smallest hash of doc_id, so it doesn't depend on partitioning, and of these as many as have `sample_bytes` bytes.  A text longer than `window` characters
 gives the dictionary all its pieces of that length, one after another; scores read whole texts.
 
 Defined cases: a null text is empty, and an empty text has a difference of 0 and a compressibility of 1.  Labels that
@@ -21,10 +21,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Batches, chunks, documents, id_and_text
+from .common import Batches, chunks, documents, id_and_text, stored, whole_rows, with_row
 
 THRESHOLD = 0.7
 
@@ -32,6 +32,7 @@ THRESHOLD = 0.7
 @dataclass(frozen=True)
 class Settings:
     sample: int = 1500
+    sample_bytes: int = 8 << 20
     window: int = 8192
     dictionary: int = 64 << 10
     level: int = 3
@@ -101,19 +102,31 @@ def _fit(x: np.ndarray, y: np.ndarray, settings: Settings) -> tuple[np.ndarray,
     return mean, scale, w
 
 
+def _sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
+    """doc_id, quality, text: of each class the documents with the smallest hash of doc_id, up to 2 x sample rows and `sample_bytes` bytes.
+
+    Found on narrow tables first: labels, then lengths.  Of rows that repeat a doc_id the one with the smallest hash of its text.
+    """
+    order = F.xxhash64(F.lit(17), "doc_id"), F.col("doc_id")
+    picked = None
+    for quality in (0, 1):
+        own = labels.where(F.col("quality") == quality).distinct().orderBy(*order).limit(2 * settings.sample)
+        picked = own if picked is None else picked.union(own)
+    docs = id_and_text(docs).withColumn("mark", F.xxhash64("text"))
+    found = docs.join(F.broadcast(picked), "doc_id").where(F.length("text") > 0)
+    sizes = found.groupBy("doc_id", "quality").agg(F.min(F.struct("mark", F.octet_length("text").alias("size"))).alias("k")).select("doc_id", "quality", "k.mark", "k.size")
+    upto = F.sum("size").over(Window.partitionBy("quality").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # of 2 x sample rows a class
+    fitting = stored(sizes.withColumn("upto", upto).where(F.col("upto") <= settings.sample_bytes).drop("upto", "size"))
+    return docs.join(F.broadcast(fitting), ["doc_id", "mark"]).groupBy("doc_id", "quality").agg(F.first("text").alias("text"))
+
+
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """docs (doc_id, text), labels (doc_id, quality): learns from all of these rows that have a label of 0 or 1."""
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("quality in (0, 1) and doc_id is not null")
     counts = {r.quality: r["count"] for r in labels.groupBy("quality").count().collect()}
     prior = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
-    order = F.xxhash64(F.lit(17), "doc_id"), F.col("doc_id")
-    # A bounded sample: 2 x sample rows of each class, found on the narrow table before any text is read.
-    picked = None
-    for quality in (0, 1):
-        own = labels.where(F.col("quality") == quality).orderBy(*order).limit(2 * settings.sample)
-        picked = own if picked is None else picked.union(own)
-    rows = id_and_text(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text").orderBy("doc_id", "text").collect()
-    text = {q: [r.text.encode() for r in rows if r.quality == q and r.text] for q in (0, 1)}
+    rows = sorted(_sample(docs, labels, settings).collect())
+    text = {q: [r.text.encode() for r in rows if r.quality == q] for q in (0, 1)}
     if not text[0] or not text[1]:
         return Model(settings, b"", b"", np.zeros(3), np.ones(3), np.zeros(8), prior)
     good, bad = (_dictionary([p for t in text[q][::2] for p in _pieces(t, settings.window)], settings.dictionary) for q in (1, 0))
@@ -129,11 +142,10 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     return model
 
 
-def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """docs (doc_id, text, and columns to keep): doc_id, score, and those columns."""
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """row (a struct of all columns of docs), score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select("doc_id", *keep)
-    source = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.struct("doc_id", *keep).alias("row"))
+    source = whole_rows(docs, F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Batches) -> Batches:
         m = shared.value
@@ -146,8 +158,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                 s = np.full(batch.num_rows, m.prior)
             yield pa.record_batch([batch.column("row"), pa.array(s)], names=["row", "score"])
 
-    fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return source.mapInArrow(run, f"row struct<{fields}>, score double").select("row.*", "score")
+    return source.mapInArrow(run, with_row(docs, "score double"))
 
 
 def learned(folds: int = 4, fold: int = 2):
@@ -157,14 +168,17 @@ def learned(folds: int = 4, fold: int = 2):
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, settings: Settings = Settings()) -> DataFrame:
     """The rows of docs whose score is at least the threshold, with all their columns."""
-    names = docs.columns
     model = train(docs.where(learned()), labels.where(learned()), settings)
-    scored = score(docs.withColumn("_all", F.struct(*names)), model, "_all")
-    return scored.where(F.col("score") >= threshold).select("_all.*")
+    return score(docs, model).where(F.col("score") >= threshold).select("row.*")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = train(docs.where(learned()), labels.where(learned()))
-    out = score(docs, model).withColumn("doc_id", F.col("doc_id").cast("long"))
+    """Quality of all documents, learned from the labelled ones that are not held out: doc_id, held_out, score, predicted.
+
+    The driver gets a bounded sample of labelled texts; dictionaries and weights (some 130 KB) are broadcast; scoring is one map.  A
+    null or empty text is scored as an empty one; a null doc_id and repeated rows are scored each for itself; an empty table gives
+    no rows.
+    """
+    docs, labels = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    out = score(docs, train(docs.where(learned()), labels.where(learned()))).select("row.doc_id", "score")
     return out.select("doc_id", (~learned()).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -23,7 +23,8 @@ Two uses:
      that a smaller document of the same batch has; the others go by hash of the window, the smallest doc_id that has it
      (pre-aggregated), joined back.
 
-  Both ways are exact but for collisions of 64-bit hashes, and no window is dropped.
+  Both ways are exact but for collisions of hashes, and no window is dropped.  Passages are compared with the others of their anchor only,
+  by 64-bit hashes of runs of words; windows of frequent anchors, which are compared with all others, by 128 bits.
 
 Defined cases: a null text has no words; a text with fewer words than a window loses nothing.  Rows with a null doc_id
 lose nothing and take nothing.  Rows that repeat a doc_id aren't smaller than each other; a row's spans are found by
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batches, chunks, documents, partitions, stored
+from .common import Batches, chunks, documents, packed, partitions, stored, unpacked, whole_rows, with_row
 from .words import Words, grams, mix, words_of
 
 
@@ -150,55 +151,70 @@ def _bit(hashes: np.ndarray, bits: int, buckets: int, which: int) -> tuple[np.nd
     return bucket, ((mix(hashes) >> np.uint64(32)) * size >> np.uint64(32)).astype(np.int64), edges[bucket]
 
 
-def tables(docs: DataFrame, hashes: Callable[[Words], tuple[np.ndarray, np.ndarray]], s: Settings, hot: bool) -> tuple[np.ndarray, ...]:
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(place, how many, least, most) of such parts, each place once and in order."""
+    place, n, low, high = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(place, kind="stable")
+    place, n, low, high = place[order], n[order], low[order], high[order]
+    begins = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else np.zeros(0, np.int64)
+    if not len(begins):
+        return place, n, low, high
+    return place[begins], np.add.reduceat(n, begins), np.minimum.reduceat(low, begins), np.maximum.reduceat(high, begins)
+
+
+def tables(docs: DataFrame, hashes: Callable[[Words], tuple[np.ndarray, np.ndarray]], s: Settings, hot: bool, most: int = 500_000) -> tuple[np.ndarray, ...]:
     """Bits of hashes: in several documents, by the first and by the second hash; if hot, those in more than s.hot, by the second.
 
-    hashes(words): (row, hash) of what is looked at.
+    hashes(words): (row, hash) of what is looked at.  A task sends a place of the table once for each `most` places that it has gathered: in
+    how many documents, the smallest and the largest of them.  So a place that a third of all rows has costs some numbers a task.
     """
     buckets, half = partitions(docs.sparkSession), s.bits // 2
+    edges = np.arange(buckets + 1, dtype=np.int64) * (half // 8) // buckets * 8
 
     def emit(batches: Batches) -> Batches:
+        kept: tuple[list, list] = ([], [])
+
+        def packed_rows(which: int) -> pa.RecordBatch:
+            place, n, low, high = _merged(kept[which])
+            kept[which].clear()
+            cut = np.searchsorted(place, edges)
+            some = np.flatnonzero(np.diff(cut))
+            columns = [[packed(x[cut[b] : cut[b + 1]]) for b in some] for x in (np.diff(place, prepend=0), n, low, high - low)]
+            columns[0] = [packed(np.diff(place[cut[b] : cut[b + 1]] - edges[b], prepend=0)) for b in some]
+            return pa.record_batch([pa.array(some, pa.int32()), pa.array(np.full(len(some), which, np.int32)), *(pa.array(x, pa.binary()) for x in columns)], names=["bucket", "which", "places", "times", "low", "more"])
+
         for batch in chunks(batches):
             row, h = hashes(words_of(batch.column("text")))
-            docs_ = batch.column("doc_id").to_numpy(zero_copy_only=False)[row].astype(np.int64)
+            docs_ = batch.column("doc_id").to_numpy(zero_copy_only=False)[: batch.num_rows].astype(np.int64)
             for which in (0, 1):
-                bucket, place, _ = _bit(h, half, buckets, which)
-                order = np.lexsort((docs_, place, bucket))
-                bucket, place, doc = bucket[order], place[order].astype(np.uint32), docs_[order]
-                if not hot and len(place):  # the smallest and the largest document tell whether there are several
-                    other = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (place[1:] != place[:-1]), [True]))
-                    edge = other[:-1] | other[1:]
-                    bucket, place, doc = bucket[edge], place[edge], doc[edge]
-                edges = np.searchsorted(bucket, np.arange(buckets + 1))
-                some = np.flatnonzero(np.diff(edges))
-                yield pa.record_batch([
-                    pa.array(some.astype(np.int32)),
-                    pa.array(np.full(len(some), which, np.int32)),
-                    pa.array([place[edges[b] : edges[b + 1]].tobytes() for b in some], pa.binary()),
-                    pa.array([doc[edges[b] : edges[b + 1]].tobytes() for b in some], pa.binary()),
-                ], names=["bucket", "which", "places", "docs"])
+                _, place, first = _bit(h, half, buckets, which)
+                own = np.unique((place + first) * (1 << 14) + row)  # a batch has less than 2**14 rows
+                at, doc = own >> 14, docs_[own & ((1 << 14) - 1)]
+                kept[which].append(_merged([(at, np.ones(len(at), np.int64), doc, doc)]))
+                if sum(len(x[0]) for x in kept[which]) > most:
+                    yield packed_rows(which)
+        for which in (0, 1):
+            if kept[which]:
+                yield packed_rows(which)
 
     def reduce(table: pa.Table) -> pa.Table:
         b = table.column("bucket")[0].as_py()
-        place = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("places")]).astype(np.int64)
-        doc = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("docs")])
-        order = np.lexsort((doc, place))
-        place, doc = place[order], doc[order]
-        new = np.ones(len(place), bool)
-        new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
-        place, count = np.unique(place[new], return_counts=True)
-        size = int(((b + 1) * (half // 8) // buckets - b * (half // 8) // buckets) * 8)
+        parts = []
+        for columns in zip(*(table.column(c) for c in ("places", "times", "low", "more"))):
+            gap, n, low, more = (unpacked(x.as_py()).view(np.int64) for x in columns)
+            parts.append((np.cumsum(gap), n, low, low + more))
+        place, n, low, high = _merged(parts)
         out = []
-        for most in (1, s.hot):
-            bits = np.zeros(size, np.uint8)
-            bits[place[count > most]] = 1
+        for found in (high > low, n > s.hot):
+            bits = np.zeros(int(edges[b + 1] - edges[b]), np.uint8)
+            bits[place[found]] = 1
             out.append(np.packbits(bits, bitorder="little").tobytes())
         return pa.table({"bucket": pa.array([b], pa.int32()), "which": table.column("which").slice(0, 1), "several": pa.array([out[0]], pa.binary()), "hot": pa.array([out[1] if hot else None], pa.binary())})
 
-    got = docs.mapInArrow(emit, "bucket int, which int, places binary, docs binary").groupBy("bucket", "which").applyInArrow(reduce, "bucket int, which int, several binary, hot binary")
+    got = docs.mapInArrow(emit, "bucket int, which int, places binary, times binary, low binary, more binary").groupBy("bucket", "which").applyInArrow(reduce, "bucket int, which int, several binary, hot binary")
     out = tuple(np.zeros(half // 8, np.uint8) for _ in range(3 if hot else 2))
     for r in got.toLocalIterator():  # two rows a bucket; together at most 2 x s.bits bits
-        at = r.bucket * (half // 8) // buckets
+        at = int(edges[r.bucket]) // 8
         for table, data in ((out[r.which], r.several), *([(out[2], r.hot)] if hot and r.which else [])):
             table[at : at + len(data)] = np.frombuffer(bytes(data), np.uint8)
     return out
@@ -227,8 +243,13 @@ def windows_in(words: Words, row: np.ndarray, begin: np.ndarray, end: np.ndarray
     return row[each], place, grams(words.hash, s.window)[place] if len(each) else np.zeros(0, np.uint64)
 
 
-_PASSAGE = "deal long, key long, doc_id long, mark long, start long, end long, symbols binary"
-_MATCHED = "key long, doc_id long, mark long, begin long, end long"
+def other_hash(words: Words, place: np.ndarray, s: Settings) -> np.ndarray:
+    """A second hash of the windows at these places: windows are equal where both agree."""
+    return grams(mix(words.hash ^ np.uint64(0x2545F4914F6CDD1D)), s.window)[place] if len(place) else np.zeros(0, np.uint64)
+
+
+_PASSAGE = "deal long, key long, other long, doc_id long, mark long, start long, end long, symbols binary"
+_MATCHED = "key long, other long, doc_id long, mark long, begin long, end long"
 
 
 def passages(docs: DataFrame, anchors, windows, s: Settings) -> DataFrame:
@@ -239,7 +260,7 @@ def passages(docs: DataFrame, anchors, windows, s: Settings) -> DataFrame:
     deal: what the rows are to be dealt out by, the anchor, or for windows and spans each row's own hash.
     """
     buckets, half = partitions(docs.sparkSession), s.bits // 2
-    names = ["deal", "key", "doc_id", "mark", "start", "end", "symbols"]
+    names = ["deal", "key", "other", "doc_id", "mark", "start", "end", "symbols"]
 
     def run(batches: Batches) -> Batches:
         for batch in chunks(batches):
@@ -251,15 +272,16 @@ def passages(docs: DataFrame, anchors, windows, s: Settings) -> DataFrame:
             data = [symbols[a : b + more].tobytes() for a, b in zip(begin[cold].tolist(), end[cold].tolist())]
             at = row[cold]
             start = begin[cold] - words.first[:-1][at]
-            yield pa.record_batch([pa.array(anchor[cold].view(np.int64)), pa.array(anchor[cold].view(np.int64)), pa.array(doc[at]), pa.array(mark[at]), pa.array(start), pa.nulls(len(at), pa.int64()), pa.array(data, pa.binary())], names=names)
+            yield pa.record_batch([pa.array(anchor[cold].view(np.int64)), pa.array(anchor[cold].view(np.int64)), pa.nulls(len(at), pa.int64()), pa.array(doc[at]), pa.array(mark[at]), pa.array(start), pa.nulls(len(at), pa.int64()), pa.array(data, pa.binary())], names=names)
             at, place, h = windows_in(words, row[is_hot], begin[is_hot], end[is_hot], s)
             for which, table in enumerate(windows.value):
                 keep = _holds(table, h, half, buckets, which)
                 at, place, h = at[keep], place[keep], h[keep]
-            order = np.lexsort((doc[at], h))
-            at, place, h = at[order], place[order], h[order]
+            other = other_hash(words, place, s)
+            order = np.lexsort((doc[at], other, h))
+            at, place, h, other = at[order], place[order], h[order], other[order]
             new = np.ones(len(h), bool)
-            new[1:] = h[1:] != h[:-1]
+            new[1:] = (h[1:] != h[:-1]) | (other[1:] != other[:-1])
             later = doc[at] > doc[at][np.flatnonzero(new)][np.cumsum(new) - 1] if len(h) else np.zeros(0, bool)
             own = np.flatnonzero(~later)
             # Windows that a smaller document of this batch has, joined where they touch.
@@ -270,8 +292,8 @@ def passages(docs: DataFrame, anchors, windows, s: Settings) -> DataFrame:
             at, start, end_ = np.append(at[own], span_row[a]), np.append(place[own], span[a]), np.append(place[own], span[b]) + s.window
             start, end_ = start - words.first[:-1][at], end_ - words.first[:-1][at]
             deal = mix(mix(doc[at].astype(np.uint64)) + start.astype(np.uint64))
-            key = pa.array(np.append(h[own].view(np.int64), np.zeros(len(a), np.int64)), mask=np.arange(len(at)) >= len(own))
-            yield pa.record_batch([pa.array(deal.view(np.int64)), key, pa.array(doc[at]), pa.array(mark[at]), pa.array(start), pa.array(end_), pa.nulls(len(at), pa.binary())], names=names)
+            key, other = (pa.array(np.append(x[own].view(np.int64), np.zeros(len(a), np.int64)), mask=np.arange(len(at)) >= len(own)) for x in (h, other))
+            yield pa.record_batch([pa.array(deal.view(np.int64)), key, other, pa.array(doc[at]), pa.array(mark[at]), pa.array(start), pa.array(end_), pa.nulls(len(at), pa.binary())], names=names)
 
     return docs.mapInArrow(run, _PASSAGE)
 
@@ -291,11 +313,11 @@ def match_passages(s: Settings):
     def run(batches: Batches) -> Batches:
         at, before, automaton, added, waiting = None, None, SuffixAutomaton(), set(), {}
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            columns = [batch.column(c).to_pylist() for c in ("key", "doc_id", "mark", "start", "end", "symbols")]
-            for key, doc, mark, start, end, data in zip(*columns):
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            columns = [batch.column(c).to_pylist() for c in ("key", "other", "doc_id", "mark", "start", "end", "symbols")]
+            for key, other, doc, mark, start, end, data in zip(*columns):
                 if data is None:
-                    for to, x in zip(out, (key, doc, mark, start, end)):
+                    for to, x in zip(out, (key, other, doc, mark, start, end)):
                         to.append(x)
                     continue
                 if key != at:
@@ -311,9 +333,9 @@ def match_passages(s: Settings):
                     own = waiting[data] = np.frombuffer(data, np.uint64).tolist()
                     spans = _spans(np.flatnonzero(automaton.matches(own) >= least), least) if added else ()
                 for a, b in spans:  # of symbols; the last one has unit - 1 words more
-                    for to, x in zip(out, (None, doc, mark, start + a, start + b + s.unit - 1)):
+                    for to, x in zip(out, (None, None, doc, mark, start + a, start + b + s.unit - 1)):
                         to.append(x)
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in out], names=["key", "doc_id", "mark", "begin", "end"])
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in out], names=["key", "other", "doc_id", "mark", "begin", "end"])
 
     return run
 
@@ -341,15 +363,16 @@ def earlier_windows(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     found = stored(dealt.sortWithinPartitions("deal", "key", "doc_id").drop("deal").mapInArrow(match_passages(s), _MATCHED))
     windows = found.where("key is not null")
     # Stored, so that the join is one of two plain exchanges, whose large partitions Spark can split.
-    first = stored(windows.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"))
-    again = windows.join(first, "key").where(F.col("doc_id") > F.col("first"))
-    return found.where("key is null").drop("key").union(again.select("doc_id", "mark", "begin", "end"))
+    first = stored(windows.groupBy("key", "other").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"))
+    again = windows.join(first, ["key", "other"]).where(F.col("doc_id") > F.col("first"))
+    return found.where("key is null").drop("key", "other").union(again.select("doc_id", "mark", "begin", "end"))
 
 
 def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs (all columns; `_mark`, `_spans` are added and dropped) with `_n`, `_removed`, `_kept`: word counts and what is kept."""
-    spans = spans.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("begin", "end")).alias("_spans")).toDF("_doc", "_mark", "_spans")
-    marked = docs.withColumn("_key", F.xxhash64("text")).join(spans, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.col("_key") == F.col("_mark")), "left")
+    """row (a struct of all columns of docs), n, removed, kept: word counts and what is kept. spans: doc_id, mark, begin, end."""
+    spans = spans.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    rows = whole_rows(docs, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
+    source = rows.join(spans, ["doc_id", "mark"], "left").select("row", "text", "spans")
 
     def run(batches: Batches) -> Batches:
         for batch in chunks(batches):
@@ -363,11 +386,9 @@ def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 at = np.flatnonzero(keep[:-1]) + words.first[i]
                 removed[i] = n[i] - len(at)
                 kept.append(b" ".join([data[a:b] for a, b in zip(words.start[at].tolist(), words.end[at].tolist())]))
-            yield pa.record_batch([batch.column("row"), pa.array(n), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())], names=["row", "_n", "_removed", "_kept"])
+            yield pa.record_batch([batch.column("row"), pa.array(n), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())], names=["row", "n", "removed", "kept"])
 
-    fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema.fields)
-    source = marked.select(F.coalesce("text", F.lit("")).alias("text"), F.col("_spans").alias("spans"), F.struct(*docs.columns).alias("row"))
-    return source.mapInArrow(run, f"row struct<{fields}>, _n long, _removed long, _kept string").select("row.*", "_n", "_removed", "_kept")
+    return source.mapInArrow(run, with_row(docs, "n long, removed long, kept string"))
 
 
 def dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -377,10 +398,15 @@ def dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def _applied(docs: DataFrame, cut: DataFrame) -> DataFrame:
     """The columns of docs, with what is kept as the text; n_chars, where there is one, is counted again."""
-    changed, kind = F.col("_removed") > 0, dict(docs.dtypes)
-    if "n_chars" in kind:
-        cut = cut.withColumn("n_chars", F.when(changed, F.length("_kept")).otherwise(F.col("n_chars")).cast(kind["n_chars"]))
-    return cut.withColumn("text", F.when(changed, F.col("_kept")).otherwise(F.col("text"))).select(*docs.columns)
+    changed, out = F.col("removed") > 0, []
+    for name, kind in docs.dtypes:
+        own = F.col("row").getField(name)
+        if name == "text":
+            own = F.when(changed, F.col("kept")).otherwise(own)
+        elif name == "n_chars":
+            own = F.when(changed, F.length("kept")).otherwise(own).cast(kind)
+        out.append(own.alias(name))
+    return cut.select(*out)
 
 
 def remove_reference(docs: DataFrame, reference: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -424,6 +450,12 @@ def remove_reference(docs: DataFrame, reference: DataFrame, s: Settings = Settin
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without words of windows that a smaller doc_id has: doc_id, n_words, n_removed, kept_sha256.
+
+    Shuffled: passages that can repeat, the texts once.  Broadcast: up to five bit tables of 8 MB.  A null text has no words; a text of
+    fewer than 50 words and a row without a doc_id lose nothing; rows that repeat a doc_id are not smaller than each other; an empty
+    table gives no rows.
+    """
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cut = cut_spans(docs, earlier_windows(docs))
-    return cut.select("doc_id", F.col("_n").alias("n_words"), F.col("_removed").alias("n_removed"), F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"))
+    return cut.select("row.doc_id", F.col("n").alias("n_words"), F.col("removed").alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
