@@ -185,5 +185,10 @@ def payloads(places: DataFrame) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as stored greyscale images, read back: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+
+    Shuffled: digests and places of stored bytes, never the bytes.  Nothing is broadcast.  A null or empty text is a payload of 64 zeros;
+    equal texts have equal values; null ids and repeated rows are rows like any other; an empty table gives no rows.
+    """
     rows = write(documents(spark, sf_dir), shared_folder(spark))
     return rows.select("doc_id", "n_bytes", "digest").join(features(metadata(index(rows))), "digest").drop("digest")

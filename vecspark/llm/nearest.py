@@ -1,17 +1,18 @@
 """Nearest neighbours by a block matrix join with int8 tiles and error bounds.
 
-Vectors are packed into blocks (a row a block).  Every query block meets every candidate block once: candidate blocks are
-copied to as many tiles as there are query blocks, query blocks to as many as there are candidate blocks, and the two
-are joined on the tile.  In a tile:
+Vectors are quantised once and packed into blocks (a row a block): int8 codes, and for each vector its step, its norm and the norms of
+what its codes hold and miss.  Every query block meets every candidate block once: candidate blocks are copied to as many tiles as
+there are query blocks, query blocks to as many as there are candidate blocks, and the two are joined on the tile.  So what is copied
+is about an eighth of the vectors in double precision, which stay where they are.
 
-1. all products are taken between int8 codes (x ~ s * code, one step s a vector).  Codes are held as float32: products
-   of up to 1,000 components are then exact integers, and the product is one matrix multiplication;
+1. In a tile all products are taken between int8 codes (x ~ s * code, one step s a vector).  Within the tile codes become float32: products
+   of up to 1,040 components are then exact integers, and the product is one matrix multiplication;
 2. |<x, y> - s t <code x, code y>| <= |x - s code x| |y| + |s code x| |y - t code y|, so each product has a lower and an upper
    bound; a candidate whose upper bound is below the query's k-th largest lower bound in the tile can't be among its k nearest;
-3. survivors are recomputed in double precision from the original vectors, and a heap keeps the k nearest.
+3. a query's survivors of all tiles are cut once more by the k-th largest lower bound of them all;
+4. what is left, some k + 5 a query, is joined with the original vectors and recomputed in double precision; a heap keeps the k nearest.
 
-The heaps of a query's tiles (at most k entries each) are merged by heaps again.  The result is exact: bounds only leave
-out what can't be in it.  Memory is bounded by two blocks.
+The result is exact: bounds only leave out what can't be in it.  Memory is bounded by two blocks.
 
 Defined cases: vectors that are null, empty, all zero, or hold null or non-finite components take no part, nor do rows
 without a vec_id; vectors of different lengths are no candidates of each other.  A candidate with the query's own
@@ -29,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batches
+from .common import Batches, stored
 
-_BLOCK = "side boolean, dim int, block int, ids binary, vectors binary, marks binary"
-_FOUND = "query_id long, query_row long, vec_id long, score double"
+_BLOCK = "dim int, block int, uids binary, ids binary, codes binary, numbers binary"
+_BOUNDS = "query long, candidate long, low double, high double"
+_SCORES = "query long, query_id long, query_row long, vec_id long, score double"
 #: Products of codes up to 127 of this many components stay below 2**24, where float32 holds integers exactly.
 EXACT = 1040
 
@@ -53,13 +55,14 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.withColumns({"dim": F.size("vector"), "mark": F.xxhash64("vec_id", "vector")})
 
 
-def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(codes as float32, step, norm of what the codes miss, norm of what they hold) of each row."""
+def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(int8 codes; step, norm, norm of what the codes hold, norm of what they miss) of each row."""
     step = np.abs(x).max(axis=1) / 127
     step[step == 0] = 1.0
     code = np.rint(x / step[:, None])
     held = code * step[:, None]
-    return code.astype(np.float32), step, np.linalg.norm(x - held, axis=1), np.linalg.norm(held, axis=1)
+    norm = lambda y: np.linalg.norm(y, axis=1)
+    return code.astype(np.int8), np.column_stack((step, norm(x), norm(held), norm(x - held)))
 
 
 def _code_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -77,40 +80,42 @@ def exact_products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
-def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query's place, candidate's place, score): the k nearest candidates of each query in this tile."""
-    code_q, step_q, miss_q, held_q = quantised(q)
-    code_c, step_c, miss_c, _ = quantised(c)
-    norm_c = np.linalg.norm(c, axis=1)
+@dataclass
+class Block:
+    uids: np.ndarray
+    ids: np.ndarray
+    codes: np.ndarray
+    numbers: np.ndarray
+
+
+def tile(q: Block, c: Block, k: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, candidate's place, lower and upper bound): of each query in this tile what can be among its k nearest."""
+    codes, (step_c, norm_c, _, miss_c) = c.codes.astype(np.float32), c.numbers.T
     found: list[tuple[np.ndarray, ...]] = []
-    for begin in range(0, len(q), rows):
+    for begin in range(0, len(q.ids), rows):
         own = slice(begin, begin + rows)
-        about = _code_products(code_q[own], code_c) * step_q[own, None] * step_c
-        error = (miss_q[own, None] * norm_c + held_q[own, None] * miss_c) * (1 + 1e-9) + 1e-12 * np.abs(about)
-        itself = q_ids[own, None] == c_ids
+        step_q, _, held_q, miss_q = q.numbers[own].T
+        about = _code_products(q.codes[own].astype(np.float32), codes) * step_q[:, None] * step_c
+        error = (miss_q[:, None] * norm_c + held_q[:, None] * miss_c) * (1 + 1e-9) + 1e-12 * np.abs(about)
+        itself = q.ids[own, None] == c.ids
         low = np.where(itself, -np.inf, about - error)
-        least = np.partition(low, -k, axis=1)[:, -k] if len(c) > k else np.full(len(low), -np.inf)
+        least = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
         i, j = np.nonzero((about + error >= least[:, None]) & ~itself)
-        i += begin
-        score = exact_products(q[i], c[j])
-        order = np.lexsort((c_ids[j], -score, i))
-        i, j, score = i[order], j[order], score[order]
-        rank = np.arange(len(i)) - np.searchsorted(i, i)
-        found.append((i[rank < k], j[rank < k], score[rank < k]))
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 3
+        found.append((i + begin, j, low[i, j], (about + error)[i, j]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 4
 
 
-def blocks(rows: DataFrame, side: bool, most: int, dims: dict[int, int]) -> DataFrame:
-    """Rows dealt at random into dims[dim] blocks of about `most` rows, each packed into a row."""
-    counts = F.create_map(*[F.lit(x) for pair in dims.items() for x in pair])
+def blocks(rows: DataFrame, most: int, counts: dict[int, int]) -> DataFrame:
+    """Rows (uid, vec_id, dim, vector) dealt at random into counts[dim] blocks of about `most` rows, each quantised and packed into a row."""
+    of_dim = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])
 
     def run(table: pa.Table) -> pa.Table:
-        dim, block = table.column("dim")[0].as_py(), table.column("block")[0].as_py()
-        packed = [table.column(c).to_numpy().astype(np.int64).tobytes() for c in ("vec_id", "mark")]
-        flat = pc_flat(table.column("vector"))
-        return pa.table([pa.array([side]), pa.array([dim], pa.int32()), pa.array([block], pa.int32()), pa.array([packed[0]], pa.binary()), pa.array([flat.tobytes()], pa.binary()), pa.array([packed[1]], pa.binary())], names=["side", "dim", "block", "ids", "vectors", "marks"])
+        dim = table.column("dim")[0].as_py()
+        codes, numbers = quantised(pc_flat(table.column("vector")).reshape(-1, dim))
+        packed = [table.column(c).to_numpy().astype(np.int64).tobytes() for c in ("uid", "vec_id")] + [codes.tobytes(), numbers.tobytes()]
+        return pa.table([pa.array([dim], pa.int32()), table.column("block").slice(0, 1), *(pa.array([x], pa.binary()) for x in packed)], names=["dim", "block", "uids", "ids", "codes", "numbers"])
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(side), "mark", F.monotonically_increasing_id()), counts[F.col("dim")]).cast("int"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("uid"), of_dim[F.col("dim")]).cast("int"))
     return dealt.groupBy("dim", "block").applyInArrow(run, _BLOCK)
 
 
@@ -120,26 +125,49 @@ def pc_flat(column: pa.ChunkedArray) -> np.ndarray:
 
 def nearest(vectors: DataFrame, is_query: Column, settings: Settings = Settings()) -> DataFrame:
     """query_id, query_row, rank, vec_id, score: the k rows with the largest inner product with each query."""
-    rows = usable(vectors)
-    query = rows.where(is_query)
-    sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).collect()  # a row a length of vectors
+    # Stored with a number for each row, by which what survives finds its vector again.
+    rows = stored(usable(vectors).withColumns({"uid": F.monotonically_increasing_id(), "asks": is_query}))
+    sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(F.col("asks"), 1)).alias("q")).collect()  # a row a length of vectors
     if not sizes:
         sizes = [(1, 0, 0)]
     q_blocks = {d: max(1, -(-q // settings.query_block)) for d, _, q in sizes}
     c_blocks = {d: max(1, -(-n // settings.candidate_block)) for d, n, _ in sizes}
     other = lambda counts: F.explode(F.sequence(F.lit(0), F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])[F.col("dim")] - 1))
-    left = blocks(query, True, settings.query_block, q_blocks).withColumn("c", other(c_blocks)).select("dim", F.col("block").alias("q"), "c", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("marks").alias("q_marks"))
-    right = blocks(rows, False, settings.candidate_block, c_blocks).withColumn("q", other(q_blocks)).select("dim", "q", F.col("block").alias("c"), "ids", "vectors")
+    parts = ["uids", "ids", "codes", "numbers"]
+    left = stored(blocks(rows.where("asks"), settings.query_block, q_blocks)).withColumn("c", other(c_blocks)).select("dim", F.col("block").alias("q"), "c", *(F.col(x).alias(f"q_{x}") for x in parts))
+    right = stored(blocks(rows, settings.candidate_block, c_blocks)).withColumn("q", other(q_blocks)).select("dim", "q", F.col("block").alias("c"), *parts)
+
+    def block(r: dict, side: str) -> Block:
+        uids, ids = (np.frombuffer(r[side + x], np.int64) for x in ("uids", "ids"))
+        return Block(uids, ids, np.frombuffer(r[side + "codes"], np.int8).reshape(-1, r["dim"]), np.frombuffer(r[side + "numbers"], np.float64).reshape(-1, 4))
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            for r in batch.to_pylist():
-                q_ids, q_marks, c_ids = (np.frombuffer(r[x], np.int64) for x in ("q_ids", "q_marks", "ids"))
-                q, c = (np.frombuffer(r[x], np.float64).reshape(-1, r["dim"]) for x in ("q_vectors", "vectors"))
-                i, j, score = tile(q_ids, q, c_ids, c, settings.k, settings.tile_rows)
-                yield pa.record_batch([pa.array(q_ids[i]), pa.array(q_marks[i]), pa.array(c_ids[j]), pa.array(score)], names=["query_id", "query_row", "vec_id", "score"])
-
-    found = left.join(right, ["dim", "q", "c"]).mapInArrow(run, _FOUND)
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                q, c = block(r, "q_"), block(r, "")
+                i, j, low, high = tile(q, c, settings.k, settings.tile_rows)
+                yield pa.record_batch([pa.array(q.uids[i]), pa.array(c.uids[j]), pa.array(low), pa.array(high)], names=["query", "candidate", "low", "high"])
+
+    def survivors(table: pa.Table) -> pa.Table:
+        low = table.column("low").to_numpy()
+        least = np.partition(low, -settings.k)[-settings.k] if len(low) > settings.k else -np.inf
+        return table.filter(pa.array(table.column("high").to_numpy() >= least)).select(["query", "candidate"])
+
+    bounds = left.join(right, ["dim", "q", "c"]).mapInArrow(run, _BOUNDS)
+    pairs = stored(bounds.groupBy("query").applyInArrow(survivors, "query long, candidate long"))
+    asked = rows.where("asks").select(F.col("uid").alias("query"), F.col("vec_id").alias("query_id"), F.col("mark").alias("query_row"), F.col("vector").alias("q"))
+    found = pairs.join(rows.select(F.col("uid").alias("candidate"), "vec_id", "vector"), "candidate").join(asked, "query").select("query", "query_id", "query_row", "vec_id", "vector", "q")
+
+    def recompute(batches: Batches) -> Batches:
+        for batch in batches:
+            score = np.zeros(batch.num_rows)
+            size = np.diff(batch.column("q").offsets.to_numpy())
+            for dim in np.unique(size):  # vectors of one length at a time
+                at = np.flatnonzero(size == dim)
+                own = batch.take(pa.array(at))
+                score[at] = exact_products(*(own.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for c in ("q", "vector")))
+            yield pa.record_batch([*(batch.column(c) for c in ("query", "query_id", "query_row", "vec_id")), pa.array(score)], names=["query", "query_id", "query_row", "vec_id", "score"])
 
     def merge(table: pa.Table) -> pa.Table:
         entries = zip(table.column("score").to_pylist(), table.column("vec_id").to_pylist())
@@ -147,10 +175,16 @@ def nearest(vectors: DataFrame, is_query: Column, settings: Settings = Settings(
         n = len(best)
         return pa.table({"query_id": table.column("query_id").slice(0, n), "query_row": table.column("query_row").slice(0, n), "rank": pa.array(range(1, n + 1), pa.int32()), "vec_id": pa.array([v for _, v in best], pa.int64()), "score": pa.array([-s for s, _ in best], pa.float64())})
 
-    return found.groupBy("query_id", "query_row").applyInArrow(merge, "query_id long, query_row long, rank int, vec_id long, score double")
+    return found.mapInArrow(recompute, _SCORES).groupBy("query").applyInArrow(merge, "query_id long, query_row long, rank int, vec_id long, score double")
 
 
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 rows with the largest inner product with each row whose vec_id is divisible by 20: query_id, rank, vec_id, score.
+
+    Shuffled: blocks of int8 codes, once a block of the other side, bounds of some 25 candidates a query and tile, vectors of those that are
+    left.  Nothing is broadcast.  Vectors that are null, empty, zero or not finite take no part; a query's own vec_id is no candidate of it;
+    repeated rows are candidates and queries of their own; an empty table gives no rows.
+    """
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0).select("query_id", "rank", "vec_id", "score")
 
 
