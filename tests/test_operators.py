@@ -1,13 +1,16 @@
 import json
+import re
 from math import e
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vecspark.functions import codes
 from vecspark.functions import columns as c
-from vecspark.operators import allocation, attention, sweep, turns
+from vecspark.operators import allocation, attention, encode, sweep, turns
 from vecspark.operators.search import QuantizedIndex
-from vecspark.functions.spec import QuantizerSpec
+from vecspark.functions.spec import ProductSpec, QuantizerSpec
 from vecspark.sources import captures, reports
 from vecspark.streaming import sessions
 
@@ -52,11 +55,68 @@ def test_empty_list_and_neither_form(spark, tmp_path):
         read(spark, tmp_path, {"other": 1}).collect()
 
 
-@pytest.mark.parametrize("method", ["codes", "uniform"])
+@pytest.mark.parametrize("method", ["primary", "uniform"])
 def test_evaluate(spark, tmp_path, method):
     given = capture(heads=2, head_dim=4, query=[0.1, 0.9, -0.3, 0.2] * 2, keys=[0.5, -0.2, 0.3, 0.9] * 6, values=[0.4, 0.1, 0.2, 0.7] * 6, query_scale=0.5)
-    rows = captures.evaluate(read(spark, tmp_path, given), ["name"], 8, 8, 4, method=method).collect()
-    assert len(rows) == 2 and all(0 <= r.output_mse < 0.01 and r.output_cosine > 0.99 for r in rows)
+    found = read(spark, tmp_path, given)
+    (row,) = captures.evaluate(found, ["name"], 8, 8, 4, 2, method=method, capacity=5).collect()
+    assert 0 <= row.output_mse < 0.01 and row.output_cosine > 0.99 and [h.head for h in row.heads_metrics] == [0, 1]
+    assert (row.tokens, row.requested_top_k, row.top_k, row.capacity, row.raw_kv_bytes) == (3, 2, 2, 5, 192)
+    one = attention.entry_bytes(4, 8, 8) if method == "primary" else attention.uniform_bytes(4, 8, 8)
+    assert (row.cache_live_bytes, row.cache_storage_bytes) == (6 * one, 10 * one) and row.compression_ratio == pytest.approx(192 / (10 * one))
+    assert all(h.exact_norm > 0 and h.quant_norm > 0 and h.output_mse >= 0 for h in row.heads_metrics)
+
+
+def test_sweep_of_a_sample(spark, tmp_path):
+    given = capture(heads=1, kv_heads=1, head_dim=4, query=[0.1, 0.9, -0.3, 0.2], keys=[0.5, -0.2, 0.3, 0.9] * 3, values=[0.4, 0.1, 0.2, 0.7] * 3)
+    got = captures.sweep(read(spark, tmp_path, given), ["name"], 4, [2, 3], [2], [1, 2], ("primary", "uniform")).collect()
+    assert sorted((r.method, r.key_bits, r.value_bits, r.top_k) for r in got) == sorted((m, kb, 2, k) for m in ("primary", "uniform") for kb in (2, 3) for k in (1, 2))
+
+
+def test_complete_groups(spark):
+    rows = [(g, layer, 4, 2, 8, pos) for g, layers, pos in (("a", [0, 3], "last"), ("b", [0], "last"), ("c", [0, 3, 9], "25%")) for layer in layers]
+    df = spark.createDataFrame(rows, "prompt string, layer int, heads int, kv_heads int, head_dim int, token_position string")
+    profile = spark.createDataFrame([(0, 4, 2, 8), (3, 4, 2, 8)], "layer int, heads int, kv_heads int, head_dim int")
+    assert sorted((r.prompt, r.layer) for r in captures.complete_groups(df, profile, ["prompt"]).collect()) == [("a", 0), ("a", 3), ("c", 0), ("c", 3)]
+    assert {r.prompt for r in captures.complete_groups(df, profile, ["prompt"], ["quarter"]).collect()} == {"c"}
+    with pytest.raises(Exception, match="two captures"):
+        captures.complete_groups(df.union(df.where("prompt = 'a' and layer = 0")), profile, ["prompt"]).collect()
+    with pytest.raises(Exception, match="another shape"):
+        captures.complete_groups(df, profile.withColumn("head_dim", F.lit(16)), ["prompt"]).collect()
+
+
+def test_layer_selectors():
+    assert captures.layers_of("all", 3) == [0, 1, 2] and captures.layers_of("spread:3", 9) == [0, 4, 8] and captures.layers_of("0,-1, 0", 5) == [0, 4] and captures.layers_of("spread:9", 4) == [0, 1, 2, 3]
+    with pytest.raises(ValueError):
+        captures.layers_of("7", 5)
+
+
+def cases_of(rows):
+    return [(layer, "primary", kb, vb, 8, "last", 64, mse, cosine, 2000, size, 4, 2, 16) for layer, kb, vb, mse, cosine, size in rows]
+
+
+CASE = "layer int, method string, key_bits int, value_bits int, top_k int, position string, tokens int, output_mse double, output_cosine double, raw_bytes long, storage_bytes long, heads int, kv_heads int, head_dim int"
+
+
+def test_profiles_by_mode(spark):
+    rows = cases_of([(0, 2, 2, 9.0, 0.7, 90), (0, 4, 4, 4.0, 0.92, 160), (1, 2, 2, 21.0, 0.66, 70), (1, 4, 4, 5.0, 0.93, 140)])
+    other = [(0, " Uniform ", 8, 8, 8, "last", 64, 0.0, 1.0, 2000, 1, 4, 2, 16), (0, None, 2, 2, 8, "first", 64, 11.0, 0.5, 2000, 90, 4, 2, 16)]
+    df = spark.createDataFrame(rows + other, CASE)
+    found = allocation.candidates(df, "primary", ["last"])
+    assert {(r.layer, r.key_bits, r.cases) for r in found.collect()} == {(0, 2, 1), (0, 4, 1), (1, 2, 1), (1, 4, 1)} and allocation.candidates(df, "primary").where("cases = 2").count() == 1
+
+    def bits(**limits):
+        got = allocation.select_profile(found, **limits)
+        return [r.key_bits for r in got.orderBy("layer").collect()], got.first().mode
+
+    assert bits() == ([4, 4], "best-mse") and bits(mean_cosine=0.68) == ([2, 4], "fidelity-floor")
+    assert bits(max_storage=235) == ([2, 4], "budgeted") and bits(min_compression=4000 / 235) == ([2, 4], "budgeted") and bits(max_storage=400, mean_cosine=0.68) == ([4, 4], "budgeted-fidelity-floor")
+    total = allocation.allocation_summary(allocation.select_profile(found)).first()
+    assert (total.layers, total.samples, total.mean_mse, total.raw_bytes, total.storage_bytes) == (2, 2, 4.5, 4000.0, 300.0) and total.compression == pytest.approx(4000 / 300)
+    made = allocation.layer_profiles(allocation.select_profile(found), 42, 512).orderBy("layer").collect()
+    assert [r.capacity for r in made] == [512, 512] and len({r.seed for r in made}) == 2
+    with pytest.raises(Exception, match="differ in heads"):
+        allocation.candidates(df.union(spark.createDataFrame([(*rows[0][:-3], 8, 2, 16)], CASE))).collect()
 
 
 def test_token_index(spark):
@@ -99,7 +159,7 @@ def test_expansion_prefers_the_lower_donor(spark):
 
 
 def test_percentile_is_the_lower_rank(spark):
-    assert spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "x double").agg(c.lower_percentile("x", 0.95)).first()[0] == 2.0
+    assert sweep.lower_ranks(spark.createDataFrame([(0, 1.0), (0, 2.0), (0, 3.0), (0, 3.0), (0, None)], "g int, x double"), ["g"], "x", {"a": 0.95, "b": 0.5, "c": 0.0}).first() == (0, 3.0, 2.0, 1.0)
 
 
 def test_append_goes_on_from_the_last_slot(spark):
@@ -128,8 +188,8 @@ def test_turn_sync(spark, old, new, action, n):
 def test_texts(spark):
     one = lambda x: spark.range(1).select(x).first()[0]
     assert one(c.tokens(F.lit(" Héllo, wörld-42! "))) == ["héllo", "wörld", "42"] and one(c.tokens(F.lit(" !? "))) == ["!?"] and one(c.tokens(F.lit(" "))) == []
-    assert one(c.plain_name(F.lit(" My Run #7 "))) == "my-run-7"
-    assert one(c.summary_text(F.lit("a  b\nc d"), 5)) == "a b c..."
+    assert one(c.plain_name(F.lit(" My Run #7 "))) == "my-run--7" and one(c.plain_name(F.lit("  "))) == "run"
+    assert one(c.summary_text(F.lit("a  b\nc d e"), 7)) == "a b ..." and one(c.summary_text(F.lit("ééé"), 6)) == "ééé" and one(c.summary_text(F.lit("éééé"), 6)) == "é..." and one(c.preview_text(F.lit("ab\ncd"), 3)) == "ab "
     assert one(c.flat_content(F.lit('[{"type":"text","text":"a"},{"type":"image"},{"type":"text","text":"b"}]'))) == "a\nb"
     assert one(c.flat_content(F.lit('"x y"'))) == "x y" and one(c.flat_content(F.lit("plain"))) == "plain"
     assert one(reports.prompts(F.lit("one\n\n two \n\n\n\n"))) == ["one", "two"] and one(reports.prompts(F.lit('["a", " b "]'))) == ["a", "b"]
@@ -137,9 +197,85 @@ def test_texts(spark):
 
 
 def test_logs(spark):
-    log = "KV buffer size = 408.00 MiB\nKV self size  =  768.00 MiB, K (f16):  384.00 MiB, V (f16):  384.00 MiB\nFinal estimate: PPL = 5.4007 +/- 0.67339\n"
-    row = spark.createDataFrame([(log,), ("nothing",)], "t string").select(reports.perplexity(F.col("t")).alias("p"), reports.kv_memory(F.col("t")).alias("m")).collect()
-    assert tuple(row[0].p) == (5.4007, 0.67339) and tuple(row[0].m) == (768.0, 384.0, 384.0, 408.0) and row[1].m is None and row[1].p.value is None
+    # Lines as the tool writes them.
+    log = """
+llama_kv_cache_init:       CUDA0 KV buffer size =   408.00 MiB
+llama_kv_cache_init: size =  768.00 MiB ( 65536 cells,  32 layers,  1/1 seqs), K (q8_0):  384.00 MiB, V (q4_0):  384.00 MiB
+[1]15.2701,[2]5.4007
+Final estimate: PPL = 5.4007 +/- 0.67339
+"""
+    row = spark.createDataFrame([(log,), ("nothing",), ("perplexity: 7.5e0 [1]\nperplexity: 6.25 x",)], "t string").select(reports.perplexity(F.col("t")).alias("p"), reports.kv_memory(F.col("t")).alias("m")).collect()
+    assert tuple(row[0].p) == (5.4007, 0.67339) and row[2].p.value == 6.25
+    assert tuple(row[0].m)[:6] == (768.0, "q8_0", 384.0, "q4_0", 384.0, 408.0) and [tuple(b) for b in row[0].m.buffers] == [("CUDA0", 408.0)] and row[1].m is None and row[1].p.value is None
+
+
+def test_metric_lines(spark):
+    rows = spark.createDataFrame([("/a", "x", 200), ("/a", "x", 200), ("/b", "x", 503)], "endpoint string, backend string, status int")
+    got = [r.value for r in reports.metric_lines(rows, spark.createDataFrame([("s",)], "session string")).collect()]
+    assert got == ["# TYPE requests_total counter", 'requests_total{endpoint="/a",backend="x",status="200"} 2', 'requests_total{endpoint="/b",backend="x",status="503"} 1', "# TYPE responses_total counter", 'responses_total{class="2xx"} 2', 'responses_total{class="5xx"} 1', "# TYPE sessions gauge", "sessions 1"]
+
+
+def plain_vector(text, index, lane, dim):
+    """The hashed vector by a loop over bytes."""
+    def fnv(data):
+        h = 0xCBF29CE484222325
+        for b in data:
+            h = (h ^ b) * 0x100000001B3 % 2**64
+        return h
+
+    found = [w for w in re.split(r"[^\w]|_", text.strip().lower()) if w] or ([text.strip().lower()] if text.strip() else ["_empty"])
+    v = np.zeros(dim)
+    for w in found:
+        for step in range(4):
+            v[fnv(w.encode() + bytes([index % 256, lane, step])) % dim] += -1.0 if fnv(w.encode() + bytes([lane, step, 127])) & 1 else 1.0
+    return v / (np.linalg.norm(v) or 1)
+
+
+def test_hashed_vectors():
+    texts = ["Hello, world", "", " !? ", "a1 b2 a1", "é 日本"]
+    words = [[w for w in re.split(r"[^\w]|_", t.strip().lower()) if w] or ([t.strip().lower()] if t.strip() else []) for t in texts]
+    for lane in (0, 1):
+        got = turns.hashed_vectors(words, [0, 3, 300, 7, 7], 24, lane)
+        assert np.allclose(got, [plain_vector(t, i, lane, 24) for t, i in zip(texts, [0, 3, 300, 7, 7])])
+
+
+def test_recall_against_a_loop(spark, sf):
+    table = spark.read.parquet(f"{sf}/conversations.parquet")
+    got = {}
+    for r in turns.recall(table, 4, 64).collect():
+        got.setdefault(r.conv_id, []).append((r["rank"], r.turn, r.role, r.score))
+    spec, want = ProductSpec(64, 3, 42), {}
+    for conv, own in table.toPandas().sort_values("turn").groupby("conv_id"):
+        texts, roles = own.text.tolist(), own.role.tolist()
+        blank = [t.strip() == "" for t in texts]
+        users = [i for i in range(len(texts)) if roles[i] == "user" and not blank[i]] or [i for i in range(len(texts)) if not blank[i]]
+        if not users:
+            continue
+        question = texts[users[-1]]
+        keys = np.array([plain_vector(t, i, 0, 64) for i, t in enumerate(texts)])
+        q = plain_vector(question, len(texts), 0, 64)
+        scores = np.round(codes.product_scores(*codes.encode_product(keys, spec), q[None], spec)[:, 0], 6) + 0.0
+        top = sorted(range(len(texts)), key=lambda i: (-scores[i], own.turn.iloc[i]))[:4]
+        kept = []
+        for i in top:
+            if not (roles[i].lower() == "user" and texts[i] == question.strip()) and (roles[i], texts[i], scores[i]) not in [(roles[j], texts[j], scores[j]) for j in kept]:
+                kept.append(i)
+        if kept:
+            want[conv] = [(n + 1, int(own.turn.iloc[i]), roles[i], pytest.approx(scores[i], abs=2e-6)) for n, i in enumerate(kept)]
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_codes_of_bad_vectors_are_null(spark):
+    spec = QuantizerSpec(4, 2, seed=1)
+    rows = [(1, [1.0, 2.0, 3.0, 4.0], "kept"), (2, None, "kept"), (3, [1.0, 2.0], "kept"), (4, [1.0, None, 3.0, 4.0], "kept"), (5, [4.0, 3.0, 2.0, 1.0], "kept")]
+    df = spark.createDataFrame(rows, "id long, v array<double>, other string").withColumn("packed", F.lit("old"))
+    coded = encode.quantize(df, spec)
+    again = encode.dequantize(encode.quantize(coded, spec), spec)
+    assert coded.columns == ["id", "v", "other", "packed", "norm"] and again.columns.count("packed") == 1
+    got = {r.id: r for r in again.collect()}
+    assert all(got[i].packed is None and got[i].recon is None and got[i].other == "kept" for i in (2, 3, 4)) and all(len(got[i].recon) == 4 for i in (1, 5))
+    product = encode.quantize_product(df, ProductSpec(4, 3, 1))
+    assert {r.id for r in product.where("mse is null").collect()} == {2, 3, 4}
 
 
 def test_reports(spark, tmp_path):

@@ -8,6 +8,8 @@ import pyarrow as pa
 from .spec import ProductSpec, QuantizerSpec
 
 TINY = 1e-12
+#: Rows that are worked on at once.
+ROWS = 256
 
 
 def matrix_of(column: pa.Array, dim: int) -> np.ndarray:
@@ -26,22 +28,58 @@ def lists_of(x: np.ndarray, kind: pa.DataType) -> pa.ListArray:
 
 
 def bytes_of(x: np.ndarray) -> pa.Array:
-    return pa.array([row.tobytes() for row in np.ascontiguousarray(x)], pa.binary())
+    """Rows of bytes as a binary column."""
+    rows, width = x.shape
+    offsets = np.arange(rows + 1, dtype=np.int32) * width
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x, np.uint8))])
 
 
 def rows_of(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+    """A binary column without nulls, all of `width` bytes, as rows."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    if column.null_count or (np.diff(offsets) != width).any():
+        raise ValueError(f"not all codes have {width} bytes")
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].reshape(-1, width) if len(column) else np.zeros((0, width), np.uint8)
 
 
 def pack(values: np.ndarray, bits: int) -> np.ndarray:
     """Rows of small integers to rows of bytes: the lowest bit first, in bytes from the lowest bit on."""
-    apart = (values[:, :, None] >> np.arange(bits)) & 1
-    return np.packbits(apart.reshape(len(values), -1).astype(np.uint8), axis=1, bitorder="little")
+    values = values.astype(np.uint8, copy=False)
+    rows, count = values.shape
+    if bits == 8:
+        return values
+    if bits == 1:
+        return np.packbits(values, axis=1, bitorder="little")
+    per = 8 // bits
+    if 8 % bits == 0:
+        if count % per:
+            values = np.pad(values, ((0, 0), (0, -count % per)))
+        out = values[:, ::per].copy()
+        for i in range(1, per):
+            out |= values[:, i::per] << np.uint8(bits * i)
+        return out
+    apart = (values[:, :, None] >> np.arange(bits, dtype=np.uint8)) & np.uint8(1)
+    return np.packbits(apart.reshape(rows, -1), axis=1, bitorder="little")
 
 
 def unpack(packed: np.ndarray, count: int, bits: int) -> np.ndarray:
+    """As bytes: the cells that pack() took."""
+    if bits == 8:
+        return packed
+    if 8 % bits == 0:
+        per, mask = 8 // bits, np.uint8((1 << bits) - 1)
+        out = np.empty((len(packed), packed.shape[1] * per), np.uint8)
+        for i in range(per):
+            np.bitwise_and(packed >> np.uint8(bits * i), mask, out=out[:, i::per])
+        return out[:, :count]
     apart = np.unpackbits(packed, axis=1, bitorder="little")[:, : count * bits].reshape(len(packed), count, bits)
-    return apart @ (1 << np.arange(bits))
+    out = apart[:, :, 0].copy()
+    for i in range(1, bits):
+        out |= apart[:, :, i] << np.uint8(i)
+    return out
 
 
 def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,8 +90,17 @@ def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def indices(x: np.ndarray, spec: QuantizerSpec) -> tuple[np.ndarray, np.ndarray]:
     """(cell of each rotated coordinate, norms). A value on a boundary is in the upper cell."""
-    u, norm = unit(x)
-    return np.searchsorted(spec.boundaries, spec.rotate(u), "right"), norm
+    edges, cells, norm = spec.boundaries, np.zeros(x.shape, np.uint8), np.zeros(len(x))
+    for begin in range(0, len(x), ROWS):  # what a step makes stays near the processor
+        own = slice(begin, begin + ROWS)
+        u, norm[own] = unit(x[own])
+        y = spec.rotate(u)
+        if len(edges) > 15:
+            cells[own] = np.searchsorted(edges, y, "right")
+        else:
+            for b in edges:
+                cells[own] += y >= b
+    return cells, norm
 
 
 def reconstruct(cells: np.ndarray, spec: QuantizerSpec) -> np.ndarray:
@@ -67,17 +114,21 @@ def encode_product(x: np.ndarray, spec: ProductSpec) -> tuple[np.ndarray, np.nda
     """(cells, signs of the projected residual, norm of the residual). The norm of x is not kept."""
     cells, _ = indices(x, spec.base)
     left = unit(x)[0] - reconstruct(cells, spec.base)
-    return cells, (left @ spec.projection.T >= 0).astype(np.int64), np.float32(np.sqrt((left * left).sum(axis=1))).astype(float)
+    return cells, (left @ spec.projection.T >= 0).view(np.uint8), np.float32(np.sqrt((left * left).sum(axis=1))).astype(float)
+
+
+def _plus_minus(signs: np.ndarray) -> np.ndarray:
+    return np.array([-1.0, 1.0])[signs]
 
 
 def decode_product(cells: np.ndarray, signs: np.ndarray, left: np.ndarray, spec: ProductSpec) -> np.ndarray:
-    return reconstruct(cells, spec.base) + spec.scale * left[:, None] * ((2.0 * signs - 1) @ spec.projection)
+    return reconstruct(cells, spec.base) + spec.scale * left[:, None] * (_plus_minus(signs) @ spec.projection)
 
 
 def product_scores(cells, signs, left, queries: np.ndarray, spec: ProductSpec) -> np.ndarray:
     """rows x queries: estimates of <x / |x|, y>."""
     base = spec.base.centroids[cells] @ spec.base.rotate(queries).T
-    return base + spec.scale * left[:, None] * ((2.0 * signs - 1) @ (queries @ spec.projection.T).T)
+    return base + spec.scale * left[:, None] * (_plus_minus(signs) @ (queries @ spec.projection.T).T)
 
 
 def scores(cells, norms, queries: np.ndarray, spec: QuantizerSpec) -> np.ndarray:

@@ -68,10 +68,10 @@ def uniform_reconstruct(v: Column | str, bits: int) -> Column:
     return F.when(n == 0, F.transform(_c(v), lambda x: F.lit(0.0))).otherwise(F.transform(_c(v), one))
 
 
-def lower_percentile(x: Column | str, p: float) -> Column:
-    """An aggregate: the element at place floor(p (n - 1)) of the sorted values; 0 without values."""
-    s = F.sort_array(F.collect_list(_c(x)))
-    return F.coalesce(F.try_element_at(s, F.floor(F.lit(p) * (F.size(s) - 1)).cast("int") + 1), F.lit(0.0))
+def normal_method(method: Column | str, default: str = "primary", known: Sequence[str] = ("primary", "uniform")) -> Column:
+    """The method's name in lower case; the default for a blank one, null for one that isn't known."""
+    x = F.coalesce(F.nullif(F.lower(F.trim(_c(method))), F.lit("")), F.lit(default))
+    return F.when(x.isin(*known), x)
 
 
 def relative_position(label: Column | str, token_index: Column | str, sequence_length: Column | str) -> Column:
@@ -114,15 +114,30 @@ def tokens(text: Column | str) -> Column:
     return F.when(F.size(found) > 0, found).when(low != "", F.array(low)).otherwise(F.array().cast("array<string>"))
 
 
+def _cut(text: Column, most: int) -> Column:
+    """At most `most` bytes of UTF-8, the last three of them dots where something was cut (no dots up to 3); a character that the cut goes
+    through is left out."""
+    room, dots = (most, "") if most <= 3 else (most - 3, "...")
+    tries = [F.substring(F.encode(text, "UTF-8"), 1, room - k).cast("string") for k in range(min(3, room) + 1)]
+    whole = F.coalesce(*[F.when(F.is_valid_utf8(x), x) for x in tries])
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(whole, F.lit(dots)))
+
+
 def summary_text(text: Column | str, most: int) -> Column:
-    """White space collapsed; at most `most` characters, then dots."""
+    """White space collapsed, then at most `most` bytes; 0 or less: no limit."""
     one = F.trim(F.regexp_replace(_c(text), r"\s+", " "))
-    return F.when(F.length(one) <= most, one).otherwise(F.concat(F.substring(one, 1, most), F.lit("...")))
+    return _cut(one, most) if most > 0 else one
+
+
+def preview_text(text: Column | str, most: int) -> Column:
+    """Line feeds as spaces, then at most `most` bytes."""
+    return _cut(F.regexp_replace(F.regexp_replace(_c(text), "\n", " "), r"^\s+|\s+$", ""), max(most, 0))
 
 
 def plain_name(text: Column | str) -> Column:
-    """Lower case; runs of anything but a-z and 0-9 become one hyphen, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(_c(text)), "[^a-z0-9]+", "-"), F.lit("-"))
+    """Lower case; each character but a-z and 0-9 becomes a hyphen, none at the ends; "run" for a blank text."""
+    low = F.lower(F.trim(_c(text)))
+    return F.when(low == "", "run").otherwise(F.trim(F.regexp_replace(low, "[^a-z0-9]", "-"), F.lit("-")))
 
 
 def clean_strings(values: Column | str) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -35,14 +35,33 @@ def blocks_of(dim: int) -> list[tuple[int, int]]:
     return out
 
 
+@lru_cache
+def _hadamard_matrix(n: int) -> np.ndarray:
+    h = np.ones((1, 1))
+    while len(h) < n:
+        h = np.block([[h, h], [h, -h]])
+    return h
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """The orthonormal Walsh-Hadamard transform of each row; the length is a power of two."""
-    n, size = x.shape[1], 1
-    while size < n:
-        pairs = x.reshape(len(x), -1, 2, size)
-        x = np.stack((pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]), axis=2).reshape(len(x), n)
-        size *= 2
-    return x / np.sqrt(n)
+    """The normalised Walsh-Hadamard transform of each row; a power of two of columns.
+
+    The matrix of a b columns is the product of those of a and of b over the two halves of the index, so each step is one matrix
+    product with a matrix of 32 at the most.
+    """
+    rows, n = x.shape
+    out, left, done = x, n, 1
+    while left > 1:
+        size = min(32, left)
+        left //= size
+        # (rows, left, size, done): the middle part of the index is transformed, then moved to the end.
+        parts = out.reshape(rows * left, size, done)
+        if done > 1:
+            parts = parts.swapaxes(1, 2)
+        parts = parts.reshape(-1, size) @ _hadamard_matrix(size)
+        out = (parts.reshape(rows * left, done, size).swapaxes(1, 2) if done > 1 else parts).reshape(rows, n)
+        done *= size
+    return out / np.sqrt(n)
 
 
 @dataclass(frozen=True)

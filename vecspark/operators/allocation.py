@@ -12,21 +12,45 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecspark.functions import columns as c
+from vecspark.functions.spec import SEED_STEP
+
 KEYS = ["key_bits", "value_bits", "top_k"]
 _CHOSEN = "set string, layer int, key_bits int, value_bits int, top_k int, storage_bytes double, mean_mse double"
 
 
-def candidates(cases: DataFrame) -> DataFrame:
-    """Means, the 5th percentile (interpolated) and the minimum of the cosine, for each layer and configuration."""
-    return cases.groupBy("layer", *KEYS).agg(
+SHAPE = ["heads", "kv_heads", "head_dim"]
+
+
+def candidates(cases: DataFrame, method: str | None = None, positions: list[str] | None = None) -> DataFrame:
+    """Means, the 5th percentile (interpolated) and the minimum of the cosine, for each layer and configuration.
+
+    method, positions: only cases of these (all, if not given).  Samples of one layer have one shape, where cases have those columns; another
+    one is an error when the result is used.
+    """
+    if method is not None:
+        cases = cases.where(c.normal_method("method") == method)
+    if positions:
+        cases = cases.where(c.position_label("position").isin([*positions]))
+    shape = [x for x in SHAPE if x in cases.columns]
+    found = cases.groupBy("layer", *KEYS).agg(
         F.count("*").alias("cases"),
         F.avg("output_mse").alias("mean_mse"),
         F.avg("output_cosine").alias("mean_cosine"),
         F.percentile("output_cosine", F.lit(0.05)).alias("p05_cosine"),
         F.min("output_cosine").alias("min_cosine"),
+        F.avg("raw_bytes").alias("raw_bytes"),
         F.avg("storage_bytes").alias("storage_bytes"),
+        F.avg(F.try_divide(F.col("raw_bytes").cast("double"), F.col("storage_bytes"))).alias("compression"),
         F.max("tokens").alias("capacity"),
+        *[f(x).alias(f"_{name}_{x}") for x in shape for name, f in (("least", F.min), ("most", F.max))],
     )
+    for x in shape:
+        layer = Window.partitionBy("layer")
+        least, most = F.min(f"_least_{x}").over(layer), F.max(f"_most_{x}").over(layer)
+        one = F.when(least == most, least).otherwise(F.raise_error(F.format_string(f"samples of layer %d differ in {x}", "layer")).cast("int"))
+        found = found.withColumn(x, one).drop(f"_least_{x}", f"_most_{x}")
+    return found
 
 
 def skyline(found: DataFrame) -> DataFrame:
@@ -69,13 +93,18 @@ def choose(layers: list[list[tuple[float, float]]], budget: float, unit: float)
 
 
 def allocate(found: DataFrame, budgets: DataFrame, unit: float = 1.0) -> DataFrame:
-    """set, layer and the chosen configuration. budgets: set, budget (null: the most exact of each layer)."""
-    budget_of = budgets.select("set", "budget")
+    """set, layer and the chosen configuration. budgets: set, budget in bytes (null: the most exact of each layer), and, if there is such a
+    column, compression: raw bytes of the layers by this are the budget then."""
+    budget_of = budgets.select("set", "budget", F.col("compression") if "compression" in budgets.columns else F.lit(None).cast("double").alias("compression"))
+    if budget_of.count() > MOST_SETS:
+        raise ValueError(f"more than {MOST_SETS} sets are not broadcast")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["layer", "storage_bytes", "mean_mse", *KEYS])
         groups = [g for _, g in rows.groupby("layer", sort=True)]
-        budget = rows["budget"].iloc[0]
+        budget, ratio = rows["budget"].iloc[0], rows["compression_target"].iloc[0]
+        if not pd.isna(ratio):
+            budget = sum(g["raw_bytes"].iloc[0] for g in groups) / ratio
         if pd.isna(budget):
             picked = [int(g["mean_mse"].argmin()) for g in groups]
         else:
@@ -84,7 +113,47 @@ def allocate(found: DataFrame, budgets: DataFrame, unit: float = 1.0) -> DataFra
                 raise ValueError(f"no choice of candidates fits {budget} bytes")
         return pd.concat([g.iloc[[i]] for g, i in zip(groups, picked)])[["set", "layer", *KEYS, "storage_bytes", "mean_mse"]]
 
-    return found.join(F.broadcast(budget_of)).groupBy("set").applyInPandas(run, _CHOSEN)
+    raw = found if "raw_bytes" in found.columns else found.withColumn("raw_bytes", F.lit(None).cast("double"))
+    return raw.join(F.broadcast(budget_of.withColumnRenamed("compression", "compression_target"))).groupBy("set").applyInPandas(run, _CHOSEN)
+
+
+MOST_SETS = 10_000
+
+
+def selection_mode(max_storage: float = 0, min_compression: float = 0, mean_cosine: float = 0, p05_cosine: float = 0) -> str:
+    """How a profile is chosen under these limits; 0 is none."""
+    floor, budget = mean_cosine > 0 or p05_cosine > 0, max_storage > 0 or min_compression > 0
+    return {(False, False): "best-mse", (True, False): "fidelity-floor", (False, True): "budgeted", (True, True): "budgeted-fidelity-floor"}[floor, budget]
+
+
+def select_profile(found: DataFrame, name: str = "all", max_storage: float = 0, min_compression: float = 0, mean_cosine: float = 0, p05_cosine: float = 0, unit: float = 1.0) -> DataFrame:
+    """candidates() with set, mode: one of each layer, of the skyline and above the floors; the smallest under floors alone, the best sum of
+    errors under a budget (bytes, or raw bytes by a compression), the most exact otherwise."""
+    mode = selection_mode(max_storage, min_compression, mean_cosine, p05_cosine)
+    left = floors(skyline(found), mean_cosine or None, p05_cosine or None)
+    if mode in ("best-mse", "fidelity-floor"):
+        chosen = best_by(left, "mse" if mode == "best-mse" else "size")
+    else:
+        budget = [(name, None if min_compression > 0 else float(max_storage), float(min_compression) if min_compression > 0 else None)]
+        picked = allocate(left, found.sparkSession.createDataFrame(budget, "set string, budget double, compression double"), unit)
+        chosen = left.join(F.broadcast(picked.select("layer", *KEYS)), ["layer", *KEYS])  # a row a layer
+    return chosen.select(F.lit(name).alias("set"), F.lit(mode).alias("mode"), *found.columns)
+
+
+def allocation_summary(chosen: DataFrame) -> DataFrame:
+    """Of each set: layers, samples, mean errors, total raw and stored bytes, and their ratio."""
+    out = chosen.groupBy("set").agg(
+        F.count("*").alias("layers"), F.sum("cases").alias("samples"), F.avg("mean_mse").alias("mean_mse"), F.avg("mean_cosine").alias("mean_cosine"),
+        F.sum("raw_bytes").alias("raw_bytes"), F.sum("storage_bytes").alias("storage_bytes"),
+    )
+    return out.withColumn("compression", F.try_divide("raw_bytes", "storage_bytes"))
+
+
+def layer_profiles(chosen: DataFrame, seed: int = 42, capacity: int = 0) -> DataFrame:
+    """The choice as rows of a profile: the capacity given or the layer's most tokens, and a seed of its own for each layer."""
+    own = F.lit(seed).bitwiseXOR((F.col("layer") + 1).cast("long") * F.lit(SEED_STEP))
+    room = F.lit(capacity) if capacity > 0 else F.col("capacity")
+    return chosen.withColumn("capacity", room.cast("int")).withColumn("seed", own)
 
 
 def expand(profile: DataFrame, layers: DataFrame) -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecspark.functions import columns as c
+from vecspark.functions.spec import ProductSpec, QuantizerSpec
+
+from . import encode
 
 
 def weights(scored: DataFrame, by: list[str], k: int | None = None) -> DataFrame:
@@ -40,6 +43,15 @@ def attend(queries: DataFrame, entries: DataFrame, on: list[str], by: list[str],
     return weighted_sum(weights(scored, by, k), by)
 
 
+def attend_codes(queries: DataFrame, coded: DataFrame, on: list[str], by: list[str], keys: ProductSpec, values: QuantizerSpec, scale: float = 1.0, k: int | None = None) -> DataFrame:
+    """attend() on codes: keys by inner-product codes (mse, signs, res_norm), values by plain ones (packed, norm). Only the values of entries
+    that are selected are decoded."""
+    scored = encode.score_product(queries.join(coded, on), keys, "q").withColumn("score", F.col("score") * F.lit(scale))
+    picked = weights(scored.select(*by, "slot", "score", "packed", "norm"), by, k)
+    decoded = encode.dequantize(picked, values)
+    return weighted_sum(decoded, by, "recon", F.col("norm").cast("double"))
+
+
 def grouped_heads(queries: DataFrame, heads: int, kv_heads: int) -> DataFrame:
     """queries (head) with kv_head: heads / kv_heads query heads read one key/value head."""
     if heads % kv_heads:

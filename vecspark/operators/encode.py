@@ -1,4 +1,7 @@
-"""Codes of vector columns: maps over Arrow batches, no shuffle. Rows keep all their columns."""
+"""Codes of vector columns: maps over Arrow batches, no shuffle. Rows keep all their columns.
+
+A column that is added replaces one of the same name.  Rows whose input is null, has another length or a null component get nulls.
+"""
 
 from __future__ import annotations
 
@@ -6,22 +9,42 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from vecspark.functions import codes
 from vecspark.functions.spec import ProductSpec, QuantizerSpec
 
 
-def _add(df: DataFrame, more: str, names: list[str], make: Callable[[pa.RecordBatch], list]) -> DataFrame:
-    """df with columns that make() gets from a batch; more: their DDL."""
+def _add(df: DataFrame, more: str, column: str, width: int, make: Callable[[pa.RecordBatch], list]) -> DataFrame:
+    """df with columns (DDL) that make() gets from the rows of a batch whose `column` has `width` elements or bytes."""
+    added = StructType.fromDDL(more)
+    keep = [f for f in df.schema.fields if f.name.lower() not in {x.name.lower() for x in added.fields}]
+    names = [f.name for f in keep] + added.fieldNames()
+
+    def fits(values: pa.Array) -> np.ndarray:
+        size = pc.binary_length(values) if pa.types.is_binary(values.type) else pc.list_value_length(values)
+        ok = pc.fill_null(pc.equal(size, width), False).to_numpy(zero_copy_only=False)
+        if not pa.types.is_binary(values.type) and values.values.null_count:
+            hole = np.concatenate(([0], np.cumsum(pc.is_null(values.flatten()).to_numpy(zero_copy_only=False))))
+            upto = np.concatenate(([0], np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False))))
+            ok &= hole[upto[1:]] == hole[upto[:-1]]
+        return ok
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield pa.record_batch([*batch.columns, *make(batch)], names=[*batch.schema.names, *names])
+            if not batch.num_rows:
+                continue
+            ok = fits(batch.column(column))
+            if ok.all():
+                made = make(batch)
+            else:
+                place = pa.array(np.cumsum(ok) - 1, mask=~ok)
+                made = [x.take(place) for x in make(batch.filter(pa.array(ok)))]
+            yield pa.record_batch([*(batch.column(f.name) for f in keep), *made], names=names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{fields}, {more}")
+    return df.mapInArrow(run, StructType([*keep, *added.fields]))
 
 
 def rotate(df: DataFrame, spec: QuantizerSpec, vector: str = "v", out: str = "rotated", inverse: bool = False) -> DataFrame:
@@ -31,7 +54,7 @@ def rotate(df: DataFrame, spec: QuantizerSpec, vector: str = "v", out: str = "ro
         x = codes.matrix_of(batch.column(vector), spec.dim)
         return [codes.lists_of(spec.unrotate(x) if inverse else spec.rotate(x), pa.float64())]
 
-    return _add(df, f"{out} array<double>", [out], make)
+    return _add(df, f"{out} array<double>", vector, spec.dim, make)
 
 
 def quantize(df: DataFrame, spec: QuantizerSpec, vector: str = "v") -> DataFrame:
@@ -42,7 +65,7 @@ def quantize(df: DataFrame, spec: QuantizerSpec, vector: str = "v") -> DataFrame
         cells, norms = codes.indices(codes.matrix_of(batch.column(vector), spec.dim), spec)
         return [codes.bytes_of(codes.pack(cells, spec.bits)), pa.array(norms.astype(np.float32))]
 
-    return _add(df, "packed binary, norm float", ["packed", "norm"], make)
+    return _add(df, "packed binary, norm float", vector, spec.dim, make)
 
 
 def indices(df: DataFrame, spec: QuantizerSpec, vector: str = "v") -> DataFrame:
@@ -53,12 +76,12 @@ def indices(df: DataFrame, spec: QuantizerSpec, vector: str = "v") -> DataFrame:
         cells, norms = codes.indices(codes.matrix_of(batch.column(vector), spec.dim), spec)
         return [codes.lists_of(cells, pa.int32()), pa.array(norms.astype(np.float32))]
 
-    return _add(df, "cells array<int>, norm float", ["cells", "norm"], make)
+    return _add(df, "cells array<int>, norm float", vector, spec.dim, make)
 
 
 def unpack(df: DataFrame, dim: int, bits: int, packed: str = "packed", out: str = "cells") -> DataFrame:
     width = (dim * bits + 7) // 8
-    return _add(df, f"{out} array<int>", [out], lambda b: [codes.lists_of(codes.unpack(codes.rows_of(b.column(packed), width), dim, bits), pa.int32())])
+    return _add(df, f"{out} array<int>", packed, width, lambda b: [codes.lists_of(codes.unpack(codes.rows_of(b.column(packed), width), dim, bits), pa.int32())])
 
 
 def dequantize(df: DataFrame, spec: QuantizerSpec, packed: str = "packed", out: str = "recon") -> DataFrame:
@@ -69,13 +92,13 @@ def dequantize(df: DataFrame, spec: QuantizerSpec, packed: str = "packed", out:
         cells = codes.unpack(codes.rows_of(batch.column(packed), spec.code_bytes), spec.dim, spec.bits)
         return [codes.lists_of(codes.reconstruct(cells, spec), pa.float64())]
 
-    return _add(df, f"{out} array<double>", [out], make)
+    return _add(df, f"{out} array<double>", packed, spec.code_bytes, make)
 
 
 def dequantize_indices(df: DataFrame, spec: QuantizerSpec, cells: str = "cells", out: str = "recon") -> DataFrame:
     """As dequantize(), from integers; one out of range is an error."""
     spec = spec.solved()
-    return _add(df, f"{out} array<double>", [out], lambda b: [codes.lists_of(codes.reconstruct(codes.matrix_of(b.column(cells), spec.dim).astype(np.int64), spec), pa.float64())])
+    return _add(df, f"{out} array<double>", cells, spec.dim, lambda b: [codes.lists_of(codes.reconstruct(codes.matrix_of(b.column(cells), spec.dim).astype(np.int64), spec), pa.float64())])
 
 
 def quantize_product(df: DataFrame, spec: ProductSpec, vector: str = "v") -> DataFrame:
@@ -86,7 +109,7 @@ def quantize_product(df: DataFrame, spec: ProductSpec, vector: str = "v") -> Dat
         cells, signs, left = codes.encode_product(codes.matrix_of(batch.column(vector), spec.dim), spec)
         return [codes.bytes_of(codes.pack(cells, spec.bits - 1)), codes.bytes_of(codes.pack(signs, 1)), pa.array(left.astype(np.float32))]
 
-    return _add(df, "mse binary, signs binary, res_norm float", ["mse", "signs", "res_norm"], make)
+    return _add(df, "mse binary, signs binary, res_norm float", vector, spec.dim, make)
 
 
 def product_parts(batch: pa.RecordBatch, spec: ProductSpec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,7 +121,20 @@ def product_parts(batch: pa.RecordBatch, spec: ProductSpec) -> tuple[np.ndarray,
 
 def dequantize_product(df: DataFrame, spec: ProductSpec, out: str = "recon") -> DataFrame:
     spec = spec.solved()
-    return _add(df, f"{out} array<double>", [out], lambda b: [codes.lists_of(codes.decode_product(*product_parts(b, spec), spec), pa.float64())])
+    return _add(df, f"{out} array<double>", "mse", spec.base.code_bytes, lambda b: [codes.lists_of(codes.decode_product(*product_parts(b, spec), spec), pa.float64())])
+
+
+def score_product(df: DataFrame, spec: ProductSpec, query: str, out: str = "score") -> DataFrame:
+    """Adds the estimated product of each row's code with the query vector in the same row."""
+    spec = spec.solved()
+
+    def make(batch):
+        cells, signs, left = product_parts(batch, spec)
+        q = codes.matrix_of(batch.column(query), spec.dim)
+        sketch = (codes._plus_minus(signs) * (q @ spec.projection.T)).sum(axis=1)
+        return [pa.array((spec.base.centroids[cells] * spec.base.rotate(q)).sum(axis=1) + spec.scale * left * sketch)]
+
+    return _add(df, f"{out} double", query, spec.dim, make)
 
 
 def matmul(df: DataFrame, weight: np.ndarray, vector: str = "v", out: str = "product") -> DataFrame:
@@ -106,7 +142,7 @@ def matmul(df: DataFrame, weight: np.ndarray, vector: str = "v", out: str = "pro
     if weight.nbytes > MATMUL_BYTES:
         raise ValueError(f"a matrix of {weight.nbytes} bytes isn't broadcast; use matmul_relational()")
     shared = df.sparkSession.sparkContext.broadcast(np.asarray(weight, float))
-    return _add(df, f"{out} array<double>", [out], lambda b: [codes.lists_of(codes.matrix_of(b.column(vector), len(shared.value)) @ shared.value, pa.float64())])
+    return _add(df, f"{out} array<double>", vector, len(weight), lambda b: [codes.lists_of(codes.matrix_of(b.column(vector), len(shared.value)) @ shared.value, pa.float64())])
 
 
 MATMUL_BYTES = 64 << 20

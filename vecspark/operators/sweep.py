@@ -41,24 +41,34 @@ def best_cases(cases: DataFrame, by: str) -> DataFrame:
     return cases.withColumn("_n", c.best_first(*_best(by), by=["sample"])).where("_n = 1").drop("_n")
 
 
+def lower_ranks(rows: DataFrame, by: list[str], column: str, shares: dict[str, float]) -> DataFrame:
+    """by, and for each name the element at place floor(share (n - 1)) of the group's sorted values: values are counted first, and the counts
+    are added up in order, so no group's values are in one row."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*by)
+    upto = counts.withColumn("_upto", F.sum("_n").over(group.orderBy(column).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(group))
+    at = lambda share: F.floor(F.lit(share) * (F.col("_all") - 1))
+    return upto.groupBy(*by).agg(*[F.max(F.when((F.col("_upto") - F.col("_n") <= at(p)) & (at(p) < F.col("_upto")), F.col(column))).alias(name) for name, p in shares.items()])
+
+
 def summary(cases: DataFrame) -> DataFrame:
     """A row a configuration: counts, means, percentiles (lower ranks) and wins in the three contests."""
+    ranks = [lower_ranks(cases, CONFIG, "output_mse", {"p50_mse": 0.5, "p95_mse": 0.95}), lower_ranks(cases, CONFIG, "output_cosine", {"p05_cosine": 0.05, "p50_cosine": 0.5})]
     for by in ("mse", "cosine", "size"):
         cases = cases.withColumn(f"_{by}", (c.best_first(*_best(by), by=["sample"]) == 1).cast("long"))
-    return cases.groupBy(*CONFIG).agg(
+    means = cases.groupBy(*CONFIG).agg(
         F.count("*").alias("cases"),
         F.avg("output_mse").alias("mean_mse"),
-        c.lower_percentile("output_mse", 0.5).alias("p50_mse"),
-        c.lower_percentile("output_mse", 0.95).alias("p95_mse"),
         F.max("output_mse").alias("max_mse"),
         F.avg("output_cosine").alias("mean_cosine"),
-        c.lower_percentile("output_cosine", 0.05).alias("p05_cosine"),
-        c.lower_percentile("output_cosine", 0.5).alias("p50_cosine"),
         F.min("output_cosine").alias("min_cosine"),
         F.avg("storage_bytes").alias("mean_storage"),
         F.avg(F.try_divide(F.col("raw_bytes").cast("double"), F.col("storage_bytes"))).alias("mean_compression"),
         *[F.sum(f"_{by}").alias(f"{by}_wins") for by in ("mse", "cosine", "size")],
     )
+    for r in ranks:
+        means = means.join(r, CONFIG)
+    return means.select(*CONFIG, "cases", "mean_mse", "p50_mse", "p95_mse", "max_mse", "mean_cosine", "p05_cosine", "p50_cosine", "min_cosine", "mean_storage", "mean_compression", *[f"{by}_wins" for by in ("mse", "cosine", "size")])
 
 
 def frontier(summaries: DataFrame, size: str = "mean_storage", mse: str = "mean_mse", cosine: str = "mean_cosine") -> DataFrame:
@@ -70,15 +80,15 @@ def frontier(summaries: DataFrame, size: str = "mean_storage", mse: str = "mean_
 
 
 def groupings(cases: DataFrame) -> DataFrame:
-    """Means of each configuration by method, by layer, by token count and by position, in one pass (grouping sets).
+    """Means of each configuration over all, by method, by layer, by token count and by position, in one pass (grouping sets).
 
-    dimension: which of the four; label: its value as text; place: 1 for the group's best (mean error, then cosine, size).
+    dimension: which of the five; label: its value as text; place: 1 for the group's best (mean error, then cosine, size).
     """
     keys = ["key_bits", "value_bits", "top_k"]
-    sets = ", ".join(f"({d}, {', '.join(keys)})" for d in ("method", "layer", "tokens", "position"))
+    sets = ", ".join(f"({d}, {', '.join(keys)})" for d in ("method", "layer", "tokens", "position")) + f", ({', '.join(keys)})"
     means = cases.sparkSession.sql(f"""
-        SELECT CASE WHEN grouping(method) = 0 THEN 'method' WHEN grouping(layer) = 0 THEN 'layer' WHEN grouping(tokens) = 0 THEN 'tokens' ELSE 'position' END AS dimension,
-               coalesce(method, CAST(layer AS STRING), CAST(tokens AS STRING), position) AS label, {", ".join(keys)},
+        SELECT CASE WHEN grouping(method) = 0 THEN 'method' WHEN grouping(layer) = 0 THEN 'layer' WHEN grouping(tokens) = 0 THEN 'tokens' WHEN grouping(position) = 0 THEN 'position' ELSE 'overall' END AS dimension,
+               coalesce(method, CAST(layer AS STRING), CAST(tokens AS STRING), position, 'all') AS label, {", ".join(keys)},
                count(*) AS cases, avg(output_mse) AS mean_mse, avg(output_cosine) AS mean_cosine, avg(storage_bytes) AS mean_storage
         FROM {{cases}} GROUP BY GROUPING SETS ({sets})""", cases=cases)
     order = Window.partitionBy("dimension", "label").orderBy(F.round("mean_mse", 9), F.desc(F.round("mean_cosine", 9)), "mean_storage", *keys)

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecspark.functions import columns as c
+from vecspark.functions.spec import ProductSpec
+
+from . import encode
 
 #: Fixed values of the 64-bit FNV-1a hash.
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -46,45 +49,67 @@ def sync_action(old: Column | str, new: Column | str) -> Column:
     )
 
 
-def _fnv(data: bytes) -> int:
-    h = FNV_OFFSET
-    for b in data:
-        h = (h ^ b) * FNV_PRIME % (1 << 64)
+def _hashes(words: np.ndarray, sizes: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """FNV-1a of each word (rows of bytes, of which the first `sizes` count) and of each row of tail bytes behind it: words x tails."""
+    prime, h = np.uint64(FNV_PRIME), np.full(len(words), FNV_OFFSET, np.uint64)
+    for i in range(words.shape[1]):
+        h = np.where(i < sizes, (h ^ words[:, i]) * prime, h)
+    h = np.repeat(h[:, None], len(tail), axis=1)
+    for i in range(tail.shape[1]):
+        h = (h ^ tail[:, i]) * prime
     return h
 
 
-def hashed_vector(words: list[str], index: int, dim: int) -> list[float]:
-    """SLOTS hashed places a word, with signs by the hash's parity; of unit length unless empty. index: the turn's number,
-    part of the hash, so that equal words of different turns meet only by chance (pass 0 for all to compare texts alone)."""
-    out = np.zeros(dim)
-    for word in words:
-        for slot in range(SLOTS):
-            h = _fnv(f"{word}|{index}|{slot}".encode())
-            out[h % dim] += 1.0 if h >> 32 & 1 == 0 else -1.0
-    n = np.linalg.norm(out)
-    return (out / n if n else out).tolist()
-
+def hashed_vectors(words: list[list[str]], index: list[int], dim: int, lane: int = 0) -> np.ndarray:
+    """A row for each list of words: SLOTS hashed places a word, plus or minus 1 by another hash, of unit length.
 
-def text_vectors(rows: DataFrame, dim: int, text: str = "text", index: str | None = "turn", out: str = "v") -> DataFrame:
-    """rows with the hashed vector of a text column."""
+    A place is the hash of the word's bytes and the bytes (index, lane, step), a sign the parity of that of (lane, step, 127): equal words of
+    different indices (the turn's number) have other places.  No words count as the word "_empty".
+    """
+    words = [own or ["_empty"] for own in words]
+    kinds, at = np.unique([w for own in words for w in own], return_inverse=True)
+    row = np.repeat(np.arange(len(words)), [len(own) for own in words])
+    data = [w.encode() for w in kinds.tolist()]
+    sizes = np.array([len(x) for x in data], np.int64)
+    chars = np.frombuffer(b"".join(x.ljust(int(sizes.max(initial=1)), b"\0") for x in data), np.uint8).reshape(len(data), -1).astype(np.uint64)
+    steps = np.arange(SLOTS, dtype=np.uint64)
+    signs = np.where(_hashes(chars, sizes, np.column_stack((np.full(SLOTS, lane, np.uint64), steps, np.full(SLOTS, 127, np.uint64)))) & np.uint64(1), -1.0, 1.0)
+    out, numbers = np.zeros((len(words), dim)), np.array(index, np.int64) & 255
+    for n in np.unique(numbers):
+        tail = np.column_stack((np.full(SLOTS, n, np.uint64), np.full(SLOTS, lane, np.uint64), steps))
+        own = numbers[row] == n
+        used, place = np.unique(at[own], return_inverse=True)
+        slots = (_hashes(chars[used], sizes[used], tail) % np.uint64(dim)).astype(np.int64)
+        np.add.at(out, (np.repeat(row[own], SLOTS), slots[place].reshape(-1)), signs[at[own]].reshape(-1))
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(norm > 0, norm, 1.0)
+
+
+def text_vectors(rows: DataFrame, dim: int, text: str = "text", index: str = "turn", out: str = "v", lane: int = 0) -> DataFrame:
+    """rows with the hashed vector of a text column; index: a column of numbers."""
 
     @F.pandas_udf("array<double>")
     def make(words: pd.Series, at: pd.Series) -> pd.Series:
-        return pd.Series([hashed_vector(list(w), int(i), dim) for w, i in zip(words, at)])
+        return pd.Series(list(hashed_vectors([list(w) for w in words], at.tolist(), dim, lane)), dtype=object)
 
-    return rows.withColumn(out, make(c.tokens(F.coalesce(F.col(text), F.lit(""))), F.col(index) if index else F.lit(0)))
+    return rows.withColumn(out, make(c.tokens(F.coalesce(F.col(text), F.lit(""))), F.col(index)))
 
 
-def recall(turns: DataFrame, k: int, dim: int) -> DataFrame:
-    """conv_id, rank, turn, score: the k earlier turns of a conversation that are nearest to its last user turn, by text
-    vectors. The question itself and repeats of a text are left out, the best of them stays."""
-    asked = text_vectors(last_user_turn(turns), dim, index=None, out="q").select("conv_id", F.col("turn").alias("asked"), F.col("text").alias("question"), "q")
-    own = text_vectors(turns, dim, index=None).join(asked, "conv_id").where((F.col("turn") < F.col("asked")) & (F.col("text") != F.col("question")))
-    scored = own.withColumn("score", F.round(c.dot("v", "q"), 9) + F.lit(0.0))
-    once = Window.partitionBy("conv_id", "role", "text").orderBy(F.desc("score"), "turn")
-    order = Window.partitionBy("conv_id").orderBy(F.desc("score"), "turn")
-    kept = scored.withColumn("_n", F.row_number().over(once)).where("_n = 1").withColumn("rank", F.row_number().over(order))
-    return kept.where(F.col("rank") <= k).select("conv_id", "rank", "turn", "score")
+def recall(turns: DataFrame, k: int, dim: int, bits: int = 3, seed: int = 42) -> DataFrame:
+    """conv_id, rank, turn, role, score: what a conversation's stored turns say to its last user turn, by inner-product codes of text vectors.
 
-
-__all__ = ["hashed_vector", "last_user_turn", "recall", "recent", "sync_action", "text_vectors"]
+    A turn's key has its place in the conversation as the index, the question has the number of turns.  The k turns with the best scores
+    are taken; of these, user turns that are the question itself, and repeats of a role and text with the same score, are left out.
+    """
+    spec = ProductSpec(dim, bits, seed)
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    placed = turns.withColumn("place", F.row_number().over(order) - 1)
+    asked = last_user_turn(turns).join(turns.groupBy("conv_id").agg(F.count("*").cast("int").alias("place")), "conv_id").select("conv_id", F.col("text").alias("question"), "place")
+    asked = text_vectors(asked, dim, "question", "place", "q").drop("place")
+    coded = encode.quantize_product(text_vectors(placed, dim, index="place").select("conv_id", "turn", "role", "text", "v"), spec).drop("v")
+    scored = encode.score_product(coded.join(asked, "conv_id"), spec, "q").withColumn("score", F.round("score", 6) + F.lit(0.0))
+    best = Window.partitionBy("conv_id").orderBy(F.desc("score"), "turn")
+    top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    once = F.row_number().over(Window.partitionBy("conv_id", "role", "text", "score").orderBy("turn"))
+    kept = top.where(~((F.lower("role") == "user") & (F.col("text") == F.trim("question")))).withColumn("_n", once).where("_n = 1")
+    return kept.withColumn("rank", F.row_number().over(best)).select("conv_id", "rank", "turn", "role", "score")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vecspark.functions import columns as c
 from vecspark.functions.spec import ProductSpec, QuantizerSpec
 from vecspark.operators import allocation, attention, encode, search, sweep, turns
-from vecspark.sources import blobs
+from vecspark.sources import blobs, captures, reports
 from vecspark.streaming import sessions
 
 from . import sql
@@ -139,12 +139,12 @@ def uniform_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.round(c.mean_squared_error("v", "recon"), 9).alias("mse"), F.round(c.cosine("v", "recon"), 9).alias("cosine"))
 
 
-@query(f"WITH e AS (SELECT vec_id, unnest(range({DIM})) AS k, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings), w AS (SELECT vec_id AS j, k, x AS y FROM e WHERE vec_id % 100 = 0) SELECT e.vec_id AS i, w.j, round(sum(x * y), 6) + 0 AS value FROM e JOIN w ON e.k = w.k GROUP BY e.vec_id, w.j")
+@query(f"WITH e AS (SELECT vec_id, unnest(range({DIM})) AS k, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings), w AS (SELECT k, unnest(range({DIM})) AS j, unnest(r) AS y FROM (SELECT unnest(range({DIM})) AS k, unnest({sql.doubles(SPEC.dense)}) AS r)) SELECT e.vec_id AS i, CAST(w.j AS INT) AS j, round(sum(x * y), 6) + 0 AS value FROM e JOIN w ON e.k = w.k GROUP BY e.vec_id, w.j")
 def matmul_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = vectors(spark, sf_dir)
-    a = rows.select(F.col("id").alias("i"), F.posexplode("v").alias("k", "x"))
-    b = queries_of(rows).select(F.col("query_id").alias("j"), F.posexplode("q").alias("k", "y"))
-    return encode.matmul_relational(a, b).withColumn("value", F.round("value", 6) + F.lit(0.0))
+    """All vectors times a matrix (a rotation), as a join."""
+    a = vectors(spark, sf_dir).select(F.col("id").alias("i"), F.posexplode("v").alias("k", "x"))
+    w = spark.createDataFrame([(k, j, float(y)) for k, row in enumerate(SPEC.dense) for j, y in enumerate(row)], "k int, j int, y double")
+    return encode.matmul_relational(a, w).withColumn("value", F.round("value", 6) + F.lit(0.0))
 
 
 # Attention: pages are labels, slots follow vec_id; keys and values are the vectors
@@ -188,17 +188,65 @@ def attention_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(attention.attend(asked, entries.drop("id"), ["label"], ["query_id"], 8.0, 16))
 
 
-@query(f"""WITH {sql.coded(SPEC)}, turned AS (SELECT list_transform(range({DIM}), lambda j: list_transform(rot, lambda r: r[j + 1])) AS tor FROM consts),
-entries AS (SELECT id, label, CAST(row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS INT) AS slot, v, list_transform(tor, lambda r: norm * {sql.dot("r", "list_transform(cells, lambda i: cen[i + 1])")}) AS r FROM coded, consts, turned),
-{_attention_sql(_EXACT_SCORES.replace("'e.v'", "'e.r'").replace("q.v, e.v", "q.v, e.r"), "SELECT label, slot, r AS v FROM entries", 16)}""")
+def _on_codes(ask: str, page: str, where: str) -> str:
+    """CTEs up to `entries` (id, page columns, slot, v, r: the decoded value) and the scores' SQL, for keys by PRODUCT and values by SPEC."""
+    places = f"""{sql.sketched(PRODUCT)},
+decoded AS (SELECT id, label, v, list_transform(tor, lambda r: norm * {sql.dot("r", "list_transform(cells, lambda i: cen[i + 1])")}) AS r FROM coded, consts, turned),
+placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS INT) AS place FROM decoded),
+entries AS (SELECT id, v, r, {page} FROM placed),
+asked AS (SELECT id AS query_id, e.* EXCLUDE (id, r, v), v AS qv, list_transform(rot, lambda r: {sql.dot("r", "v")}) AS ry, list_transform(s, lambda r: {sql.dot("r", "v")}) AS sy FROM entries e, consts, proj WHERE {where})"""
+    score = f"({sql.dot('list_transform(k.cells, lambda i: cen[i + 1])', 'q.ry')} + {PRODUCT.scale!r} * k.res_norm * {sql.dot('list_transform(k.signs, lambda b: CAST(2 * b - 1 AS DOUBLE))', 'q.sy')}) * 8"
+    return f"{places}, code_scores AS (SELECT q.query_id, e.* EXCLUDE (id, v, r), {score} AS score FROM asked q JOIN entries e USING ({ask}) JOIN sketched k ON k.id = e.id, consts)"
+
+
+@query(f"WITH {_on_codes('label', 'label, place AS slot', 'id % 100 = 0')}, {_attention_sql('SELECT query_id, label, slot, score FROM code_scores', 'SELECT label, slot, r AS v FROM entries', 16)}")
 def attention_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys and values by 2-bit codes."""
+    """Keys by 3-bit inner-product codes, values by 2-bit codes."""
     entries = _entries(spark, sf_dir)
-    recon = encode.dequantize(encode.quantize(entries.withColumnRenamed("key", "v"), SPEC), SPEC)
-    scaled = F.transform("recon", lambda x: x * F.col("norm").cast("double"))
-    coded = recon.select("label", "slot", scaled.alias("key"), scaled.alias("value"))
-    asked = entries.where("id % 100 = 0").select(F.col("id").alias("query_id"), "label", F.col("key").alias("q"))
-    return _rounded(attention.attend(asked, coded, ["label"], ["query_id"], 8.0, 16))
+    coded = encode.quantize(encode.quantize_product(entries, PRODUCT, "key"), SPEC, "value").drop("id", "key", "value")
+    asked = entries.where("id % 100 = 0").select(F.col("id").alias("query_id"), "label", F.col("key").cast("array<double>").alias("q"))
+    return _rounded(attention.attend_codes(asked, coded, ["label"], ["query_id"], PRODUCT, SPEC, 8.0, 16))
+
+
+_PAGE = 64
+
+
+def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of one layer each: up to 64 vectors of a label in a row as keys and values, the first of them as the query."""
+    entries = _entries(spark, sf_dir).withColumn("page", F.floor(F.col("slot") / _PAGE).cast("int"))
+    rows = entries.groupBy("label", "page").agg(F.sort_array(F.collect_list(F.struct("slot", F.col("key").cast("array<float>").alias("v")))).alias("e"))
+    flat = F.flatten(F.transform("e", lambda x: x["v"]))
+    return captures.with_defaults(rows.select(
+        "label", "page", F.lit(1).alias("heads"), F.lit(0).alias("kv_heads"), F.lit(DIM).alias("head_dim"), F.size("e").alias("tokens"), F.lit(8.0).cast("float").alias("query_scale"),
+        F.col("e")[0]["v"].alias("query"), flat.alias("keys"), flat.alias("values"),
+    ))
+
+
+_PAGED = "label, place // 64 AS page, place % 64 AS slot"
+
+
+def _outputs_sql(name: str, scores: str, value: str, k: int | None) -> str:
+    some = f"QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, slot) <= {k}" if k else ""
+    return f"""{name}_w AS (SELECT *, e / sum(e) OVER (PARTITION BY query_id) AS w FROM (SELECT *, exp(score - max(score) OVER (PARTITION BY query_id)) AS e FROM (SELECT * FROM ({scores}) {some}))),
+{name}_each AS (SELECT query_id, unnest(range({DIM})) AS coordinate, unnest(list_transform({value}, lambda c: c * w)) AS part FROM {name}_w JOIN entries USING (label, page, slot)),
+{name} AS (SELECT query_id, list(output ORDER BY coordinate) AS o FROM (SELECT query_id, coordinate, sum(part) AS output FROM {name}_each GROUP BY ALL) GROUP BY query_id)"""
+
+
+_EVAL_BYTES = attention.entry_bytes(DIM, 3, 2)
+
+
+@query(f"""WITH {_on_codes("label, page", _PAGED, "slot = 0")},
+{_outputs_sql("exact", f"SELECT q.query_id, e.label, e.page, e.slot, {sql.dot('q.qv', 'e.v')} * 8 AS score FROM asked q JOIN entries e USING (label, page)", "v", None)},
+{_outputs_sql("approx", "SELECT query_id, label, page, slot, score FROM code_scores", "r", 16)},
+sizes AS (SELECT label, page, count(*) AS n FROM entries GROUP BY ALL)
+SELECT s.label, CAST(s.page AS INT) AS page, CAST(n AS INT) AS tokens, CAST(least(n, 16) AS INT) AS top_k, n * {2 * DIM * 4} AS raw_kv_bytes, n * {_EVAL_BYTES} AS cache_live_bytes, greatest(n, 50) * {_EVAL_BYTES} AS cache_storage_bytes,
+  round(n * {2 * DIM * 4} / (greatest(n, 50) * {_EVAL_BYTES}), 6) AS compression_ratio, round({sql.total("list_transform(list_zip(x.o, a.o), lambda p: (p[1] - p[2]) * (p[1] - p[2]))")} / {DIM}, 6) AS output_mse,
+  round({sql.dot("x.o", "a.o")} / (sqrt({sql.dot("x.o", "x.o")}) * sqrt({sql.dot("a.o", "a.o")})), 6) AS output_cosine
+FROM exact x JOIN approx a USING (query_id) JOIN asked q USING (query_id) JOIN sizes s USING (label, page)""")
+def capture_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation rows of captures: 3-bit keys, 2-bit values, 16 entries, room for 50."""
+    out = captures.evaluate(_captures(spark, sf_dir), ["label", "page"], 3, 2, DIM, 16, 42, "primary", 50)
+    return out.select("label", "page", "tokens", "top_k", "raw_kv_bytes", "cache_live_bytes", "cache_storage_bytes", *[F.round(x, 6).alias(x) for x in ("compression_ratio", "output_mse", "output_cosine")])
 
 
 @query(f"WITH {_UNITS}, entries AS (SELECT id, label, CAST(row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS INT) AS slot, v, {_UNIFORM} AS r FROM units), {_attention_sql(_EXACT_SCORES.replace('q.v, e.v', 'q.v, e.r'), 'SELECT label, slot, r AS v FROM entries', 16)}")
@@ -271,7 +319,7 @@ def _group_sql(name: str) -> str:
     return f"SELECT '{name}' AS dimension, CAST({name} AS VARCHAR) AS label, key_bits, value_bits, top_k, count(*) AS cases, avg(output_mse) AS mean_mse, avg(output_cosine) AS mean_cosine, avg(storage_bytes) AS mean_storage FROM cases GROUP BY ALL"
 
 
-@query(f"WITH {sql.cases()}, g AS ({' UNION ALL '.join(map(_group_sql, ('method', 'layer', 'tokens', 'position')))}) SELECT dimension, label, key_bits, value_bits, top_k, cases, round(mean_mse, 9) AS mean_mse, round(mean_cosine, 9) AS mean_cosine, round(mean_storage, 9) AS mean_storage, CAST(row_number() OVER (PARTITION BY dimension, label ORDER BY round(mean_mse, 9), round(mean_cosine, 9) DESC, mean_storage, key_bits, value_bits, top_k) AS INT) AS place FROM g")
+@query(f"WITH {sql.cases()}, g AS ({' UNION ALL '.join(map(_group_sql, ('method', 'layer', 'tokens', 'position')))} UNION ALL {_group_sql('overall').replace('CAST(overall AS VARCHAR)', "'all'")}) SELECT dimension, label, key_bits, value_bits, top_k, cases, round(mean_mse, 9) AS mean_mse, round(mean_cosine, 9) AS mean_cosine, round(mean_storage, 9) AS mean_storage, CAST(row_number() OVER (PARTITION BY dimension, label ORDER BY round(mean_mse, 9), round(mean_cosine, 9) DESC, mean_storage, key_bits, value_bits, top_k) AS INT) AS place FROM g")
 def summary_groupings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nine(sweep.groupings(cases(spark, sf_dir)))
 
@@ -285,29 +333,33 @@ def position_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", label.alias("position")).withColumn("place", c.position_rank("position"))
 
 
-_CANDIDATES = "candidates AS (SELECT layer, key_bits, value_bits, top_k, count(*) AS cases, avg(output_mse) AS mean_mse, avg(output_cosine) AS mean_cosine, quantile_cont(output_cosine, 0.05) AS p05_cosine, min(output_cosine) AS min_cosine, avg(storage_bytes) AS storage_bytes, max(tokens) AS capacity FROM cases GROUP BY ALL)"
+_CANDIDATES = "candidates AS (SELECT layer, key_bits, value_bits, top_k, avg(raw_bytes) AS raw_bytes, avg(CAST(raw_bytes AS DOUBLE) / storage_bytes) AS compression, count(*) AS cases, avg(output_mse) AS mean_mse, avg(output_cosine) AS mean_cosine, quantile_cont(output_cosine, 0.05) AS p05_cosine, min(output_cosine) AS min_cosine, avg(storage_bytes) AS storage_bytes, max(tokens) AS capacity FROM cases WHERE method = 'primary' GROUP BY ALL)"
 _SKYLINE = "skyline AS (SELECT * FROM (SELECT *, min(mean_mse) OVER (PARTITION BY layer ORDER BY storage_bytes, mean_mse, mean_cosine DESC, key_bits, value_bits, top_k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM candidates) WHERE before IS NULL OR mean_mse < before)"
-_LAYERED = "layer, key_bits, value_bits, top_k, cases, round(mean_mse, 9) AS mean_mse, round(mean_cosine, 9) AS mean_cosine, round(p05_cosine, 9) AS p05_cosine, round(min_cosine, 9) AS min_cosine, round(storage_bytes, 9) AS storage_bytes, capacity"
-_TEN = [*_NINE, "storage_bytes"]
+_LAYERED = "layer, key_bits, value_bits, top_k, cases, round(mean_mse, 9) AS mean_mse, round(mean_cosine, 9) AS mean_cosine, round(p05_cosine, 9) AS p05_cosine, round(min_cosine, 9) AS min_cosine, round(raw_bytes, 9) AS raw_bytes, round(storage_bytes, 9) AS storage_bytes, round(compression, 9) AS compression, capacity"
+_TEN = [*_NINE, "raw_bytes", "storage_bytes", "compression"]
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return allocation.candidates(cases(spark, sf_dir), "primary")
 
 
 @query(f"WITH {sql.cases()}, {_CANDIDATES} SELECT {_LAYERED} FROM candidates")
 def profile_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nine(allocation.candidates(cases(spark, sf_dir)), _TEN)
+    return _nine(_candidates(spark, sf_dir), _TEN)
 
 
 @query(f"WITH {sql.cases()}, {_CANDIDATES}, {_SKYLINE} SELECT {_LAYERED} FROM skyline")
 def profile_skyline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nine(allocation.skyline(allocation.candidates(cases(spark, sf_dir))), _TEN)
+    return _nine(allocation.skyline(_candidates(spark, sf_dir)), _TEN)
 
 
 @query(f"WITH {sql.cases()}, {_CANDIDATES} SELECT {_LAYERED} FROM candidates WHERE mean_cosine >= 0.9 AND p05_cosine >= 0.8 QUALIFY row_number() OVER (PARTITION BY layer ORDER BY storage_bytes, mean_mse, mean_cosine DESC, key_bits, value_bits, top_k) = 1")
 def profile_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = allocation.floors(allocation.candidates(cases(spark, sf_dir)), 0.9, 0.8)
+    kept = allocation.floors(_candidates(spark, sf_dir), 0.9, 0.8)
     return _nine(allocation.best_by(kept, "size"), _TEN)
 
 
-_BUDGETS = [("tight", 12000.0), ("wide", 20000.0)]
+_BUDGETS = [("tight", 30000.0), ("wide", 45000.0)]
 
 
 def _brute(layers: int) -> str:
@@ -321,12 +373,52 @@ def _brute(layers: int) -> str:
     return f"best AS (SELECT * FROM (SELECT set, {rows}, row_number() OVER (PARTITION BY set ORDER BY {error}, {units}) AS n FROM (VALUES {', '.join(f'({s!r}, {b})' for s, b in _BUDGETS)}) AS budgets(set, budget), {join} WHERE {units} <= CAST(ceil(budget / 16) AS BIGINT)) WHERE n = 1) SELECT set, CAST(layer AS INT) AS layer, key_bits, value_bits, top_k, round(storage_bytes, 9) AS storage_bytes, round(mean_mse, 9) AS mean_mse FROM ({pick})"
 
 
-@query(f"WITH {sql.cases()}, {_CANDIDATES.replace('FROM cases', 'FROM (SELECT * REPLACE (CAST(layer % 3 AS INT) AS layer) FROM cases)')}, {_SKYLINE}, {_brute(3)}")
+@query(f"WITH {sql.cases()}, {_CANDIDATES}, {_SKYLINE}, {_brute(8)}")
 def profile_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best choice for three layers under two budgets; the oracle tries all choices."""
-    found = allocation.candidates(cases(spark, sf_dir).withColumn("layer", (F.col("layer") % 3).cast("int")))
+    """The best choice for all layers under two budgets; the oracle tries all choices."""
     budgets = spark.createDataFrame(_BUDGETS, "set string, budget double")
-    return _nine(allocation.allocate(allocation.skyline(found), budgets, 16.0), _TEN)
+    return _nine(allocation.allocate(allocation.skyline(_candidates(spark, sf_dir)), budgets, 16.0), _TEN)
+
+
+_MODES = {"best": {}, "floor": {"mean_cosine": 0.9, "p05_cosine": 0.8}, "bytes": {"max_storage": 30000.0, "unit": 16.0}, "ratio": {"min_compression": 12.0, "mean_cosine": 0.85, "unit": 16.0}}
+_SEEN = "layer, key_bits, value_bits, top_k"
+
+
+def _modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, out = _candidates(spark, sf_dir), None
+    for name, limits in _MODES.items():
+        one = allocation.select_profile(found, name, **limits)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _first(name: str, mode: str, order: str, where: str = "true") -> str:
+    return f"SELECT '{name}' AS set, '{mode}' AS mode, * EXCLUDE (before) FROM skyline WHERE {where} QUALIFY row_number() OVER (PARTITION BY layer ORDER BY {order}, mean_cosine DESC, key_bits, value_bits, top_k) = 1"
+
+
+def _tried(name: str, mode: str, budget: str, where: str = "true") -> str:
+    """The best of all choices of one candidate of each of eight layers."""
+    layers = [f"l{i}" for i in range(8)]
+    units, error = " + ".join(f"CAST(ceil({n}.storage_bytes / 16) AS BIGINT)" for n in layers), " + ".join(f"{n}.mean_mse" for n in layers)
+    picked = f"(SELECT {', '.join(layers)} FROM {', '.join(f'(SELECT * FROM skyline WHERE layer = {i} AND {where}) {n}' for i, n in enumerate(layers))} WHERE {units} <= CAST(ceil(({budget}) / 16) AS BIGINT) ORDER BY {error}, {units} LIMIT 1)"
+    return " UNION ALL ".join(f"SELECT '{name}' AS set, '{mode}' AS mode, unnest({n}) FROM {picked}" for n in layers)
+
+
+_RAW = "SELECT sum(raw_bytes) / 12 FROM (SELECT raw_bytes FROM skyline WHERE mean_cosine >= 0.85 QUALIFY row_number() OVER (PARTITION BY layer ORDER BY storage_bytes) = 1)"
+_CHOSEN = f"""{_CANDIDATES}, {_SKYLINE}, chosen AS ({_first("best", "best-mse", "mean_mse, storage_bytes")} UNION ALL BY NAME {_first("floor", "fidelity-floor", "storage_bytes, mean_mse", "mean_cosine >= 0.9 AND p05_cosine >= 0.8")}
+UNION ALL BY NAME SELECT * EXCLUDE (before) FROM ({_tried("bytes", "budgeted", "30000")}) UNION ALL BY NAME SELECT * EXCLUDE (before) FROM ({_tried("ratio", "budgeted-fidelity-floor", _RAW, "mean_cosine >= 0.85")}))"""
+
+
+@query(f"WITH {sql.cases()}, {_CHOSEN} SELECT set, mode, {_LAYERED} FROM chosen")
+def profile_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A profile by each mode: the most exact, the smallest above floors, under a budget in bytes, and by a compression above a floor."""
+    return _nine(_modes(spark, sf_dir), _TEN)
+
+
+@query(f"WITH {sql.cases()}, {_CHOSEN} SELECT set, count(*) AS layers, CAST(sum(cases) AS BIGINT) AS samples, round(avg(mean_mse), 9) AS mean_mse, round(avg(mean_cosine), 9) AS mean_cosine, round(sum(raw_bytes), 6) AS raw_bytes, round(sum(storage_bytes), 6) AS storage_bytes, round(sum(raw_bytes) / sum(storage_bytes), 6) AS compression FROM chosen GROUP BY set")
+def profile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = allocation.allocation_summary(_modes(spark, sf_dir))
+    return _nine(out, ["mean_mse", "mean_cosine"]).withColumns({x: F.round(x, 6) for x in ("raw_bytes", "storage_bytes", "compression")})
 
 
 @query("WITH own AS (SELECT n_nationkey AS layer, n_regionkey AS bits FROM nation WHERE n_nationkey IN (0, 6, 7, 15)), every AS (SELECT n_nationkey AS layer FROM nation) SELECT e.layer, o.bits, o.layer AS donor FROM every e, own o QUALIFY row_number() OVER (PARTITION BY e.layer ORDER BY abs(e.layer - o.layer), o.layer) = 1")
@@ -411,6 +503,44 @@ def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(w).alias("words"), F.size(F.array_distinct(w)).alias("distinct_words"))
 
 
+@query("SELECT conv_id, turn, CASE WHEN octet_length(encode(one)) <= 40 THEN one ELSE concat(cut, '...') END AS summary FROM (SELECT *, list_reduce(list_prepend('', string_split(one, '')), lambda a, b: CASE WHEN octet_length(encode(concat(a, b))) <= 37 AND starts_with(one, concat(a, b)) THEN concat(a, b) ELSE a END) AS cut FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS one FROM conversations))")
+def text_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", c.summary_text("text", 40).alias("summary"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'run' ELSE trim(regexp_replace(lower(trim(text)), '[^a-z0-9]', '-', 'g'), '-') END AS name FROM conversations")
+def text_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", c.plain_name("text").alias("name"))
+
+
+_FNV = f"lambda h, b: (xor(h, b) * {turns.FNV_PRIME}::HUGEINT) % 18446744073709551616::HUGEINT"
+_HEX = "lambda i: CAST((strpos('0123456789ABCDEF', substr(x, 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(x, 2 * i + 2, 1)) - 1 AS HUGEINT)"
+
+
+@query(rf"""WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(trim(text)), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS f, lower(trim(text)) AS low FROM conversations),
+w AS (SELECT conv_id, turn, unnest(CASE WHEN len(f) > 0 THEN f WHEN low <> '' THEN [low] ELSE ['_empty'] END) AS word FROM t),
+kinds AS (SELECT word, list_reduce(list_prepend({turns.FNV_OFFSET}::HUGEINT, list_transform(range(CAST(length(x) // 2 AS INT)), {_HEX})), {_FNV}) AS h FROM (SELECT word, hex(encode(word)) AS x FROM (SELECT DISTINCT word FROM w))),
+parts AS (SELECT conv_id, turn, list_reduce([h, CAST(turn % 256 AS HUGEINT), 1::HUGEINT, step::HUGEINT], {_FNV}) % 64 AS slot, CASE WHEN list_reduce([h, 1::HUGEINT, step::HUGEINT, 127::HUGEINT], {_FNV}) % 2 = 0 THEN 1 ELSE -1 END AS sign
+  FROM w JOIN kinds USING (word), (SELECT unnest(range(4)) AS step)),
+sums AS (SELECT conv_id, turn, slot, CAST(sum(sign) AS DOUBLE) AS x FROM parts GROUP BY ALL)
+SELECT conv_id, turn, CAST(slot AS INT) AS coordinate, round(x / sqrt(sum(x * x) OVER (PARTITION BY conv_id, turn)), 6) AS value FROM sums WHERE x <> 0""")
+def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coordinates of turns' hashed vectors (64, lane 1) that aren't 0."""
+    made = turns.text_vectors(table(spark, sf_dir, "conversations"), 64, lane=1)
+    return made.select("conv_id", "turn", F.posexplode("v").alias("coordinate", "value")).where("value <> 0").withColumn("value", F.round("value", 6))
+
+
+_LOG = """concat('init: device{d} KV buffer size =   ', {a}, ' MiB\nllama: size = ', {b}, ' MiB ( 65536 cells,  32 layers), K (q8_0):  ', {c}, ' MiB, V (q4_0):  ', {e}, ' MiB\n[1]15.27\nFinal estimate: PPL = ', {f}, ' +/- ', {g}, '\n')"""
+_LOGGED = _LOG.format(d="0", a="CAST(l_partkey AS STRING)", b="CAST(l_suppkey + 1 AS STRING)", c="CAST(l_suppkey AS STRING)", e="'1.5e0'", f="CAST(l_orderkey AS STRING)", g="CAST(l_linenumber AS STRING)")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_orderkey AS DOUBLE) AS value, CAST(l_linenumber AS DOUBLE) AS error, CAST(l_suppkey + 1 AS DOUBLE) AS total, 'q8_0' AS key_type, CAST(l_suppkey AS DOUBLE) AS k, 'q4_0' AS value_type, CAST(1.5 AS DOUBLE) AS v, CAST(l_partkey AS DOUBLE) AS buffer FROM lineitem")
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs with the numbers of lineitem's rows, read back."""
+    logs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(_LOGGED).alias("text"))
+    return logs.select("l_orderkey", "l_linenumber", reports.perplexity(F.col("text")).alias("p"), reports.kv_memory(F.col("text")).alias("m")).select("l_orderkey", "l_linenumber", "p.value", "p.error", *[f"m.{x}" for x in ("total", "key_type", "k", "value_type", "v", "buffer")])
+
+
 # Binary forms
 
 

@@ -5,11 +5,13 @@ Schemas are declared, never inferred. Other keys are skipped by the reader.
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.functions import columns as c
-from vecspark.functions.spec import QuantizerSpec
+from vecspark.functions.spec import ProductSpec, QuantizerSpec
 from vecspark.operators import attention, encode
 
 FIELDS = (
@@ -73,32 +75,94 @@ def reference_attention(samples: DataFrame, by: list[str], k: int | None = None)
     return attention.attend(heads_of(samples, by), entries_of(samples, by), [*by, "kv_head"], [*by, "head"], 1.0, k)
 
 
-def evaluate(samples: DataFrame, by: list[str], key_bits: int, value_bits: int, dim: int, k: int | None = None, seed: int = 42, method: str = "codes") -> DataFrame:
-    """Exact against approximate outputs: by, head, output_mse, output_cosine.
+def evaluate(samples: DataFrame, by: list[str], key_bits: int, value_bits: int, dim: int, k: int = 0, seed: int = 42, method: str = "primary", capacity: int = 0) -> DataFrame:
+    """Exact against approximate outputs, a row a sample: by, the configuration, bytes, errors over the whole output, and heads_metrics.
 
-    samples of one head_dim. method 'codes': keys and values by codes; 'uniform': by even steps. Codes' keys are of unit length
-    times their norm.
+    samples of one head_dim.  'primary': keys by inner-product codes, values by plain ones; 'uniform': both by even steps.  k (0: all) is cut
+    to the number of tokens, a page has room for `capacity` entries or all tokens.
     """
-    entries = entries_of(samples, by)
+    entries, asked, keys = entries_of(samples, by), heads_of(samples, by), [*by, "head"]
+    most = None if k <= 0 else k
     if method == "uniform":
         approx = entries.withColumn("key", c.uniform_reconstruct("key", key_bits)).withColumn("value", c.uniform_reconstruct("value", value_bits))
-    elif method == "codes":
-        approx = entries
-        for name, spec in (("key", QuantizerSpec(dim, key_bits, seed)), ("value", QuantizerSpec(dim, value_bits, seed + 1))):
-            coded = encode.dequantize(encode.quantize(approx, spec, name), spec)
-            approx = coded.withColumn(name, F.transform("recon", lambda x: x * F.col("norm").cast("double"))).drop("packed", "norm", "recon")
+        found, one = attention.attend(asked, approx, [*by, "kv_head"], keys, 1.0, most), attention.uniform_bytes(dim, key_bits, value_bits)
+    elif method == "primary":
+        inner, plain = ProductSpec(dim, key_bits, seed), QuantizerSpec(dim, value_bits, seed)
+        coded = encode.quantize(encode.quantize_product(entries, inner, "key"), plain, "value").drop("key", "value")
+        found, one = attention.attend_codes(asked, coded, [*by, "kv_head"], keys, inner, plain, 1.0, most), attention.entry_bytes(dim, key_bits, value_bits)
     else:
         raise ValueError(f"unknown method {method!r}")
-    keys = [*by, "head"]
     exact = attention.gathered(reference_attention(samples, by), keys).withColumnRenamed("output", "exact")
-    found = attention.gathered(attention.attend(heads_of(samples, by), approx, [*by, "kv_head"], keys, 1.0, k), keys)
-    return exact.join(found, keys).select(*keys, c.mean_squared_error("exact", "output").alias("output_mse"), c.cosine("exact", "output").alias("output_cosine"))
+    both = exact.join(attention.gathered(found, keys), keys)
+    metrics = F.struct("head", c.mean_squared_error("exact", "output").alias("output_mse"), c.cosine("exact", "output").alias("output_cosine"), c.norm("exact").alias("exact_norm"), c.norm("output").alias("quant_norm"))
+    whole = lambda name: F.flatten(F.transform("parts", lambda x: x[name]))
+    rows = both.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("head", "exact", "output"))).alias("parts"), F.sort_array(F.collect_list(metrics)).alias("heads_metrics"))
+    rows = rows.withColumns({"output_mse": c.mean_squared_error(whole("exact"), whole("output")), "output_cosine": c.cosine(whole("exact"), whole("output"))}).drop("parts")
+    entries_n = F.col("tokens") * F.col("kv_heads")
+    shape = samples.select(
+        *by, "tokens", F.lit(method).alias("method"), F.lit(key_bits).alias("key_bits"), F.lit(value_bits).alias("value_bits"), F.lit(k).alias("requested_top_k"),
+        F.when(F.lit(k).between(1, F.col("tokens")), k).otherwise(F.col("tokens")).cast("int").alias("top_k"), F.greatest(F.lit(capacity), F.col("tokens")).alias("capacity"),
+        (entries_n.cast("long") * (2 * dim * 4)).alias("raw_kv_bytes"), (entries_n.cast("long") * one).alias("cache_live_bytes"),
+        (F.greatest(F.lit(capacity), F.col("tokens")).cast("long") * F.col("kv_heads") * one).alias("cache_storage_bytes"),
+    )
+    return shape.withColumn("compression_ratio", F.try_divide(F.col("raw_kv_bytes").cast("double"), F.col("cache_storage_bytes"))).join(rows, by)
+
+
+def sweep(samples: DataFrame, by: list[str], dim: int, key_bits: list[int], value_bits: list[int], top_k: list[int], methods: tuple[str, ...] = ("primary",), seed: int = 42) -> DataFrame:
+    """evaluate() for each configuration of a grid: a case a sample and configuration."""
+    out = None
+    for method, kb, vb, k in product(methods, key_bits, value_bits, top_k):
+        one = evaluate(samples, by, kb, vb, dim, k, seed, method)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def complete_groups(captures: DataFrame, profile: DataFrame, by: list[str], positions: list[str] | None = None) -> DataFrame:
+    """The captures of groups (by) that have one for each layer of the profile (layer, heads, kv_heads, head_dim); all columns stay.
+
+    positions: only groups at these token positions.  Another shape than the profile's, or a layer twice in a group, is an error when the
+    result is used.
+    """
+    own = captures if not positions else captures.where(c.position_label("token_position").isin([*positions]))
+    shape = profile.select("layer", *(F.col(x).alias(f"_{x}") for x in ("heads", "kv_heads", "head_dim")))
+    there = own.join(F.broadcast(shape), "layer")  # a row a layer of one model
+    other = F.lit(False)
+    for x in ("heads", "kv_heads", "head_dim"):
+        other |= F.col(x) != F.col(f"_{x}")
+    counts = there.groupBy(*by).agg(F.count("*").alias("_n"), F.count_distinct("layer").alias("_layers"), F.bool_or(other).alias("_other"))
+    fits = F.when(F.col("_other"), F.raise_error("a capture has another shape than the profile's layer").cast("boolean")).when(F.col("_n") > F.col("_layers"), F.raise_error("a group has two captures of one layer").cast("boolean")).otherwise(F.col("_layers") == profile.select("layer").distinct().count())
+    return there.join(counts.where(fits).select(*by), by).select(captures.columns)
+
+
+#: Names of places in a sequence, as shares of it.
+SHARES = {"first": 0.0, "start": 0.0, "quarter": 0.25, "q1": 0.25, "middle": 0.5, "mid": 0.5, "three_quarter": 0.75, "three-quarter": 0.75, "q3": 0.75, "last": 1.0, "end": 1.0}
 
 
 def token_index(spec: Column | str, sequence_length: Column | str) -> Column:
-    """The token that a selector names: first, middle, last, a percentage, or an index (negative: from the end)."""
+    """The token that a selector names: a place by name, a percentage (with decimals, too), or an index (negative: from the end)."""
     x, n = F.trim(F.lower(F.col(spec) if isinstance(spec, str) else spec)), F.col(sequence_length) if isinstance(sequence_length, str) else sequence_length
-    share = F.try_to_number(F.regexp_extract(x, r"^(\d+)%$", 1), F.lit("999")).cast("double") / 100
+    named = F.try_element_at(F.create_map(*[F.lit(y) for pair in SHARES.items() for y in pair]), x)
+    share = F.coalesce(named, F.regexp_extract(x, r"^(\d+(?:\.\d+)?)%$", 1).try_cast("double") / 100)
     number = x.try_cast("int")
-    at = F.when(x == "first", 0).when(x == "last", n - 1).when(x == "middle", F.bround((n - 1) * F.lit(0.5)).cast("int")).when(x.rlike(r"^\d+%$"), F.bround((n - 1) * share).cast("int")).when(number < 0, n + number).otherwise(number)
+    at = F.when(share.isNotNull(), F.bround((n - 1) * share).cast("int")).when(number < 0, n + number).otherwise(number)
     return F.when(at.between(0, n - 1), at)
+
+
+def layers_of(spec: str, layers: int) -> list[int]:
+    """The layers that a selector names, each once: 'all', 'spread:N' (N evenly spread ones), or a list of numbers (negative: from the end)."""
+    text = spec.strip().lower()
+    if text == "all":
+        return list(range(layers))
+    if text.startswith("spread:"):
+        n = min(int(text[7:]), layers)
+        if n < 1:
+            raise ValueError("a spread has one layer or more")
+        return sorted({round(i * (layers - 1) / max(n - 1, 1)) for i in range(n)})
+    out = []
+    for part in text.split(","):
+        at = int(part) + (layers if int(part) < 0 else 0)
+        if not 0 <= at < layers:
+            raise ValueError(f"there is no layer {part.strip()} among {layers}")
+        if at not in out:
+            out.append(at)
+    return out

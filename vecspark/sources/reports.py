@@ -37,12 +37,12 @@ def read_bench(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.schema(BENCH).option("multiLine", True).json(path).withColumn("kind", bench_kind("n_prompt", "n_gen")).orderBy("kind", "n_depth", "n_prompt", "n_gen")
 
 
-_NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
+_NUMBER = r"([0-9eE+.\-]+)"
 #: The lines of an inference tool's log that are read.
-FINAL = rf"Final estimate: PPL = {_NUMBER} \+/- {_NUMBER}"
-OLDER = rf"perplexity: {_NUMBER}"
-TOTALS = rf"KV self size\s*=\s*{_NUMBER} MiB, K \([^)]*\):\s*{_NUMBER} MiB, V \([^)]*\):\s*{_NUMBER} MiB"
-BUFFER = rf"KV buffer size =\s*{_NUMBER} MiB"
+FINAL = rf"Final estimate:\s*PPL\s*=\s*{_NUMBER}\s*\+/-\s*{_NUMBER}"
+OLDER = rf"perplexity:\s*{_NUMBER}"
+TOTALS = rf"size\s*=\s*{_NUMBER}\s+MiB.*K\s+\(([^)]+)\):\s*{_NUMBER}\s+MiB,\s*V\s+\(([^)]+)\):\s*{_NUMBER}\s+MiB"
+BUFFER = rf"([A-Za-z0-9_.:+-]+)\s+KV buffer size\s*=\s*{_NUMBER}\s+MiB"
 
 
 def _found(text: Column, pattern: str, group: int) -> Column:
@@ -57,10 +57,15 @@ def perplexity(text: Column) -> Column:
 
 
 def kv_memory(text: Column) -> Column:
-    """struct(total, k, v, buffers) in MiB: the last totals line and the sum of buffer lines; null if there is neither."""
+    """struct(total, key_type, k, value_type, v, buffer, buffers): MiB and types of the last totals line, the sum and the list (name,
+    mib) of buffer lines; null if there is neither."""
     last = lambda group: F.coalesce(F.try_element_at(_found(text, TOTALS, group), F.lit(-1)), F.lit(0.0))
-    buffers = F.aggregate(_found(text, BUFFER, 1), F.lit(0.0), lambda a, x: a + x)
-    return F.when((last(1) > 0) | (buffers > 0), F.struct(last(1).alias("total"), last(2).alias("k"), last(3).alias("v"), buffers.alias("buffers")))
+    kind = lambda group: F.trim(F.try_element_at(F.regexp_extract_all(text, F.lit(TOTALS), F.lit(group)), F.lit(-1)))
+    names = F.regexp_extract_all(text, F.lit(BUFFER), F.lit(1))
+    buffers = F.zip_with(names, _found(text, BUFFER, 2), lambda n, x: F.struct(n.alias("name"), F.coalesce(x, F.lit(0.0)).alias("mib")))
+    total = F.aggregate(buffers, F.lit(0.0), lambda a, x: a + x["mib"])
+    found = F.struct(last(1).alias("total"), kind(2).alias("key_type"), last(3).alias("k"), kind(4).alias("value_type"), last(5).alias("v"), total.alias("buffer"), buffers.alias("buffers"))
+    return F.when((last(1) > 0) | (total > 0), found)
 
 
 def read_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -78,12 +83,18 @@ def read_prompts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.posexplode(prompts(F.col("value"))).alias("prompt_index", "prompt"))
 
 
-def metric_lines(requests: DataFrame) -> DataFrame:
-    """Counter lines in the text exposition format, of rows endpoint, backend, status."""
+def metric_lines(requests: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """Lines in the text exposition format: a counter of requests (endpoint, backend, status) for each label set, their totals by class of
+    status, and a gauge of live sessions if those are given."""
     counts = requests.groupBy("endpoint", "backend", "status").count()
-    line = F.format_string('requests_total{endpoint="%s",backend="%s",status="%s"} %d', "endpoint", "backend", "status", "count")
-    return counts.orderBy("endpoint", "backend", "status").select(line.alias("value"))
-
-
-def write_report(df: DataFrame, path: str) -> None:
-    df.write.json(path)
+    parts = [
+        counts.select(F.lit(1).alias("part"), F.format_string('requests_total{endpoint="%s",backend="%s",status="%s"} %d', "endpoint", "backend", F.col("status").cast("string"), "count").alias("value")),
+        counts.groupBy(F.format_string("%dxx", F.floor(F.col("status") / 100)).alias("class")).agg(F.sum("count").alias("n")).select(F.lit(2).alias("part"), F.format_string('responses_total{class="%s"} %d', "class", "n").alias("value")),
+    ]
+    if sessions is not None:
+        parts.append(sessions.agg(F.count("*").alias("n")).select(F.lit(3).alias("part"), F.format_string("sessions %d", "n").alias("value")))
+    kinds = parts[0].sparkSession.createDataFrame([(1, "# TYPE requests_total counter"), (2, "# TYPE responses_total counter"), (3, "# TYPE sessions gauge")][: len(parts)], "part int, value string")
+    lines = kinds.withColumn("kind", F.lit(0))
+    for p in parts:
+        lines = lines.unionByName(p.withColumn("kind", F.lit(1)))
+    return lines.orderBy("part", "kind", "value").select("value")
