@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecspark.functions import columns as c
+from vecspark.functions.registered import register
 from vecspark.functions.spec import ProductSpec, QuantizerSpec
 from vecspark.operators import allocation, attention, encode, search, sweep, turns
 from vecspark.sources import blobs, captures, reports
@@ -473,13 +474,51 @@ def request_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.request_counts(_events(spark, sf_dir))
 
 
-@query()
-def claim_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims and releases by user on one of 20 entities; order matters, so tests compare with a plain loop."""
-    e = table(spark, sf_dir, "events")
+_ACTIONS = "acts AS (SELECT CAST(user_id % 5 AS VARCHAR) AS session, CAST(event_id % 20 AS VARCHAR) AS entity, CAST(user_id AS VARCHAR) AS agent, CASE WHEN event_type = 'view' THEN 'shared' ELSE 'exclusive' END AS mode, CASE WHEN event_type = 'error' THEN 'release' ELSE 'claim' END AS action, ts, event_id FROM events)"
+
+
+def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     mode = F.when(F.col("event_type") == "view", "shared").otherwise("exclusive")
     action = F.when(F.col("event_type") == "error", "release").otherwise("claim")
-    return sessions.claims(e.select((F.col("user_id") % 5).cast("string").alias("session"), (F.col("event_id") % 20).cast("string").alias("entity"), F.col("user_id").cast("string").alias("agent"), mode.alias("mode"), action.alias("action"), "ts", "event_id"))
+    return table(spark, sf_dir, "events").select((F.col("user_id") % 5).cast("string").alias("session"), (F.col("event_id") % 20).cast("string").alias("entity"), F.col("user_id").cast("string").alias("agent"), mode.alias("mode"), action.alias("action"), "ts", "event_id")
+
+
+# A history is a fold in order: the state is a map of agent to mode for each entity, kept in a list of 'agent:mode'.
+_STEP = """CASE WHEN action = 'release' THEN list_filter(h, lambda x: split_part(x, ':', 1) <> agent)
+  WHEN len(list_filter(h, lambda x: split_part(x, ':', 1) <> agent AND (mode = 'exclusive' OR split_part(x, ':', 2) = 'exclusive'))) > 0 THEN h
+  ELSE list_append(list_filter(h, lambda x: split_part(x, ':', 1) <> agent), agent || ':' || mode) END"""
+
+
+@query(f"""WITH RECURSIVE {_ACTIONS}, numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY session, entity ORDER BY ts, event_id) AS n FROM acts),
+fold AS (
+  SELECT session, entity, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS h, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS agent, CAST(NULL AS VARCHAR) AS action, CAST(NULL AS VARCHAR) AS outcome FROM (SELECT DISTINCT session, entity FROM numbered)
+  UNION ALL
+  SELECT session, entity, x.n, {_STEP}, x.event_id, agent, action,
+    CASE WHEN action = 'release' THEN CASE WHEN len(list_filter(h, lambda x: split_part(x, ':', 1) = agent)) > 0 THEN 'released' ELSE 'absent' END
+      WHEN len(list_filter(h, lambda x: split_part(x, ':', 1) <> agent AND (mode = 'exclusive' OR split_part(x, ':', 2) = 'exclusive'))) > 0 THEN 'conflict'
+      WHEN len(list_filter(h, lambda x: split_part(x, ':', 1) = agent)) > 0 THEN 'renewed' ELSE 'acquired' END
+  FROM (SELECT f.session, f.entity, f.h, a.n, a.event_id, a.agent, a.mode, a.action FROM fold f JOIN numbered a ON a.session = f.session AND a.entity = f.entity AND a.n = f.n + 1) x
+)
+SELECT session, event_id, entity, agent, action, outcome FROM fold WHERE n > 0""")
+def claim_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims and releases by user on one of 20 entities in each of five sessions."""
+    return sessions.claims(_actions(spark, sf_dir))
+
+
+_PRESENT = "acts AS (SELECT CAST(user_id % 5 AS VARCHAR) AS session, CAST(user_id AS VARCHAR) AS agent, event_type AS status, CASE WHEN event_type = 'error' THEN 'remove' ELSE 'upsert' END AS action, ts, event_id FROM events)"
+
+
+@query(f"WITH {_PRESENT}, gone AS (SELECT session, agent, max((ts, event_id)) AS g FROM acts WHERE action = 'remove' GROUP BY ALL) SELECT a.session, a.agent, min(a.ts) AS created_at, max(a.ts) AS updated_at, arg_max(a.status, (a.ts, a.event_id)) AS status FROM acts a LEFT JOIN gone g USING (session, agent) WHERE a.action = 'upsert' AND (g.g IS NULL OR (a.ts, a.event_id) > g.g) GROUP BY a.session, a.agent")
+def agent_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    action = F.when(F.col("event_type") == "error", "remove").otherwise("upsert")
+    return sessions.presence(e.select((F.col("user_id") % 5).cast("string").alias("session"), F.col("user_id").cast("string").alias("agent"), F.col("event_type").alias("status"), action.alias("action"), "ts", "event_id")).select("session", "agent", "created_at", "updated_at", "status")
+
+
+@query(f"SELECT vec_id, round(sqrt({sql.dot('CAST(embedding AS DOUBLE[])', 'CAST(embedding AS DOUBLE[])')}), 6) AS norm, CAST(1 AS DOUBLE) AS cosine, CAST(24 AS INT) AS bytes, CAST(label // 2 AS INT) AS kv_head FROM embeddings")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered functions, called from SQL."""
+    return register(spark).sql("SELECT vec_id, round(vec_norm(embedding), 6) AS norm, round(vec_cosine(embedding, embedding), 6) AS cosine, packed_size(size(embedding), 3) AS bytes, kv_head_of(CAST(label AS INT), 10, 5) AS kv_head FROM {e}", e=table(spark, sf_dir, "embeddings"))
 
 
 @query("SELECT conv_id, t.turn AS turn, t.text AS text FROM (SELECT conv_id, arg_max({'turn': turn, 'text': text}, (CASE WHEN role = 'user' THEN 1 ELSE 0 END, turn)) AS t FROM conversations WHERE trim(text) <> '' GROUP BY conv_id)")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampType
 
 #: How many events a session keeps, how many a listing returns by default and at most.
 RING, PAGE, MOST = 512, 100, 512
@@ -41,9 +41,14 @@ def live_sessions(sessions: DataFrame, most: int) -> DataFrame:
 
 
 def event_log(events: DataFrame, keep: int = RING) -> DataFrame:
-    """events with seq, counted from 1 in each session; only each session's last `keep` stay."""
-    n = F.count("*").over(Window.partitionBy("session"))
-    return events.withColumn("seq", F.row_number().over(_ordered("session")).cast("long")).withColumn("_n", n).where(F.col("seq") > F.col("_n") - keep).drop("_n")
+    """events with seq, counted from 1 in each session; only each session's last `keep` stay.
+
+    The last ones are found by their rank from the end, a limit that tasks apply before the shuffle; counts add up to the seq.
+    """
+    back = Window.partitionBy("session").orderBy(F.desc("ts"), F.desc("event_id"))
+    last = events.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= keep)
+    counts = events.groupBy("session").agg(F.count("*").alias("_n"))
+    return last.join(counts, "session").withColumn("seq", (F.col("_n") - F.col("_back") + 1).cast("long")).drop("_n", "_back")
 
 
 def list_events(log: DataFrame, session, after: int = 0, limit: int = 0) -> DataFrame:
@@ -57,64 +62,130 @@ def request_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("endpoint").agg(F.count("*").alias("requests"), F.count_if(s == 401).alias("unauthorized"), F.count_if(s.between(400, 499) & (s != 401)).alias("client_errors"), F.count_if(s >= 500).alias("server_errors"))
 
 
-_CLAIM_STATE = StructType([StructField("agent", StringType()), StructField("mode", StringType())])
 _RESULT = "session string, event_id long, entity string, agent string, action string, outcome string"
 _RESULT_TYPE = StructType([StructField("session", StringType()), StructField("event_id", LongType()), *[StructField(n, StringType()) for n in ("entity", "agent", "action", "outcome")]])
+#: How long a claim is held without a renewal, in seconds; the types of events.
+CLAIM_TTL = 1800
+EVENT_TYPES = {"acquired": "claim.acquire", "renewed": "claim.acquire", "conflict": "claim.conflict", "released": "claim.release"}
+
 
+def settle(held: dict[str, tuple[str, float]], agent: str, mode: str, action: str, at: float = 0.0, ttl: float = 0.0) -> str:
+    """Applies one action to an entity's claims (agent -> (mode, when)): claim, release, or remove (the agent leaves and lets go of all).
 
-def settle(held: dict[str, str], agent: str, mode: str, action: str) -> str:
-    """Applies one action to an entity's claims (agent -> mode); claims conflict if another agent holds it and either is exclusive."""
-    if action == "release":
+    Claims conflict if another agent holds it and either is exclusive.  With a ttl, claims that were not renewed for longer are gone.
+    """
+    if ttl:
+        for a in [a for a, (_, when) in held.items() if at - when > ttl]:
+            del held[a]
+    if action in ("release", "remove"):
         return "released" if held.pop(agent, None) is not None else "absent"
-    others = [m for a, m in held.items() if a != agent]
+    others = [m for a, (m, _) in held.items() if a != agent]
     if others and (mode == "exclusive" or "exclusive" in others):
         return "conflict"
     known = agent in held
-    held[agent] = mode
+    held[agent] = mode, at
     return "renewed" if known else "acquired"
 
 
-def claims(actions: DataFrame) -> DataFrame:
-    """The outcome of each action (session, entity, agent, mode, action: claim or release, ts, event_id), in order.
+def _mode(actions: DataFrame) -> DataFrame:
+    return actions.withColumn("mode", F.coalesce(F.nullif(F.lower(F.trim("mode")), F.lit("")), F.lit("exclusive")))
+
+
+def _with_removals(actions: DataFrame) -> DataFrame:
+    """An agent's removal, which names no entity, as one action on each entity that it has claimed in the session."""
+    removed = actions.where("action = 'remove'")
+    claimed = actions.where("action = 'claim'").select("session", "agent", "entity").distinct()
+    each = removed.drop("entity").join(claimed, ["session", "agent"]).select(*actions.columns)
+    return actions.where("action <> 'remove'").unionByName(each)
 
-    One task for each (session, entity); a session's actions on other entities don't wait for it.
+
+def claims(actions: DataFrame, ttl: float = 0.0) -> DataFrame:
+    """The outcome of each action (session, entity, agent, mode, action: claim, release or remove, ts, event_id), in order.
+
+    Dealt out by (session, entity) and sorted; a task streams its rows and holds the claims of one entity at a time, so a long history takes
+    no memory.  A session's actions on other entities don't wait for it.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        held: dict[str, str] = {}
-        rows = rows.sort_values(["ts", "event_id"])
-        outcomes = [settle(held, a, m, x) for a, m, x in zip(rows["agent"], rows["mode"], rows["action"])]
-        return rows.assign(outcome=outcomes)[["session", "event_id", "entity", "agent", "action", "outcome"]]
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, {}
+        for rows in parts:
+            outcomes = []
+            for s, e, a, m, x, when in zip(rows["session"], rows["entity"], rows["agent"], rows["mode"], rows["action"], rows["at"]):
+                if (s, e) != at:
+                    at, held = (s, e), {}
+                outcomes.append(settle(held, a, m, x, when, ttl))
+            yield rows.assign(outcome=outcomes)[["session", "event_id", "entity", "agent", "action", "outcome"]]
+
+    rows = _with_removals(_mode(actions)).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    dealt = rows.repartition("session", "entity").sortWithinPartitions("session", "entity", "ts", "event_id")
+    return dealt.select("session", "event_id", "entity", "agent", "mode", "action", "at").mapInPandas(run, _RESULT)
+
+
+def claim_events(outcomes: DataFrame) -> DataFrame:
+    """The events that outcomes of claims() leave: session, event_id, type, agent, entity, summary (why a claim was let go)."""
+    kinds = F.create_map(*[F.lit(y) for pair in EVENT_TYPES.items() for y in pair])
+    why = F.when(F.col("action") == "remove", "agent_removed").otherwise("")
+    return outcomes.where("outcome <> 'absent'").select("session", "event_id", F.try_element_at(kinds, F.col("outcome")).alias("type"), "agent", "entity", why.alias("summary"))
+
 
-    mode = F.coalesce(F.nullif(F.trim("mode"), F.lit("")), F.lit("exclusive"))
-    return actions.withColumn("mode", mode).groupBy("session", "entity").applyInPandas(run, _RESULT)
+def holders(actions: DataFrame, outcomes: DataFrame, at=None, ttl: float = CLAIM_TTL) -> DataFrame:
+    """session, entity, agent, mode, acquired_at, updated_at of the claims that are held in the end (`at`: only those renewed within ttl)."""
+    done = outcomes.where("outcome in ('acquired', 'renewed', 'released')").join(_mode(actions).select("session", "event_id", "mode", "ts"), ["session", "event_id"])
+    order = F.struct("ts", "event_id")
+    last = done.groupBy("session", "entity", "agent").agg(F.max_by(F.struct("outcome", "mode", "ts"), order).alias("l"), F.max(F.when(F.col("outcome") == "acquired", F.col("ts"))).alias("acquired_at"))
+    found = last.where("l.outcome <> 'released'").select("session", "entity", "agent", "l.mode", "acquired_at", F.col("l.ts").alias("updated_at"))
+    return found if at is None else found.where(F.unix_seconds(F.lit(at).cast("timestamp")) - F.unix_seconds(F.col("updated_at").cast("timestamp")) <= ttl)
+
+
+def presence(updates: DataFrame) -> DataFrame:
+    """Agents that are there, by their updates (session, agent, status, action: upsert or remove, ts, event_id): the last status, and since when.
+
+    An agent that was removed and comes back is there since it came back.
+    """
+    order = Window.partitionBy("session", "agent").orderBy("ts", "event_id")
+    stays = updates.withColumn("_stay", F.sum(F.when(F.col("action") == "remove", 1).otherwise(0)).over(order))
+    own = stays.where("action <> 'remove'").groupBy("session", "agent", "_stay").agg(F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"), F.max_by(F.coalesce(F.nullif(F.trim("status"), F.lit("")), F.lit("active")), F.struct("ts", "event_id")).alias("status"))
+    gone = stays.groupBy("session", "agent").agg(F.max("_stay").alias("_stay"))
+    return own.join(gone, ["session", "agent", "_stay"]).drop("_stay")
+
+
+def live_counts(agents: DataFrame, held: DataFrame) -> DataFrame:
+    """session, agents, claims: how many of each there are now."""
+    a, h = agents.groupBy("session").agg(F.count("*").alias("agents")), held.groupBy("session").agg(F.count("*").alias("claims"))
+    return a.join(h, "session", "full").select("session", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("agents", "claims")])
 
 
 class ClaimProcessor(StatefulProcessor):
-    """claims() on a stream: the holders of each (session, entity) are state. Within a batch rows are put in order."""
+    """claims() on a stream: the holders of each (session, entity) are state. Within a batch rows are put in order. A removal has to name its entity."""
+
+    def __init__(self, ttl: float = 0.0):
+        self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getMapState("held", StructType([StructField("agent", StringType())]), StructType([StructField("mode", StringType())]))
+        self.held = handle.getMapState("held", StructType([StructField("agent", StringType())]), StructType([StructField("mode", StringType()), StructField("at", DoubleType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         every = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        before = {k[0]: v[0] for k, v in self.held.iterator()}
+        before = {k[0]: (v[0], v[1]) for k, v in self.held.iterator()}
         held = dict(before)
-        outcomes = [settle(held, a, m or "exclusive", x) for a, m, x in zip(every["agent"], every["mode"], every["action"])]
+        outcomes = [settle(held, a, m or "exclusive", x, t.timestamp(), self.ttl) for a, m, x, t in zip(every["agent"], every["mode"], every["action"], every["ts"])]
         for agent in before.keys() - held.keys():
             self.held.removeKey((agent,))
-        for agent, mode in held.items():
-            if before.get(agent) != mode:
-                self.held.updateValue((agent,), (mode,))
+        for agent, state in held.items():
+            if before.get(agent) != state:
+                self.held.updateValue((agent,), state)
         yield every.assign(outcome=outcomes)[["session", "event_id", "entity", "agent", "action", "outcome"]]
 
     def close(self) -> None:
         pass
 
 
-def claim_stream(actions: DataFrame) -> DataFrame:
+def claim_stream(actions: DataFrame, ttl: float = 0.0) -> DataFrame:
     """A streaming DataFrame of outcomes; needs the RocksDB state store provider."""
-    return actions.groupBy("session", "entity").transformWithStateInPandas(ClaimProcessor(), _RESULT_TYPE, "Append", "None")
+    return actions.groupBy("session", "entity").transformWithStateInPandas(ClaimProcessor(ttl), _RESULT_TYPE, "Append", "None")
+
+
+_SEEN = StructType([StructField("requests", LongType()), StructField("created", DoubleType()), StructField("last", DoubleType()), StructField("event", LongType()), StructField("endpoint", StringType())])
 
 
 class TouchProcessor(StatefulProcessor):
@@ -124,25 +195,34 @@ class TouchProcessor(StatefulProcessor):
         self.ttl = ttl_seconds * 1000 or None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", StructType([StructField("requests", LongType()), StructField("last", LongType()), StructField("endpoint", StringType())]), self.ttl)
+        self.seen = handle.getValueState("seen", _SEEN, self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         every = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        old = self.seen.get() if self.seen.exists() else (0, 0, "")
-        last = every.iloc[-1]
-        state = (int(old[0]) + len(every), int(last["event_id"]), str(last["endpoint"]))
+        first, last = every["ts"].iloc[0].timestamp(), every.iloc[-1]
+        now = (last["ts"].timestamp(), int(last["event_id"]), str(last["endpoint"]))
+        old = self.seen.get() if self.seen.exists() else None
+        # A batch that comes late changes the counts, but not what was seen last.
+        created, kept = (min(old[1], first), max(now, (old[2], old[3], old[4]))) if old else (first, now)
+        state = ((old[0] if old else 0) + len(every), created, *kept)
         self.seen.update(state)
-        yield pd.DataFrame({"session": [key[0]], "requests": [state[0]], "last_event": [state[1]], "last_endpoint": [state[2]]})
+        yield pd.DataFrame({"session": [key[0]], "requests": [state[0]], "created_at": [pd.Timestamp(created, unit="s")], "last_seen_at": [pd.Timestamp(kept[0], unit="s")], "last_endpoint": [kept[2]]})
 
     def close(self) -> None:
         pass
 
 
 def touch_stream(events: DataFrame, ttl_seconds: int = 0) -> DataFrame:
-    kind = StructType([StructField("session", StringType()), StructField("requests", LongType()), StructField("last_event", LongType()), StructField("last_endpoint", StringType())])
+    """A streaming DataFrame of sessions as they are after each batch that touches them; needs the RocksDB state store provider."""
+    kind = StructType([StructField("session", StringType()), StructField("requests", LongType()), StructField("created_at", TimestampType()), StructField("last_seen_at", TimestampType()), StructField("last_endpoint", StringType())])
     return events.groupBy("session").transformWithStateInPandas(TouchProcessor(ttl_seconds), kind, "Update", "ProcessingTime" if ttl_seconds else "None")
 
 
-def count_stream(events: DataFrame) -> DataFrame:
-    """request_counts() on a stream, in complete mode."""
-    return request_counts(events)
+def checkpoints(turns: DataFrame, saves: DataFrame) -> DataFrame:
+    """The turns that each checkpoint (session, checkpoint, turns: how many there were, ts) holds; of those that repeat a name the last counts.
+
+    Restoring one is a selection of its rows; branching from it is their union with the branch's own turns.
+    """
+    last = saves.groupBy("session", "checkpoint").agg(F.max_by("turns", "ts").alias("_turns"))
+    placed = turns.withColumn("_n", F.row_number().over(Window.partitionBy("session").orderBy("turn")))
+    return placed.join(last, "session").where(F.col("_n") <= F.col("_turns")).drop("_n", "_turns")
