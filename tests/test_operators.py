@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vecspark.functions import codes
 from vecspark.functions import columns as c
-from vecspark.operators import allocation, attention, encode, sweep, turns
+from vecspark.operators import allocation, attention, encode, search, sweep, turns
 from vecspark.operators.search import QuantizedIndex
 from vecspark.functions.spec import ProductSpec, QuantizerSpec
 from vecspark.sources import captures, reports
@@ -313,3 +313,34 @@ def test_streams_agree_with_batches(spark, sf, tmp_path):
     assert got == {r.event_id: r.outcome for r in sessions.claims(events).collect()}
     seen = run(sessions.touch_stream(stream), "update", "touch_out").groupBy("session").agg(F.max("requests").alias("n"))
     assert {r.session: r.n for r in seen.collect()} == {r.session: r["count"] for r in events.groupBy("session").count().collect()}
+
+
+def test_search_by_blocks_finds_the_same(spark, sf, monkeypatch):
+    """Queries too many to be broadcast, and ties at the last place."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    rows = rows.union(rows.where("id < 30").withColumn("id", F.col("id") + 10_000))
+    asked = rows.where("id < 5").select(F.col("id").alias("query_id"), F.col("v").cast("array<double>").alias("q"))
+    one = [tuple(r) for r in search.exact_topk(rows, asked, 7, 64).orderBy("query_id", "rank").collect()]
+    monkeypatch.setattr(search, "ASKED_BYTES", 0)
+    assert one == [tuple(r) for r in search.exact_topk(rows, asked, 7, 64).orderBy("query_id", "rank").collect()] and len(one) == 35
+    assert all(r[2] == r[0] for r in one if r[1] == 1)
+
+
+def test_claims_end_with_their_time_and_their_agent(spark):
+    rows = [("s", "e", "a", "", "claim", 0), ("s", "e", "b", "shared", "claim", 50), ("s", "f", "a", "shared", "claim", 60), ("s", "e", "b", "shared", "claim", 101), ("s", None, "a", None, "remove", 110), ("s", "f", "b", "exclusive", "claim", 120), ("s", "e", "a", None, "release", 130)]
+    df = spark.createDataFrame([(s, e, a, m, x, n, t) for n, (s, e, a, m, x, t) in enumerate(rows)], "session string, entity string, agent string, mode string, action string, event_id long, at long").withColumn("ts", F.timestamp_seconds("at")).drop("at")
+    out = sessions.claims(df, 100)
+    got = sorted((r.event_id, r.entity, r.outcome) for r in out.collect())
+    assert got == [(0, "e", "acquired"), (1, "e", "conflict"), (2, "f", "acquired"), (3, "e", "acquired"), (4, "e", "absent"), (4, "f", "released"), (5, "f", "acquired"), (6, "e", "absent")]
+    assert {(r.event_id, r.type, r.summary) for r in sessions.claim_events(out).collect()} >= {(1, "claim.conflict", ""), (4, "claim.release", "agent_removed")}
+    held = sessions.holders(df, out)
+    assert sorted((r.entity, r.agent, r.mode) for r in held.where("agent = 'b'").collect()) == [("e", "b", "shared"), ("f", "b", "exclusive")]
+    agents = sessions.presence(df.where("action = 'remove' or event_id < 2").withColumn("status", F.lit(" ")))
+    assert [(r.agent, r.status) for r in agents.collect()] == [("b", "active")]
+    assert [tuple(r) for r in sessions.live_counts(agents, held.where("agent = 'b'")).collect()] == [("s", 1, 2)]
+
+
+def test_checkpoints(spark):
+    turns_ = spark.createDataFrame([("s", 1, "a"), ("s", 2, "b"), ("s", 3, "c")], "session string, turn int, text string")
+    saves = spark.createDataFrame([("s", "x", 1, 1), ("s", "x", 2, 5), ("s", "y", 3, 3)], "session string, checkpoint string, turns int, ts int")
+    assert sorted((r.checkpoint, r.text) for r in sessions.checkpoints(turns_, saves).collect()) == [("x", "a"), ("x", "b"), ("y", "a"), ("y", "b"), ("y", "c")]

@@ -1,15 +1,21 @@
 """Attention over tables of keys and values.
 
 A table of entries has the columns page (any number of columns that name it), slot, and key and value vectors or codes.  The
-weights are a softmax over a query's selected entries, in a window, so an entry set is never gathered in one row; outputs
-are sums by coordinate.  Appending assigns the slots after the page's last one.
+weights are a softmax over a query's entries: over the k best, found by a window whose limit prunes before the shuffle, or over all, by
+partial sums.  An entry set is never gathered in one row or task.  Appending assigns the slots after the page's last one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from vecspark.functions import codes
 from vecspark.functions import columns as c
 from vecspark.functions.spec import ProductSpec, QuantizerSpec
 
@@ -39,8 +45,53 @@ def gathered(outputs: DataFrame, by: list[str]) -> DataFrame:
 
 def attend(queries: DataFrame, entries: DataFrame, on: list[str], by: list[str], scale: float = 1.0, k: int | None = None) -> DataFrame:
     """by, coordinate, output. queries: by, on, q; entries: on, slot, key, value. An empty page gives no rows."""
-    scored = queries.join(entries, on).withColumn("score", c.dot("q", "key") * F.lit(scale))
-    return weighted_sum(weights(scored, by, k), by)
+    joined = queries.join(entries, on)
+    if k is not None:
+        return weighted_sum(weights(joined.withColumn("score", c.dot("q", "key") * F.lit(scale)), by, k), by)
+    return _over_all(joined.select(*by, "q", "key", "value"), by, scale)
+
+
+def _over_all(joined: DataFrame, by: list[str], scale: float) -> DataFrame:
+    """A softmax over all entries without gathering them: a task sends the largest score, the sum of weights and the weighted sum of
+    values of what it has seen of each query, all relative to that largest score; such parts are merged the same way."""
+    keys = [joined.schema[n] for n in by]
+    part = StructType([*keys, *StructType.fromDDL("most double, total double, parts array<double>").fields])
+    out = StructType([*keys, *StructType.fromDDL("coordinate int, output double").fields])
+
+    def merged(at: np.ndarray, most: np.ndarray, total: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        groups = int(at.max()) + 1 if len(at) else 0
+        top = np.full(groups, -np.inf)
+        np.maximum.at(top, at, most)
+        share = np.exp(most - top[at])
+        sums = np.zeros((groups, parts.shape[1]))
+        np.add.at(sums, at, parts * share[:, None])
+        return top, np.bincount(at, weights=total * share, minlength=groups), sums
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, first = _groups(batch, by)
+            matrix = lambda n: codes.matrix_of(batch.column(n), len(batch.column(n)[0]))
+            score = (matrix("q") * matrix("key")).sum(axis=1) * scale
+            top, total, sums = merged(at, score, np.ones(len(score)), matrix("value"))
+            own = batch.take(pa.array(first))
+            yield pa.record_batch([*(own.column(n) for n in by), pa.array(top), pa.array(total), codes.lists_of(sums, pa.float64())], names=part.names)
+
+    def merge(table: pa.Table) -> pa.Table:
+        parts = table.column("parts").combine_chunks()
+        dim = len(parts[0])
+        _, total, sums = merged(np.zeros(len(parts), int), table.column("most").to_numpy(), table.column("total").to_numpy(), codes.matrix_of(parts, dim))
+        head = table.slice(0, 1).take(pa.array(np.zeros(dim, int)))
+        return pa.table([*(head.column(n) for n in by), pa.array(np.arange(dim), pa.int32()), pa.array(sums[0] / total[0])], names=out.names)
+
+    return joined.mapInArrow(run, part).groupBy(*by).applyInArrow(merge, out)
+
+
+def _groups(batch: pa.RecordBatch, by: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of its group, from 0, of each row; a row of each group)."""
+    at = batch.select(by).to_pandas().groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+    return at, np.unique(at, return_index=True)[1]
 
 
 def attend_codes(queries: DataFrame, coded: DataFrame, on: list[str], by: list[str], keys: ProductSpec, values: QuantizerSpec, scale: float = 1.0, k: int | None = None) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Top-k search: the queries against all rows, in blocks.
+"""Top-k search: the queries against all rows.
 
-Rows and queries are gathered into blocks; each pair of a row block and a query block is a tile, joined by equality on
-both numbers.  A tile is one matrix product, of which each query's k best rows leave the task; the global k best are
-found by a window, whose group limit prunes before the shuffle.  Order: larger scores first, then smaller ids.
+Queries of up to `ASKED_BYTES` bytes are broadcast, and the rows stay where they are: a task scores its batches against all queries
+and keeps each query's k best rows, which is all that leaves it.  More queries than that are gathered into blocks, as are the rows;
+each pair of a row block and a query block is a tile, joined by equality on both numbers.  In either case a batch or a tile is one
+matrix product, and the global k best are found by a window, whose group limit prunes before the shuffle.  Order: larger scores
+first, then smaller ids.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from vecspark.functions.spec import ProductSpec, QuantizerSpec
 from . import encode
 
 ROWS, QUERIES = 8192, 1024
+#: Bytes of query vectors that are broadcast.
+ASKED_BYTES = 16 << 20
 DECIMALS = 6
 
 
@@ -34,29 +38,67 @@ def _column(cell: pa.StructArray, name: str) -> pa.Array:
     return cell.field(name)
 
 
+def _best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best entries of each query, in order."""
+    order = np.lexsort((ids, -score, q))
+    q, ids, score = q[order], ids[order], score[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], ids[keep], score[keep]
+
+
+def _found(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each query; s: queries x rows. Of equal scores at the k-th place all are looked at."""
+    if s.shape[1] > k:
+        i, j = np.nonzero(s >= np.partition(s, -k, axis=1)[:, -k][:, None])
+    else:
+        i, j = (x.ravel() for x in np.indices(s.shape))
+    return _best(i, ids[j], s[i, j], k)
+
+
 def topk(rows: DataFrame, queries: DataFrame, k: int, dim: int, score: Callable[[pa.StructArray, np.ndarray], np.ndarray], decimals: int | None = DECIMALS) -> DataFrame:
     """query_id, rank, id, score. rows: id and what score() reads; queries: query_id, q (a vector).
 
     score(rows, queries) gives rows x queries. Scores are rounded to `decimals` before they are ranked, unless None.
     """
-    left, n_queries = _blocks(queries.select("query_id", "q"), "qb", QUERIES, ["query_id", "q"])
-    right, n_rows = _blocks(rows, "rb", ROWS, rows.columns)
-    left = left.withColumnRenamed("rows", "queries").withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
-    right = right.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                own, asked = batch.column("rows").slice(i, 1).flatten(), batch.column("queries").slice(i, 1).flatten()
-                s = score(own, codes.matrix_of(_column(asked, "q"), dim)).T
-                s = np.round(s, decimals) + 0.0 if decimals is not None else s
-                ids, asked_ids = (_column(x, n).to_numpy(zero_copy_only=False) for x, n in ((own, "id"), (asked, "query_id")))
-                order = np.argsort(ids, kind="stable")
-                best = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]]
-                width = best.shape[1]
-                yield pa.record_batch([pa.array(np.repeat(asked_ids, width)), pa.array(ids[best.reshape(-1)]), pa.array(np.take_along_axis(s, best, 1).reshape(-1))], names=["query_id", "id", "score"])
-
-    found = left.join(right, ["qb", "rb"]).select("queries", "rows").mapInArrow(run, "query_id long, id long, score double")
+    names = ["query_id", "id", "score"]
+
+    def scored(own: pa.StructArray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        s = score(own, q).T
+        s = np.round(s, decimals) + 0.0 if decimals is not None else s
+        return _found(s, _column(own, "id").to_numpy(zero_copy_only=False), k)
+
+    asked = queries.select("query_id", "q")
+    if asked.count() * dim * 8 <= ASKED_BYTES:
+        table = asked.toArrow().combine_chunks()
+        shared = rows.sparkSession.sparkContext.broadcast((table.column("query_id").to_numpy(), codes.matrix_of(table.column("q"), dim)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked_ids, q = shared.value
+            at, ids, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            for batch in batches:
+                for begin in range(0, batch.num_rows if len(q) else 0, ROWS // 4):
+                    new = scored(batch.slice(begin, ROWS // 4).to_struct_array(), q)
+                    at, ids, s = (np.concatenate(x) for x in zip((at, ids, s), new))
+                    if len(at) > 8 * k * len(q):
+                        at, ids, s = _best(at, ids, s, k)
+            at, ids, s = _best(at, ids, s, k)
+            yield pa.record_batch([pa.array(asked_ids[at], pa.int64()), pa.array(ids, pa.int64()), pa.array(s)], names=names)
+
+        found = rows.mapInArrow(run, "query_id long, id long, score double")
+    else:
+        left, n_queries = _blocks(asked, "qb", QUERIES, ["query_id", "q"])
+        right, n_rows = _blocks(rows, "rb", ROWS, rows.columns)
+        left = left.withColumnRenamed("rows", "queries").withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
+        right = right.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    own, block = batch.column("rows").slice(i, 1).flatten(), batch.column("queries").slice(i, 1).flatten()
+                    at, ids, s = scored(own, codes.matrix_of(_column(block, "q"), dim))
+                    yield pa.record_batch([pa.array(_column(block, "query_id").to_numpy(zero_copy_only=False)[at]), pa.array(ids), pa.array(s)], names=names)
+
+        found = left.join(right, ["qb", "rb"]).select("queries", "rows").mapInArrow(run, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 

@@ -583,24 +583,24 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Binary forms
 
 
-@query("SELECT vec_id AS id, true AS same, CAST(38 AS INT) AS bytes FROM embeddings")
+@query(f"WITH {sql.coded(SPEC)} SELECT id, CAST(38 AS INT) AS bytes, {sql.packed_hex('cells', DIM, 2)} AS code, round(norm, 6) AS norm, CAST({DIM} AS INT) AS dim, CAST({SPEC.bits} AS INT) AS bits FROM coded")
 def wire_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = encode.quantize(vectors(spark, sf_dir).select("id", "v"), SPEC)
-    read = blobs.wire_fields(blobs.wire_column(coded, SPEC))
-    same = (F.col("wire_packed") == F.col("packed")) & (F.col("wire_norm") == F.col("norm")) & (F.col("wire_dim") == DIM) & (F.col("wire_bits") == SPEC.bits)
-    return read.select("id", same.alias("same"), F.length("wire").cast("int").alias("bytes"))
+    """What is read back from the wire form: the oracle works the codes out from the vectors."""
+    read = blobs.wire_fields(blobs.wire_column(encode.quantize(vectors(spark, sf_dir).select("id", "v"), SPEC), SPEC))
+    return read.select("id", F.length("wire").cast("int").alias("bytes"), F.lower(F.hex("wire_packed")).alias("code"), F.round(F.col("wire_norm").cast("double"), 6).alias("norm"), F.col("wire_dim").cast("int").alias("dim"), F.col("wire_bits").cast("int").alias("bits"))
 
 
-@query("SELECT label, count(*) AS entries, true AS same FROM embeddings GROUP BY label")
+@query("SELECT label, CAST(vec_id // 256 AS BIGINT) AS page, count(*) AS entries, true AS same FROM embeddings GROUP BY ALL")
 def page_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each label's entries through one blob and back."""
-    slot = (F.row_number().over(Window.partitionBy("label").orderBy("id")) - 1).cast("int")
-    rows = vectors(spark, sf_dir).select("label", slot.alias("slot"), "v")
+    """Entries through one blob a page and back; a page has 256 entries at the most, whatever its label has."""
+    page = F.floor(F.col("id") / 256).cast("long")
+    slot = (F.row_number().over(Window.partitionBy("label", "page").orderBy("id")) - 1).cast("int")
+    rows = vectors(spark, sf_dir).withColumn("page", page).select("label", "page", slot.alias("slot"), "v")
     coded = encode.quantize(encode.quantize_product(rows, PRODUCT), SPEC).drop("v")
-    again = blobs.page_entries(blobs.page_bytes(coded, ["label"], PRODUCT, SPEC), ["label"])
+    again = blobs.page_entries(blobs.page_bytes(coded, ["label", "page"], PRODUCT, SPEC), ["label", "page"])
     names = ["mse", "signs", "res_norm", "packed", "norm"]
-    both = coded.join(again.withColumnsRenamed({n: f"r_{n}" for n in names}), ["label", "slot"])
+    both = coded.join(again.withColumnsRenamed({n: f"r_{n}" for n in names}), ["label", "page", "slot"])
     same = F.lit(True)
     for n in names:
         same &= F.col(n) == F.col(f"r_{n}")
-    return both.groupBy("label").agg(F.count("*").alias("entries"), F.bool_and(same).alias("same"))
+    return both.groupBy("label", "page").agg(F.count("*").alias("entries"), F.bool_and(same).alias("same"))
