@@ -17,13 +17,15 @@ from vecspark.functions import codes
 from vecspark.functions.spec import ProductSpec, QuantizerSpec
 
 
-def _add(df: DataFrame, more: str, column: str, width: int, make: Callable[[pa.RecordBatch], list]) -> DataFrame:
-    """df with columns (DDL) that make() gets from the rows of a batch whose `column` has `width` elements or bytes."""
+def _add(df: DataFrame, more: str, column: str, width: int | None, make: Callable[[pa.RecordBatch], list]) -> DataFrame:
+    """df with columns (DDL) that make() gets from the rows of a batch whose `column` has `width` elements or bytes (any, if None)."""
     added = StructType.fromDDL(more)
     keep = [f for f in df.schema.fields if f.name.lower() not in {x.name.lower() for x in added.fields}]
     names = [f.name for f in keep] + added.fieldNames()
 
     def fits(values: pa.Array) -> np.ndarray:
+        if width is None:
+            return values.is_valid().to_numpy(zero_copy_only=False)
         size = pc.binary_length(values) if pa.types.is_binary(values.type) else pc.list_value_length(values)
         ok = pc.fill_null(pc.equal(size, width), False).to_numpy(zero_copy_only=False)
         if not pa.types.is_binary(values.type) and values.values.null_count:

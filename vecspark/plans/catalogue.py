@@ -590,17 +590,24 @@ def wire_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("id", F.length("wire").cast("int").alias("bytes"), F.lower(F.hex("wire_packed")).alias("code"), F.round(F.col("wire_norm").cast("double"), 6).alias("norm"), F.col("wire_dim").cast("int").alias("dim"), F.col("wire_bits").cast("int").alias("bits"))
 
 
-@query("SELECT label, CAST(vec_id // 256 AS BIGINT) AS page, count(*) AS entries, true AS same FROM embeddings GROUP BY ALL")
+@query(f"WITH {sql.sketched(PRODUCT)} SELECT id, CAST(22 + {DIM * 2 // 8 + DIM // 8} AS INT) AS bytes, {sql.packed_hex('cells', DIM, 2)} AS mse, {sql.packed_hex('signs', DIM, 1)} AS signs, round(res_norm, 6) AS res_norm FROM sketched")
+def wire_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from the wire form of inner-product codes."""
+    read = blobs.wire_fields(blobs.wire_product_column(encode.quantize_product(vectors(spark, sf_dir).select("id", "v"), PRODUCT), PRODUCT))
+    return read.select("id", F.length("wire").cast("int").alias("bytes"), F.lower(F.hex("wire_packed")).alias("mse"), F.lower(F.hex("wire_signs")).alias("signs"), F.round(F.col("wire_norm").cast("double"), 6).alias("res_norm"))
+
+
+@query("SELECT label, CAST(vec_id // 256 AS BIGINT) AS part, count(*) AS entries, true AS same FROM embeddings GROUP BY ALL")
 def page_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries through one blob a page and back; a page has 256 entries at the most, whatever its label has."""
-    page = F.floor(F.col("id") / 256).cast("long")
-    slot = (F.row_number().over(Window.partitionBy("label", "page").orderBy("id")) - 1).cast("int")
-    rows = vectors(spark, sf_dir).withColumn("page", page).select("label", "page", slot.alias("slot"), "v")
+    part = F.floor(F.col("id") / 256).cast("long")
+    slot = (F.row_number().over(Window.partitionBy("label", "part").orderBy("id")) - 1).cast("int")
+    rows = vectors(spark, sf_dir).withColumn("part", part).select("label", "part", slot.alias("slot"), "v")
     coded = encode.quantize(encode.quantize_product(rows, PRODUCT), SPEC).drop("v")
-    again = blobs.page_entries(blobs.page_bytes(coded, ["label", "page"], PRODUCT, SPEC), ["label", "page"])
+    again = blobs.page_entries(blobs.page_bytes(coded, ["label", "part"], PRODUCT, SPEC), ["label", "part"])
     names = ["mse", "signs", "res_norm", "packed", "norm"]
-    both = coded.join(again.withColumnsRenamed({n: f"r_{n}" for n in names}), ["label", "page", "slot"])
+    both = coded.join(again.withColumnsRenamed({n: f"r_{n}" for n in names}), ["label", "part", "slot"])
     same = F.lit(True)
     for n in names:
         same &= F.col(n) == F.col(f"r_{n}")
-    return both.groupBy("label", "page").agg(F.count("*").alias("entries"), F.bool_and(same).alias("same"))
+    return both.groupBy("label", "part").agg(F.count("*").alias("entries"), F.bool_and(same).alias("same"))

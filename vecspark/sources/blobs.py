@@ -90,7 +90,18 @@ def from_compact(data: bytes, product: bool = False) -> QuantizerSpec | ProductS
 def wire_column(coded: DataFrame, spec: QuantizerSpec, out: str = "wire") -> DataFrame:
     """coded (packed, norm) with wire bytes."""
     dim, bits = spec.dim, spec.bits
-    return _add(coded, f"{out} binary", [out], lambda b: [pa.array([wire(x, n, dim, bits) for x, n in zip(b.column("packed").to_pylist(), b.column("norm").to_pylist())], pa.binary())])
+    return _add(coded, f"{out} binary", "packed", spec.code_bytes, lambda b: [pa.array([wire(x, n, dim, bits) for x, n in zip(b.column("packed").to_pylist(), b.column("norm").to_pylist())], pa.binary())])
+
+
+def wire_product_column(coded: DataFrame, spec: ProductSpec, out: str = "wire") -> DataFrame:
+    """coded (mse, signs, res_norm of quantize_product()) with wire bytes."""
+    dim, bits = spec.dim, spec.bits
+
+    def make(batch):
+        parts = zip(*(batch.column(n).to_pylist() for n in ("mse", "signs", "res_norm")))
+        return [pa.array([wire(cells, norm, dim, bits, signs) for cells, signs, norm in parts], pa.binary())]
+
+    return _add(coded, f"{out} binary", "mse", spec.base.code_bytes, make)
 
 
 def wire_fields(df: DataFrame, column: str = "wire") -> DataFrame:
@@ -101,7 +112,7 @@ def wire_fields(df: DataFrame, column: str = "wire") -> DataFrame:
         rows = [from_wire(x) for x in batch.column(column).to_pylist()]
         return [pa.array([r[k] for r in rows], t) for k, t in kinds.items()]
 
-    return _add(df, "wire_dim int, wire_bits int, wire_norm float, wire_packed binary, wire_signs binary", [f"wire_{k}" for k in kinds], make)
+    return _add(df, "wire_dim int, wire_bits int, wire_norm float, wire_packed binary, wire_signs binary", column, None, make)
 
 
 def _page_head(key: int, value: int, entries: int) -> bytes:
