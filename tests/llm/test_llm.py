@@ -95,7 +95,7 @@ def table(sf):
 
 def grouped(rows):
     """Plain connected components of weighted similarity over all pairs; document frequencies by the operator's slots."""
-    n, features = len(rows), near_dedup.Settings().features
+    n, features, damping = len(rows), near_dedup.Settings().features, near_dedup.Settings().damping
     slot, bags = {}, []
     for _, t in rows:
         w = words(t)
@@ -103,7 +103,7 @@ def grouped(rows):
         slot.update(zip(own, near_dedup.slot(near_dedup.runs(words_.words_of(pa.array([t or ""])), 5)[1], features).tolist()))
         bags.append(Counter(own))
     df = Counter(x for bag in bags for x in {slot[k] for k in bag})
-    bags = [{k: (1 + np.log(c)) * (1 + np.log((1 + n) / (1 + df[slot[k]])) / np.log(1 + features)) for k, c in bag.items()} for bag in bags]
+    bags = [{k: (1 + np.log(c)) * (1 + damping * np.log((1 + n) / (1 + df[slot[k]])) / np.log(1 + features)) for k, c in bag.items()} for bag in bags]
     root = list(range(n))
 
     def find(i):

@@ -4,10 +4,14 @@ A shingle is five words in a row; a text of one to four words has one shingle, a
 of its count in the text, times its IDF.  Shingles are hashed to `features` slots, and a slot's document frequency is
 the number of documents with a shingle in it, counted over all documents: a table of fixed size, safe to broadcast.  Shingles of
 many documents stand out from what the slots hold anyway (about features / shingles of a document, as a share of all
-documents, whatever the corpus).  The IDF is damped, 1 + log((1 + N) / (1 + df)) / log(1 + features), so from 1 to about 1.6:
-what a large group of near copies shares is frequent because of them, and undamped weights would take it out of the comparison
-and leave the edits alone.  With these weights a pair in a group that is a third of all rows needs an unweighted similarity
-of 0.85 for a weighted one of 0.8, a pair in a group of a thousandth or less 0.8.
+documents, whatever the corpus).  The IDF is damped, 1 + damping * log((1 + N) / (1 + df)) / log(1 + features): what a large group of
+near copies shares is frequent because of them, and undamped weights would take it out of the comparison and leave the edits alone.
+The unweighted similarity that a pair needs for a weighted one of 0.8, by its group's share of all rows (a rare shingle in 0.07 %):
+
+    damping   group of 1/3   1/20    1/1000   weights from 1 to
+    1         0.85           0.84    0.80     1.6
+    0.5       0.83           0.82    0.80     1.3
+    0.25      0.82           0.81    0.80     1.15     (what is used)
 
 Steps, each a Spark job over all documents:
 
@@ -57,6 +61,7 @@ class Settings:
     bands: int = 16
     rows: int = 4
     features: int = 1 << 18
+    damping: float = 0.25
     seed: int = 7
 
 
@@ -140,9 +145,9 @@ class Sampler:
         return out
 
 
-def idf_of(frequency: np.ndarray, documents_: int) -> np.ndarray:
+def idf_of(frequency: np.ndarray, documents_: int, damping: float) -> np.ndarray:
     """The damped IDF of each slot."""
-    return 1 + np.log((1 + documents_) / (1 + frequency)) / np.log(1 + len(frequency))
+    return 1 + damping * np.log((1 + documents_) / (1 + frequency)) / np.log(1 + len(frequency))
 
 
 def idf_table(docs: DataFrame, settings: Settings) -> np.ndarray:
@@ -163,7 +168,7 @@ def idf_table(docs: DataFrame, settings: Settings) -> np.ndarray:
     frequency = np.zeros(n + 1, np.int64)
     table = got.toArrow()  # settings.features + 1 rows of two numbers at the most, whatever the corpus
     frequency[table.column("feature").to_numpy()] = table.column("n").to_numpy()
-    return idf_of(frequency[:n], frequency[n])
+    return idf_of(frequency[:n], frequency[n], settings.damping)
 
 
 def signatures(docs: DataFrame, idf, settings: Settings) -> DataFrame:
