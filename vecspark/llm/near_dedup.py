@@ -334,8 +334,15 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """docs (doc_id, text): doc_id, mark (xxhash64 of the text), class_id (the smallest doc_id of its class), root (names the class)."""
+    classes = _classes(docs, settings)
+    least = stored(classes.groupBy("root").agg(F.min("doc_id").alias("class_id")))
+    return classes.join(least, "root").select("doc_id", "mark", "class_id", "root")
+
+
+def _classes(docs: DataFrame, settings: Settings) -> DataFrame:
+    """doc_id, mark, root of each row, stored."""
     spark = docs.sparkSession
-    folder, kept = shared_folder(spark), shared_folder(spark)
+    folder = shared_folder(spark)
     at = lambda name: f"{folder}/{name}"
     docs = id_and_text(docs).withColumn("mark", F.xxhash64("text"))
     idf = spark.sparkContext.broadcast(idf_table(docs, settings))
@@ -354,10 +361,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     root = components(links)
     more = stored(tile_links(stored(open_members(of_hub, root, settings, at), at("open")), texts, idf, settings), at("more"))
     root = components(links.union(more))
-    classes = stored(marked.join(root, marked.fingerprint == root.node, "left").select("doc_id", "mark", F.coalesce("root", "fingerprint").alias("root")), f"{kept}/classes")
-    least = stored(classes.groupBy("root").agg(F.min("doc_id").alias("class_id")), f"{kept}/least")
+    classes = stored(marked.join(root, marked.fingerprint == root.node, "left").select("doc_id", "mark", F.coalesce("root", "fingerprint").alias("root")))
     dropped(spark, folder)
-    return classes.join(least, "root").select("doc_id", "mark", "class_id", "root")
+    return classes
 
 
 def _texts(docs: DataFrame, marked: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
@@ -376,7 +382,7 @@ def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     smallest hash of the text, and of equal ones any.  Classes are told apart by their roots, so rows that share a doc_id but not a
     class stay each for its own.
     """
-    out = near_duplicates(docs, settings)
+    out = _classes(docs, settings)
     which = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     chosen = out.groupBy("root").agg(F.min(which).alias("k")).select("k.doc_id", "k.mark")
     repeats = out.groupBy("doc_id", "mark").agg(F.count("*").alias("n"))
