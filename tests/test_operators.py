@@ -343,3 +343,10 @@ def test_checkpoints(spark):
     turns_ = spark.createDataFrame([("s", 1, "a"), ("s", 2, "b"), ("s", 3, "c")], "session string, turn int, text string")
     saves = spark.createDataFrame([("s", "x", 1, 1), ("s", "x", 2, 5), ("s", "y", 3, 3)], "session string, checkpoint string, turns int, ts int")
     assert sorted((r.checkpoint, r.text) for r in sessions.checkpoints(turns_, saves).collect()) == [("x", "a"), ("x", "b"), ("y", "a"), ("y", "b"), ("y", "c")]
+
+
+def test_turns_are_compared_as_they_are_normalised(spark):
+    df = spark.sql("""SELECT array(named_struct('role', 'User ', 'content', ' hi '), named_struct('role', '', 'content', '  ')) AS old,
+        array(named_struct('role', NULL, 'content', 'hi'), named_struct('role', 'assistant', 'content', 'yes')) AS new""")
+    row = df.select(turns.sync_action(turns.normal_turns("old"), turns.normal_turns("new")).alias("x"), turns.normal_turns("old").alias("o")).first()
+    assert tuple(row.x) == ("extend", 1) and [tuple(x) for x in row.o] == [("user", "hi")]

@@ -30,8 +30,16 @@ def recent(turns: DataFrame, n: int = 8) -> DataFrame:
     return turns.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
 
 
+def normal_turns(messages: Column | str) -> Column:
+    """An array of (role, content) as turns are compared: roles in lower case ("user" if blank), contents trimmed, blank ones dropped."""
+    messages = F.col(messages) if isinstance(messages, str) else messages
+    role = lambda m: F.coalesce(F.nullif(F.lower(F.trim(m["role"])), F.lit("")), F.lit("user"))
+    return F.filter(F.transform(messages, lambda m: F.struct(role(m).alias("role"), F.trim(m["content"]).alias("content"))), lambda m: m["content"] != "")
+
+
 def sync_action(old: Column | str, new: Column | str) -> Column:
-    """struct(action, append): what makes the stored turns equal to the new ones, and how many of the last new ones to append.
+    """struct(action, append): what makes the stored turns (strings, or normal_turns()) equal to the new ones, and how many of the last new
+    ones to append.
 
     none: they are equal; extend: the stored ones are a prefix, or the new ones start with the stored ones' end; add: at most two
     new turns that overlap nowhere; rebuild: anything else, all are stored anew.
