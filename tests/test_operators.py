@@ -312,6 +312,10 @@ def test_streams_agree_with_batches(spark, sf, tmp_path):
     assert got == {r.event_id: r.outcome for r in sessions.claims(events).collect()}
     seen = run(sessions.touch_stream(stream), "update", "touch_out").groupBy("session").agg(F.max("requests").alias("n"))
     assert {r.session: r.n for r in seen.collect()} == {r.session: r["count"] for r in events.groupBy("session").count().collect()}
+    last = spark.table("touch_out").groupBy("session").agg(F.max_by(F.struct("created_at", "last_seen_at", "last_endpoint"), "requests").alias("x")).select("session", "x.*")
+    want = sessions.touches(events).select("session", "created_at", "last_seen_at", "last_endpoint")
+    second = lambda df: sorted((r.session, round(r.created_at.timestamp(), 3), round(r.last_seen_at.timestamp(), 3), r.last_endpoint) for r in df.collect())
+    assert second(last) == second(want)
 
 
 def test_search_by_blocks_finds_the_same(spark, sf, monkeypatch):

@@ -185,7 +185,7 @@ def claim_stream(actions: DataFrame, ttl: float = 0.0) -> DataFrame:
     return actions.groupBy("session", "entity").transformWithStateInPandas(ClaimProcessor(ttl), _RESULT_TYPE, "Append", "None")
 
 
-_SEEN = StructType([StructField("requests", LongType()), StructField("created", DoubleType()), StructField("last", DoubleType()), StructField("event", LongType()), StructField("endpoint", StringType())])
+_SEEN = StructType([StructField("requests", LongType()), StructField("created", LongType()), StructField("last", LongType()), StructField("event", LongType()), StructField("endpoint", StringType())])
 
 
 class TouchProcessor(StatefulProcessor):
@@ -199,14 +199,14 @@ class TouchProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         every = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        first, last = every["ts"].iloc[0].timestamp(), every.iloc[-1]
-        now = (last["ts"].timestamp(), int(last["event_id"]), str(last["endpoint"]))
+        first, last = every["ts"].iloc[0].value // 1000, every.iloc[-1]  # microseconds
+        now = (last["ts"].value // 1000, int(last["event_id"]), str(last["endpoint"]))
         old = self.seen.get() if self.seen.exists() else None
         # A batch that comes late changes the counts, but not what was seen last.
         created, kept = (min(old[1], first), max(now, (old[2], old[3], old[4]))) if old else (first, now)
         state = ((old[0] if old else 0) + len(every), created, *kept)
         self.seen.update(state)
-        yield pd.DataFrame({"session": [key[0]], "requests": [state[0]], "created_at": [pd.Timestamp(created, unit="s")], "last_seen_at": [pd.Timestamp(kept[0], unit="s")], "last_endpoint": [kept[2]]})
+        yield pd.DataFrame({"session": [key[0]], "requests": [state[0]], "created_at": [pd.Timestamp(created, unit="us")], "last_seen_at": [pd.Timestamp(kept[0], unit="us")], "last_endpoint": [kept[2]]})
 
     def close(self) -> None:
         pass
