@@ -24,6 +24,8 @@ from . import encode
 ROWS, QUERIES = 8192, 1024
 #: Bytes of query vectors that are broadcast.
 ASKED_BYTES = 16 << 20
+#: Scores that a task holds at once.
+SCORES = 1 << 21
 DECIMALS = 6
 
 
@@ -75,9 +77,10 @@ def topk(rows: DataFrame, queries: DataFrame, k: int, dim: int, score: Callable[
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             asked_ids, q = shared.value
             at, ids, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            step = max(1, min(ROWS // 4, SCORES // max(len(q), 1)))
             for batch in batches:
-                for begin in range(0, batch.num_rows if len(q) else 0, ROWS // 4):
-                    new = scored(batch.slice(begin, ROWS // 4).to_struct_array(), q)
+                for begin in range(0, batch.num_rows if len(q) else 0, step):
+                    new = scored(batch.slice(begin, step).to_struct_array(), q)
                     at, ids, s = (np.concatenate(x) for x in zip((at, ids, s), new))
                     if len(at) > 8 * k * len(q):
                         at, ids, s = _best(at, ids, s, k)
