@@ -33,10 +33,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{at.rstrip('/')}/vecspark/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+def stored(df: DataFrame, path: str | None = None, compression: str | None = None) -> DataFrame:
     """df as a table in the shared folder: later steps read it again, and a lost executor costs no more than its tasks."""
     path = path or shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

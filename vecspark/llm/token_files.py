@@ -114,7 +114,7 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 2) -> DataF
 
     # Stored, as the ranges are found by a look at the rows: texts are encoded once.
     rows_at = shared_folder(spark)
-    rows = stored(encoded(docs, path, end_id), rows_at).withColumn("place", F.monotonically_increasing_id())
+    rows = stored(encoded(docs, path, end_id), rows_at, "zstd").withColumn("place", F.monotonically_increasing_id())
     dealt = rows.repartitionByRange(partitions(spark), "doc_id", "place").sortWithinPartitions("doc_id", "place").drop("place")
     files = stored(dealt.mapInArrow(run, _FILES))
     dropped(spark, rows_at)
