@@ -17,6 +17,8 @@ from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that a task works on at once; a longer text is worked on alone.
 CHUNK = 512 << 10
+#: Rows of such a piece are fewer than this, so that operators can put a row's number in 14 bits beside a hash.
+ROWS = 1 << 14
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -70,8 +72,8 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `most` bytes of a column at the most."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes of a column at the most, and less than `rows` rows, whatever Spark's own batches are."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -79,7 +81,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         upto, begin = np.cumsum(sizes), 0
         while begin < len(sizes):
             before = upto[begin - 1] if begin else 0.0
-            end = max(begin + 1, int(np.searchsorted(upto, before + most, "right")))
+            end = min(max(begin + 1, int(np.searchsorted(upto, before + most, "right"))), begin + rows - 1)
             yield batch.slice(begin, end - begin)
             begin = end
 

@@ -161,9 +161,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return source.mapInArrow(run, with_row(docs, "score double"))
 
 
-def learned(folds: int = 4, fold: int = 2):
+def learned(folds: int = 4, fold: int = 2, doc_id: str = "doc_id"):
     """Whether a row may be learned from: crc32(doc_id as text) mod folds isn't fold."""
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds != fold
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds != fold
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, settings: Settings = Settings()) -> DataFrame:
