@@ -681,7 +681,7 @@ def test_quality_learns_from_whole_texts(spark, monkeypatch):
     texts = [noise(20 + i, 4000) for i in range(4)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     quality.train(docs, spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int"))
-    assert [b"".join(x).decode() for x in seen] == [texts[1], texts[0]] and max(len(p) for x in seen for p in x) <= 8192
+    assert [sorted(x) for x in seen] == [sorted(t[i : i + 8192].encode() for i in range(0, len(t), 8192)) for t in (texts[1], texts[0])]
 
 
 # All of them
@@ -709,6 +709,21 @@ def test_equal_first_hashes_do_not_make_windows_equal(docs, monkeypatch):
     assert sorted(map(str, map(tuple, cut))) == sorted(map(str, brute_substring([(i, t) for i, t, _ in ROWS])))
 
 
+def test_more_rows_a_batch_than_14_bits(spark):
+    """20,000 empty texts, then a text twice, in one partition and in batches of 50,000 rows."""
+    text = noise(61, 60)
+    rows = [(i, "") for i in range(20_000)] + [(20_000, text), (20_001, text), (20_002, text + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
+    try:
+        got = {r.doc_id: r.removed for r in substring_dedup.cut_spans(df, substring_dedup.earlier_windows(df)).where("n > 0").select("row.doc_id", "removed").collect()}
+        classes_ = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).where("doc_id >= 20000").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {20_000: 0, 20_001: 60, 20_002: 60} and classes_ == {20_000: 20_000, 20_001: 20_000, 20_002: 20_000}
+
+
 def test_a_passage_in_most_rows(spark):
     """One passage in two thirds of the rows, in contexts of their own."""
     common, rng = noise(50, 60), random.Random(51)
@@ -723,9 +738,71 @@ def test_a_passage_in_most_rows(spark):
 def test_a_labelled_id_that_many_rows_repeat(spark):
     docs = spark.createDataFrame([(i % 4, noise(i % 4, 50) + f" {i}") for i in range(400)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
+    got = quality._sample(quality._labelled(docs, labels), quality.Settings()).collect()
+    assert sorted(r.doc_id for r in got) == [0, 1, 2, 3] and sorted((r.quality, r.part) for r in got) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+
+
+def test_one_labelled_text_that_is_larger_than_all_others(spark):
+    """It gives most pieces, but the class keeps its dictionary, and scores still differ."""
+    rows = [(i, noise(i, 60, 40 if i % 2 else 5000)) for i in range(40)] + [(40, noise(99, 60_000, 5000)), (41, noise(98, 60_000, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(42)], "doc_id long, quality int")
+    model = quality.train(docs, labels, quality.Settings(pieces=16, window=1024))
+    assert len(model.good) > 1000 and len(model.bad) > 1000
+    got = quality.score(docs, model).select("row.doc_id", "score").toPandas()
+    assert got.score.nunique() > 30 and got[got.doc_id % 2 == 1].score.min() > got[got.doc_id % 2 == 0].score.max()
+
+
+def test_labels_without_documents(spark):
+    docs = spark.createDataFrame([(i, noise(i, 60, 40 if i % 2 else 5000)) for i in range(40)], "doc_id long, text string")
+    own = [(i, i % 2) for i in range(40)]
+    plain = quality.train(docs, spark.createDataFrame(own, "doc_id long, quality int"))
+    more = quality.train(docs, spark.createDataFrame(own + [(i, 1) for i in range(1000, 5000)], "doc_id long, quality int"), quality.Settings(sample=30))
+    assert len(more.good) > 100 and len(more.bad) > 100 and more.prior == plain.prior == 0.5
+    assert quality.score(docs, more).select("score").distinct().count() > 20
+
+
+def test_quality_against_a_plain_run(spark):
+    """zstandard and a logistic fit by plain gradient steps, on the same sample."""
+    import zstandard
+
+    rows = [(i, noise(i, 20 + i, 40 if i % 3 else 3000)) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0) if i % 17 else 1 - int(i % 3 > 0)) for i in range(90)], "doc_id long, quality int")
     s = quality.Settings()
-    assert sorted(r.doc_id for r in quality._sample(docs, labels, s).collect()) == [0, 1, 2, 3]
-    assert quality._sample(docs, labels, quality.Settings(sample_bytes=300)).count() == 2  # one text a class fits
+    part = {(r.doc_id, r.quality): r.part for r in quality._sample(quality._labelled(docs, labels), s).collect()}
+    text = dict(rows)
+    compress = {}
+    for q in (0, 1):
+        order = docs.where(F.col("doc_id").isin([d for (d, y), p in part.items() if y == q and p == 0])).select("doc_id").orderBy(F.xxhash64(F.lit(19), "doc_id", F.lit(0))).collect()
+        pieces = [text[r.doc_id].encode() for r in order]
+        try:
+            data = zstandard.train_dictionary(s.dictionary, pieces).as_bytes()
+        except zstandard.ZstdError:
+            data = b"".join(pieces)[-s.dictionary :]
+        compress[q] = zstandard.ZstdCompressor(level=s.level, dict_data=zstandard.ZstdCompressionDict(data), write_content_size=False)
+    compress[2] = zstandard.ZstdCompressor(level=s.level, write_content_size=False)
+
+    def features(t):
+        good, bad, none = (len(compress[q].compress(t.encode())) for q in (1, 0, 2))
+        return (bad - good) / none, none / len(t), np.log(len(t))
+
+    held = sorted(k for k, p in part.items() if p == 1)
+    x, y = np.array([features(text[d]) for d, _ in held]), np.array([float(q) for _, q in held])
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+
+    def design(v):
+        z = np.clip((v - mean) / scale, -6, 6)
+        return np.column_stack((np.ones(len(z)), z, z[:, :1] * z[:, 1:2], z**2))
+
+    a, w = design(x), np.zeros(8)
+    for _ in range(200_000):
+        w += 0.05 * (a.T @ (y - 1 / (1 + np.exp(-a @ w))) / len(a) - s.ridge * w)
+    share, drawn = np.mean([q for _, q in part]), y.mean()
+    w[0] += np.log(share / (1 - share)) - np.log(drawn / (1 - drawn))
+    want = 1 / (1 + np.exp(-design(np.array([features(t) for _, t in rows])) @ w))
+    got = quality.score(docs, quality.train(docs, labels)).select("row.doc_id", "score").toPandas().sort_values("doc_id").score.to_numpy()
+    assert np.abs(got - want).max() < 1e-3
 
 
 def test_a_text_above_four_megabytes(spark):

@@ -1,9 +1,9 @@
 """Media columns: content-addressed payloads in tar shards.
 
 A payload is stored once a shard as an 8-bit greyscale PNG of 64 columns, named by the digest of what is stored.  Each task
-writes one tar file and returns, for each of its rows, the digest, and for each digest that it wrote, the offset and length
-of the stored bytes.  A digest that several shards hold is read from the first of them; rows keep the digest alone, so a
-payload that a third of all rows share is described, read and featured once.
+writes one tar file and returns, for each of its rows, the digest and the shard, offset and length of the stored bytes.  A digest
+that several places hold is read from the first of them, so a payload that a third of all rows share is described, read and featured
+once.
 
 Metadata columns come from range reads of the first 33 bytes of each stored file (signature and header), without the payload.
 Features come from a second job, which reads whole files and decodes them.
@@ -34,6 +34,8 @@ from .common import Batches, chunks, documents, id_and_text, partitions, shared_
 WIDTH = 64
 _PNG = b"\x89PNG\r\n\x1a\n"
 HEADER = 33
+#: Digests of texts that a task remembers at once, some 300 bytes each.
+SEEN = 1 << 16
 _STORED = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
 
 
@@ -75,7 +77,10 @@ def from_png(data: bytes) -> bytes:
 
 
 def write(docs: DataFrame, folder: str, compression: int = 6) -> DataFrame:
-    """Stores the texts of docs; a row for each: doc_id, n_bytes, digest, and for the first of a digest in a shard: shard, offset, length."""
+    """Stores the texts of docs; a row for each: doc_id, n_bytes, digest, shard, offset, length.
+
+    A task stores a text again only if it had SEEN others since: index() takes one place of each digest.
+    """
     store, at = fs.FileSystem.from_uri(folder)
     store.create_dir(at, recursive=True)
 
@@ -86,11 +91,9 @@ def write(docs: DataFrame, folder: str, compression: int = 6) -> DataFrame:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 data = text.encode()
                 key = hashlib.sha256(data).digest()
-                if key in seen:
-                    new = (doc, len(data), seen[key], None, None, None)
-                else:
+                if key not in seen:
                     stored_form = to_png(pad(data), compression)
-                    digest = seen[key] = hashlib.sha256(stored_form).hexdigest()
+                    digest = hashlib.sha256(stored_form).hexdigest()
                     info = tarfile.TarInfo(f"{digest}.png")
                     info.size = len(stored_form)
                     head = info.tobuf(tarfile.USTAR_FORMAT)
@@ -98,9 +101,11 @@ def write(docs: DataFrame, folder: str, compression: int = 6) -> DataFrame:
                         there, path = fs.FileSystem.from_uri(name)
                         out = there.open_output_stream(path)
                     out.write(head + stored_form + bytes(-len(stored_form) % tarfile.BLOCKSIZE))
-                    new = (doc, len(data), digest, name, end + len(head), len(stored_form))
+                    if len(seen) == SEEN:
+                        seen.clear()
+                    seen[key] = digest, name, end + len(head), len(stored_form)
                     end += len(head) + -(-len(stored_form) // tarfile.BLOCKSIZE) * tarfile.BLOCKSIZE
-                for to, x in zip(rows, new):
+                for to, x in zip(rows, (doc, len(data), *seen[key])):
                     to.append(x)
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(x, k) for x, k in zip(rows, kinds)], names=["doc_id", "n_bytes", "digest", "shard", "offset", "length"])

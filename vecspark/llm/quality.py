@@ -5,13 +5,19 @@ none.  Its features are the normalised difference (bad - good) / none, the compr
 of the length; a logistic model of these, fitted on labelled texts that were not used to build the dictionaries, turns
 them into a calibrated score.  The model and the dictionaries have a fixed size.  Scoring is one map over all texts.
 
-Only the labelled sample is bounded: `sample` texts of each class for the dictionaries and as many for the calibration,
-those with the smallest hash of doc_id, so it doesn't depend on partitioning, and of these as many as have `sample_bytes` bytes.  A text longer than `window` characters
-gives the dictionary all its pieces of that length, one after another; scores read whole texts.
+Only the labelled sample is bounded.  Labels are joined with the documents first; of each class the `2 * sample` documents with the
+smallest hash of doc_id are taken, so it doesn't depend on partitioning.  Every other one is for the dictionary: it is cut into pieces
+of `window` characters, one after another, and of the pieces of a class `pieces` with the smallest hash reach the driver.  So a very long text
+gives more pieces, but never takes the place of all others, and the driver gets pieces of a bounded number and length.
+The other documents are for the calibration: tasks compress them whole, and send three numbers each.  Scores read whole texts.
+
+The score is not the difference alone: the dictionaries' difference is what the method names, and compressibility and length
+correct it (README has the figures of each).
 
 Defined cases: a null text is empty, and an empty text has a difference of 0 and a compressibility of 1.  Labels that
-are null or neither 0 nor 1 are not learned from; a doc_id with several labels counts for each.  Without labels of both
-classes every score is the share of good labels (0.5 without labels).  Repeated rows are scored each for itself.
+are null or neither 0 nor 1, or that have no document with a text, are not learned from; a doc_id with several labels counts for each.
+Without documents of both classes every score is the share of good ones among the labelled (0.5 without any).  Repeated rows are
+scored each for itself.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ THRESHOLD = 0.7
 @dataclass(frozen=True)
 class Settings:
     sample: int = 1500
-    sample_bytes: int = 8 << 20
+    pieces: int = 4096
     window: int = 8192
     dictionary: int = 64 << 10
     level: int = 3
@@ -59,11 +65,6 @@ def _dictionary(texts: list[bytes], size: int) -> bytes:
         return b"".join(texts)[-size:]
 
 
-def _pieces(text: bytes, window: int) -> list[bytes]:
-    whole = text.decode()
-    return [whole[i : i + window].encode() for i in range(0, len(whole), window)]
-
-
 class Compressors:
     def __init__(self, model: Model):
         level = model.settings.level
@@ -102,42 +103,66 @@ def _fit(x: np.ndarray, y: np.ndarray, settings: Settings) -> tuple[np.ndarray,
     return mean, scale, w
 
 
-def _sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
-    """doc_id, quality, text: of each class the documents with the smallest hash of doc_id, up to 2 x sample rows and `sample_bytes` bytes.
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, mark (hash of the text), quality: a row for each label of 0 or 1 that has a document with a text.
 
-    Found on narrow tables first: labels, then lengths.  Of rows that repeat a doc_id the one with the smallest hash of its text.
+    Narrow: no text leaves its task.  Of rows that repeat a doc_id the one with the smallest hash of its text.
     """
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null").distinct()
+    marks = id_and_text(docs).where(F.length("text") > 0).groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("mark"))
+    return labels.join(marks, "doc_id")
+
+
+def _sample(labelled: DataFrame, settings: Settings) -> DataFrame:
+    """doc_id, mark, quality, part: of each class those with the smallest hash of doc_id, by turns for the dictionary (0) and the calibration (1)."""
     order = F.xxhash64(F.lit(17), "doc_id"), F.col("doc_id")
     picked = None
     for quality in (0, 1):
-        own = labels.where(F.col("quality") == quality).distinct().orderBy(*order).limit(2 * settings.sample)
+        own = labelled.where(F.col("quality") == quality).orderBy(*order).limit(2 * settings.sample)
         picked = own if picked is None else picked.union(own)
-    docs = id_and_text(docs).withColumn("mark", F.xxhash64("text"))
-    found = docs.join(F.broadcast(picked), "doc_id").where(F.length("text") > 0)
-    sizes = found.groupBy("doc_id", "quality").agg(F.min(F.struct("mark", F.octet_length("text").alias("size"))).alias("k")).select("doc_id", "quality", "k.mark", "k.size")
-    upto = F.sum("size").over(Window.partitionBy("quality").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # of 2 x sample rows a class
-    fitting = stored(sizes.withColumn("upto", upto).where(F.col("upto") <= settings.sample_bytes).drop("upto", "size"))
-    return docs.join(F.broadcast(fitting), ["doc_id", "mark"]).groupBy("doc_id", "quality").agg(F.first("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("quality").orderBy(*order))  # of 2 x sample narrow rows a class
+    return picked.withColumn("part", (place - 1) % 2)
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """docs (doc_id, text), labels (doc_id, quality): learns from all of these rows that have a label of 0 or 1."""
-    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("quality in (0, 1) and doc_id is not null")
-    counts = {r.quality: r["count"] for r in labels.groupBy("quality").count().collect()}
-    prior = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
-    rows = sorted(_sample(docs, labels, settings).collect())
-    text = {q: [r.text.encode() for r in rows if r.quality == q] for q in (0, 1)}
-    if not text[0] or not text[1]:
-        return Model(settings, b"", b"", np.zeros(3), np.ones(3), np.zeros(8), prior)
-    good, bad = (_dictionary([p for t in text[q][::2] for p in _pieces(t, settings.window)], settings.dictionary) for q in (1, 0))
-    model = Model(settings, good, bad, np.zeros(3), np.ones(3), np.zeros(8), prior)
-    held = {q: text[q][1::2] or text[q][:1] for q in text}
-    x = Compressors(model).features(held[0] + held[1])
-    y = np.repeat([0.0, 1.0], [len(held[0]), len(held[1])])
+    spark = docs.sparkSession
+    labelled = stored(_labelled(docs, labels))
+    counts = {r.quality: r["count"] for r in labelled.groupBy("quality").count().collect()}
+    prior = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
+    model = Model(settings, b"", b"", np.zeros(3), np.ones(3), np.zeros(8), prior)
+    if len(counts) < 2:
+        return model
+    picked = stored(_sample(labelled, settings))  # at most 4 x sample narrow rows
+    marked = id_and_text(docs).withColumn("mark", F.xxhash64("text"))
+    texts = stored(marked.join(F.broadcast(picked), ["doc_id", "mark"]).groupBy("doc_id", "quality", "part").agg(F.first("text").alias("text")))
+
+    def cut_up(batches: Batches) -> Batches:
+        for batch in batches:
+            for doc, label, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "quality", "text"))):
+                own = [text[i : i + settings.window] for i in range(0, len(text), settings.window)]
+                yield pa.record_batch([pa.array([doc] * len(own)), pa.array([label] * len(own), pa.int32()), pa.array(range(len(own)), pa.int32()), pa.array(own)], names=["doc_id", "quality", "place", "piece"])
+
+    cut = texts.where("part = 0").select("doc_id", "quality", "text").mapInArrow(cut_up, "doc_id long, quality int, place int, piece string")
+    order = F.xxhash64(F.lit(19), "doc_id", "place"), F.col("doc_id"), F.col("place")
+    pieces = {q: [r.piece.encode() for r in cut.where(F.col("quality") == q).orderBy(*order).limit(settings.pieces).select("piece").collect()] for q in (0, 1)}
+    model.good, model.bad = (_dictionary(pieces[q], settings.dictionary) for q in (1, 0))
+    # A class of one document has none for the calibration: the same one serves.
+    alone = [q for q in (0, 1) if counts[q] == 1]
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Batches) -> Batches:
+        own = Compressors(shared.value)
+        for batch in chunks(batches):
+            x = own.features([t.encode() for t in batch.column("text").to_pylist()])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("quality"), *(pa.array(c) for c in x.T.copy())], names=["doc_id", "quality", "a", "b", "c"])
+
+    held = texts.where((F.col("part") == 1) | F.col("quality").isin(alone))
+    rows = sorted(held.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, a double, b double, c double").collect())
+    x, y = np.array([r[2:] for r in rows]), np.array([float(r.quality) for r in rows])
     model.mean, model.scale, model.weight = _fit(x, y, settings)
-    # The sample has as many bad as good texts; the intercept moves to the share among all labels.
-    drawn = len(held[1]) / (len(held[0]) + len(held[1]))
-    share = min(max(prior, 1e-3), 1 - 1e-3)
+    # The sample has as many bad as good texts; the intercept moves to the share among all labelled documents.
+    drawn, share = y.mean(), min(max(prior, 1e-3), 1 - 1e-3)
     model.weight[0] += np.log(share / (1 - share)) - np.log(drawn / (1 - drawn))
     return model
 
