@@ -10,6 +10,8 @@ from .spec import ProductSpec, QuantizerSpec
 TINY = 1e-12
 #: Rows that are worked on at once.
 ROWS = 256
+#: Queries times bits up to which look-ups by byte are faster than a matrix product (measured at 64 and 384 dimensions).
+LOOKUPS = 8
 
 
 def matrix_of(column: pa.Array, dim: int) -> np.ndarray:
@@ -136,6 +138,53 @@ def scores(cells, norms, queries: np.ndarray, spec: QuantizerSpec) -> np.ndarray
     return norms[:, None] * (spec.centroids[cells] @ spec.rotate(queries).T)
 
 
+def byte_sums(queries: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray | None:
+    """queries x bytes x 256: what each value of each byte of a packed code adds to each query's product. values: of the cells.
+
+    None where cells don't fill bytes (3, 5, 6 and 7 bits).
+    """
+    if 8 % bits:
+        return None
+    per = 8 // bits
+    table = values[unpack(np.arange(256, dtype=np.uint8)[:, None], per, bits)]
+    padded = np.pad(queries, ((0, 0), (0, -queries.shape[1] % per)))
+    return np.einsum("vp,qbp->qbv", table, padded.reshape(len(queries), padded.shape[1] // per, per))
+
+
+def looked_up(packed: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """rows x queries: products of packed codes with queries, by sums of a byte each; cells are never unpacked."""
+    rows, width = packed.shape
+    out, base, step = np.empty((rows, len(sums))), np.arange(width) * 256, max(1, (1 << 19) // width)
+    for begin in range(0, rows, step):
+        at = packed[begin : begin + step] + base
+        for q, table in enumerate(sums):
+            out[begin : begin + step, q] = table.ravel().take(at).sum(axis=1)
+    return out
+
+
+def by_lookup(queries: int, bits: int) -> bool:
+    """Whether look-ups beat unpacking and a matrix product: for few queries, whose share of the unpacking is large."""
+    return 8 % bits == 0 and queries * bits <= LOOKUPS
+
+
+def packed_products(packed: np.ndarray, queries: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
+    """rows x queries: products of the values of packed cells with queries, either way."""
+    if by_lookup(len(queries), bits):
+        return looked_up(packed, byte_sums(queries, values, bits))
+    return values[unpack(packed, queries.shape[1], bits)] @ queries.T
+
+
+def packed_scores(packed: np.ndarray, norms: np.ndarray, queries: np.ndarray, spec: QuantizerSpec) -> np.ndarray:
+    """scores() of packed codes."""
+    return norms[:, None] * packed_products(packed, spec.rotate(queries), spec.centroids, spec.bits)
+
+
+def packed_product_scores(mse: np.ndarray, signs: np.ndarray, left: np.ndarray, queries: np.ndarray, spec: ProductSpec) -> np.ndarray:
+    """product_scores() of packed codes."""
+    base = packed_products(mse, spec.base.rotate(queries), spec.base.centroids, spec.base.bits)
+    return base + spec.scale * left[:, None] * packed_products(signs, queries @ spec.projection.T, np.array([-1.0, 1.0]), 1)
+
+
 def uniform(x: np.ndarray, bits: int) -> np.ndarray:
     """Each vector's components, relative to its norm, to the nearest of 2^bits even steps from -1 to 1; halves go up."""
     norm = np.float32(np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(float)

@@ -17,10 +17,13 @@ from vecspark.functions import codes
 from vecspark.functions.spec import ProductSpec, QuantizerSpec
 
 
-def _add(df: DataFrame, more: str, column: str, width: int | None, make: Callable[[pa.RecordBatch], list]) -> DataFrame:
-    """df with columns (DDL) that make() gets from the rows of a batch whose `column` has `width` elements or bytes (any, if None)."""
+def _add(df: DataFrame, more: str, column: str, width: int | None, make: Callable[[pa.RecordBatch], list], keep: list[str] | None = None) -> DataFrame:
+    """df with columns (DDL) that make() gets from the rows of a batch whose `column` has `width` elements or bytes (any, if None).
+
+    keep: the columns of df that come back from Python, if not all: what is only read needn't travel twice.
+    """
     added = StructType.fromDDL(more)
-    keep = [f for f in df.schema.fields if f.name.lower() not in {x.name.lower() for x in added.fields}]
+    keep = [f for f in df.schema.fields if f.name.lower() not in {x.name.lower() for x in added.fields} and (keep is None or f.name in keep)]
     names = [f.name for f in keep] + added.fieldNames()
 
     def fits(values: pa.Array) -> np.ndarray:
@@ -59,15 +62,15 @@ def rotate(df: DataFrame, spec: QuantizerSpec, vector: str = "v", out: str = "ro
     return _add(df, f"{out} array<double>", vector, spec.dim, make)
 
 
-def quantize(df: DataFrame, spec: QuantizerSpec, vector: str = "v") -> DataFrame:
-    """Adds packed (bytes) and norm (float)."""
+def quantize(df: DataFrame, spec: QuantizerSpec, vector: str = "v", keep: list[str] | None = None) -> DataFrame:
+    """Adds packed (bytes) and norm (float). keep: the columns that stay, all if None."""
     spec = spec.solved()
 
     def make(batch):
         cells, norms = codes.indices(codes.matrix_of(batch.column(vector), spec.dim), spec)
         return [codes.bytes_of(codes.pack(cells, spec.bits)), pa.array(norms.astype(np.float32))]
 
-    return _add(df, "packed binary, norm float", vector, spec.dim, make)
+    return _add(df, "packed binary, norm float", vector, spec.dim, make, keep)
 
 
 def indices(df: DataFrame, spec: QuantizerSpec, vector: str = "v") -> DataFrame:
@@ -103,15 +106,15 @@ def dequantize_indices(df: DataFrame, spec: QuantizerSpec, cells: str = "cells",
     return _add(df, f"{out} array<double>", cells, spec.dim, lambda b: [codes.lists_of(codes.reconstruct(codes.matrix_of(b.column(cells), spec.dim).astype(np.int64), spec), pa.float64())])
 
 
-def quantize_product(df: DataFrame, spec: ProductSpec, vector: str = "v") -> DataFrame:
-    """Adds mse, signs (bytes) and res_norm (float)."""
+def quantize_product(df: DataFrame, spec: ProductSpec, vector: str = "v", keep: list[str] | None = None) -> DataFrame:
+    """Adds mse, signs (bytes) and res_norm (float). keep: the columns that stay, all if None."""
     spec = spec.solved()
 
     def make(batch):
         cells, signs, left = codes.encode_product(codes.matrix_of(batch.column(vector), spec.dim), spec)
         return [codes.bytes_of(codes.pack(cells, spec.bits - 1)), codes.bytes_of(codes.pack(signs, 1)), pa.array(left.astype(np.float32))]
 
-    return _add(df, "mse binary, signs binary, res_norm float", vector, spec.dim, make)
+    return _add(df, "mse binary, signs binary, res_norm float", vector, spec.dim, make, keep)
 
 
 def product_parts(batch: pa.RecordBatch, spec: ProductSpec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,15 +129,18 @@ def dequantize_product(df: DataFrame, spec: ProductSpec, out: str = "recon") ->
     return _add(df, f"{out} array<double>", "mse", spec.base.code_bytes, lambda b: [codes.lists_of(codes.decode_product(*product_parts(b, spec), spec), pa.float64())])
 
 
+def own_scores(cells: np.ndarray, signs: np.ndarray, left: np.ndarray, q: np.ndarray, spec: ProductSpec) -> np.ndarray:
+    """The estimated product of each code with the query of the same row."""
+    sketch = (codes._plus_minus(signs) * (q @ spec.projection.T)).sum(axis=1)
+    return (spec.base.centroids[cells] * spec.base.rotate(q)).sum(axis=1) + spec.scale * left * sketch
+
+
 def score_product(df: DataFrame, spec: ProductSpec, query: str, out: str = "score") -> DataFrame:
     """Adds the estimated product of each row's code with the query vector in the same row."""
     spec = spec.solved()
 
     def make(batch):
-        cells, signs, left = product_parts(batch, spec)
-        q = codes.matrix_of(batch.column(query), spec.dim)
-        sketch = (codes._plus_minus(signs) * (q @ spec.projection.T)).sum(axis=1)
-        return [pa.array((spec.base.centroids[cells] * spec.base.rotate(q)).sum(axis=1) + spec.scale * left * sketch)]
+        return [pa.array(own_scores(*product_parts(batch, spec), codes.matrix_of(batch.column(query), spec.dim), spec))]
 
     return _add(df, f"{out} double", query, spec.dim, make)
 

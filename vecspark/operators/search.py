@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecspark.functions import codes
-from vecspark.functions.spec import ProductSpec, QuantizerSpec
+from vecspark.functions.spec import ProductSpec, QuantizerSpec, packed_size
 
 from . import encode
 
@@ -116,8 +116,7 @@ def code_topk(coded: DataFrame, queries: DataFrame, k: int, spec: QuantizerSpec)
     spec = spec.solved()
 
     def score(rows, q):
-        cells = codes.unpack(codes.rows_of(_column(rows, "packed"), spec.code_bytes), spec.dim, spec.bits)
-        return codes.scores(cells, _column(rows, "norm").to_numpy(zero_copy_only=False).astype(float), q, spec)
+        return codes.packed_scores(codes.rows_of(_column(rows, "packed"), spec.code_bytes), _column(rows, "norm").to_numpy(zero_copy_only=False).astype(float), q, spec)
 
     return topk(coded.select("id", "packed", "norm"), queries, k, spec.dim, score)
 
@@ -127,8 +126,8 @@ def product_topk(coded: DataFrame, queries: DataFrame, k: int, spec: ProductSpec
     spec = spec.solved()
 
     def score(rows, q):
-        batch = pa.RecordBatch.from_arrays([_column(rows, n) for n in ("mse", "signs", "res_norm")], ["mse", "signs", "res_norm"])
-        return codes.product_scores(*encode.product_parts(batch, spec), q, spec)
+        mse, signs = codes.rows_of(_column(rows, "mse"), spec.base.code_bytes), codes.rows_of(_column(rows, "signs"), packed_size(spec.dim, 1))
+        return codes.packed_product_scores(mse, signs, _column(rows, "res_norm").to_numpy(zero_copy_only=False).astype(float), q, spec)
 
     return topk(coded.select("id", "mse", "signs", "res_norm"), queries, k, spec.dim, score)
 
@@ -150,7 +149,7 @@ class QuantizedIndex:
     @staticmethod
     def _coded(vectors: DataFrame, spec) -> DataFrame:
         make = encode.quantize_product if isinstance(spec, ProductSpec) else encode.quantize
-        return make(vectors.select("id", "v"), spec).drop("v")
+        return make(vectors.select("id", "v"), spec, keep=["id"])
 
     def append(self, vectors: DataFrame) -> QuantizedIndex:
         more = self._coded(vectors, self.spec)

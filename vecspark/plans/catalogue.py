@@ -515,10 +515,48 @@ def agent_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.presence(e.select((F.col("user_id") % 5).cast("string").alias("session"), F.col("user_id").cast("string").alias("agent"), F.col("event_type").alias("status"), action.alias("action"), "ts", "event_id")).select("session", "agent", "created_at", "updated_at", "status")
 
 
-@query(f"SELECT vec_id, round(sqrt({sql.dot('CAST(embedding AS DOUBLE[])', 'CAST(embedding AS DOUBLE[])')}), 6) AS norm, CAST(1 AS DOUBLE) AS cosine, CAST(24 AS INT) AS bytes, CAST(label // 2 AS INT) AS kv_head FROM embeddings")
+_NEXT = "SELECT e.vec_id, e.label, CAST(e.embedding AS DOUBLE[]) AS v, CAST(n.embedding AS DOUBLE[]) AS w FROM embeddings e JOIN embeddings n ON n.vec_id = e.vec_id + 1"
+
+
+@query(f"SELECT vec_id, round(sqrt({sql.dot('v', 'v')}), 6) AS norm, round({sql.dot('v', 'w')} / (sqrt({sql.dot('v', 'v')}) * sqrt({sql.dot('w', 'w')})), 6) + 0 AS cosine, round({sql.total('list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2]))')} / {DIM}, 6) AS mse, CAST((len(v) * (label + 1) + 7) // 8 AS INT) AS bytes, CAST(label // 2 AS INT) AS kv_head FROM ({_NEXT})")
 def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The registered functions, called from SQL."""
-    return register(spark).sql("SELECT vec_id, round(vec_norm(embedding), 6) AS norm, round(vec_cosine(embedding, embedding), 6) AS cosine, packed_size(size(embedding), 3) AS bytes, kv_head_of(CAST(label AS INT), 10, 5) AS kv_head FROM {e}", e=table(spark, sf_dir, "embeddings"))
+    """The registered functions, called from SQL: each vector beside the next one."""
+    return register(spark).sql(
+        "SELECT e.vec_id, round(vec_norm(e.embedding), 6) AS norm, round(vec_cosine(e.embedding, n.embedding), 6) + 0D AS cosine, round(vec_mse(e.embedding, n.embedding), 6) AS mse,"
+        " packed_size(size(e.embedding), CAST(e.label + 1 AS INT)) AS bytes, kv_head_of(CAST(e.label AS INT), 10, 5) AS kv_head FROM {e} e JOIN {e} n ON n.vec_id = e.vec_id + 1",
+        e=table(spark, sf_dir, "embeddings"),
+    )
+
+
+@query(f"WITH {sql.coded(SPEC)} SELECT id, {sql.packed_hex('cells', DIM, 2)} AS code, round(norm, 6) AS norm, round(norm * {sql.dot('list_transform(cells, lambda i: cen[i + 1])', 'list_transform(rot, lambda r: ' + sql.dot('r', 'v') + ')')}, 6) + 0 AS own_score, CAST(cells[1] AS INT) AS first_cell FROM coded, consts")
+def sql_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes made, sent as wire bytes, read again, unpacked and scored, all from SQL."""
+    return register(spark).sql(
+        "WITH coded AS (SELECT id, v, vq_quantize(v, 2, 42) AS c FROM {v}), sent AS (SELECT id, v, vq_from_wire(vq_wire(c.packed, c.norm, size(v), 2)) AS w FROM coded)"
+        " SELECT id, lower(hex(w.packed)) AS code, round(CAST(w.norm AS DOUBLE), 6) AS norm, round(vq_score(w.packed, w.norm, v, w.bits, 42), 6) + 0D AS own_score, vq_unpack(w.packed, w.dim, w.bits)[0] AS first_cell FROM sent",
+        v=vectors(spark, sf_dir).select("id", F.col("v").cast("array<double>").alias("v")),
+    )
+
+
+_SQL_SEARCH = "SELECT query_id, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM vq_search(TABLE({codes}), (SELECT collect_list(struct(id, v)) FROM {v} WHERE id % 100 = 0), 10, {bits}, 42)) WHERE rank <= 10"
+
+
+def _sql_search(spark: SparkSession, sf_dir: str, made: str, bits: int) -> DataFrame:
+    rows = vectors(spark, sf_dir).select("id", F.col("v").cast("array<double>").alias("v"))
+    coded = register(spark).sql(f"SELECT id, c.* FROM (SELECT id, {made} AS c FROM {{v}})", v=rows)
+    return spark.sql(_SQL_SEARCH.replace("{bits}", str(bits)), codes=coded, v=rows)
+
+
+@query(ORACLES["code_search"])
+def sql_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-k by 2-bit codes from SQL alone: a code function, a table function, and a window."""
+    return _sql_search(spark, sf_dir, "vq_quantize(v, 2, 42)", 2)
+
+
+@query(ORACLES["product_search"])
+def sql_product_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by 3-bit inner-product codes."""
+    return _sql_search(spark, sf_dir, "vq_quantize_product(v, 3, 42)", 3)
 
 
 @query("SELECT conv_id, t.turn AS turn, t.text AS text FROM (SELECT conv_id, arg_max({'turn': turn, 'text': text}, (CASE WHEN role = 'user' THEN 1 ELSE 0 END, turn)) AS t FROM conversations WHERE trim(text) <> '' GROUP BY conv_id)")
