@@ -709,6 +709,26 @@ def test_equal_first_hashes_do_not_make_windows_equal(docs, monkeypatch):
     assert sorted(map(str, map(tuple, cut))) == sorted(map(str, brute_substring([(i, t) for i, t, _ in ROWS])))
 
 
+def test_long_passages_go_in_parts(spark):
+    """One repeated word and a period, in texts of which each is one passage; and an automaton of equal parts stays small."""
+    period = noise(62, 30)
+    rows = [(1, "x " * 9000), (2, "x " * 7000 + noise(63, 70)), (3, (period + " ") * 300), (4, noise(64, 55) + " " + (period + " ") * 200), (5, "y " + (period + " ") * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    for longest in (7, 100, 4096):
+        s = substring_dedup.Settings(longest=longest, bits=1 << 16)
+        cut = substring_dedup.cut_spans(df, substring_dedup.earlier_windows(df, s)).select("row.doc_id", "n", "removed", F.sha2(F.col("kept").cast("binary"), 256)).collect()
+        assert sorted(map(tuple, cut)) == sorted(brute_substring(rows))
+    words = words_.words_of(pa.array(["x " * 200_000]))
+    s = substring_dedup.Settings()
+    row, begin, end, anchor = substring_dedup.anchored(words, s)
+    parts = substring_dedup.in_parts(row, begin, end, anchor, s.longest)
+    assert len(row) == 1 and (parts[2] - parts[1]).max() == s.longest and (parts[2] - parts[1]).sum() == end[0] - begin[0]
+    symbols, automaton = substring_dedup.grams(words.hash, s.unit), substring_dedup.SuffixAutomaton()
+    for data in {symbols[a : b + s.window - s.unit].tobytes() for a, b in zip(parts[1].tolist(), parts[2].tolist())}:
+        automaton.add(np.frombuffer(data, np.uint64).tolist())
+    assert len(automaton.length) < 3 * s.longest
+
+
 def test_more_rows_a_batch_than_14_bits(spark):
     """20,000 empty texts, then a text twice, in one partition and in batches of 50,000 rows."""
     text = noise(61, 60)

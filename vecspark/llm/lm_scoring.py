@@ -31,8 +31,6 @@ log10(0.1 / 0.1) = 0 for each token, and so is the score.
 
 from __future__ import annotations
 
-import gc
-import time
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -292,21 +290,11 @@ class Model:
     held: Held | None
 
 
-def _let_go(spark: SparkSession) -> None:
-    """Spark removes a shuffle's files once the driver's JVM has collected what refers to it; twice, as references go in two steps."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """Counts all words, pairs and triples of docs (text), and builds the filter."""
     spark, buckets = docs.sparkSession, partitions(docs.sparkSession)
     counted = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_count(buckets), _COUNTED)
     table = stored(counted.groupBy("bucket").applyInArrow(_reduce(settings, buckets), _BUCKET))
-    del counted
-    _let_go(spark)
     rows = {r.bucket: r for r in table.select("bucket", "tokens", "distinct", "size", "ones").collect()}  # a few numbers a bucket
     sizes = np.array([rows[b].size if b in rows else room(0, settings) for b in range(buckets)], np.int64)
     tokens, distinct, ones = (sum(r[c] for r in rows.values()) for c in ("tokens", "distinct", "ones"))
@@ -470,8 +458,6 @@ def _score_by_buckets(docs: DataFrame, model: Model, small: _Small) -> DataFrame
     dealt = asked.unionByName(model.table, allowMissingColumns=True).repartition(model.buckets, "bucket").sortWithinPartitions("bucket", F.col("block").asc_nulls_first())
     # Stored, so the shuffle of the keys is done with before the texts move.
     answered = stored(dealt.mapInArrow(_answer(model.settings, model.buckets), "block long, bucket int, counts binary, levels binary"))
-    del asked, dealt
-    _let_go(docs.sparkSession)
     return blocks.unionByName(answered, allowMissingColumns=True).groupBy("block").applyInArrow(_settle(small), _SCORED)
 
 

@@ -15,8 +15,9 @@ Two uses:
      anchors, and one anchor serves some (window - gram) / 2 windows in a row.  Fixed-size bit tables (two, with hashes of
      their own) tell which anchors can occur in several documents, another which can in more than `hot` ones.
   2. A passage is all windows in a row with one anchor.  It is sent as symbols: hashes of the runs of `unit` words in it,
-     so window - unit + 1 symbols in a row are a window, and most of a window's words need not be sent twice.  Passages
-     whose anchor occurs in several documents are grouped by anchor.  A group's automaton takes its passages in the
+     so window - unit + 1 symbols in a row are a window, and most of a window's words need not be sent twice.  A passage of more than
+     `longest` windows goes in parts, each with all words of its windows: a text of one repeated word is many equal parts, which an
+     automaton takes once.  Passages whose anchor occurs in several documents are grouped by anchor.  A group's automaton takes its passages in the
      order of doc_id, and each is matched before it is added; equal passages are added once.
   3. Anchors in more than `hot` documents would make a group large, up to a third of all rows.  Their windows go
      another, exact way: bit tables of their own tell which windows can be in several documents; a task decides those
@@ -51,6 +52,7 @@ class Settings:
     gram: int = 16
     unit: int = 45
     hot: int = 1024
+    longest: int = 4096
     bits: int = 1 << 27
     reference_words: int = 2_000_000
     shard_words: int = 200_000
@@ -235,6 +237,14 @@ def repeated(words: Words, anchors: tuple[np.ndarray, ...], buckets: int, s: Set
     return row, begin, end, anchor, _holds(hot, anchor, s.bits // 2, buckets, 1)
 
 
+def in_parts(row: np.ndarray, begin: np.ndarray, end: np.ndarray, anchor: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """The same windows in passages of `most` windows or fewer."""
+    parts = -(-(end - begin) // most)
+    each = np.repeat(np.arange(len(row)), parts)
+    first = begin[each] + (np.arange(len(each)) - np.repeat(np.cumsum(parts) - parts, parts)) * most
+    return row[each], first, np.minimum(first + most, end[each]), anchor[each]
+
+
 def windows_in(words: Words, row: np.ndarray, begin: np.ndarray, end: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, place, hash) of each window of these passages."""
     size = end - begin
@@ -267,12 +277,11 @@ def passages(docs: DataFrame, anchors, windows, s: Settings) -> DataFrame:
             words = words_of(batch.column("text"))
             row, begin, end, anchor, is_hot = repeated(words, anchors.value, buckets, s)
             doc, mark = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "mark"))
-            cold = np.flatnonzero(~is_hot)
+            at, cold_begin, cold_end, cold_anchor = in_parts(row[~is_hot], begin[~is_hot], end[~is_hot], anchor[~is_hot], s.longest)
             symbols, more = grams(words.hash, s.unit), s.window - s.unit
-            data = [symbols[a : b + more].tobytes() for a, b in zip(begin[cold].tolist(), end[cold].tolist())]
-            at = row[cold]
-            start = begin[cold] - words.first[:-1][at]
-            yield pa.record_batch([pa.array(anchor[cold].view(np.int64)), pa.array(anchor[cold].view(np.int64)), pa.nulls(len(at), pa.int64()), pa.array(doc[at]), pa.array(mark[at]), pa.array(start), pa.nulls(len(at), pa.int64()), pa.array(data, pa.binary())], names=names)
+            data = [symbols[a : b + more].tobytes() for a, b in zip(cold_begin.tolist(), cold_end.tolist())]
+            start = cold_begin - words.first[:-1][at]
+            yield pa.record_batch([pa.array(cold_anchor.view(np.int64)), pa.array(cold_anchor.view(np.int64)), pa.nulls(len(at), pa.int64()), pa.array(doc[at]), pa.array(mark[at]), pa.array(start), pa.nulls(len(at), pa.int64()), pa.array(data, pa.binary())], names=names)
             at, place, h = windows_in(words, row[is_hot], begin[is_hot], end[is_hot], s)
             for which, table in enumerate(windows.value):
                 keep = _holds(table, h, half, buckets, which)
