@@ -9,11 +9,11 @@ from vecspark.functions import columns as c
 from vecspark.functions.registered import register
 from vecspark.functions.spec import ProductSpec, QuantizerSpec
 from vecspark.operators import allocation, attention, encode, search, sweep, turns
-from vecspark.sources import blobs, captures, reports
+from vecspark.sources import blobs, captures, pages, reports
 from vecspark.streaming import sessions
 
 from . import sql
-from .data import DIM, cases, queries_of, table, vectors
+from .data import DIM, cases, queries_of, shared_folder, table, vectors
 
 SPEC = QuantizerSpec(DIM, 2, seed=42)
 PRODUCT = ProductSpec(DIM, 3, seed=42)
@@ -635,17 +635,34 @@ def wire_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("id", F.length("wire").cast("int").alias("bytes"), F.lower(F.hex("wire_packed")).alias("mse"), F.lower(F.hex("wire_signs")).alias("signs"), F.round(F.col("wire_norm").cast("double"), 6).alias("res_norm"))
 
 
-@query("SELECT label, CAST(vec_id // 256 AS BIGINT) AS part, count(*) AS entries, true AS same FROM embeddings GROUP BY ALL")
+_PARTED = f"""{sql.sketched(PRODUCT)}, parted AS (SELECT k.id, c.label, CAST(k.id // 256 AS BIGINT) AS part, {sql.packed_hex('k.cells', DIM, 2)} AS mse, {sql.packed_hex('k.signs', DIM, 1)} AS signs, {sql.packed_hex('c.cells', DIM, 2)} AS packed FROM sketched k JOIN coded c USING (id))"""
+
+
+@query(f"""WITH {_PARTED} SELECT label, part, count(*) AS entries, 24 + 50 + count(*) * {attention.entry_bytes(DIM, 3, 2)} AS bytes, '54514b56010000001900000019000000' AS head, md5(string_agg(mse, '' ORDER BY id)) AS mse, md5(string_agg(signs, '' ORDER BY id)) AS signs, md5(string_agg(packed, '' ORDER BY id)) AS packed FROM parted GROUP BY label, part""")
 def page_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries through one blob a page and back; a page has 256 entries at the most, whatever its label has."""
+    """Pages of at most 256 entries in the page form: the oracle works the bytes of their columns out from the vectors; reading them again must give the entries."""
     part = F.floor(F.col("id") / 256).cast("long")
     slot = (F.row_number().over(Window.partitionBy("label", "part").orderBy("id")) - 1).cast("int")
     rows = vectors(spark, sf_dir).withColumn("part", part).select("label", "part", slot.alias("slot"), "v")
     coded = encode.quantize(encode.quantize_product(rows, PRODUCT), SPEC).drop("v")
-    again = blobs.page_entries(blobs.page_bytes(coded, ["label", "part"], PRODUCT, SPEC), ["label", "part"])
-    names = ["mse", "signs", "res_norm", "packed", "norm"]
-    both = coded.join(again.withColumnsRenamed({n: f"r_{n}" for n in names}), ["label", "part", "slot"])
-    same = F.lit(True)
-    for n in names:
-        same &= F.col(n) == F.col(f"r_{n}")
-    return both.groupBy("label", "part").agg(F.count("*").alias("entries"), F.bool_and(same).alias("same"))
+    made = blobs.page_bytes(coded, ["label", "part"], PRODUCT, SPEC)
+    again = blobs.page_bytes(blobs.page_entries(made, ["label", "part"]), ["label", "part"], PRODUCT, SPEC).withColumnRenamed("page", "again")
+    checked = made.join(again, ["label", "part"]).withColumn("page", F.when(F.col("page") == F.col("again"), F.col("page")).otherwise(F.raise_error("a page reads otherwise").cast("binary")))
+    n, at, columns = F.conv(F.hex(F.reverse(F.substring("page", 17, 4))), 16, 10).cast("long"), F.lit(75).cast("long"), {}
+    for name, width in (("mse", 16), ("signs", 8), ("res_norm", 4), ("packed", 16), ("norm", 4)):
+        columns[name] = F.md5(F.lower(F.hex(F.substring(F.col("page"), at.cast("int"), (n * width).cast("int")))))
+        at = at + n * width
+    head = F.substring(F.lower(F.hex("page")), 1, 32)
+    return checked.select("label", "part", n.alias("entries"), F.length("page").cast("long").alias("bytes"), head.alias("head"), *(columns[x].alias(x) for x in ("mse", "signs", "packed")))
+
+
+@query(f"""WITH {_PARTED}, placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS INT) AS slot FROM parted) SELECT CAST(label AS VARCHAR) AS page, slot, mse, signs, packed FROM placed WHERE label < 5 AND slot BETWEEN 8 AND 23""")
+def page_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries written as pages, of which a range of slots of some pages is read: files are chosen by page, bytes by slot."""
+    slot = (F.row_number().over(Window.partitionBy("label").orderBy("id")) - 1).cast("int")
+    rows = vectors(spark, sf_dir).select(F.col("label").cast("string").alias("page"), slot.alias("slot"), "v")
+    coded = encode.quantize(encode.quantize_product(rows, PRODUCT), SPEC, keep=[*("page", "slot", "mse", "signs", "res_norm")])
+    path = shared_folder(spark)
+    pages.write_pages(coded, path, PRODUCT, SPEC)
+    some = pages.read_pages(spark, path).where(F.col("page").isin("0", "1", "2", "3", "4") & F.col("slot").between(8, 23))
+    return some.select("page", "slot", *(F.lower(F.hex(x)).alias(x) for x in ("mse", "signs", "packed")))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,3 +38,14 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries_of(rows: DataFrame) -> DataFrame:
     """query_id, q: the rows whose id is divisible by 100."""
     return rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").cast("array<double>").alias("q"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's URI below the one that spark.checkpoint.dir names; a temporary one only on a local master, where that is unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="vecspark-")
+        spark.sparkContext.setCheckpointDir(at)
+    return f"{at.rstrip('/')}/vecspark/{uuid.uuid4().hex}"
