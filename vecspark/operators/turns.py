@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecspark.functions import columns as c
-from vecspark.functions.spec import ProductSpec
+from vecspark.functions.spec import VALUE_SEED, ProductSpec, QuantizerSpec, derived_seed
 
 from . import encode
 
@@ -103,6 +103,28 @@ def text_vectors(rows: DataFrame, dim: int, text: str = "text", index: str = "tu
     return rows.withColumn(out, make(c.tokens(F.coalesce(F.col(text), F.lit(""))), F.col(index)))
 
 
+def _scored(turns: DataFrame, spec: ProductSpec) -> DataFrame:
+    """conv_id, turn, place, role, text, question, score: each turn that is stored against its conversation's question."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    placed = turns.withColumn("place", F.row_number().over(order) - 1)
+    asked = last_user_turn(turns).join(turns.groupBy("conv_id").agg(F.count("*").cast("int").alias("place")), "conv_id").select("conv_id", F.col("text").alias("question"), "place")
+    asked = text_vectors(asked, spec.dim, "question", "place", "q").drop("place")
+    coded = encode.quantize_product(text_vectors(placed, spec.dim, index="place"), spec, keep=["conv_id", "turn", "place", "role", "text"])
+    return encode.score_product(coded.join(asked, "conv_id"), spec, "q").drop("q", "mse", "signs", "res_norm")
+
+
+def focus(turns: DataFrame, k: int, dim: int, key_bits: int = 3, value_bits: int = 2, seed: int = 42) -> DataFrame:
+    """conv_id, focus_norm: the norm of an attention over the k turns that answer the last user turn best, whose values are text vectors of lane 1, coded."""
+    spec, values = ProductSpec(dim, key_bits, seed), QuantizerSpec(dim, value_bits, derived_seed(seed, VALUE_SEED))
+    order = Window.partitionBy("conv_id").orderBy(F.desc(F.round("score", 6)), "place")
+    top = _scored(turns, spec).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    weighted = top.withColumn("weight", c.softmax("score", Window.partitionBy("conv_id"))).select("conv_id", "place", "text", "weight")
+    coded = encode.quantize(text_vectors(weighted, dim, index="place", lane=1), values, keep=["conv_id", "weight"])
+    each = encode.dequantize(coded, values).select("conv_id", (F.col("weight") * F.col("norm").cast("double")).alias("w"), F.posexplode("recon").alias("coordinate", "x"))
+    sums = each.groupBy("conv_id", "coordinate").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+    return sums.groupBy("conv_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("focus_norm"))
+
+
 def recall(turns: DataFrame, k: int, dim: int, bits: int = 3, seed: int = 42) -> DataFrame:
     """conv_id, rank, turn, role, score: what a conversation's stored turns say to its last user turn, by inner-product codes of text vectors.
 
@@ -110,12 +132,7 @@ def recall(turns: DataFrame, k: int, dim: int, bits: int = 3, seed: int = 42) ->
     are taken; of these, user turns that are the question itself, and repeats of a role and text with the same score, are left out.
     """
     spec = ProductSpec(dim, bits, seed)
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    placed = turns.withColumn("place", F.row_number().over(order) - 1)
-    asked = last_user_turn(turns).join(turns.groupBy("conv_id").agg(F.count("*").cast("int").alias("place")), "conv_id").select("conv_id", F.col("text").alias("question"), "place")
-    asked = text_vectors(asked, dim, "question", "place", "q").drop("place")
-    coded = encode.quantize_product(text_vectors(placed, dim, index="place").select("conv_id", "turn", "role", "text", "v"), spec).drop("v")
-    scored = encode.score_product(coded.join(asked, "conv_id"), spec, "q").withColumn("score", F.round("score", 6) + F.lit(0.0))
+    scored = _scored(turns, spec).withColumn("score", F.round("score", 6) + F.lit(0.0))
     best = Window.partitionBy("conv_id").orderBy(F.desc("score"), "turn")
     top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     once = F.row_number().over(Window.partitionBy("conv_id", "role", "text", "score").orderBy("turn"))
