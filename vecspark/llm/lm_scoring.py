@@ -31,7 +31,7 @@ log10(0.1 / 0.1) = 0 for each token, and so is the score.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from functools import lru_cache
 
 import numpy as np
@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Batches, chunks, documents, packed, partitions, stored, unpacked
-from .words import mix, words_of
+from .words import distinct, mix, words_of
 
 #: Tokens for the end and the beginning of a text, spread over the hashes' range.
 END, BEGIN = mix(np.array([0x0E4D, 0xBE61], np.uint64))
@@ -148,6 +148,19 @@ def tokens_of(column: pa.Array, buckets: int) -> Tokens:
     return Tokens(np.repeat(np.arange(rows), np.diff(words.first) + 1), token, before, cut_keys(pair, buckets), cut_keys(triple, buckets), first)
 
 
+def tokens_of_all(batch: pa.RecordBatch, buckets: int) -> Tokens:
+    """tokens_of() of all texts of a block, worked out in pieces that stay near the processor."""
+    parts, rows = [], 0
+    for piece in chunks([batch]):
+        t = tokens_of(piece.column("text"), buckets)
+        t.row += rows
+        rows += piece.num_rows
+        parts.append(t)
+    if len(parts) == 1:
+        return parts[0]
+    return Tokens(*(np.concatenate([getattr(t, f.name) for t in parts]) for f in fields(Tokens))) if parts else tokens_of(batch.column("text"), buckets)
+
+
 def _by_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     """buckets + 1 places in keys, which are in order."""
     return np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
@@ -322,7 +335,7 @@ class _Small:
 
     def lines(self, batch: pa.RecordBatch, count, level) -> pa.RecordBatch:
         """A row for each text. count(words), level(keys): of all that _wanted() names for these texts, in its order."""
-        t, s = tokens_of(batch.column("text"), self.buckets), self.settings
+        t, s = tokens_of_all(batch, self.buckets), self.settings
         total = self.tokens + 0.1 * (self.distinct + 1)
         kind, at = np.unique(np.append(t.token, cut_keys(BEGIN, self.buckets, _WORD_BITS)), return_inverse=True)
         own = count(kind)[at]
@@ -375,10 +388,10 @@ def _block(data: pa.Scalar) -> pa.RecordBatch:
     return pa.ipc.open_stream(data.as_buffer()).read_next_batch()
 
 
-def _wanted(text: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def _wanted(batch: pa.RecordBatch, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The words and the n-grams that the texts of a block look up, each once and in order, so those of a bucket lie together."""
-    t = tokens_of(text, buckets)
-    return np.unique(np.append(t.token, cut_keys(BEGIN, buckets, _WORD_BITS))), np.unique(np.concatenate((t.pair, t.triple[~t.first])))
+    t = tokens_of_all(batch, buckets)
+    return distinct(np.append(t.token, cut_keys(BEGIN, buckets, _WORD_BITS))), distinct(np.concatenate((t.pair, t.triple[~t.first])))
 
 
 def _ask(buckets: int):
@@ -387,7 +400,7 @@ def _ask(buckets: int):
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
-                words, grams = _wanted(_block(data).column("text"), buckets)
+                words, grams = _wanted(_block(data), buckets)
                 w, g = _by_bucket(words, buckets), _by_bucket(grams, buckets)
                 asked = np.flatnonzero(np.diff(w) + np.diff(g))
                 yield pa.record_batch([

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Batches, chunks, documents, dropped, id_and_text, shared_folder, stored, whole_rows
-from .words import Words, mix, words_of
+from .words import Words, distinct, mix, words_of
 
 _GAMMA = np.uint64(0x9FB21C651E98DF25)
 #: Bits of a shingle's hash; with the row above them it is one number, so rows of a batch are sorted at once.
@@ -158,7 +158,7 @@ def idf_table(docs: DataFrame, settings: Settings) -> np.ndarray:
         frequency, rows = np.zeros(n + 1, np.int64), 0
         for batch in chunks(batches):
             row, h = runs(words_of(batch.column("text")), settings.words)
-            frequency[:n] += np.bincount(np.unique(row * n + slot(h, n)) % n, minlength=n)
+            frequency[:n] += np.bincount(distinct(row * n + slot(h, n)) % n, minlength=n)
             rows += batch.num_rows
         frequency[n] = rows
         at = np.flatnonzero(frequency)

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Batches, chunks, documents, packed, partitions, stored, unpacked, whole_rows, with_row
-from .words import Words, grams, mix, words_of
+from .words import Words, distinct, grams, mix, words_of
 
 
 @dataclass(frozen=True)
@@ -190,7 +190,7 @@ def tables(docs: DataFrame, hashes: Callable[[Words], tuple[np.ndarray, np.ndarr
             docs_ = batch.column("doc_id").to_numpy(zero_copy_only=False)[: batch.num_rows].astype(np.int64)
             for which in (0, 1):
                 _, place, first = _bit(h, half, buckets, which)
-                own = np.unique((place + first) * (1 << 14) + row)  # a batch has less than 2**14 rows
+                own = distinct((place + first) * (1 << 14) + row)  # a batch has less than 2**14 rows
                 at, doc = own >> 14, docs_[own & ((1 << 14) - 1)]
                 kept[which].append(_merged([(at, np.ones(len(at), np.int64), doc, doc)]))
                 if sum(len(x[0]) for x in kept[which]) > most:

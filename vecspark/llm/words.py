@@ -122,6 +122,12 @@ def _word_sums(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.
     return out
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Each value once, in order: a sort, which for many different integers is far faster than hashing them."""
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
 def grams(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words that begin at each place (len(words) - n + 1 places), across rows."""
     out = np.empty(max(len(words) - n + 1, 0), np.uint64)
