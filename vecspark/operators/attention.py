@@ -1,13 +1,14 @@
 """Attention over tables of keys and values.
 
-A table of entries has the columns page (any number of columns that name it), slot, and key and value vectors or codes.  The
-weights are a softmax over a query's entries: over the k best, found by a window whose limit prunes before the shuffle, or over all, by
-partial sums.  An entry set is never gathered in one row or task.  Appending assigns the slots after the page's last one.
+A table of entries has the columns page (any number of columns that name it), slot, and key and value vectors or codes.  Queries and
+entries of a page meet in tiles, a block of each, where scores are one matrix product: no row is a pair.  The weights are a softmax over a
+query's entries: over the k best, of which a tile sends k, or over all, by partial sums.  An entry set is never gathered in one row or
+task.  Appending assigns the slots after the page's last one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,13 @@ from pyspark.sql.types import StructType
 
 from vecspark.functions import codes
 from vecspark.functions import columns as c
-from vecspark.functions.spec import ProductSpec, QuantizerSpec
+from vecspark.functions.spec import ProductSpec, QuantizerSpec, packed_size
 
 from . import encode
+from .search import _found
+
+#: Queries and entries of a tile.
+QUERIES, ENTRIES = 1024, 4096
 
 
 def weights(scored: DataFrame, by: list[str], k: int | None = None) -> DataFrame:
@@ -43,64 +48,123 @@ def gathered(outputs: DataFrame, by: list[str]) -> DataFrame:
     return outputs.groupBy(*by).agg(F.transform(rows, lambda x: x["output"]).alias("output"))
 
 
+def tiles(queries: DataFrame, entries: DataFrame, on: list[str], by: list[str], columns: list[str]) -> DataFrame:
+    """on, _asked (by and q of up to about QUERIES queries of a page), _held (slot and columns of up to ENTRIES entries of it): a row a tile.
+
+    Each block of queries meets each block of entries of its page once.  A page of any size is cut by its slots, the queries of a page by a
+    hash: no row is a pair, and none grows with a page.
+    """
+    counts = queries.groupBy(*on).agg(F.ceil(F.count("*") / F.lit(QUERIES)).alias("_blocks"))
+    dealt = queries.join(counts, on).withColumn("_qb", F.pmod(F.xxhash64(*by), F.col("_blocks")))
+    asked = dealt.groupBy(*on, "_qb").agg(F.collect_list(F.struct(*by, "q")).alias("_asked"))
+    held = entries.withColumn("_eb", F.floor(F.col("slot") / F.lit(ENTRIES))).groupBy(*on, "_eb").agg(F.collect_list(F.struct("slot", *columns)).alias("_held"))
+    return asked.join(held, on).select(*on, "_asked", "_held")
+
+
+#: score(entries of a tile, its queries as a matrix, its page): entries x queries.
+Score = Callable[[pa.StructArray, np.ndarray, dict], np.ndarray]
+
+
+def _each(batches: Iterator[pa.RecordBatch], on: list[str]) -> Iterator[tuple[dict, pa.StructArray, np.ndarray, pa.StructArray]]:
+    """(page, queries, their vectors, entries) of each tile."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            asked, held = (row.column(c).flatten() for c in ("_asked", "_held"))
+            q = asked.field("q")
+            yield {c: row.column(c) for c in on}, asked, codes.matrix_of(q, len(q[0])), held
+
+
+def _named(on: list[str], by: list[str], page: dict, asked: pa.StructArray, at: np.ndarray) -> list[pa.Array]:
+    """The columns on and by of queries at these places of a tile."""
+    own = [page[c].take(pa.array(np.zeros(len(at), int))) for c in on]
+    return own + [asked.field(c).take(pa.array(at)) for c in by if c not in on]
+
+
+def best_entries(queries: DataFrame, entries: DataFrame, on: list[str], by: list[str], columns: list[str], score: Score, k: int) -> DataFrame:
+    """on, by, slot, score, weight: each query's k best entries (larger scores, then lower slots); only k a query leave a tile."""
+    kinds = [queries.schema[c] for c in [*on, *(c for c in by if c not in on)]]
+    schema = StructType([*kinds, *StructType.fromDDL("slot int, score double").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for page, asked, q, held in _each(batches, on):
+            at, slot, s = _found(score(held, q, page).T, held.field("slot").to_numpy(zero_copy_only=False), k)
+            yield pa.record_batch([*_named(on, by, page, asked, at), pa.array(slot, pa.int32()), pa.array(s)], names=schema.names)
+
+    return weights(tiles(queries, entries, on, by, columns).mapInArrow(run, schema), by, k)
+
+
 def attend(queries: DataFrame, entries: DataFrame, on: list[str], by: list[str], scale: float = 1.0, k: int | None = None) -> DataFrame:
-    """by, coordinate, output. queries: by, on, q; entries: on, slot, key, value. An empty page gives no rows."""
-    joined = queries.join(entries, on)
-    if k is not None:
-        return weighted_sum(weights(joined.withColumn("score", c.dot("q", "key") * F.lit(scale)), by, k), by)
-    return _over_all(joined.select(*by, "q", "key", "value"), by, scale)
+    """by, coordinate, output. queries: by (which names a query), on, q; entries: on, slot, key, value. An empty page gives no rows."""
 
+    def score(held: pa.StructArray, q: np.ndarray, page: dict) -> np.ndarray:
+        return codes.matrix_of(held.field("key"), q.shape[1]) @ q.T * scale
 
-def _over_all(joined: DataFrame, by: list[str], scale: float) -> DataFrame:
-    """A softmax over all entries without gathering them: a task sends the largest score, the sum of weights and the weighted sum of
-    values of what it has seen of each query, all relative to that largest score; such parts are merged the same way."""
-    keys = [joined.schema[n] for n in by]
+    if k is None:
+        value = lambda held, page: codes.matrix_of(held.field("value"), len(held.field("value")[0]))
+        return _over_all(tiles(queries, entries, on, by, ["key", "value"]), queries, on, by, score, value)
+    picked = best_entries(queries, entries, on, by, ["key"], score, k)
+    return weighted_sum(picked.join(entries.select(*on, "slot", "value"), [*on, "slot"]), by)
+
+
+def _over_all(tiled: DataFrame, queries: DataFrame, on: list[str], by: list[str], score: Score, value: Callable[[pa.StructArray, dict], np.ndarray]) -> DataFrame:
+    """A softmax over all entries without gathering them: a tile sends, of each query, the largest score, the sum of weights and the
+    weighted sum of values, relative to that largest score; such parts are merged the same way."""
+    keys = [queries.schema[n] for n in by]
     part = StructType([*keys, *StructType.fromDDL("most double, total double, parts array<double>").fields])
     out = StructType([*keys, *StructType.fromDDL("coordinate int, output double").fields])
 
-    def merged(at: np.ndarray, most: np.ndarray, total: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        groups = int(at.max()) + 1 if len(at) else 0
-        top = np.full(groups, -np.inf)
-        np.maximum.at(top, at, most)
-        share = np.exp(most - top[at])
-        sums = np.zeros((groups, parts.shape[1]))
-        np.add.at(sums, at, parts * share[:, None])
-        return top, np.bincount(at, weights=total * share, minlength=groups), sums
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            at, first = _groups(batch, by)
-            matrix = lambda n: codes.matrix_of(batch.column(n), len(batch.column(n)[0]))
-            score = (matrix("q") * matrix("key")).sum(axis=1) * scale
-            top, total, sums = merged(at, score, np.ones(len(score)), matrix("value"))
-            own = batch.take(pa.array(first))
-            yield pa.record_batch([*(own.column(n) for n in by), pa.array(top), pa.array(total), codes.lists_of(sums, pa.float64())], names=part.names)
+        for page, asked, q, held in _each(batches, on):
+            s = score(held, q, page)
+            most = s.max(axis=0)
+            share = np.exp(s - most)
+            yield pa.record_batch([*(asked.field(c) for c in by), pa.array(most), pa.array(share.sum(axis=0)), codes.lists_of(share.T @ value(held, page), pa.float64())], names=part.names)
 
     def merge(table: pa.Table) -> pa.Table:
-        parts = table.column("parts").combine_chunks()
-        dim = len(parts[0])
-        _, total, sums = merged(np.zeros(len(parts), int), table.column("most").to_numpy(), table.column("total").to_numpy(), codes.matrix_of(parts, dim))
+        parts, most = table.column("parts").combine_chunks(), table.column("most").to_numpy()
+        dim, share = len(parts[0]), np.exp(most - most.max())
+        total, sums = share @ table.column("total").to_numpy(), share @ codes.matrix_of(parts, dim)
         head = table.slice(0, 1).take(pa.array(np.zeros(dim, int)))
-        return pa.table([*(head.column(n) for n in by), pa.array(np.arange(dim), pa.int32()), pa.array(sums[0] / total[0])], names=out.names)
+        return pa.table([*(head.column(n) for n in by), pa.array(np.arange(dim), pa.int32()), pa.array(sums / total)], names=out.names)
+
+    return tiled.mapInArrow(run, part).groupBy(*by).applyInArrow(merge, out)
+
 
-    return joined.mapInArrow(run, part).groupBy(*by).applyInArrow(merge, out)
+def attend_codes(queries: DataFrame, coded: DataFrame, on: list[str], by: list[str], keys: ProductSpec, values: QuantizerSpec, scale: float = 1.0, k: int | None = None, specs: Callable[[dict], tuple[ProductSpec, QuantizerSpec]] | None = None) -> DataFrame:
+    """attend() on codes: keys by inner-product codes (mse, signs, res_norm), values by plain ones (packed, norm).
 
+    Scores are taken on the packed codes, and only values that are selected are decoded.  specs(page): the specs of a page's own codes, where they
+    differ from page to page (in seeds, say); keys and values give their sizes.
+    """
+    keys, values = keys.solved(), values.solved()
+    of = specs or (lambda page: (keys, values))
 
-def _groups(batch: pa.RecordBatch, by: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(number of its group, from 0, of each row; a row of each group)."""
-    at = batch.select(by).to_pandas().groupby(by, sort=False, dropna=False).ngroup().to_numpy()
-    return at, np.unique(at, return_index=True)[1]
+    def score(held: pa.StructArray, q: np.ndarray, page: dict) -> np.ndarray:
+        mse, signs = codes.rows_of(held.field("mse"), keys.base.code_bytes), codes.rows_of(held.field("signs"), packed_size(keys.dim, 1))
+        return codes.packed_product_scores(mse, signs, held.field("res_norm").to_numpy(zero_copy_only=False).astype(float), q, of(page)[0]) * scale
 
+    def decoded(packed: pa.Array, norm: pa.Array, page: dict) -> np.ndarray:
+        cells = codes.unpack(codes.rows_of(packed, values.code_bytes), values.dim, values.bits)
+        return codes.reconstruct(cells, of(page)[1]) * norm.to_numpy(zero_copy_only=False).astype(float)[:, None]
+
+    columns = ["mse", "signs", "res_norm"]
+    if k is None:
+        return _over_all(tiles(queries, coded, on, by, [*columns, "packed", "norm"]), queries, on, by, score, lambda held, page: decoded(held.field("packed"), held.field("norm"), page))
+    picked = best_entries(queries, coded, on, by, columns, score, k).join(coded.select(*on, "slot", "packed", "norm"), [*on, "slot"])
+    if specs is None:
+        return weighted_sum(encode.dequantize(picked, values), by, "recon", F.col("norm").cast("double"))
+    kinds = StructType([*(queries.schema[c] for c in by), *StructType.fromDDL("weight double, value array<double>").fields])
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages = batch.select(on).to_pandas().groupby(on, sort=False, dropna=False).indices if batch.num_rows else {}
+            for at in pages.values():
+                own = batch.take(pa.array(at))
+                value = decoded(own.column("packed"), own.column("norm"), {c: own.column(c).slice(0, 1) for c in on})
+                yield pa.record_batch([*(own.column(c) for c in by), own.column("weight"), codes.lists_of(value, pa.float64())], names=kinds.names)
 
-def attend_codes(queries: DataFrame, coded: DataFrame, on: list[str], by: list[str], keys: ProductSpec, values: QuantizerSpec, scale: float = 1.0, k: int | None = None) -> DataFrame:
-    """attend() on codes: keys by inner-product codes (mse, signs, res_norm), values by plain ones (packed, norm). Only the values of entries
-    that are selected are decoded."""
-    scored = encode.score_product(queries.join(coded, on), keys, "q").withColumn("score", F.col("score") * F.lit(scale))
-    picked = weights(scored.select(*by, "slot", "score", "packed", "norm"), by, k)
-    decoded = encode.dequantize(picked, values)
-    return weighted_sum(decoded, by, "recon", F.col("norm").cast("double"))
+    return weighted_sum(picked.mapInArrow(decode, kinds), by)
 
 
 def grouped_heads(queries: DataFrame, heads: int, kv_heads: int) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from vecspark.functions import columns as c
 from vecspark.functions.registered import register
 from vecspark.functions.spec import ProductSpec, QuantizerSpec
-from vecspark.operators import allocation, attention, encode, search, sweep, turns
+from vecspark.operators import accumulate, allocation, attention, encode, search, sweep, turns
+from vecspark.operators.model_cache import LayerProfile, ModelCache
 from vecspark.sources import blobs, captures, pages, reports
-from vecspark.streaming import sessions
+from vecspark.streaming import requests, sessions
 
 from . import sql
 from .data import DIM, cases, queries_of, shared_folder, table, vectors
@@ -666,3 +667,102 @@ def page_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages.write_pages(coded, path, PRODUCT, SPEC)
     some = pages.read_pages(spark, path).where(F.col("page").isin("0", "1", "2", "3", "4") & F.col("slot").between(8, 23))
     return some.select("page", "slot", *(F.lower(F.hex(x)).alias(x) for x in ("mse", "signs", "packed")))
+
+
+# A model's layers, runs, requests
+
+
+_LAYERS = [LayerProfile(0, 10, DIM, 3, 2, 5, 100, 7), LayerProfile(1, 10, DIM, 3, 4, 5, 0, 8)]
+_HEAD = _LAYERS[1].specs(2)[0]
+
+
+@query(f"WITH {sql.sketched(_HEAD)} SELECT k.id, CAST(row_number() OVER (ORDER BY k.id) - 1 AS INT) AS slot, {sql.packed_hex('k.cells', DIM, 2)} AS mse, {sql.packed_hex('k.signs', DIM, 1)} AS signs, round(k.res_norm, 6) AS res_norm FROM sketched k JOIN coded c USING (id) WHERE c.label = 7")
+def model_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as a model's cache of two layers and five key/value heads (labels), and one head of one layer looked up: quantisers follow from the head's seed."""
+    rows = vectors(spark, sf_dir).select(F.floor(F.col("label") / 5).cast("int").alias("layer"), (F.col("label") % 5).cast("int").alias("kv_head"), F.col("v").alias("key"), F.col("v").alias("value"), "id")
+    cache = ModelCache.create(spark, shared_folder(spark), _LAYERS)
+    cache.append(rows, ["id"])
+    place = rows.select("layer", "kv_head", "id", (F.row_number().over(Window.partitionBy("layer", "kv_head").orderBy("id")) - 1).cast("int").alias("slot"))
+    found = cache.layer(1, 2).join(place, ["layer", "kv_head", "slot"])
+    return found.select("id", "slot", *(F.lower(F.hex(x)).alias(x) for x in ("mse", "signs")), F.round(F.col("res_norm").cast("double"), 6).alias("res_norm"))
+
+
+_SIZES = {p.layer: p for p in _LAYERS}
+
+
+@query(f"""WITH pages AS (SELECT CAST(label // 5 AS INT) AS layer, CAST(label % 5 AS INT) AS kv_head, count(*) AS n FROM embeddings GROUP BY ALL),
+sized AS (SELECT *, n * CASE layer WHEN 0 THEN {_SIZES[0].entry_bytes} ELSE {_SIZES[1].entry_bytes} END AS live, greatest(n, CASE layer WHEN 0 THEN 100 ELSE 0 END) * CASE layer WHEN 0 THEN {_SIZES[0].entry_bytes} ELSE {_SIZES[1].entry_bytes} END AS room FROM pages)
+SELECT layer, kv_head, CAST(sum(n) AS BIGINT) AS entries, CAST(sum(live) AS BIGINT) AS live_bytes, CAST(sum(room) AS BIGINT) AS storage_bytes, CAST(sum(n) * {8 * DIM} AS BIGINT) AS raw_bytes FROM sized GROUP BY ROLLUP (layer, kv_head)""")
+def model_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir).select(F.floor(F.col("label") / 5).cast("int").alias("layer"), (F.col("label") % 5).cast("int").alias("kv_head"), F.col("v").alias("key"), F.col("v").alias("value"), "id")
+    cache = ModelCache.create(spark, shared_folder(spark), _LAYERS)
+    for part in (rows.where("id % 2 = 0"), rows.where("id % 2 = 1")):
+        cache.append(part, ["id"])
+    return cache.sizes()
+
+
+_RUNS = "SELECT sample AS \"group\", layer, tokens, raw_bytes AS raw_fp32, raw_bytes // 2 AS raw_fp16, storage_bytes - 512 AS live_bytes, storage_bytes, output_mse * 10 AS append_ms, CAST(1 + key_bits AS DOUBLE) AS attention_ms FROM cases"
+_RATE = "CASE WHEN {ms} > 0 AND {n} > 0 THEN {n} * 1000.0 / {ms} ELSE 0 END"
+_SAVED = ["compression_vs_fp32", "compression_vs_fp16"]
+_RUN_MEANS = ["raw_fp32", "raw_fp16", "live_bytes", "storage_bytes", "append_ms", "attention_ms"]
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cases(spark, sf_dir).select(
+        F.col("sample").alias("group"), "layer", "tokens", F.col("raw_bytes").alias("raw_fp32"), F.floor(F.col("raw_bytes") / 2).alias("raw_fp16"), (F.col("storage_bytes") - 512).alias("live_bytes"), "storage_bytes",
+        (F.col("output_mse") * 10).alias("append_ms"), (1 + F.col("key_bits")).cast("double").alias("attention_ms"),
+    )
+
+
+def _mean_sql(names: list[str]) -> str:
+    return ", ".join(f"avg(CAST({x} AS DOUBLE)) AS mean_{x.replace('_bytes', '') + '_bytes' if x.endswith('_bytes') else x}" for x in names)
+
+
+_SIX = lambda df: df.withColumns({x: F.round(x, 6) for x, kind in df.dtypes if kind == "double"})
+
+
+def _six_sql(inner: str, plain: list[str], names: list[str]) -> str:
+    saved = ", ".join(f"round(mean_raw_{x} / mean_live_bytes, 6) AS compression_vs_{x}" for x in ("fp32", "fp16"))
+    return f"SELECT {', '.join([*plain, *(f'round({x}, 6) AS {x}' for x in names)])}, {saved} FROM ({inner})"
+
+
+_MEAN_NAMES = ["mean_raw_fp32", "mean_raw_fp16", "mean_live_bytes", "mean_storage_bytes", "mean_append_ms", "mean_attention_ms"]
+
+
+@query(f"WITH {sql.cases()}, runs AS ({_RUNS}) " + _six_sql(f"SELECT layer, count(*) AS runs, avg(tokens) AS mean_tokens, {_mean_sql(_RUN_MEANS)}, avg({_RATE.format(n='tokens', ms='append_ms')}) AS mean_tokens_per_s, avg({_RATE.format(n='1', ms='attention_ms')}) AS mean_queries_per_s FROM runs GROUP BY layer", ["layer", "runs"], ["mean_tokens", *_MEAN_NAMES, "mean_tokens_per_s", "mean_queries_per_s"]))
+def layer_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _SIX(accumulate.layer_summaries(_runs(spark, sf_dir)))
+
+
+@query(f"WITH {sql.cases()}, runs AS ({_RUNS}), grouped AS (SELECT \"group\", count(*) AS layers, sum(tokens) AS tokens, {', '.join(f'sum({x}) AS {x}' for x in _RUN_MEANS)}, sum(append_ms) + sum(attention_ms) AS total_ms FROM runs GROUP BY \"group\") " + _six_sql(f"SELECT count(*) AS runs, CAST(sum(layers) AS BIGINT) AS layer_runs, {_mean_sql([*_RUN_MEANS, 'total_ms'])}, avg({_RATE.format(n='tokens', ms='append_ms')}) AS mean_tokens_per_s, avg({_RATE.format(n='layers', ms='attention_ms')}) AS mean_queries_per_s, avg({_RATE.format(n='1', ms='total_ms')}) AS mean_groups_per_s FROM grouped", ["runs", "layer_runs"], [*_MEAN_NAMES, "mean_total_ms", "mean_tokens_per_s", "mean_queries_per_s", "mean_groups_per_s"]))
+def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _SIX(accumulate.run_summary(_runs(spark, sf_dir)))
+
+
+@query("""WITH t AS (SELECT role, CAST(length(text) AS DOUBLE) AS ms, length(text) AS chars, turn % 7 <> 3 AS fine FROM conversations)
+SELECT role, count(*) FILTER (fine) AS ok, count(*) FILTER (NOT fine) AS failed, sum(ms) AS total_ms, round(avg(ms), 6) AS mean_ms, CAST(coalesce(sum(chars) FILTER (fine), 0) AS BIGINT) AS assistant_chars,
+list_sort(list(ms) FILTER (fine))[CAST(floor((count(*) FILTER (fine) - 1) * 0.5) AS INT) + 1] AS p50_ms, list_sort(list(ms) FILTER (fine))[CAST(floor((count(*) FILTER (fine) - 1) * 0.95) AS INT) + 1] AS p95_ms FROM t GROUP BY role""")
+def turn_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as answers of a run: their length is the time, each seventh one failed."""
+    rows = table(spark, sf_dir, "conversations").select("role", F.length("text").cast("double").alias("duration_ms"), F.length("text").cast("long").alias("assistant_chars"), F.when(F.col("turn") % 7 == 3, "failed").alias("error"))
+    return accumulate.turn_summaries(rows, ["role"]).withColumn("mean_ms", F.round("mean_ms", 6))
+
+
+@query("""WITH r AS (SELECT event_id, CASE WHEN user_id % 9 = 8 THEN ' ' ELSE 'm' || (user_id % 9) END AS model FROM events), routes AS (SELECT 'm' || n_nationkey AS model, 'r' || n_regionkey AS backend, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS backend_model FROM nation WHERE n_nationkey < 7), backends AS (SELECT 'r' || r_regionkey AS backend FROM region WHERE r_regionkey <> 1)
+SELECT event_id, r.model, CASE WHEN b.backend IS NOT NULL THEN o.backend END AS backend, CASE WHEN b.backend IS NOT NULL THEN coalesce(o.backend_model, r.model) END AS backend_model,
+CASE WHEN trim(r.model) = '' THEN 'a model is required' WHEN o.model IS NULL THEN 'unknown model "' || r.model || '"' WHEN b.backend IS NULL THEN 'backend "' || o.backend || '" is unavailable' END AS route_error
+FROM r LEFT JOIN routes o ON o.model = r.model LEFT JOIN backends b ON b.backend = o.backend""")
+def request_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests of a model; nations are the routes, regions the backends."""
+    e = table(spark, sf_dir, "events")
+    asked = e.select("event_id", F.when(F.col("user_id") % 9 == 8, " ").otherwise(F.concat(F.lit("m"), (F.col("user_id") % 9).cast("string"))).alias("model"))
+    routes = table(spark, sf_dir, "nation").where("n_nationkey < 7").select(F.concat(F.lit("m"), "n_nationkey").alias("model"), F.concat(F.lit("r"), "n_regionkey").alias("backend"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).alias("backend_model"))
+    backends = table(spark, sf_dir, "region").where("r_regionkey <> 1").select(F.concat(F.lit("r"), "r_regionkey").alias("backend"))
+    return requests.routed(asked, routes, backends)
+
+
+@query("SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS began, event_type AS endpoint, 'server' AS backend, CAST(200 + 100 * (user_id % 4) AS INT) AS status, count(*) AS requests FROM events GROUP BY ALL")
+def request_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events counted by hours and outcomes."""
+    e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("endpoint"), F.lit(" ").alias("backend"), (200 + 100 * (F.col("user_id") % 4)).cast("int").alias("status"))
+    return requests.windows(e, "1 hour").withColumn("began", F.unix_seconds("began"))
