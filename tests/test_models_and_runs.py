@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vecspark.functions import codes
 from vecspark.operators import accumulate, attention, encode
 from vecspark.operators.model_cache import LayerProfile, ModelCache
-from vecspark.sources import bench_config, reports
+from vecspark.sources import bench_config, captures, reports
 
 PROFILES = [LayerProfile(3, 4, 16, 3, 2, 2, 50, 5), LayerProfile(0, 2, 8, 4, 4, 0, 0, 6)]
 
@@ -105,6 +105,28 @@ def test_tiles_of_small_blocks(spark, monkeypatch):
     assert attention.attend(q.where("false"), e, ["page"], ["id"]).count() == attention.attend(q, e.where("false"), ["page"], ["id"], 1.0, 2).count() == 0
 
 
+def test_sweep_equals_evaluations(spark):
+    rng = np.random.default_rng(21)
+    rows = [(i, heads, kv, 8, tokens, 0.5, rng.normal(size=heads * 8).tolist(), *(rng.normal(size=tokens * kv * 8).tolist() for _ in range(2))) for i, (heads, kv, tokens) in enumerate([(4, 2, 9), (2, 2, 1), (3, 1, 30)])]
+    samples = spark.createDataFrame(rows, "sample int, heads int, kv_heads int, head_dim int, tokens int, query_scale float, query array<float>, keys array<float>, values array<float>")
+    got = captures.sweep(samples, ["sample"], 8, [2, 4], [1, 2], [0, 3, 50], ("primary", "uniform"), 5, 12).collect()
+    assert len(got) == 3 * 24
+    find = {(r.sample, r.method, r.key_bits, r.value_bits, r.requested_top_k): r for r in got}
+    for method, kb, vb, k in (("primary", 2, 1, 0), ("primary", 4, 2, 3), ("uniform", 4, 2, 3), ("uniform", 2, 1, 50)):
+        for r in captures.evaluate(samples, ["sample"], kb, vb, 8, k, 5, method, 12).collect():
+            own = find[r.sample, method, kb, vb, k]
+            for name in r.asDict():
+                a, b = r[name], own[name]
+                if name == "heads_metrics":
+                    assert np.allclose([tuple(x) for x in a], [tuple(x) for x in b], atol=1e-6)
+                else:
+                    assert a == b if not isinstance(a, float) else abs(a - b) < 1e-6, name
+    for bad in ({"methods": ("x",)}, {"key_bits": [9]}, {"value_bits": [0]}):
+        with pytest.raises(ValueError):
+            captures.sweep(samples, ["sample"], **({"dim": 8, "key_bits": [2], "value_bits": [2], "top_k": [0]} | bad))
+    assert captures.sweep(samples, ["sample"], 8, [], [2], [0]).count() == 0
+
+
 GOOD = {"name": "r1", "model": "/m/x.gguf", "baseline": "f16", "perplexity_bin": "bin/p", "bench_bin": "/bin/b", "kv_types": [{"name": "f16", "type_k": "f16", "type_v": "f16"}, {"type_k": "q8", "type_v": "q4"}, {"type_v": "q4"}, {}], "perplexity": {"dataset": "wiki.raw", "ctx_sizes": [512]}, "bench": {"n_gen": [8]}}
 
 

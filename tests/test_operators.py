@@ -196,16 +196,15 @@ def test_texts(spark):
 
 
 def test_logs(spark):
-    # Lines as the tool writes them.
     log = """
-llama_kv_cache_init:       CUDA0 KV buffer size =   408.00 MiB
-llama_kv_cache_init: size =  768.00 MiB ( 65536 cells,  32 layers,  1/1 seqs), K (q8_0):  384.00 MiB, V (q4_0):  384.00 MiB
-[1]15.2701,[2]5.4007
-Final estimate: PPL = 5.4007 +/- 0.67339
+llama_kv_cache_init:        Dev7 KV buffer size =   91.25 MiB
+llama_kv_cache_init: size =  150.50 MiB ( 2048 cells,  10 layers,  1/1 seqs), K (f16):  100.25 MiB, V (q5_1):  50.25 MiB
+[1]11.5,[2]8.25
+Final estimate: PPL = 8.125 +/- 0.0625
 """
     row = spark.createDataFrame([(log,), ("nothing",), ("perplexity: 7.5e0 [1]\nperplexity: 6.25 x",)], "t string").select(reports.perplexity(F.col("t")).alias("p"), reports.kv_memory(F.col("t")).alias("m")).collect()
-    assert tuple(row[0].p) == (5.4007, 0.67339) and row[2].p.value == 6.25
-    assert tuple(row[0].m)[:6] == (768.0, "q8_0", 384.0, "q4_0", 384.0, 408.0) and [tuple(b) for b in row[0].m.buffers] == [("CUDA0", 408.0)] and row[1].m is None and row[1].p.value is None
+    assert tuple(row[0].p) == (8.125, 0.0625) and row[2].p.value == 6.25
+    assert tuple(row[0].m)[:6] == (150.5, "f16", 100.25, "q5_1", 50.25, 91.25) and [tuple(b) for b in row[0].m.buffers] == [("Dev7", 91.25)] and row[1].m is None and row[1].p.value is None
 
 
 def test_metric_lines(spark):

@@ -1,11 +1,9 @@
 """Every registered query of this library against its SQL; rows-only ones against plain loops."""
 
 import duckdb
-import pandas as pd
 import pytest
 
 from vecspark.plans import catalogue
-from vecspark.streaming import sessions
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -25,17 +23,3 @@ def test_against_sql(spark, sf, con, name):
     assert names == sorted(want.columns)
     text = lambda x: sorted(map(tuple, x[names].astype(object).where(x[names].notna(), None).map(lambda v: str(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)).values.tolist()))
     assert text(got) == text(want)
-
-
-def test_claims_against_a_loop(spark, sf):
-    got = catalogue.QUERIES["claim_outcomes"](spark, sf).toPandas().set_index("event_id")["outcome"].to_dict()
-    held, want = {}, {}
-    for r in pd.read_parquet(f"{sf}/events.parquet").sort_values(["ts", "event_id"]).itertuples():
-        mode, action = ("shared" if r.event_type == "view" else "exclusive"), ("release" if r.event_type == "error" else "claim")
-        want[r.event_id] = sessions.settle(held.setdefault((r.user_id % 5, r.event_id % 20), {}), str(r.user_id), mode, action)
-    assert got == want and {"acquired", "conflict"} <= set(want.values())
-
-
-def test_recall_of_turns(spark, sf):
-    got = catalogue.QUERIES["turn_recall"](spark, sf).toPandas()
-    assert (got.groupby("conv_id")["rank"].max() <= 4).all() and got["score"].between(-1.000001, 1.000001).all()

@@ -251,6 +251,21 @@ def capture_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("label", "page", "tokens", "top_k", "raw_kv_bytes", "cache_live_bytes", "cache_storage_bytes", *[F.round(x, 6).alias(x) for x in ("compression_ratio", "output_mse", "output_cosine")])
 
 
+def _swept_sql(k: int | None) -> str:
+    score = f"SELECT q.query_id, e.label, e.page, e.slot, {sql.dot('q.qv', 'e.v')} * 8 AS score FROM asked q JOIN entries e USING (label, page)"
+    return f"""SELECT * FROM (WITH {_on_codes("label, page", _PAGED, "slot = 0")}, {_outputs_sql("exact", score, "v", None)}, {_outputs_sql("approx", "SELECT query_id, label, page, slot, score FROM code_scores", "r", k)},
+sizes AS (SELECT label, page, count(*) AS n FROM entries GROUP BY ALL)
+SELECT s.label, CAST(s.page AS INT) AS page, CAST({k or 0} AS INT) AS requested_top_k, CAST({f'least(n, {k})' if k else 'n'} AS INT) AS top_k, n * {_EVAL_BYTES} AS cache_live_bytes, round({sql.total("list_transform(list_zip(x.o, a.o), lambda p: (p[1] - p[2]) * (p[1] - p[2]))")} / {DIM}, 6) AS output_mse,
+  round({sql.dot("x.o", "a.o")} / (sqrt({sql.dot("x.o", "x.o")}) * sqrt({sql.dot("a.o", "a.o")})), 6) AS output_cosine FROM exact x JOIN approx a USING (query_id) JOIN asked q USING (query_id) JOIN sizes s USING (label, page))"""
+
+
+@query(f"{_swept_sql(16)} UNION ALL {_swept_sql(None)} UNION ALL {_swept_sql(4)}")
+def capture_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures under a grid of configurations (3-bit keys, 2-bit values; 16, all and 4 entries), in one map over the samples."""
+    out = captures.sweep(_captures(spark, sf_dir), ["label", "page"], DIM, [3], [2], [16, 0, 4])
+    return out.select("label", "page", "requested_top_k", "top_k", "cache_live_bytes", *[F.round(x, 6).alias(x) for x in ("output_mse", "output_cosine")])
+
+
 @query(f"WITH {_UNITS}, entries AS (SELECT id, label, CAST(row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS INT) AS slot, v, {_UNIFORM} AS r FROM units), {_attention_sql(_EXACT_SCORES.replace('q.v, e.v', 'q.v, e.r'), 'SELECT label, slot, r AS v FROM entries', 16)}")
 def attention_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = _entries(spark, sf_dir)

@@ -5,11 +5,18 @@ Schemas are declared, never inferred. Other keys are skipped by the reader.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from vecspark.functions import codes
 from vecspark.functions import columns as c
 from vecspark.functions.spec import ProductSpec, QuantizerSpec
 from vecspark.operators import attention, encode
@@ -108,13 +115,105 @@ def evaluate(samples: DataFrame, by: list[str], key_bits: int, value_bits: int,
     return shape.withColumn("compression_ratio", F.try_divide(F.col("raw_kv_bytes").cast("double"), F.col("cache_storage_bytes"))).join(rows, by)
 
 
-def sweep(samples: DataFrame, by: list[str], dim: int, key_bits: list[int], value_bits: list[int], top_k: list[int], methods: tuple[str, ...] = ("primary",), seed: int = 42) -> DataFrame:
-    """evaluate() for each configuration of a grid: a case a sample and configuration."""
-    out = None
-    for method, kb, vb, k in product(methods, key_bits, value_bits, top_k):
-        one = evaluate(samples, by, kb, vb, dim, k, seed, method)
-        out = one if out is None else out.unionByName(one)
-    return out
+_RESULT = (
+    "tokens int, method string, key_bits int, value_bits int, requested_top_k int, top_k int, capacity int, raw_kv_bytes long, cache_live_bytes long, cache_storage_bytes long, compression_ratio double,"
+    " output_mse double, output_cosine double, heads_metrics array<struct<head: int, output_mse: double, output_cosine: double, exact_norm: double, quant_norm: double>>"
+)
+
+
+class _Sample:
+    """One capture in memory: its exact outputs, and the scores and values of each code, worked out once whatever the number of configurations."""
+
+    def __init__(self, r: dict, dim: int, seed: int):
+        self.kv, self.tokens, self.seed = r["kv_heads"], r["tokens"], seed
+        self.q = np.array(r["query"], float).reshape(-1, dim) * r["query_scale"]
+        self.of = np.arange(len(self.q)) // (len(self.q) // self.kv)  # the key/value head of each head
+        self.keys, self.values = (np.array(r[x], float).reshape(self.tokens, self.kv, dim).swapaxes(0, 1) for x in ("keys", "values"))
+        self.held: dict = {}
+        self.exact = self.outputs(self.scores(None, 0), self.values, self.tokens)
+
+    def scores(self, method: str | None, bits: int) -> np.ndarray:
+        """heads x tokens."""
+        if ("keys", method, bits) not in self.held:
+            if method == "primary":
+                spec = _inner(self.q.shape[1], bits, self.seed)
+                parts = [codes.encode_product(own, spec) for own in self.keys]
+                own = [codes.product_scores(*parts[h], q[None], spec)[:, 0] for h, q in zip(self.of, self.q)]
+            else:
+                keys = [codes.uniform(own, bits) for own in self.keys] if method else self.keys
+                own = [keys[h] @ q for h, q in zip(self.of, self.q)]
+            self.held["keys", method, bits] = np.array(own)
+        return self.held["keys", method, bits]
+
+    def decoded(self, method: str, bits: int) -> np.ndarray:
+        """kv_heads x tokens x dim."""
+        if ("values", method, bits) not in self.held:
+            if method == "primary":
+                spec = _plain(self.q.shape[1], bits, self.seed)
+                coded = [codes.indices(own, spec) for own in self.values]
+                own = [codes.reconstruct(cells, spec) * norm[:, None] for cells, norm in coded]
+            else:
+                own = [codes.uniform(own, bits) for own in self.values]
+            self.held["values", method, bits] = np.array(own)
+        return self.held["values", method, bits]
+
+    def outputs(self, scores: np.ndarray, values: np.ndarray, k: int) -> np.ndarray:
+        """heads x dim: of each head the k best tokens (larger scores, then earlier ones) under a softmax."""
+        out = np.empty(self.q.shape)
+        for h, s in enumerate(scores):
+            best = np.argsort(-s, kind="stable")[:k]
+            w = np.exp(s[best] - s[best].max())
+            out[h] = (w / w.sum()) @ values[self.of[h]][best]
+        return out
+
+
+@lru_cache(64)
+def _inner(dim: int, bits: int, seed: int) -> ProductSpec:
+    return ProductSpec(dim, bits, seed).solved()
+
+
+@lru_cache(64)
+def _plain(dim: int, bits: int, seed: int) -> QuantizerSpec:
+    return QuantizerSpec(dim, bits, seed).solved()
+
+
+def _errors(exact: np.ndarray, output: np.ndarray) -> tuple[float, float]:
+    """Mean squared error and cosine (0 where a side is all zero)."""
+    norms = float(np.sqrt((exact**2).sum()) * np.sqrt((output**2).sum()))
+    return float(((exact - output) ** 2).mean()), float((exact * output).sum() / norms) if norms else 0.0
+
+
+def sweep(samples: DataFrame, by: list[str], dim: int, key_bits: list[int], value_bits: list[int], top_k: list[int], methods: tuple[str, ...] = ("primary",), seed: int = 42, capacity: int = 0) -> DataFrame:
+    """The rows of evaluate() for each sample and configuration of a grid, in one map over samples: nothing is shuffled.
+
+    A sample's exact outputs are worked out once, each code of its keys and of its values once; a task holds one sample.
+    """
+    grid = list(product(methods, key_bits, value_bits, top_k))
+    for method, kb, vb, _ in grid:
+        if method not in ("primary", "uniform"):
+            raise ValueError(f"unknown method {method!r}")
+        ProductSpec(dim, kb), QuantizerSpec(dim, vb)
+    source = samples.select(*by, "tokens", "kv_heads", "query_scale", "query", "keys", "values")
+    schema = StructType([*(samples.schema[c] for c in by), *StructType.fromDDL(_RESULT).fields])
+    kinds = to_arrow_schema(StructType.fromDDL(_RESULT))
+    sizes = {"primary": attention.entry_bytes, "uniform": attention.uniform_bytes}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                own, out = _Sample(row.select(["tokens", "kv_heads", "query_scale", "query", "keys", "values"]).to_pylist()[0], dim, seed), []
+                n, room = own.tokens * own.kv, max(capacity, own.tokens) * own.kv
+                for method, kb, vb, asked in grid:
+                    k = asked if 1 <= asked <= own.tokens else own.tokens
+                    got = own.outputs(own.scores(method, kb), own.decoded(method, vb), k)
+                    heads = [{"head": h, "output_mse": e[0], "output_cosine": e[1], "exact_norm": float(np.linalg.norm(own.exact[h])), "quant_norm": float(np.linalg.norm(got[h]))} for h, e in enumerate(map(_errors, own.exact, got))]
+                    one, raw = sizes[method](dim, kb, vb), n * 2 * dim * 4
+                    out.append((own.tokens, method, kb, vb, asked, k, max(capacity, own.tokens), raw, n * one, room * one, raw / (room * one) if room else None, *_errors(own.exact, got), heads))
+                columns = [pa.array(x, kind) for x, kind in zip(zip(*out), kinds.types)]
+                yield pa.record_batch([*(row.column(c).take(pa.array([0] * len(grid))) for c in by), *columns], names=schema.names)
+
+    return source.mapInArrow(run, schema) if grid else samples.sparkSession.createDataFrame([], schema)
 
 
 def complete_groups(captures: DataFrame, profile: DataFrame, by: list[str], positions: list[str] | None = None) -> DataFrame:
@@ -125,7 +224,7 @@ def complete_groups(captures: DataFrame, profile: DataFrame, by: list[str], posi
     """
     own = captures if not positions else captures.where(c.position_label("token_position").isin([*positions]))
     shape = profile.select("layer", *(F.col(x).alias(f"_{x}") for x in ("heads", "kv_heads", "head_dim")))
-    there = own.join(F.broadcast(shape), "layer")  # a row a layer of one model
+    there = own.join(shape, "layer")
     other = F.lit(False)
     for x in ("heads", "kv_heads", "head_dim"):
         other |= F.col(x) != F.col(f"_{x}")
