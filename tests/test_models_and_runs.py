@@ -7,9 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecspark.functions import codes
-from vecspark.operators import accumulate, attention, encode
+from vecspark.functions import columns as c
+from vecspark.functions.spec import QuantizerSpec, exported, imported
+from vecspark.operators import accumulate, allocation, attention, encode
 from vecspark.operators.model_cache import LayerProfile, ModelCache
 from vecspark.sources import bench_config, captures, reports
+from vecspark.streaming import sessions
 
 PROFILES = [LayerProfile(3, 4, 16, 3, 2, 2, 50, 5), LayerProfile(0, 2, 8, 4, 4, 0, 0, 6)]
 
@@ -179,8 +182,6 @@ def test_accumulators(spark):
 
 def test_observed_counts_come_with_the_pass(spark, tmp_path):
     rows = spark.createDataFrame([(i, [1.0, 2.0, 3.0, float(i)]) for i in range(50)], "id long, v array<double>")
-    from vecspark.functions.spec import QuantizerSpec
-
     coded, seen = accumulate.observed(encode.quantize(rows, QuantizerSpec(4, 2)), "codes", code_bytes="packed")
     coded.write.parquet(str(tmp_path / "codes"))
     assert seen.get == {"rows": 50, "code_bytes": 50}
@@ -201,3 +202,75 @@ def test_reports_round_trip(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame(choices, "label string, layer int, heads int, kv_heads int, head_dim int, key_bits int, value_bits int, top_k int, capacity int, seed long")
     reports.write_profiles(df, str(tmp_path / "profiles"))
     assert sorted(map(tuple, reports.read_profiles(spark, str(tmp_path / "profiles")).select(df.columns).collect())) == sorted(choices)
+
+
+def profile_cases(spark):
+    rng = np.random.default_rng(31)
+    rows = [("primary", 2 + b, 2, 8, layer, 64, p, float(1 / (b + 1) + rng.random() / 100), 0.8 + 0.05 * b + 0.01 * (p == "last"), 1000, 100 * (b + 1)) for layer in range(3) for b in range(3) for p in ("first", "25%", "last") for _ in range(4)]
+    return spark.createDataFrame(rows, "method string, key_bits int, value_bits int, top_k int, layer int, tokens int, position string, output_mse double, output_cosine double, raw_bytes long, storage_bytes long")
+
+
+@pytest.mark.parametrize("limits", [{}, {"mean_cosine": 0.86}, {"max_storage": 600.0}, {"min_compression": 5.0, "mean_cosine": 0.8}])
+def test_sets_are_profiles_of_their_own_cases(spark, limits):
+    cases = profile_cases(spark)
+    got = allocation.select_sets(cases, "quarter,all, end ,all", "start,25%,last", **limits)
+    columns = [x for x in got.columns if x != "set"]
+    assert {r.set for r in got.select("set").distinct().collect()} == {"all", "quarter", "last"}
+    for name in ("all", "quarter", "last"):
+        found = allocation.candidates(cases, "primary", None if name == "all" else [name])
+        want = allocation.select_profile(found, name, **limits)
+        assert sorted(map(str, got.where(F.col("set") == name).select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+    with pytest.raises(Exception, match="no cases for the set middle"):
+        allocation.select_sets(cases, "all,middle").collect()
+
+
+def test_names_of_sets():
+    assert allocation.set_names("end, ALL,first,start,") == ["all", "first", "last"] and allocation.set_names("") == []
+    for text, whole in (("all", False), ("somewhere", True)):
+        with pytest.raises(ValueError):
+            allocation.set_names(text, whole)
+
+
+def test_code_validators(spark):
+    rows = [(b"\x01\x02", b"\x03", 0.5), (b"\x01", b"\x03", 0.5), (None, b"\x03", 0.5), (b"\x01\x02", b"\x03\x04", 0.5), (b"\x01\x02", b"\x03", float("nan")), (b"\x01\x02", b"\x03", float("inf")), (b"\x01\x02", b"\x03", None)]
+    df = spark.createDataFrame(rows, "mse binary, signs binary, res_norm double")
+    got = [r.e for r in df.select(c.product_error("mse", "signs", "res_norm", 8, 3).alias("e")).collect()]
+    assert got == [None, "code has 1 bytes, expected 2", "code is missing", "code has 2 bytes, expected 1", *["residual norm is null or not finite"] * 3]
+    assert df.select(c.packed_error("mse", 8, 2).alias("e")).where("e is null").count() == 5
+
+
+def test_exported_specs_read_codes():
+    for spec in (QuantizerSpec(12, 3, 5), QuantizerSpec(6, 2, 5, "dense")):
+        again = imported(json.loads(json.dumps(exported(spec))))
+        x = np.random.default_rng(1).normal(size=(9, spec.dim))
+        assert np.allclose(again.rotate(x), spec.rotate(x)) and (codes.indices(x, again)[0] == codes.indices(x, spec)[0]).all()
+        assert np.allclose(codes.reconstruct(codes.indices(x, spec)[0], again), codes.reconstruct(codes.indices(x, spec)[0], spec))
+
+
+def test_restored_sessions(spark):
+    at = lambda df, *names: df.withColumns({x: F.timestamp_seconds(x) for x in names})
+    turns = spark.createDataFrame([("s", i, f"t{i}") for i in range(5)] + [("u", 0, "other")], "session string, turn int, text string")
+    saves = at(spark.createDataFrame([("s", "a", 2, 10), ("s", "a", 4, 20), ("s", "b", 3, 30)], "session string, checkpoint string, turns int, ts long"), "ts")
+    asked = at(spark.createDataFrame([("n1", "s", "a", 15), ("n2", "s", "a", 20), ("n3", "s", "b", 29), ("n4", "s", "zz", 40), ("n5", "s", "b", 31)], "session string, from_session string, checkpoint string, ts long"), "ts")
+    made, failed = sessions.restore(turns, saves, asked)
+    got = {}
+    for r in made.orderBy("session", "turn").collect():
+        got.setdefault(r.session, []).append(r.text)
+    assert got == {"n1": ["t0", "t1"], "n2": ["t0", "t1", "t2", "t3"], "n5": ["t0", "t1", "t2"]}
+    assert sorted((r.session, r.error) for r in failed.collect()) == [("n3", 'session "s" has no checkpoint "b"'), ("n4", 'session "s" has no checkpoint "zz"')]
+    assert [r.checkpoint for r in sessions.listing(saves, "s", [F.desc("ts")], 2).collect()] == ["b", "a"]
+
+
+def test_capacity_is_filled_from_the_fallback(spark):
+    one = spark.createDataFrame([("a", "", 0, 5), ("b", "gpu", 3, None)], "backend string, device string, count int, used int")
+    two = spark.createDataFrame([("a", "cpu", 2, 9, "n"), ("c", "tpu", 1, 1, None)], "backend string, device string, count int, used int, notes string")
+    got = {r.backend: tuple(r)[1:] for r in sessions.merge_capacity(one, two, ["backend"]).select("backend", "device", "count", "used", "notes").collect()}
+    assert got == {"a": ("cpu", 2, 5, "n"), "b": ("gpu", 3, None, None), "c": ("tpu", 1, 1, None)}
+
+
+def test_the_first_complete_groups(spark):
+    rows = [(g, layer, 2, 1, 4, "last") for g in ("d", "a", "c", "b") for layer in (0, 1) if (g, layer) != ("b", 1)]
+    df = spark.createDataFrame(rows, "g string, layer int, heads int, kv_heads int, head_dim int, token_position string")
+    profile = spark.createDataFrame([(0, 2, 1, 4), (1, 2, 1, 4)], "layer int, heads int, kv_heads int, head_dim int")
+    for n, want in ((0, ["a", "c", "d"]), (2, ["a", "c"]), (9, ["a", "c", "d"])):
+        assert sorted({r.g for r in captures.complete_groups(df, profile, ["g"], None, n).collect()}) == want

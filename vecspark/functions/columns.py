@@ -56,6 +56,19 @@ def bits_error(bits: Column | str, least: int = 1) -> Column:
     return F.when(~_c(bits).between(least, 8), F.format_string(f"bits must be from {least} to 8, not %d", _c(bits)))
 
 
+def packed_error(packed: Column | str, dim: int, bits: int) -> Column:
+    """What is wrong with packed cells, or null."""
+    size, want = F.octet_length(_c(packed)), (dim * bits + 7) // 8
+    return F.when(_c(packed).isNull(), "code is missing").when(size != want, F.format_string(f"code has %d bytes, expected {want}", size))
+
+
+def product_error(mse: Column | str, signs: Column | str, res_norm: Column | str, dim: int, bits: int) -> Column:
+    """What is wrong with an inner-product code, or null."""
+    norm_ = _c(res_norm).cast("double")
+    bad = norm_.isNull() | F.isnan(norm_) | (F.abs(norm_) == float("inf"))
+    return F.coalesce(packed_error(mse, dim, bits - 1), packed_error(signs, dim, 1), F.when(bad, "residual norm is null or not finite"))
+
+
 def softmax(score: Column | str, over: WindowSpec) -> Column:
     """Weights of the rows of a window; shifted by the largest score."""
     e = F.exp(_c(score) - F.max(_c(score)).over(over))

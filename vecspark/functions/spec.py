@@ -139,6 +139,31 @@ class QuantizerSpec:
         return out
 
 
+def exported(spec: QuantizerSpec) -> dict:
+    """All that a plain code's meaning depends on, as lists and numbers: what another program needs to read codes."""
+    out = {"dim": spec.dim, "bits": spec.bits, "seed": spec.seed, "rotation": spec.rotation, "centroids": spec.centroids.tolist(), "boundaries": spec.boundaries.tolist()}
+    if spec.rotation == "dense" or spec.matrix is not None:
+        return out | {"dense": spec.dense.ravel().tolist()}
+    order, before, after = spec.parts
+    return out | {"order": order.tolist(), "before": before.tolist(), "after": after.tolist(), "blocks": [{"offset": a, "size": n} for a, n in blocks_of(spec.dim)]}
+
+
+def imported(parts: dict) -> QuantizerSpec:
+    """The spec of exported() parts; its rotation is a matrix, whatever made it."""
+    dim = parts["dim"]
+    if "dense" in parts:
+        matrix = np.array(parts["dense"]).reshape(dim, dim)
+    else:
+        order, before, after = (np.array(parts[x]) for x in ("order", "before", "after"))
+        work, matrix = np.eye(dim)[:, order] * before, np.empty((dim, dim))
+        for b in parts["blocks"]:
+            own = slice(b["offset"], b["offset"] + b["size"])
+            work[:, own] = hadamard(work[:, own])
+        matrix[:, order] = work * after
+        matrix = matrix.T.copy()
+    return QuantizerSpec(dim, parts["bits"], parts["seed"], parts["rotation"], matrix, (tuple(parts["centroids"]), tuple(parts["boundaries"])))
+
+
 @dataclass(frozen=True)
 class ProductSpec:
     """An inner-product code of `bits` bits: a quantizer at one bit less, and a sign sketch of what it leaves."""

@@ -22,8 +22,8 @@ _CHOSEN = "set string, layer int, key_bits int, value_bits int, top_k int, stora
 SHAPE = ["heads", "kv_heads", "head_dim"]
 
 
-def candidates(cases: DataFrame, method: str | None = None, positions: list[str] | None = None) -> DataFrame:
-    """Means, the 5th percentile (interpolated) and the minimum of the cosine, for each layer and configuration.
+def candidates(cases: DataFrame, method: str | None = None, positions: list[str] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Means, the 5th percentile (interpolated) and the minimum of the cosine, for each layer and configuration (and by, if given).
 
     method, positions: only cases of these (all, if not given).  Samples of one layer have one shape, where cases have those columns; another
     one is an error when the result is used.
@@ -33,7 +33,7 @@ def candidates(cases: DataFrame, method: str | None = None, positions: list[str]
     if positions:
         cases = cases.where(c.position_label("position").isin([*positions]))
     shape = [x for x in SHAPE if x in cases.columns]
-    found = cases.groupBy("layer", *KEYS).agg(
+    found = cases.groupBy(*by, "layer", *KEYS).agg(
         F.count("*").alias("cases"),
         F.avg("output_mse").alias("mean_mse"),
         F.avg("output_cosine").alias("mean_cosine"),
@@ -46,35 +46,35 @@ def candidates(cases: DataFrame, method: str | None = None, positions: list[str]
         *[f(x).alias(f"_{name}_{x}") for x in shape for name, f in (("least", F.min), ("most", F.max))],
     )
     for x in shape:
-        layer = Window.partitionBy("layer")
+        layer = Window.partitionBy(*by, "layer")
         least, most = F.min(f"_least_{x}").over(layer), F.max(f"_most_{x}").over(layer)
         one = F.when(least == most, least).otherwise(F.raise_error(F.format_string(f"samples of layer %d differ in {x}", "layer")).cast("int"))
         found = found.withColumn(x, one).drop(f"_least_{x}", f"_most_{x}")
     return found
 
 
-def skyline(found: DataFrame) -> DataFrame:
+def skyline(found: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Per layer, in the order of size, only what is more exact than all before it."""
-    order = Window.partitionBy("layer").orderBy("storage_bytes", "mean_mse", F.desc("mean_cosine"), *KEYS)
+    order = Window.partitionBy(*by, "layer").orderBy("storage_bytes", "mean_mse", F.desc("mean_cosine"), *KEYS)
     before = F.min("mean_mse").over(order.rowsBetween(Window.unboundedPreceding, -1))
     return found.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("mean_mse") < F.col("_before"))).drop("_before")
 
 
-def floors(found: DataFrame, mean_cosine: float | None = None, p05_cosine: float | None = None) -> DataFrame:
+def floors(found: DataFrame, mean_cosine: float | None = None, p05_cosine: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """What keeps both floors. A layer without such a candidate is an error when the result is used."""
     fits = F.lit(True)
     for name, least in (("mean_cosine", mean_cosine), ("p05_cosine", p05_cosine)):
         if least is not None:
             fits &= F.col(name) >= least
-    marked = found.withColumn("_fits", fits).withColumn("_some", F.max(fits.cast("int")).over(Window.partitionBy("layer")))
+    marked = found.withColumn("_fits", fits).withColumn("_some", F.max(fits.cast("int")).over(Window.partitionBy(*by, "layer")))
     checked = F.when(F.col("_some") == 0, F.raise_error(F.format_string("layer %d has no candidate above the floors", "layer")).cast("boolean")).otherwise(F.col("_fits"))
     return marked.where(checked).drop("_fits", "_some")
 
 
-def best_by(found: DataFrame, what: str) -> DataFrame:
+def best_by(found: DataFrame, what: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Each layer's candidate: 'mse' (most exact, then smallest) or 'size' (smallest, then most exact)."""
     order = ["mean_mse", "storage_bytes"] if what == "mse" else ["storage_bytes", "mean_mse"]
-    return found.withColumn("_n", F.row_number().over(Window.partitionBy("layer").orderBy(*order, F.desc("mean_cosine"), *KEYS))).where("_n = 1").drop("_n")
+    return found.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "layer").orderBy(*order, F.desc("mean_cosine"), *KEYS))).where("_n = 1").drop("_n")
 
 
 def choose(layers: list[list[tuple[float, float]]], budget: float, unit: float) -> list[int] | None:
@@ -94,7 +94,8 @@ def choose(layers: list[list[tuple[float, float]]], budget: float, unit: float)
 
 def allocate(found: DataFrame, budgets: DataFrame, unit: float = 1.0) -> DataFrame:
     """set, layer and the chosen configuration. budgets: set, budget in bytes (null: the most exact of each layer), and, if there is such a
-    column, compression: raw bytes of the layers by this are the budget then."""
+    column, compression: raw bytes of the layers by this are the budget then.  Each set chooses among all of found, or, where found has a column set,
+    among its own."""
     budget_of = budgets.select("set", "budget", F.col("compression") if "compression" in budgets.columns else F.lit(None).cast("double").alias("compression"))
     if budget_of.count() > MOST_SETS:
         raise ValueError(f"more than {MOST_SETS} sets are not broadcast")
@@ -114,7 +115,8 @@ def allocate(found: DataFrame, budgets: DataFrame, unit: float = 1.0) -> DataFra
         return pd.concat([g.iloc[[i]] for g, i in zip(groups, picked)])[["set", "layer", *KEYS, "storage_bytes", "mean_mse"]]
 
     raw = found if "raw_bytes" in found.columns else found.withColumn("raw_bytes", F.lit(None).cast("double"))
-    return raw.join(F.broadcast(budget_of.withColumnRenamed("compression", "compression_target"))).groupBy("set").applyInPandas(run, _CHOSEN)
+    asked = F.broadcast(budget_of.withColumnRenamed("compression", "compression_target"))
+    return (raw.join(asked, "set") if "set" in found.columns else raw.join(asked)).groupBy("set").applyInPandas(run, _CHOSEN)
 
 
 MOST_SETS = 10_000
@@ -140,6 +142,44 @@ def select_profile(found: DataFrame, name: str = "all", max_storage: float = 0,
     return chosen.select(F.lit(name).alias("set"), F.lit(mode).alias("mode"), *found.columns)
 
 
+def set_names(text: str, whole: bool = True) -> list[str]:
+    """The names of a comma-separated list of positions (and of `all`, if whole), by their common names, each once, `all` first and then in order."""
+    out = []
+    for x in (p.strip().lower() for p in text.split(",")):
+        name = "all" if whole and x == "all" else c.SYNONYMS.get(x)
+        if x and name is None:
+            raise ValueError(f"unknown {'set' if whole else 'position'} {x!r}")
+        if x and name not in out:
+            out.append(name)
+    return sorted(out, key=["all", *c.POSITIONS].index)
+
+
+def select_sets(cases: DataFrame, sets: str = "all", positions: str = "", method: str = "primary", max_storage: float = 0, min_compression: float = 0, mean_cosine: float = 0, p05_cosine: float = 0, unit: float = 1.0) -> DataFrame:
+    """select_profile() for several sets in one plan: `all` chooses among all cases, a position's name among the cases there.
+
+    positions: only cases at these, in every set.  A set without a case is an error when the result is used.
+    """
+    names, at = set_names(sets), set_names(positions, False)
+    if not names:
+        raise ValueError("there is no set")
+    of = F.array(*[F.lit(x) if x == "all" else F.when(c.position_label("position") == x, F.lit(x)) for x in names])
+    each = cases.withColumn("set", F.explode(F.filter(of, lambda x: x.isNotNull())))
+    by = ("set",)
+    found = candidates(each, method, at or None, by)
+    asked = cases.sparkSession.createDataFrame([(x,) for x in names], "set string")
+    whole = asked.join(found, "set", "left")
+    there = F.when(F.col("layer").isNull(), F.raise_error(F.concat(F.lit("no cases for the set "), F.col("set"))).cast("boolean")).otherwise(True)
+    left = floors(skyline(whole.where(there), by), mean_cosine or None, p05_cosine or None, by)
+    mode = selection_mode(max_storage, min_compression, mean_cosine, p05_cosine)
+    if mode in ("best-mse", "fidelity-floor"):
+        chosen = best_by(left, "mse" if mode == "best-mse" else "size", by)
+    else:
+        budget = [(x, None if min_compression > 0 else float(max_storage), float(min_compression) if min_compression > 0 else None) for x in names]
+        picked = allocate(left, cases.sparkSession.createDataFrame(budget, "set string, budget double, compression double"), unit)
+        chosen = left.join(picked.select("set", "layer", *KEYS), ["set", "layer", *KEYS])
+    return chosen.withColumn("mode", F.lit(mode)).select("set", "mode", *(x for x in found.columns if x != "set"))
+
+
 def allocation_summary(chosen: DataFrame) -> DataFrame:
     """Of each set: layers, samples, mean errors, total raw and stored bytes, and their ratio."""
     out = chosen.groupBy("set").agg(

@@ -684,6 +684,17 @@ def page_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return some.select("page", "slot", *(F.lower(F.hex(x)).alias(x) for x in ("mse", "signs", "packed")))
 
 
+_SETS = "sets AS (SELECT 'all' AS \"set\", * FROM cases UNION ALL SELECT position AS \"set\", * FROM cases WHERE position IN ('first', 'last'))"
+_SET_CANDIDATES = _CANDIDATES.replace("SELECT layer, key_bits", "SELECT \"set\", layer, key_bits").replace("FROM cases WHERE", "FROM sets WHERE")
+_SET_SKYLINE = _SKYLINE.replace("PARTITION BY layer", 'PARTITION BY "set", layer')
+
+
+@query(f"WITH {sql.cases()}, {_SETS}, {_SET_CANDIDATES}, {_SET_SKYLINE} SELECT \"set\", 'best-mse' AS mode, {_LAYERED} FROM skyline QUALIFY row_number() OVER (PARTITION BY \"set\", layer ORDER BY mean_mse, storage_bytes, mean_cosine DESC, key_bits, value_bits, top_k) = 1")
+def profile_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A profile for all cases, and one for each of two positions, in one plan."""
+    return _nine(allocation.select_sets(cases(spark, sf_dir), "last, all, start"), _TEN)
+
+
 # A model's layers, runs, requests
 
 

@@ -216,9 +216,11 @@ def sweep(samples: DataFrame, by: list[str], dim: int, key_bits: list[int], valu
     return source.mapInArrow(run, schema) if grid else samples.sparkSession.createDataFrame([], schema)
 
 
-def complete_groups(captures: DataFrame, profile: DataFrame, by: list[str], positions: list[str] | None = None) -> DataFrame:
+def complete_groups(captures: DataFrame, profile: DataFrame, by: list[str], positions: list[str] | None = None, max_groups: int = 0) -> DataFrame:
     """The captures of groups (by) that have one for each layer of the profile (layer, heads, kv_heads, head_dim); all columns stay.
 
+    max_groups: only the first so many complete groups, in the order of by (0: all).
+
     positions: only groups at these token positions.  Another shape than the profile's, or a layer twice in a group, is an error when the
     result is used.
     """
@@ -230,7 +232,8 @@ def complete_groups(captures: DataFrame, profile: DataFrame, by: list[str], posi
         other |= F.col(x) != F.col(f"_{x}")
     counts = there.groupBy(*by).agg(F.count("*").alias("_n"), F.count_distinct("layer").alias("_layers"), F.bool_or(other).alias("_other"))
     fits = F.when(F.col("_other"), F.raise_error("a capture has another shape than the profile's layer").cast("boolean")).when(F.col("_n") > F.col("_layers"), F.raise_error("a group has two captures of one layer").cast("boolean")).otherwise(F.col("_layers") == profile.select("layer").distinct().count())
-    return there.join(counts.where(fits).select(*by), by).select(captures.columns)
+    whole = counts.where(fits).select(*by)
+    return there.join(whole.orderBy(*by).limit(max_groups) if max_groups > 0 else whole, by).select(captures.columns)
 
 
 #: Names of places in a sequence, as shares of it.

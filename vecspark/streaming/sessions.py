@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampType
@@ -226,3 +226,35 @@ def checkpoints(turns: DataFrame, saves: DataFrame) -> DataFrame:
     last = saves.groupBy("session", "checkpoint").agg(F.max_by("turns", "ts").alias("_turns"))
     placed = turns.withColumn("_n", F.row_number().over(Window.partitionBy("session").orderBy("turn")))
     return placed.join(last, "session").where(F.col("_n") <= F.col("_turns")).drop("_n", "_turns")
+
+
+def restore(turns: DataFrame, saves: DataFrame, restores: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns of the sessions that are made by restoring, restores that fail). restores: session (the new one), from_session, checkpoint, ts.
+
+    A restore takes the last save of that name at or before it; the new session has the turns that the save held, numbered as they were, and goes on
+    from there by rows of its own.  Without such a save, it fails, and says so in `error`.
+    """
+    own = saves.select(F.col("session").alias("from_session"), "checkpoint", F.col("turns").alias("_turns"), F.col("ts").alias("_saved"))
+    known = restores.join(own, ["from_session", "checkpoint"], "left").withColumn("_fits", F.col("_saved") <= F.col("ts"))
+    last = known.groupBy("session", "from_session", "checkpoint", "ts").agg(F.max_by(F.when(F.col("_fits"), F.col("_turns")), F.when(F.col("_fits"), F.col("_saved"))).alias("_turns"))
+    placed = turns.withColumn("_n", F.row_number().over(Window.partitionBy("session").orderBy("turn"))).withColumnRenamed("session", "from_session")
+    made = placed.join(last.where("_turns IS NOT NULL").drop("ts"), "from_session").where(F.col("_n") <= F.col("_turns"))
+    failed = last.where("_turns IS NULL").drop("_turns").withColumn("error", F.concat(F.lit('session "'), "from_session", F.lit('" has no checkpoint "'), "checkpoint", F.lit('"')))
+    return made.select(*turns.columns), failed
+
+
+def listing(rows: DataFrame, session: str, order: list[Column | str], limit: int = PAGE) -> DataFrame:
+    """A session's agents, claims or checkpoints in order, a page of them (at most MOST)."""
+    return rows.where(F.col("session") == session).orderBy(*order).limit(min(limit, MOST) if limit > 0 else PAGE)
+
+
+def merge_capacity(primary: DataFrame, fallback: DataFrame, by: list[str]) -> DataFrame:
+    """What backends say of their capacity: each number that is 0 or null, and each text that is blank or null, comes from the fallback."""
+    both = primary.join(fallback.select(*by, *(F.col(x).alias(f"_{x}") for x in fallback.columns if x not in by)), by, "full")
+
+    def filled(name: str, kind: str) -> Column:
+        own, other = (F.col(x) if x.removeprefix("_") in names else F.lit(None).cast(kind) for x, names in ((name, primary.columns), (f"_{name}", fallback.columns)))
+        return F.coalesce(F.when(F.trim(own) != "", own) if kind == "string" else F.nullif(own, F.lit(0).cast(kind)), other, own)
+
+    kinds = dict(fallback.dtypes) | dict(primary.dtypes)
+    return both.select(*by, *(filled(x, kind).alias(x) for x, kind in kinds.items() if x not in by))
