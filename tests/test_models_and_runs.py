@@ -274,3 +274,47 @@ def test_the_first_complete_groups(spark):
     profile = spark.createDataFrame([(0, 2, 1, 4), (1, 2, 1, 4)], "layer int, heads int, kv_heads int, head_dim int")
     for n, want in ((0, ["a", "c", "d"]), (2, ["a", "c"]), (9, ["a", "c", "d"])):
         assert sorted({r.g for r in captures.complete_groups(df, profile, ["g"], None, n).collect()}) == want
+
+
+def test_small_readers_and_columns(spark, tmp_path):
+    (tmp_path / "b.json").write_text(json.dumps([{"n_prompt": 8, "n_gen": 0, "avg_ts": 2.5, "samples_ts": [2.0, 3.0]}, {"n_prompt": 8, "n_gen": 4}, {"n_gen": 4, "other": 1}, {}]))
+    assert [(r.kind, r.n_prompt, r.avg_ts) for r in reports.read_bench(spark, str(tmp_path / "b.json")).collect()] == [("pg", 8, None), ("pp", 8, 2.5), ("tg", None, None), ("unknown", None, None)]
+    (tmp_path / "p.txt").write_text(" one\ntwo\r\n\r\n\n  \nthree ")
+    (tmp_path / "q.txt").write_text('["a", " ", " b "]')
+    assert [(r.prompt_index, r.prompt) for r in reports.read_prompts(spark, str(tmp_path / "p.txt")).collect()] == [(0, "one\ntwo"), (1, "three")]
+    assert [r.prompt for r in reports.read_prompts(spark, str(tmp_path / "q.txt")).collect()] == ["a", "b"]
+    df = spark.createDataFrame([([" a ", "", None, "b"], " x\nyé\n")], "s array<string>, t string").select(c.clean_strings("s").alias("s"), *(c.preview_text("t", n).alias(f"p{n}") for n in (9, 4, 2, 0)))
+    r = df.first()
+    assert r.s == ["a", "b"] and (r.p9, r.p4, r.p2, r.p0) == ("x yé", "x...", "x ", "")
+
+
+def test_event_listings(spark):
+    events = spark.createDataFrame([("s", i) for i in range(700)], "session string, event_id long").withColumn("ts", F.timestamp_seconds("event_id"))
+    log = sessions.event_log(events)
+    assert log.count() == 512 and log.agg(F.min("seq")).first()[0] == 189
+    page = lambda *a: [r.seq for r in sessions.list_events(log, "s", *a).collect()]
+    assert page() == list(range(189, 289)) and page(690) == list(range(691, 701)) and page(0, 3) == [189, 190, 191] and len(page(0, 9999)) == 512 and page(700) == []
+
+
+def test_indices_and_dense_products(spark):
+    rng = np.random.default_rng(6)
+    x, spec = rng.normal(size=(20, 6)), QuantizerSpec(6, 3, 4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    made = encode.dequantize_indices(encode.indices(df, spec), spec).orderBy("id").toPandas()
+    cells, norm = codes.indices(x, spec)
+    assert (np.stack(made.cells) == cells).all() and np.allclose(made.norm, norm) and np.allclose(np.stack(made.recon), codes.reconstruct(cells, spec))
+    with pytest.raises(Exception, match="an index is not from 0 to 7"):
+        encode.dequantize_indices(spark.createDataFrame([([0, 1, 2, 3, 4, 8],)], "cells array<int>"), spec).collect()
+    w = rng.normal(size=(6, 4))
+    assert np.allclose(np.stack(encode.matmul(df, w).orderBy("id").toPandas()["product"]), x @ w)
+    with pytest.raises(ValueError, match="isn't broadcast"):
+        encode.matmul(df, np.zeros((1 << 12, 1 << 12)))
+
+
+def test_a_removal_without_an_entity_is_no_silent_loss(spark, tmp_path):
+    rows = spark.createDataFrame([("s", None, "a", "exclusive", "remove", 1)], "session string, entity string, agent string, mode string, action string, event_id long").withColumn("ts", F.timestamp_seconds("event_id"))
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = sessions.claim_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+    with pytest.raises(Exception, match="a removal has to name its entity"):
+        q.awaitTermination(120)

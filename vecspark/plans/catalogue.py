@@ -149,6 +149,19 @@ def matmul_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.matmul_relational(a, w).withColumn("value", F.round("value", 6) + F.lit(0.0))
 
 
+@query(ORACLES["matmul_relational"])
+def matmul_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same product with the matrix in every task: a map. The join is for matrices that are sparse, or too large to be broadcast."""
+    out = encode.matmul(vectors(spark, sf_dir).select("id", "v"), SPEC.dense)
+    return out.select(F.col("id").alias("i"), F.posexplode("product").alias("j", "value")).withColumn("value", F.round("value", 6) + F.lit(0.0))
+
+
+@query(ORACLES["unpack_codes"])
+def quantize_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells as integers, never packed."""
+    return encode.indices(vectors(spark, sf_dir).select("id", "v"), SPEC).select("id", F.posexplode("cells").alias("coordinate", "cell"))
+
+
 # Attention: pages are labels, slots follow vec_id; keys and values are the vectors
 
 

@@ -181,7 +181,9 @@ class ClaimProcessor(StatefulProcessor):
 
 
 def claim_stream(actions: DataFrame, ttl: float = 0.0) -> DataFrame:
-    """A streaming DataFrame of outcomes; needs the RocksDB state store provider."""
+    """A streaming DataFrame of outcomes; needs the RocksDB state store provider. A removal without an entity is an error: collaboration.collaborate() takes those."""
+    lost = (F.col("action") == "remove") & F.col("entity").isNull()
+    actions = actions.withColumn("entity", F.when(lost, F.raise_error("a removal has to name its entity")).otherwise(F.col("entity")))
     return actions.groupBy("session", "entity").transformWithStateInPandas(ClaimProcessor(ttl), _RESULT_TYPE, "Append", "None")
 
 
