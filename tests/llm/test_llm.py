@@ -434,6 +434,8 @@ def test_nearest_defined_cases(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []), (None, [1.0, 1.0]), (20, [1.0, 2.0, 3.0]), (9, [0.5, 0.5, 0.5]), (40, [-1.0, 1.0]), (2, [1.0, 0.0])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, block int")
     got = [tuple(r) for r in nearest.nearest(df, F.col("vec_id") % 20 == 0, nearest.Settings(k=3, query_block=1, candidate_block=2, tile_rows=1)).select("query_id", "rank", "vec_id", "score").orderBy("query_id", "rank").collect()]
+    again = [tuple(r) for r in nearest.nearest(df, F.col("vec_id") % 20 == 0, nearest.Settings(k=3, query_block=1, candidate_block=2, tile_rows=1, asked_bytes=1)).select("query_id", "rank", "vec_id", "score").orderBy("query_id", "rank").collect()]  # a round for each query block
+    assert again == got
     assert got == sorted(brute_nearest(rows, 3))
     assert nearest.nearest(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
