@@ -155,7 +155,10 @@ def metadata(places: DataFrame) -> DataFrame:
 
 
 def features(places: DataFrame) -> DataFrame:
-    """Of each stored file with metadata, read whole: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
+    """Of each stored file with metadata, read whole: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+
+    A row a place, whatever the number of rows that share it; no places give no rows.
+    """
 
     def run(batches: Batches) -> Batches:
         read = _reader()

@@ -192,7 +192,10 @@ def learned(folds: int = 4, fold: int = 2, doc_id: str = "doc_id"):
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, settings: Settings = Settings()) -> DataFrame:
-    """The rows of docs whose score is at least the threshold, with all their columns."""
+    """The rows of docs whose score is at least the threshold, with all their columns.
+
+    A null text is scored as an empty one; repeated rows and rows without a doc_id each for itself; an empty table gives no rows.
+    """
     model = train(docs.where(learned()), labels.where(learned()), settings)
     return score(docs, model).where(F.col("score") >= threshold).select("row.*")
 

@@ -401,7 +401,10 @@ def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """docs, all columns, without the words that earlier documents hold; a text that loses words has its others joined by spaces."""
+    """docs, all columns, without the words that earlier documents hold; a text that loses words has its others joined by spaces.
+
+    A null text stays null; rows without a doc_id stay as they are; rows that repeat a doc_id are not earlier than each other.
+    """
     return _applied(docs, cut_spans(docs, earlier_windows(docs, s)))
 
 
