@@ -81,7 +81,7 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     end = np.array([end_id], f"<u{width}").tobytes()
 
     def run(batches: Batches) -> Batches:
-        small = zstandard.ZstdCompressor(level=1)
+        small = zstandard.ZstdCompressor(level=6)
         for batch in chunks(batches):
             ids = [small.compress(np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() + end) for x in encode_column(batch.column("text"), path)]
             yield pa.record_batch([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
