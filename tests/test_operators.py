@@ -130,6 +130,34 @@ def test_frontier_keeps_equal_rows(spark):
     assert sorted((r.kb, r.vb) for r in sweep.frontier(df).collect()) == [(3, 2), (4, 4), (5, 4)]
 
 
+def test_frontier_of_equal_values_in_any_order(spark):
+    """Two configurations of the same values, one of them larger: by sums of doubles it would depend on the order which one is more exact."""
+    values = [0.1, 1e16, 0.2, -1e16, 0.3, 1e-9, 0.7, 3.0]
+    rows = []
+    for n, (bits, order, size) in enumerate([(2, values, 64), (3, values[::-1], 64), (4, sorted(values), 80), (5, sorted(values, key=abs), 80)]):
+        rows += [(100 * n + i, "primary", bits, 2, 8, x, x, 65536, size, 0, 128, "first") for i, x in enumerate(order)]
+    df = spark.createDataFrame(rows, "sample long, method string, key_bits int, value_bits int, top_k int, output_mse double, output_cosine double, raw_bytes long, storage_bytes long, layer int, tokens int, position string").coalesce(1)
+    assert len({(r.mean_mse, r.mean_cosine) for r in sweep.summary(df).collect()}) == 1
+    assert sorted(r.key_bits for r in sweep.frontier(sweep.summary(df)).collect()) == [2, 3]
+    assert [r.key_bits for r in allocation.skyline(allocation.candidates(df)).collect()] == [2]
+
+
+def test_steady_means(spark):
+    import math
+
+    rng = np.random.default_rng(5)
+    wide = (rng.normal(size=400) * 10.0 ** rng.integers(-300, 300, 400)).tolist()
+    groups = {"a": wide, "b": rng.random(500).tolist(), "c": [0.0, 0.0, None], "d": [1.0, math.inf], "e": [math.nan, 1.0], "f": [None], "g": [5e-324, 0.0, 5e-324], "h": [-1.5, 2.0**-30], None: [1.0, 2.0]}
+    df = spark.createDataFrame([(g, x) for g, own in groups.items() for x in own], "g string, x double")
+    got = {r.g: r.m for r in sweep.steady_means(df, ["g"], {"x": "m"}).collect()}
+    for g in ("a", "b", "c", "h", None):
+        own = [x for x in groups[g] if x is not None]
+        assert got[g] == pytest.approx(math.fsum(own) / len(own), rel=1e-15, abs=0)
+    assert got.keys() == groups.keys() and got["d"] == math.inf and math.isnan(got["e"]) and got["f"] is None and 0 <= got["g"] < 1e-300
+    kept = sweep.with_steady_means(df.groupBy("g").count(), df, ["g"], {"x": "m"}).collect()
+    assert {(r.g, r["count"]) for r in kept} == {(g, len(own)) for g, own in groups.items()}
+
+
 def test_grid_and_lists(spark):
     assert sweep.ordered_unique("9, 3, 9, 5") == [9, 3, 5]
     assert sweep.grid(spark.range(1), ["primary"], [2, 3], [2], [1, 2]).count() == 4

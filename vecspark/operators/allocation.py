@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from vecspark.functions import columns as c
 from vecspark.functions.spec import SEED_STEP
 
+from .sweep import with_steady_means
+
 KEYS = ["key_bits", "value_bits", "top_k"]
 _CHOSEN = "set string, layer int, key_bits int, value_bits int, top_k int, storage_bytes double, mean_mse double"
 
@@ -35,8 +37,6 @@ def candidates(cases: DataFrame, method: str | None = None, positions: list[str]
     shape = [x for x in SHAPE if x in cases.columns]
     found = cases.groupBy(*by, "layer", *KEYS).agg(
         F.count("*").alias("cases"),
-        F.avg("output_mse").alias("mean_mse"),
-        F.avg("output_cosine").alias("mean_cosine"),
         F.percentile("output_cosine", F.lit(0.05)).alias("p05_cosine"),
         F.min("output_cosine").alias("min_cosine"),
         F.avg("raw_bytes").alias("raw_bytes"),
@@ -45,6 +45,7 @@ def candidates(cases: DataFrame, method: str | None = None, positions: list[str]
         F.max("tokens").alias("capacity"),
         *[f(x).alias(f"_{name}_{x}") for x in shape for name, f in (("least", F.min), ("most", F.max))],
     )
+    found = with_steady_means(found, cases, [*by, "layer", *KEYS], {"output_mse": "mean_mse", "output_cosine": "mean_cosine"})
     for x in shape:
         layer = Window.partitionBy(*by, "layer")
         least, most = F.min(f"_least_{x}").over(layer), F.max(f"_most_{x}").over(layer)

@@ -51,21 +51,58 @@ def lower_ranks(rows: DataFrame, by: list[str], column: str, shares: dict[str, f
     return upto.groupBy(*by).agg(*[F.max(F.when((F.col("_upto") - F.col("_n") <= at(p)) & (at(p) < F.col("_upto")), F.col(column))).alias(name) for name, p in shares.items()])
 
 
+#: Values whose powers of two differ by less than this many are added up as integers of one scale, in two halves of so many bits.
+_POWERS, _HALF = 4, 28
+
+
+def steady_means(rows: DataFrame, by: list[str], names: dict[str, str]) -> DataFrame:
+    """by, and for each column its mean under the name given, whatever the order in which rows are added: groups of the same values have the same mean,
+    to the last bit, where sums of doubles would put one before the other by chance.
+
+    Values of like size are added as integers (up to 2^35 rows of a size and group; more are an error), their few sums from the smallest size on.
+    Non-finite values count as in avg().
+    """
+    x = {i: F.col(name).cast("double") for i, name in enumerate(names)}
+    k = {i: F.col(f"_k{i}") for i in x}
+    power = lambda n: F.pow(F.lit(2.0), n * _POWERS)
+    finite = {i: (F.abs(v) < float("inf")) & (v != 0) for i, v in x.items()}
+    # Below 2^-1000 a value is scaled less, as its inverse would be no number.
+    sized = rows.withColumns({f"_k{i}": F.when(finite[i], F.greatest(F.floor(F.log2(F.abs(v)) / _POWERS).cast("int"), F.lit(-1000 // _POWERS))) for i, v in x.items()})
+    scaled = sized.withColumns({f"_v{i}": v * power(-k[i]) * float(1 << 52 - _HALF) for i, v in x.items()})
+    high = {i: F.floor(F.col(f"_v{i}")) for i in x}
+    low = {i: F.floor((F.col(f"_v{i}") - high[i]) * float(1 << _HALF)) for i in x}
+    # The rest are zeros and what isn't finite; their sum has no rounding.
+    part = lambda i: F.struct(F.lit(i).alias("i"), k[i].alias("k"), F.sum(high[i]).alias("h"), F.sum(low[i]).alias("l"), F.sum(F.when(~finite[i], x[i])).alias("rest"), F.count(x[i]).alias("n"))
+    parts = scaled.groupBy(*by, *k.values()).agg(F.array(*map(part, x)).alias("_parts"))
+    sums = parts.select(*by, F.inline("_parts")).groupBy(*by, "i", "k").agg(*(F.sum(name).alias(name) for name in ("h", "l", "rest", "n")))
+    value = F.coalesce((F.col("h") * float(1 << _HALF) + F.col("l")) * 2.0**-52 * power(F.col("k")), F.col("rest"))
+    own = lambda i: F.array_sort(F.collect_list(F.when(F.col("i") == i, F.struct("k", value.alias("x")))))
+    total = lambda i: F.aggregate(own(i), F.lit(0.0), lambda a, p: a + F.coalesce(p["x"], F.lit(0.0)))
+    return sums.groupBy(*by).agg(*(F.try_divide(total(i), F.sum(F.when(F.col("i") == i, F.col("n")))).alias(name) for i, name in enumerate(names.values())))
+
+
+def with_steady_means(means: DataFrame, rows: DataFrame, by: list[str], names: dict[str, str]) -> DataFrame:
+    """means (a row for each group of rows) with steady_means(); nulls are groups too."""
+    own = steady_means(rows, by, names).withColumnsRenamed({x: f"_{x}" for x in by})
+    on = [F.col(x).eqNullSafe(F.col(f"_{x}")) for x in by]
+    return means.join(own, on).drop(*(f"_{x}" for x in by))
+
+
 def summary(cases: DataFrame) -> DataFrame:
     """A row a configuration: counts, means, percentiles (lower ranks) and wins in the three contests."""
     ranks = [lower_ranks(cases, CONFIG, "output_mse", {"p50_mse": 0.5, "p95_mse": 0.95}), lower_ranks(cases, CONFIG, "output_cosine", {"p05_cosine": 0.05, "p50_cosine": 0.5})]
+    ranked = cases
     for by in ("mse", "cosine", "size"):
-        cases = cases.withColumn(f"_{by}", (c.best_first(*_best(by), by=["sample"]) == 1).cast("long"))
-    means = cases.groupBy(*CONFIG).agg(
+        ranked = ranked.withColumn(f"_{by}", (c.best_first(*_best(by), by=["sample"]) == 1).cast("long"))
+    means = ranked.groupBy(*CONFIG).agg(
         F.count("*").alias("cases"),
-        F.avg("output_mse").alias("mean_mse"),
         F.max("output_mse").alias("max_mse"),
-        F.avg("output_cosine").alias("mean_cosine"),
         F.min("output_cosine").alias("min_cosine"),
         F.avg("storage_bytes").alias("mean_storage"),
         F.avg(F.try_divide(F.col("raw_bytes").cast("double"), F.col("storage_bytes"))).alias("mean_compression"),
         *[F.sum(f"_{by}").alias(f"{by}_wins") for by in ("mse", "cosine", "size")],
     )
+    means = with_steady_means(means, cases, CONFIG, {"output_mse": "mean_mse", "output_cosine": "mean_cosine"})
     for r in ranks:
         means = means.join(r, CONFIG)
     return means.select(*CONFIG, "cases", "mean_mse", "p50_mse", "p95_mse", "max_mse", "mean_cosine", "p05_cosine", "p50_cosine", "min_cosine", "mean_storage", "mean_compression", *[f"{by}_wins" for by in ("mse", "cosine", "size")])
