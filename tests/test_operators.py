@@ -11,6 +11,7 @@ from vecspark.functions import columns as c
 from vecspark.operators import allocation, attention, encode, search, sweep, turns
 from vecspark.operators.search import QuantizedIndex
 from vecspark.functions.spec import ProductSpec, QuantizerSpec
+from vecspark.plans import catalogue
 from vecspark.sources import captures, reports
 from vecspark.streaming import sessions
 
@@ -223,6 +224,31 @@ def test_texts(spark):
     assert [one(c.bench_kind(F.lit(p), F.lit(g))) for p, g in ((1, 0), (0, 1), (1, 1), (0, 0))] == ["pp", "tg", "pg", "unknown"]
 
 
+def test_log_scans_equal_plain_ones(spark):
+    """Odd logs, found by one scan a kind of line, against Python's regular expressions over the whole text."""
+    rng = np.random.default_rng(3)
+    bits = [" KV buffer size = 1.5 MiB", "a.b", "Dev0", " ", "\n", "KV buffer size", " =  2 MiB", "llama: size = 3 MiB (x), K (f16): 1 MiB, V (q4): 2 MiB", "size = 4 MiB K (\nq8): 1e1 MiB , V ( q4 ): 2. MiB", "Final estimate: PPL = 7.5 +/- 0.25", "perplexity: 6.5", "%", ":", "+1", "MiB"]
+    logs = ["".join(rng.choice(bits, rng.integers(0, 9)).tolist()) for _ in range(1500)]
+    number, kind = r"([-+]?\d+(?:\.\d*)?(?:[eE][-+]?\d+)?)", r"\(\s*([^\s()]+)\s*\)"
+    names, sums = rf"([\w.+:-]+) +KV buffer size *= *{number} *MiB", rf"size *= *{number} *MiB\b[^\n]*?\bK *{kind} *: *{number} *MiB *, *V *{kind} *: *{number} *MiB"
+    df = spark.createDataFrame(list(enumerate(logs)), "i int, t string").select("i", reports.perplexity(F.col("t")).alias("p"), reports.kv_memory(F.col("t")).alias("m"))
+    for r in df.collect():
+        final, older = re.search(rf"Final estimate: *PPL *= *{number} *\+/- *{number}", logs[r.i]), re.findall(rf"perplexity: *{number}", logs[r.i])
+        assert (r.p.value, r.p.error) == ((float(final[1]), float(final[2])) if final else (float(older[-1]) if older else None, None))
+        buffers, last = re.findall(names, logs[r.i], re.ASCII), (re.findall(sums, logs[r.i], re.ASCII) or [None])[-1]
+        if not buffers and not last:
+            assert r.m is None
+            continue
+        assert [(b.name, b.mib) for b in r.m.buffers] == [(n, float(x)) for n, x in buffers] and r.m.buffer == sum(float(x) for _, x in buffers)
+        assert (r.m.total, r.m.key_type, r.m.k, r.m.value_type, r.m.v) == ((float(last[0]), last[1], float(last[2]), last[3], float(last[4])) if last else (0.0, None, 0.0, None, 0.0))
+
+
+def test_logs_are_scanned_once_a_kind_of_line(spark, sf):
+    """Each kind of line is looked for once, whatever the number of fields that are read from it."""
+    plan = catalogue.log_lines(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 3
+
+
 def test_logs(spark):
     log = """
 llama_kv_cache_init:        Dev7 KV buffer size =   91.25 MiB

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,36 +40,53 @@ def read_bench(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 _NUMBER = r"([-+]?\d+(?:\.\d*)?(?:[eE][-+]?\d+)?)"
-_WORD = r"([\w.+:-]+)"
 _TYPE = r"\(\s*([^\s()]+)\s*\)"
 #: The lines of an inference tool's log that are read; only their words are fixed.
 FINAL = rf"Final estimate: *PPL *= *{_NUMBER} *\+/- *{_NUMBER}"
 OLDER = rf"perplexity: *{_NUMBER}"
 TOTALS = rf"size *= *{_NUMBER} *MiB\b[^\n]*?\bK *{_TYPE} *: *{_NUMBER} *MiB *, *V *{_TYPE} *: *{_NUMBER} *MiB"
-BUFFER = rf"{_WORD} +KV buffer size *= *{_NUMBER} *MiB"
+#: A word is tried from its start alone (or from where the match before ended), and not again from each of its characters.
+BUFFER = rf"(?:\G|(?<![\w.+:-]))([\w.+:-]++) +KV buffer size *= *{_NUMBER} *MiB"
+
+
+def _fields(match: Column, pattern: str, count: int) -> Column:
+    """The groups of a whole match of a pattern, none of which can hold a line feed; null for null."""
+    return F.split(F.regexp_replace(match, F.lit(pattern), F.lit("\n".join(f"${i + 1}" for i in range(count)))), "\n")
+
+
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, which is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def _found(text: Column, pattern: str, group: int) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: x.try_cast("double"))
+def _double(fields: Column, i: int) -> Column:
+    return F.get(fields, F.lit(i)).try_cast("double")
 
 
 def perplexity(text: Column) -> Column:
     """struct(value, error): the final estimate, else the last older form."""
-    first = lambda x: F.try_element_at(x, F.lit(1))
-    value = F.coalesce(first(_found(text, FINAL, 1)), F.try_element_at(_found(text, OLDER, 1), F.lit(-1)))
-    return F.struct(value.alias("value"), first(_found(text, FINAL, 2)).alias("error"))
+    older = F.try_element_at(F.regexp_extract_all(text, F.lit(OLDER), F.lit(1)), F.lit(-1)).try_cast("double")
+    final = _fields(F.regexp_substr(text, F.lit(FINAL)), FINAL, 2)
+    return _once(final, lambda f: F.struct(F.coalesce(_double(f, 0), older).alias("value"), _double(f, 1).alias("error")))
 
 
 def kv_memory(text: Column) -> Column:
     """struct(total, key_type, k, value_type, v, buffer, buffers): MiB and types of the last totals line, the sum and the list (name,
     mib) of buffer lines; null if there is neither."""
-    last = lambda group: F.coalesce(F.try_element_at(_found(text, TOTALS, group), F.lit(-1)), F.lit(0.0))
-    kind = lambda group: F.trim(F.try_element_at(F.regexp_extract_all(text, F.lit(TOTALS), F.lit(group)), F.lit(-1)))
-    names = F.regexp_extract_all(text, F.lit(BUFFER), F.lit(1))
-    buffers = F.zip_with(names, _found(text, BUFFER, 2), lambda n, x: F.struct(n.alias("name"), F.coalesce(x, F.lit(0.0)).alias("mib")))
-    total = F.aggregate(buffers, F.lit(0.0), lambda a, x: a + x["mib"])
-    found = F.struct(last(1).alias("total"), kind(2).alias("key_type"), last(3).alias("k"), kind(4).alias("value_type"), last(5).alias("v"), total.alias("buffer"), buffers.alias("buffers"))
-    return F.when((last(1) > 0) | (total > 0), found)
+    totals = _fields(F.try_element_at(F.regexp_extract_all(text, F.lit(TOTALS), F.lit(0)), F.lit(-1)), TOTALS, 5)
+    line = lambda f: F.struct(F.get(f, F.lit(0)).alias("name"), F.coalesce(_double(f, 1), F.lit(0.0)).alias("mib"))
+    # No match goes over the end of a line, so only lines with the words are searched.
+    some = F.filter(F.split(text, "\n"), lambda x: x.contains("KV buffer size"))
+    lines = F.transform(F.flatten(F.transform(some, lambda x: F.regexp_extract_all(x, F.lit(BUFFER), F.lit(0)))), lambda m: _once(_fields(m, BUFFER, 2), line))
+
+    def found(x: Column) -> Column:
+        last = lambda i: F.coalesce(_double(x["t"], i), F.lit(0.0))
+        kind = lambda i: F.trim(F.get(x["t"], F.lit(i)))
+        made = F.struct(last(0).alias("total"), kind(1).alias("key_type"), last(2).alias("k"), kind(3).alias("value_type"), last(4).alias("v"), x["sum"].alias("buffer"), x["b"].alias("buffers"))
+        return F.when((last(0) > 0) | (x["sum"] > 0), made)
+
+    summed = lambda x: F.struct(x["t"].alias("t"), x["b"].alias("b"), F.aggregate(x["b"], F.lit(0.0), lambda a, y: a + y["mib"]).alias("sum"))
+    return _once(_once(F.struct(totals.alias("t"), lines.alias("b")), summed), found)
 
 
 def read_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
