@@ -283,6 +283,43 @@ def plain_vector(text, index, lane, dim):
     return v / (np.linalg.norm(v) or 1)
 
 
+def test_settle_looks_at_no_other_holder():
+    """Actions on an entity with many holders don't walk over them, and give what walking over them gives."""
+
+    class Counted(sessions.Held):
+        seen = 0
+
+        def items(self):
+            for x in super().items():
+                self.seen += 1
+                yield x
+
+    def plain(held, agent, mode, action, at, ttl):
+        for a in [a for a, (_, when) in held.items() if ttl and at - when > ttl]:
+            del held[a]
+        if action == "release":
+            return "released" if held.pop(agent, None) else "absent"
+        others = [m for a, (m, _) in held.items() if a != agent]
+        if others and (mode == "exclusive" or "exclusive" in others):
+            return "conflict"
+        known = agent in held
+        held[agent] = mode, at
+        return "renewed" if known else "acquired"
+
+    for ttl in (0.0, 40.0):
+        rng, held, want, at = np.random.default_rng(2), Counted(ttl), {}, 0.0
+        for _ in range(4000):
+            at += rng.random() * 2 - 0.2  # now and then late
+            if rng.random() < 0.01:
+                at += 30
+            x = (str(rng.integers(0, 30)), str(rng.choice(["shared", "exclusive"], p=[0.8, 0.2])), str(rng.choice(["claim", "release"], p=[0.7, 0.3])), at, ttl)
+            assert sessions.settle(held, *x) == plain(want, *x) and held == want
+    held = Counted()
+    for i in range(3000):
+        assert sessions.settle(held, str(i), "shared", "claim") == "acquired"
+    assert held.seen == 0
+
+
 def test_hashed_vectors():
     texts = ["Hello, world", "", " !? ", "a1 b2 a1", "é 日本"]
     words = [[w for w in re.split(r"[^\w]|_", t.strip().lower()) if w] or ([t.strip().lower()] if t.strip() else []) for t in texts]

@@ -28,7 +28,7 @@ from vecspark.functions import columns as c
 from vecspark.functions.spec import VALUE_SEED, ProductSpec, QuantizerSpec, derived_seed
 from vecspark.operators.turns import hashed_vectors, normal_turns
 
-from .sessions import EVENT_TYPES, RING, _mode, settle
+from .sessions import EVENT_TYPES, RING, Held, _mode, settle
 
 
 def _type(**fields) -> StructType:
@@ -84,7 +84,7 @@ class Collaboration(StatefulProcessor):
     def _loaded(self) -> tuple[dict, dict]:
         held: dict[str, dict] = {}
         for (entity, agent), (mode, at) in self.held.iterator():
-            held.setdefault(entity, {})[agent] = (mode, at)
+            held.setdefault(entity, Held(self.ttl))[agent] = (mode, at)
         return held, {k[0]: tuple(v) for k, v in self.agents.iterator()}
 
     def _saved(self, state, before: dict, after: dict) -> None:
@@ -119,7 +119,7 @@ class Collaboration(StatefulProcessor):
             at, when, i = _micros(r.ts), _micros(r.ts) / 1e6, int(r.event_id)
             self._prune(at, held, agents, outcomes, events)
             if r.action in ("claim", "release"):
-                outcome = settle(held.setdefault(r.entity, {}), r.agent, r.mode, r.action, when, self.ttl)
+                outcome = settle(held.setdefault(r.entity, Held(self.ttl)), r.agent, r.mode, r.action, when, self.ttl)
                 outcomes.append((i, at, r.action, r.agent, r.entity, outcome))
                 if outcome in EVENT_TYPES:
                     events.append((i, at, EVENT_TYPES[outcome], r.agent, r.entity, ""))

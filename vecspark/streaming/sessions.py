@@ -7,6 +7,7 @@ session are ordered by (ts, event_id).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -69,20 +70,49 @@ CLAIM_TTL = 1800
 EVENT_TYPES = {"acquired": "claim.acquire", "renewed": "claim.acquire", "conflict": "claim.conflict", "released": "claim.release"}
 
 
+class Held(dict):
+    """An entity's claims, agent -> (mode, when). With a ttl they are also in a heap by when, so that those that are over are found without looking at all."""
+
+    def __init__(self, ttl: float = 0.0, claims: dict[str, tuple[str, float]] | None = None):
+        super().__init__(claims or {})
+        self.ttl, self.due = ttl, []
+        self._heap()
+
+    def _heap(self) -> None:
+        self.due = [(when, agent) for agent, (_, when) in self.items()] if self.ttl else []
+        heapify(self.due)
+
+    def __setitem__(self, agent: str, claim: tuple[str, float]) -> None:
+        super().__setitem__(agent, claim)
+        if self.ttl:
+            heappush(self.due, (claim[1], agent))
+            if len(self.due) > 2 * len(self) + 64:  # mostly renewed or let go since
+                self._heap()
+
+    def over(self, at: float, ttl: float) -> list[str]:
+        """Agents whose claims were not renewed for longer than the ttl."""
+        found = []
+        while self.due and at - self.due[0][0] > ttl:
+            when, agent = heappop(self.due)
+            if agent in self and self[agent][1] == when:
+                found.append(agent)
+        return list(dict.fromkeys(found))
+
+
 def settle(held: dict[str, tuple[str, float]], agent: str, mode: str, action: str, at: float = 0.0, ttl: float = 0.0) -> str:
     """Applies one action to an entity's claims (agent -> (mode, when)): claim, release, or remove (the agent leaves and lets go of all).
 
     Claims conflict if another agent holds it and either is exclusive.  With a ttl, claims that were not renewed for longer are gone.
+    So an exclusive claim is held alone, and no action looks at all holders; Held(ttl) also spares that where claims run out.
     """
     if ttl:
-        for a in [a for a, (_, when) in held.items() if at - when > ttl]:
+        for a in held.over(at, ttl) if isinstance(held, Held) else [a for a, (_, when) in held.items() if at - when > ttl]:
             del held[a]
     if action in ("release", "remove"):
         return "released" if held.pop(agent, None) is not None else "absent"
-    others = [m for a, (m, _) in held.items() if a != agent]
-    if others and (mode == "exclusive" or "exclusive" in others):
-        return "conflict"
     known = agent in held
+    if len(held) > known and (mode == "exclusive" or next(iter(held.values()))[0] == "exclusive"):
+        return "conflict"
     held[agent] = mode, at
     return "renewed" if known else "acquired"
 
@@ -112,7 +142,7 @@ def claims(actions: DataFrame, ttl: float = 0.0) -> DataFrame:
             outcomes = []
             for s, e, a, m, x, when in zip(rows["session"], rows["entity"], rows["agent"], rows["mode"], rows["action"], rows["at"]):
                 if (s, e) != at:
-                    at, held = (s, e), {}
+                    at, held = (s, e), Held(ttl)
                 outcomes.append(settle(held, a, m, x, when, ttl))
             yield rows.assign(outcome=outcomes)[["session", "event_id", "entity", "agent", "action", "outcome"]]
 
@@ -167,7 +197,7 @@ class ClaimProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         every = pd.concat(list(rows)).sort_values(["ts", "event_id"])
         before = {k[0]: (v[0], v[1]) for k, v in self.held.iterator()}
-        held = dict(before)
+        held = Held(self.ttl, before)
         outcomes = [settle(held, a, m or "exclusive", x, t.timestamp(), self.ttl) for a, m, x, t in zip(every["agent"], every["mode"], every["action"], every["ts"])]
         for agent in before.keys() - held.keys():
             self.held.removeKey((agent,))
