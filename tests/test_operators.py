@@ -320,6 +320,21 @@ def test_settle_looks_at_no_other_holder():
     assert held.seen == 0
 
 
+def test_hashed_vectors_of_a_long_word_take_little_memory():
+    """One long word among many: memory follows the bytes of a piece, not the number of words times the longest."""
+    import tracemalloc
+
+    words = [[f"w{(i * 7 + j) % 900}" for j in range(50)] for i in range(400)]
+    words[200].append("x" * 4000)
+    tracemalloc.start()
+    got = turns.hashed_vectors(words, [i % 3 for i in range(400)], 16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    for i in (0, 200, 399):
+        assert np.array_equal(got[i], turns.hashed_vectors([words[i]], [i % 3], 16)[0])
+
+
 def test_hashed_vectors():
     texts = ["Hello, world", "", " !? ", "a1 b2 a1", "é 日本"]
     words = [[w for w in re.split(r"[^\w]|_", t.strip().lower()) if w] or ([t.strip().lower()] if t.strip() else []) for t in texts]

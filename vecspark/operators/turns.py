@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,48 +59,82 @@ def sync_action(old: Column | str, new: Column | str) -> Column:
     )
 
 
-def _hashes(words: np.ndarray, sizes: np.ndarray, tail: np.ndarray) -> np.ndarray:
-    """FNV-1a of each word (rows of bytes, of which the first `sizes` count) and of each row of tail bytes behind it: words x tails."""
-    prime, h = np.uint64(FNV_PRIME), np.full(len(words), FNV_OFFSET, np.uint64)
-    for i in range(words.shape[1]):
-        h = np.where(i < sizes, (h ^ words[:, i]) * prime, h)
-    h = np.repeat(h[:, None], len(tail), axis=1)
+def _hashes(words: list[bytes], tail: np.ndarray) -> np.ndarray:
+    """FNV-1a of each word and of each row of tail bytes behind it: words x tails. A step takes the next byte of all words that have one."""
+    prime, sizes = np.uint64(FNV_PRIME), np.array([len(x) for x in words], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    chars, begin = np.frombuffer(b"".join(words), np.uint8), (np.cumsum(sizes) - sizes)[order]
+    counts = len(words) - np.cumsum(np.bincount(sizes))
+    own = np.full(len(words), FNV_OFFSET, np.uint64)
+    for i, n in enumerate(counts[:-1].tolist()):
+        own[:n] = (own[:n] ^ chars[begin[:n] + i]) * prime
+    h = np.empty((len(words), len(tail)), np.uint64)
+    h[order] = own[:, None]
     for i in range(tail.shape[1]):
         h = (h ^ tail[:, i]) * prime
     return h
 
 
-def hashed_vectors(words: list[list[str]], index: list[int], dim: int, lane: int = 0) -> np.ndarray:
+#: Words, and bytes of words, that are hashed at once (one list of words more, at the most).
+PIECE_WORDS, PIECE_BYTES = 1 << 15, 1 << 20
+
+
+def hashed_vectors(words: Iterable[list[str]], index: list[int], dim: int, lane: int = 0) -> np.ndarray:
     """A row for each list of words: SLOTS hashed places a word, plus or minus 1 by another hash, of unit length.
 
     A place is the hash of the word's bytes and the bytes (index, lane, step), a sign the parity of that of (lane, step, 127): equal words of
-    different indices (the turn's number) have other places.  No words count as the word "_empty".
+    different indices (the turn's number) have other places.  No words count as the word "_empty".  Rows are worked on in pieces of so many words.
     """
-    words = [own or ["_empty"] for own in words]
-    kinds, at = np.unique([w for own in words for w in own], return_inverse=True)
-    row = np.repeat(np.arange(len(words)), [len(own) for own in words])
-    data = [w.encode() for w in kinds.tolist()]
-    sizes = np.array([len(x) for x in data], np.int64)
-    chars = np.frombuffer(b"".join(x.ljust(int(sizes.max(initial=1)), b"\0") for x in data), np.uint8).reshape(len(data), -1).astype(np.uint64)
-    steps = np.arange(SLOTS, dtype=np.uint64)
-    signs = np.where(_hashes(chars, sizes, np.column_stack((np.full(SLOTS, lane, np.uint64), steps, np.full(SLOTS, 127, np.uint64)))) & np.uint64(1), -1.0, 1.0)
-    out, numbers = np.zeros((len(words), dim)), np.array(index, np.int64) & 255
-    for n in np.unique(numbers):
-        tail = np.column_stack((np.full(SLOTS, n, np.uint64), np.full(SLOTS, lane, np.uint64), steps))
-        own = numbers[row] == n
-        used, place = np.unique(at[own], return_inverse=True)
-        slots = (_hashes(chars[used], sizes[used], tail) % np.uint64(dim)).astype(np.int64)
-        np.add.at(out, (np.repeat(row[own], SLOTS), slots[place].reshape(-1)), signs[at[own]].reshape(-1))
+    out, steps = np.zeros((len(index), dim)), np.arange(SLOTS, dtype=np.uint64)
+    numbers = np.array(index, np.int64) & 255
+    byte = lambda x: np.full(SLOTS, x, np.uint64)
+
+    def add(first: int, kinds: dict[bytes, int], at: list[int], counts: list[int]) -> None:
+        data, rows = list(kinds), np.repeat(np.arange(first, first + len(counts)), counts)
+        place = np.array(at, np.int64)
+        signs = np.where(_hashes(data, np.column_stack((byte(lane), steps, byte(127)))) & np.uint64(1), -1.0, 1.0)
+        for n in np.unique(numbers[rows]).tolist():
+            own = numbers[rows] == n
+            used, which = np.unique(place[own], return_inverse=True)
+            slots = (_hashes([data[i] for i in used.tolist()], np.column_stack((byte(n), byte(lane), steps))) % np.uint64(dim)).astype(np.int64)
+            np.add.at(out, (np.repeat(rows[own], SLOTS), slots[which].reshape(-1)), signs[place[own]].reshape(-1))
+
+    first, kinds, at, counts, size = 0, {}, [], [], 0
+    for own in words:
+        own = own or ["_empty"]
+        for word in own:
+            data = word.encode()
+            if data not in kinds:
+                kinds[data] = len(kinds)
+                size += len(data)
+            at.append(kinds[data])
+        counts.append(len(own))
+        if len(at) >= PIECE_WORDS or size >= PIECE_BYTES:
+            add(first, kinds, at, counts)
+            first, kinds, at, counts, size = first + len(counts), {}, [], [], 0
+    if counts:
+        add(first, kinds, at, counts)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm > 0, norm, 1.0)
 
 
+def _lists(words: pa.ListArray) -> Iterator[list[str]]:
+    """The lists of an Arrow column, some rows at a time."""
+    for begin in range(0, len(words), 256):
+        part = words.slice(begin, 256)
+        flat, at = part.flatten().to_numpy(zero_copy_only=False).tolist(), 0
+        for n in part.value_lengths().to_pylist():
+            yield flat[at : at + n]
+            at += n
+
+
 def text_vectors(rows: DataFrame, dim: int, text: str = "text", index: str = "turn", out: str = "v", lane: int = 0) -> DataFrame:
     """rows with the hashed vector of a text column; index: a column of numbers."""
 
-    @F.pandas_udf("array<double>")
-    def make(words: pd.Series, at: pd.Series) -> pd.Series:
-        return pd.Series(list(hashed_vectors([list(w) for w in words], at.tolist(), dim, lane)), dtype=object)
+    @F.arrow_udf("array<double>")
+    def make(words: pa.Array, at: pa.Array) -> pa.Array:
+        made = hashed_vectors(_lists(words), at.to_pylist(), dim, lane)
+        return pa.ListArray.from_arrays(np.arange(len(made) + 1, dtype=np.int32) * dim, made.reshape(-1))
 
     return rows.withColumn(out, make(c.tokens(F.coalesce(F.col(text), F.lit(""))), F.col(index)))
 
